@@ -9,6 +9,8 @@ column must be a unique integer, such as an arrival sequence or a stream offset.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +52,19 @@ def running(
     )
     return (
         blocked.withColumn(out, total(F.col(out)).over(inside))
-        .join(totals, [*keys, _BLOCK], "left")
+        .transform(join_null_safe, totals, [*keys, _BLOCK])
         .withColumn(out, combine(F.col(_CARRY), F.col(out)))
         .drop(_BLOCK, _CARRY)
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` where a null key meets a null key."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    return left.join(renamed, match, "left").drop(*(f"_right_{k}" for k in keys))
+
+
 def ordinal(
     df: DataFrame, keys: Sequence[str], order: str, out: str, span: int = BLOCK_SPAN,
 ) -> DataFrame:
