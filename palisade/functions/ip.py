@@ -1,71 +1,100 @@
-"""IP addresses as sortable 32-digit hex text, entirely in native expressions.
+"""CIDR membership of textual IP addresses, in native expressions.
 
-An IPv4 address takes its IPv4-mapped form (``::ffff:a.b.c.d``), so both families share one
-key and a CIDR block is one string range.
+An IPv4 address equals its IPv4-mapped form (``::ffff:a.b.c.d``), so a block of either family
+may match rows of the other.
 """
 from __future__ import annotations
 
 import ipaddress
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-_IPV4_TAIL = rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-_MAPPED = "0" * 20 + "ffff"
+_DOTTED = r"\.".join([_OCTET] * 4)
+_MAPPED = ipaddress.IPv6Network("::ffff:0:0/96")
+
+
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def _hex_octet(digits: Column) -> Column:
     return F.lpad(F.lower(F.hex(digits.try_cast("bigint"))), 2, "0")
 
 
-def _ipv4_hex(ip: Column) -> Column:
-    return F.concat(*(_hex_octet(F.split_part(ip, F.lit("."), F.lit(i))) for i in (1, 2, 3, 4)))
+def _no_groups() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _groups(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+    return F.when(text == "", _no_groups()).otherwise(F.split(text, ":"))
 
 
-def _ipv6_hex(ip: Column) -> Column:
+def _ipv6_digits(ip: Column) -> Column:
     # A dotted tail is rewritten to two hex groups first.
-    octets = [_hex_octet(F.regexp_extract(ip, _IPV4_TAIL, i)) for i in (2, 3, 4, 5)]
-    tail = F.concat(octets[0], octets[1], F.lit(":"), octets[2], octets[3])
-    text = F.lower(F.when(
-        ip.rlike(_IPV4_TAIL), F.concat(F.regexp_extract(ip, _IPV4_TAIL, 1), tail)).otherwise(ip))
-
-    halves = F.split(text, "::")
-    compressed = F.size(halves) == 2
-    head = _groups(F.get(halves, F.lit(0)))
-    rest = F.when(compressed, _groups(F.get(halves, F.lit(1)))).otherwise(
-        F.array().cast("array<string>"))
-    missing = F.lit(8) - F.size(head) - F.size(rest)
-    every = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)
-    shape = F.when(compressed, missing >= 1).otherwise((F.size(halves) == 1) & (missing == 0))
-    valid = shape & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(valid, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
-
-
-def ip_key(ip: Column) -> Column:
-    """32 hex digits, or null when the text is not an address."""
-    return (
-        F.when(ip.rlike(_IPV4), F.concat(F.lit(_MAPPED), _ipv4_hex(ip)))
-        .when(ip.contains(":"), _ipv6_hex(ip))
-    )
-
-
-def cidr_bounds(block: str) -> tuple[str, str]:
-    network = ipaddress.ip_network(block.strip(), strict=False)
-    low, high = int(network.network_address), int(network.broadcast_address)
-    if network.version == 4:
-        prefix = 0xFFFF << 32
-        low, high = prefix + low, prefix + high
-    return f"{low:032x}", f"{high:032x}"
+    tail_pattern = f"^(.*:){_DOTTED}$"
+    part = [F.regexp_extract(ip, tail_pattern, i) for i in range(1, 6)]
+    octets = [_hex_octet(p) for p in part[1:]]
+    plain = F.concat(part[0], octets[0], octets[1], F.lit(":"), octets[2], octets[3])
+    text = F.lower(F.when(ip.rlike(tail_pattern), plain).otherwise(ip))
+
+    def from_halves(halves: Column) -> Column:
+        compressed = F.size(halves) == 2
+        head = _groups(F.get(halves, F.lit(0)))
+        rest = F.when(compressed, _groups(F.get(halves, F.lit(1)))).otherwise(_no_groups())
+        missing = F.lit(8) - F.size(head) - F.size(rest)
+        shape = F.when(compressed, missing >= 1).otherwise(
+            (F.size(halves) == 1) & (missing == 0))
+        every = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)
+        return F.when(shape, _bound(every, lambda groups: F.when(
+            F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+            F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))))
+
+    return _bound(F.split(text, "::"), from_halves)
+
+
+def ipv6_key(ip: Column) -> Column:
+    """32 hex digits of an IPv6 address, which sort as the address does; null otherwise."""
+    return F.when(ip.contains(":"), _bound(ip, _ipv6_digits))
+
+
+def _ipv4_pattern(block: ipaddress.IPv4Network) -> str:
+    """Regex of a block's addresses: fixed octets, one listed octet, free octets."""
+    parts = []
+    for low, high in zip(block.network_address.packed, block.broadcast_address.packed):
+        if (low, high) == (0, 255):
+            parts.append(_OCTET)
+        else:
+            parts.append(f"(?:{'|'.join(str(n) for n in range(low, high + 1))})")
+    return "^" + re.escape(".").join(parts) + "$"
+
+
+def parse_block(block: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network:
+    return ipaddress.ip_network(block.strip(), strict=False)
 
 
 def in_cidr(ip: Column, block: str) -> Column:
-    """Null (no match) for text that is not an address."""
-    low, high = cidr_bounds(block)
-    return ip_key(ip).between(low, high)
+    """Whether the address lies in the block; text that is not an address does not."""
+    network = parse_block(block)
+    if network.version == 4:
+        v4 = network
+        v6 = ipaddress.IPv6Network(
+            (int(_MAPPED.network_address) + int(v4.network_address), 96 + v4.prefixlen))
+    else:
+        v6 = network
+        if v6.supernet_of(_MAPPED):
+            v4 = ipaddress.IPv4Network("0.0.0.0/0")
+        elif v6.subnet_of(_MAPPED):
+            v4 = ipaddress.IPv4Network(
+                (int(v6.network_address) & 0xFFFFFFFF, v6.prefixlen - 96))
+        else:
+            v4 = None
+    low, high = (f"{int(a):032x}" for a in (v6.network_address, v6.broadcast_address))
+    long_form = _bound(ip, lambda x: _bound(_ipv6_digits(x), lambda k: k.between(low, high)))
+    short_form = F.lit(False) if v4 is None else ip.rlike(_ipv4_pattern(v4))
+    return F.coalesce(
+        F.when(ip.contains(":"), long_form).otherwise(short_form), F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.instants import instant_literal, interval_ms, parse_instant
-from palisade.functions.ip import cidr_bounds, in_cidr
+from palisade.functions.ip import in_cidr, parse_block
 from palisade.policy import normalise
 
 DEFAULT_LIMIT = 20
@@ -87,7 +87,7 @@ class SampleQuery:
             raise ValueError("'limit' must be at least 1")
         client_ip = _blank_to_none(clientIp)
         if client_ip is not None and "/" in client_ip:
-            cidr_bounds(client_ip)
+            parse_block(client_ip)
         return cls(
             None if configId is None else int(configId), client_ip, start, end,
             _token(category), _token(action), repeatOffender, min(limit, MAX_LIMIT), offset)

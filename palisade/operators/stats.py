@@ -87,6 +87,11 @@ def summary(df: DataFrame, query: StatsQuery = EVERYTHING, n: int = TOP_N) -> Da
     rows = grouped.select(
         section.alias("section"), key.alias("key"), "events", "_avg",
     ).where((F.col("section") != "attacker") | F.col("key").isNotNull())
+    # Without input rows there is no empty grouping set either: a zero total stands by.
+    nothing = df.sparkSession.range(1).select(
+        F.lit("total").alias("section"), F.lit(None).cast("string").alias("key"),
+        F.lit(0).cast("bigint").alias("events"), F.lit(None).cast("double").alias("_avg"))
+    rows = rows.unionByName(nothing)
 
     # Complete sections give every key a partition of its own, so one rank limit serves all
     # sections and is applied map-side before the ranked rows are gathered.
@@ -98,7 +103,8 @@ def summary(df: DataFrame, query: StatsQuery = EVERYTHING, n: int = TOP_N) -> Da
     scored = F.when(
         ~F.col("section").isin("action", "path"), round_tenth(F.col("_avg")))
     return cut.select(
-        "section", rank.alias("rank"), "key", "events", scored.alias("avg_threat_score"))
+        "section", rank.alias("rank"), "key", "events", scored.alias("avg_threat_score"),
+    ).where((F.col("section") != "total") | (F.col("rank") == 1))
 
 
 def summary_document(df: DataFrame, query: StatsQuery = EVERYTHING) -> DataFrame:

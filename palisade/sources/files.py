@@ -11,6 +11,7 @@ from palisade.schema import CSV_COLUMNS, EVENT_SCHEMA
 
 _CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS])
 _CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": False}
+_ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def format_of(path: str) -> str:
@@ -51,7 +52,7 @@ def write_events(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
             header=True, quote='"', escape='"', emptyValue="", nullValue="").csv(path)
     else:
         df.select(*(f.name for f in EVENT_SCHEMA.fields if f.name in df.columns)).write.mode(
-            mode).option("ignoreNullFields", False).json(path)
+            mode).options(ignoreNullFields=False, timestampFormat=_ISO_MICROS).json(path)
 
 
 def chronological(df: DataFrame, order: str = "arrival_seq") -> DataFrame:

@@ -73,9 +73,6 @@ def parse_payloads(
     """Adds ``events`` (array), ``rejection`` (null when accepted) and ``failures``: the
     ``(index, messages)`` of the invalid events."""
     text = F.col(body)
-    as_json = F.expr(f"try_parse_json(`{body}`)")
-    parsed = F.from_json(text, _TEXT_SCHEMA)
-    shaped = F.substring(jtrim(text), 1, 1).isin("{", "[")
 
     def messages(event: Column) -> Column:
         def field(name: str) -> Column:
@@ -86,25 +83,40 @@ def parse_payloads(
         return F.when(event.isNull(), F.array(F.lit("event must not be null"))).otherwise(
             errors_of(field, policy))
 
-    staged = df.withColumn("_raw", parsed).withColumn(
-        "events", F.transform("_raw", _event))
-    failures = F.filter(
+    shaped = F.substring(jtrim(text), 1, 1).isin("{", "[")
+    parsed = _once(
+        df,
+        _raw=F.from_json(text, _TEXT_SCHEMA),
+        _json=F.expr(f"try_parse_json(`{body}`)").isNotNull(),
+    )
+    bound = _once(
+        parsed,
+        events=F.transform("_raw", _event),
+        _unreadable=F.exists("_raw", _event_unreadable),
+    )
+    judged = _once(bound, _failures=F.filter(
         F.transform("events", lambda e, i: F.struct(
             i.cast("bigint").alias("index"), messages(e).alias("messages"))),
-        lambda f: F.size(f["messages"]) > 0)
-    readable = ~F.exists("_raw", _event_unreadable)
+        lambda f: F.size(f["messages"]) > 0))
     rejection = (
-        F.when(~has_text(text) | (as_json.isNull()), F.lit(MALFORMED_BODY))
+        F.when(~has_text(text) | ~F.col("_json"), F.lit(MALFORMED_BODY))
         .when(~shaped | (F.size("_raw") == 0), F.lit(EMPTY_BODY))
-        .when(F.col("_raw").isNull() | ~readable, F.lit(MALFORMED_BODY))
+        .when(F.col("_raw").isNull() | F.col("_unreadable"), F.lit(MALFORMED_BODY))
         .when(F.size("_failures") > 0, F.lit(INVALID_EVENTS)))
-    no_failures = F.array().cast(
-        "array<struct<index:bigint,messages:array<string>>>")
+    no_failures = F.array().cast("array<struct<index:bigint,messages:array<string>>>")
     return (
-        staged.withColumn("_failures", failures).withColumn("rejection", rejection)
+        _once(judged, rejection=rejection)
         .withColumn("failures", F.when(
             F.col("rejection") == INVALID_EVENTS, F.col("_failures")).otherwise(no_failures))
-        .drop("_raw", "_failures"))
+        .drop("_raw", "_json", "_unreadable", "_failures"))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed exactly once per row. The optimizer copies a projected
+    expression into every place that mentions it, which multiplies nested parsing; it never
+    copies the output of a generator."""
+    row = F.struct(*(col.alias(name) for name, col in columns.items()))
+    return df.select("*", F.inline(F.array(row)))
 
 
 def accepted_events(parsed: DataFrame) -> DataFrame:

@@ -41,15 +41,16 @@ def event_stream(spark: SparkSession, path: str, max_files: int | None = None) -
 
 def payload_events(
     bodies: DataFrame, body: str = "body", order: str = "arrival_seq",
-    policy: Policy = Policy(), max_body_events: int = 1_000_000,
+    policy: Policy = Policy(),
 ) -> tuple[DataFrame, DataFrame]:
     """``(events, refused bodies)`` of a stream of request bodies that carry ``order``.
 
-    Events are sequenced by body, then by their index in it."""
+    Events are sequenced by body, then by their index in it: a text value holds under 2 GiB,
+    so fewer than 2**24 valid events."""
     parsed = parse_payloads(bodies, body, policy)
     events = accepted_events(parsed).drop(body)
     sequenced = events.withColumn(
-        order, F.col(order) * max_body_events + F.col("index")).drop("index")
+        order, F.col(order) * 2 ** 24 + F.col("index")).drop("index")
     return sequenced, rejected_bodies(parsed)
 
 
