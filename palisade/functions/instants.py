@@ -41,7 +41,9 @@ def interval_ms(token: str) -> int:
 
 def parse_iso_offset(text: Column) -> Column:
     """Timestamp of an ISO-8601 offset date-time, null for anything else."""
-    return F.when(text.rlike(ISO_OFFSET), F.upper(text).try_cast("timestamp"))
+    # Seconds are optional in the format, but not in Spark's cast.
+    full = F.regexp_replace(F.upper(text), r"^([^T]*T\d{2}:\d{2})([Z+-])", "$1:00$2")
+    return F.when(text.rlike(ISO_OFFSET), full.try_cast("timestamp"))
 
 
 def iso_label(ts: Column) -> Column:

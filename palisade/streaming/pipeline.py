@@ -19,15 +19,6 @@ LIVE_TRIGGER = {"processingTime": "1 second"}
 DRAIN = {"availableNow": True}
 
 
-def configure(spark: SparkSession) -> None:
-    """Settings the keyed state operator needs; a processing-time query would otherwise keep
-    issuing empty micro-batches and never drain."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-
-
 def event_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """JSON Lines events from a folder, in the event schema plus the ``arrival_seq`` the
     producer sets. ``max_files`` bounds a micro-batch; a Kafka source uses its offsets for
@@ -73,7 +64,6 @@ def run(
 ) -> StreamingQuery:
     """Starts validate, enrich and upsert as one query. A retried micro-batch replaces its
     own rows, a repeated event id its own document."""
-    configure(events.sparkSession)
     enriched = enriched_stream(stamp_received(events) if stamp else events, policy, time_mode)
     return (
         enriched.writeStream.outputMode("append")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -50,15 +50,26 @@ class WindowProcessor(StatefulProcessor):
         pass
 
 
+def configure(spark: SparkSession) -> None:
+    """Settings the state operator needs. Without the second, a processing-time query keeps
+    issuing empty micro-batches and never drains."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    # A batch run needs the state coordinator, which the stream manager brings up.
+    _ = spark.streams
+
+
 def flag_stream(
     df: DataFrame, policy: Policy = Policy(), time_mode: str = "ProcessingTime",
     order: str = "arrival_seq",
 ) -> DataFrame:
     """Adds or replaces ``repeatOffender`` in arrival order per client, batch or stream.
 
-    State needs the RocksDB store (see ``pipeline.configure``). ``time_mode`` ``"None"``
-    leaves the idle-client expiry out, for back-fills.
+    ``time_mode`` ``"None"`` leaves the idle-client expiry out, for back-fills.
     """
+    configure(df.sparkSession)
     columns = [c for c in df.columns if c != "repeatOffender"]
     counted = trackable("eventId", "timestamp", ["clientIp"])
     staged = df.select(
