@@ -12,19 +12,19 @@ from palisade.functions.text import has_text, jtrim
 from palisade.schema import CSV_COLUMNS, ENRICHED_SCHEMA, EVENT_SCHEMA, STORED_PATHS
 
 
-def _path_in(df: DataFrame, path: str, sql_type) -> Column:
-    return F.col(path) if path.split(".")[0] in df.columns else F.lit(None).cast(sql_type)
-
-
 def flatten(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Nested events to the 24 stored columns; a null struct gives null columns."""
-    return df.select(
-        *(_path_in(df, STORED_PATHS[f.name], f.dataType).alias(f.name)
-          for f in ENRICHED_SCHEMA.fields if f.name != "repeatOffender"),
-        F.coalesce(_path_in(df, "repeatOffender", "boolean"), F.lit(False)).alias(
-            "repeatOffender"),
-        *keep,
-    )
+    """Nested events to the 24 stored columns; a null struct gives null columns, and a column
+    the events do not carry yet is null."""
+    present = set(df.columns)
+    columns = []
+    for field in ENRICHED_SCHEMA.fields:
+        path = STORED_PATHS[field.name]
+        known = path.split(".")[0] in present
+        value = path if known else f"CAST(NULL AS {field.dataType.simpleString()})"
+        if field.name == "repeatOffender":
+            value = f"coalesce({value}, false)"
+        columns.append(f"{value} AS {field.name}")
+    return df.selectExpr(*columns, *keep)
 
 
 def to_csv_row(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +32,8 @@ def _enum(name: str, value: Column, members: list[str]) -> Column:
         F.concat(F.lit(f"{name} '"), value, F.lit(f"' is not one of [{', '.join(members)}]")))
 
 
-def errors_of(field: Callable[[str], Column], policy: Policy) -> Column:
-    """All messages for one event as an array, empty when it is valid.
-
-    ``field`` maps a dotted name to its Column, so the same rules serve table columns and
-    elements of a parsed payload.
-    """
+def _checks(field: Callable[[str], Column], policy: Policy) -> list[Column]:
+    """One Column per rule: its message, or null when the event passes."""
     category = field("rule.category")
     allowed = ", ".join(policy.categories)
     rule_checks = [
@@ -50,12 +48,25 @@ def errors_of(field: Callable[[str], Column], policy: Policy) -> Column:
                 F.lit(f"' is not an allowed attack category; allowed: [{allowed}]"))),
     ]
     no_rule = field("rule").isNull()
-    checks = [
+    return [
         *(_missing(name, field(name), name not in _PLAIN) for name in _REQUIRED),
         F.when(no_rule, F.lit("rule is required")),
         *(F.when(~no_rule, check) for check in rule_checks),
     ]
-    return F.array_compact(F.array(*checks))
+
+
+def errors_of(field: Callable[[str], Column], policy: Policy) -> Column:
+    """All messages for one event as an array, empty when it is valid.
+
+    ``field`` maps a dotted name to its Column, so the same rules serve table columns and
+    elements of a parsed payload.
+    """
+    return F.array_compact(F.array(*_checks(field, policy)))
+
+
+def is_valid(policy: Policy = Policy()) -> Column:
+    """The same rules as one predicate, for when the messages are not wanted."""
+    return reduce(and_, (check.isNull() for check in _checks(F.col, policy)))
 
 
 def with_errors(df: DataFrame, policy: Policy = Policy()) -> DataFrame:

@@ -20,6 +20,7 @@ from palisade.plans import projection
 from palisade.plans.ingest import accepted_events, stored_events, valid_events
 from palisade.policy import Policy
 from palisade.schema import ENRICHED_SCHEMA
+from palisade.session import tune
 from palisade.sources import files, payloads, store
 from palisade.sources.scratch import scratch_dir
 from palisade.streaming import pipeline
@@ -30,8 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return _zoneless(fn(spark, sf_dir))
+        return _zoneless(fn(tune(spark), sf_dir))
 
     QUERIES[fn.__name__] = run
     return run
@@ -39,10 +39,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 def _zoneless(df: DataFrame) -> DataFrame:
     """Timestamps as UTC wall time, which every client shows the same way."""
-    return df.select(*(
-        F.col(f.name).cast("timestamp_ntz").alias(f.name)
-        if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
-        for f in df.schema.fields))
+    return df.selectExpr(*(
+        f"CAST(`{f.name}` AS TIMESTAMP_NTZ) AS `{f.name}`"
+        if isinstance(f.dataType, T.TimestampType) else f"`{f.name}`" for f in df.schema.fields))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

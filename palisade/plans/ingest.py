@@ -2,16 +2,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from palisade.operators.enrich import enrich
 from palisade.operators.table import flatten
-from palisade.operators.validate import split_batches, with_errors
+from palisade.operators.validate import is_valid, split_batches, with_errors
 from palisade.policy import Policy
 
 
 def valid_events(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    return with_errors(df, policy).where(F.size("errors") == 0).drop("errors")
+    return df.where(is_valid(policy))
 
 
 def accepted_events(df: DataFrame, policy: Policy = Policy()) -> DataFrame:

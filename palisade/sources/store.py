@@ -5,9 +5,9 @@ by its epoch and replaces that folder, so a retried micro-batch cannot double it
 """
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,28 +38,50 @@ def read_table(
     path: str,
     start: datetime | None = None,
     end: datetime | None = None,
-    compacted: bool = False,
+    base: str | None = None,
 ) -> DataFrame:
     """Stored events, the newest arrival of each id.
 
-    A compacted table has one row per id already: no shuffle is needed, and a time range
-    prunes date partitions. Elsewhere the range is applied after the newest row is chosen,
-    as an update may have moved an event in time.
+    ``base`` is a compacted table older than everything in ``path``: its rows need no ranking
+    and no shuffle of their own, only the ids written since are taken out. A time range prunes
+    its date partitions; elsewhere the range is applied after the newest row is chosen, as an
+    update may have moved an event in time.
     """
-    rows = spark.read.schema(TABLE_SCHEMA).parquet(path)
-    days = [
-        None if start is None else F.col("event_date") >= F.lit(start.date()),
-        None if end is None else F.col("event_date") <= F.lit(end.date()),
-    ]
-    if not compacted:
-        rows = latest(rows)
-    return rows.where(conjunction(days)).drop("event_date", "epoch")
+    days = _days(start, end)
+    rows = latest(_scan(spark, path))
+    if base is not None:
+        written = _scan(spark, path).select("eventId")
+        rows = rows.unionByName(
+            _scan(spark, base).where(days).join(written, "eventId", "left_anti"))
+    return rows.where(days).drop("event_date", "epoch")
+
+
+def read_compacted(
+    spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None,
+) -> DataFrame:
+    """A compacted table on its own: one row per id already, date partitions pruned."""
+    return _scan(spark, path).where(_days(start, end)).drop("event_date", "epoch")
+
+
+def _days(start: datetime | None, end: datetime | None) -> Column:
+    """Date partitions a time range touches."""
+    return conjunction([
+        None if start is None else F.col("event_date") >= F.lit(_utc_day(start)),
+        None if end is None else F.col("event_date") <= F.lit(_utc_day(end)),
+    ])
+
+
+def _utc_day(instant: datetime) -> date:
+    return instant.astimezone(timezone.utc).date()
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
 def compact(spark: SparkSession, source: str, target: str) -> None:
     """Rewrites the newest rows into a new table folder, clustered by date."""
-    rows = latest(spark.read.schema(TABLE_SCHEMA).parquet(source)).withColumn(
-        "epoch", F.lit(0).cast("bigint"))
+    rows = latest(_scan(spark, source)).withColumn("epoch", F.lit(0).cast("bigint"))
     # Range partitions on (date, id) keep files per date few without one task per date.
     (
         rows.repartitionByRange("event_date", "eventId")

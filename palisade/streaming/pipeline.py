@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade.operators.enrich import score
-from palisade.operators.validate import stamp_received, with_errors
+from palisade.operators.validate import is_valid, stamp_received, with_errors
 from palisade.policy import Policy
 from palisade.schema import EVENT_SCHEMA
 from palisade.sources import store
@@ -49,8 +49,7 @@ def enriched_stream(
     events: DataFrame, policy: Policy = Policy(), time_mode: str = "ProcessingTime",
 ) -> DataFrame:
     """Valid events of a stream with flag, attack type and score."""
-    valid = with_errors(events, policy).where(F.size("errors") == 0).drop("errors")
-    return score(flag_stream(valid, policy, time_mode), policy)
+    return score(flag_stream(events.where(is_valid(policy)), policy, time_mode), policy)
 
 
 def run(

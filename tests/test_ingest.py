@@ -231,12 +231,19 @@ def test_store_shows_the_latest_and_retries_are_idempotent(spark, tmp_path):
     compacted = str(tmp_path / "compacted")
     store.compact(spark, path, compacted)
     assert spark.read.parquet(compacted).count() == 5
-    pruned = store.read_table(
-        spark, compacted, start=at("2026-07-11T00:00:00"), compacted=True)
+    assert store.read_compacted(spark, compacted, end=at("2026-07-10T23:00:00")).count() == 5
+    pruned = store.read_compacted(spark, compacted, start=at("2026-07-11T00:00:00"))
     assert pruned.count() == 0
     assert "PartitionFilters: [isnotnull(event_date" in (
         pruned._jdf.queryExecution().executedPlan().toString())
 
+    since = str(tmp_path / "since")
+    store.upsert(first.where("arrival_seq = 4").withColumns(
+        {"statusCode": F.lit(404), "arrival_seq": F.lit(200).cast("bigint")}), since, 2)
+    merged = store.read_table(spark, since, base=compacted)
+    assert sorted(rows_of(merged, "eventId", "statusCode")) == [
+        ("e0", 500), ("e1", 500), ("e2", 200), ("e3", 200), ("e4", 404)]
+
     assert store.clear(spark, path) == 5
     assert store.read_table(spark, path).count() == 0
 
