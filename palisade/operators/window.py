@@ -1,15 +1,20 @@
 """Event-time sliding count per client, and the repeat-offender flag built on it.
 
-``count(row) = rows of the key in [t - W, t)  +  position of the row among those at t``
+In event-time order the count of a row is its position among the key's rows less the rows
+older than the window, so two running counts give it, without re-scanning each frame.
 
-Both parts are prefix counts, so one key can be spread over many tasks:
+One key may hold a third of the table, so its history is cut into time chunks, and the last
+window of each chunk is copied, without its payload, into the next. Every frame is complete
+inside its chunk and chunks are independent. Chunks are counted first, map-side; the rare one
+with more than ``HOT_ROWS`` rows, copies included, is split further:
 
-* rows are pre-aggregated to cells ``(key, millisecond, arrival block)``;
-* cells are windowed per ``(key, time chunk)``. The tail of a chunk is copied into the next
-  one, so every frame is complete. A chunk spans ``CHUNK_WINDOWS`` windows of milliseconds,
-  which bounds the partition however many rows the key has;
-* the wide rows are shuffled once, by cell, where their position is counted, and the cell's
+* its rows are pre-aggregated to cells ``(key, millisecond, arrival block)``, and only cells
+  are windowed per chunk, which holds a fixed number of milliseconds;
+* the rows themselves are shuffled by cell, where their position is counted, and the cell's
   prefix is joined on the same partitioning.
+
+The list of hot chunks is broadcast: it has at most one entry per ``HOT_ROWS`` rows. Where it
+is empty, adaptive execution drops that branch before reading its input.
 """
 from __future__ import annotations
 
@@ -19,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from palisade.functions.instants import epoch_ms
+from palisade.functions.instants import epoch_ms, floor_to_step
 from palisade.functions.text import has_text
 from palisade.operators.blocks import BLOCK_SPAN, block_of
 from palisade.policy import Policy
 
 CHUNK_WINDOWS = 6
+HOT_ROWS = 2_000_000
 
-_MS, _BLOCK = "_ms", "_block"
+_MS, _OWN, _CHUNK, _BLOCK = "_ms", "_own", "_chunk", "_block"
 
 
 def sliding_count(
@@ -37,6 +43,7 @@ def sliding_count(
     order: str = "arrival_seq",
     out: str = "window_count",
     where: Column | None = None,
+    hot_rows: int = HOT_ROWS,
     span: int = BLOCK_SPAN,
 ) -> DataFrame:
     """Adds ``out``: the key's events in ``[t - W, t]`` counted in ``(t, order)`` order, the
@@ -48,42 +55,73 @@ def sliding_count(
     if where is not None:
         counted &= where
 
-    # Uncounted rows get a spread-out block, so that they do not meet in one partition.
-    rows = (
-        df.withColumn(_MS, F.when(counted, epoch_ms(F.col(ts))))
-        .withColumn(_BLOCK, F.when(counted, block_of(order, span)).otherwise(
-            F.xxhash64(F.col(order))))
-    )
-    cells = _prefix_counts(
-        rows.where(F.col(_MS).isNotNull()).select(*keys, _MS, _BLOCK), keys, window_ms)
-    position = F.row_number().over(Window.partitionBy(*keys, _MS, _BLOCK).orderBy(order))
+    chunk_ms = window_ms * CHUNK_WINDOWS
+    # Uncounted rows get a spread-out chunk, so that they do not meet in one partition.
+    rows = df.withColumn(_MS, F.when(counted, epoch_ms(F.col(ts)))).withColumn(
+        _OWN, F.coalesce(floor_to_step(F.col(_MS), chunk_ms), F.xxhash64(F.col(order))))
+    next_too = F.col(_MS) >= F.col(_OWN) + F.lit(chunk_ms - window_ms)
+    copies = F.explode(F.when(
+        next_too, F.array(F.col(_OWN), F.col(_OWN) + chunk_ms)).otherwise(F.array(_OWN)))
+
+    in_chunks = rows.where(F.col(_MS).isNotNull()).select(
+        *keys, _MS, _OWN, order, copies.alias(_CHUNK))
+    hot = F.broadcast(
+        in_chunks.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > hot_rows).select(*keys, _CHUNK))
+
+    columns = [*df.columns, out]
+    plain = _count_rows(
+        rows.withColumn(_CHUNK, copies).join(hot, [*keys, _CHUNK], "left_anti"),
+        keys, order, window_ms, out, df.columns)
+    cells = _count_cells(
+        rows.withColumn(_CHUNK, F.col(_OWN)).join(hot, [*keys, _CHUNK], "left_semi"),
+        in_chunks.join(hot, [*keys, _CHUNK], "left_semi"),
+        keys, order, window_ms, out, span)
+    return plain.select(*columns).union(cells.select(*columns))
+
+
+def _count_rows(
+    rows: DataFrame, keys: list[str], order: str, window_ms: int, out: str,
+    columns: Sequence[str],
+) -> DataFrame:
+    """Counts within chunks, over the rows themselves."""
+    is_own = F.col(_CHUNK) == F.col(_OWN)
+    slim = rows.select(
+        *keys, _CHUNK, _MS, F.col(order).alias("_order"),
+        F.when(is_own, F.struct(*columns)).alias("_row"))
+    by_chunk = Window.partitionBy(*keys, _CHUNK)
+    position = F.row_number().over(by_chunk.orderBy(_MS, "_order"))
+    expired = F.count(F.lit(1)).over(by_chunk.orderBy(_MS).rangeBetween(
+        Window.unboundedPreceding, -(window_ms + 1)))
     return (
-        rows.withColumn("_position", position)
-        .join(cells, [*keys, _MS, _BLOCK], "left")
-        .withColumn(out, F.col("_earlier") + F.col("_position"))
-        .select(*df.columns, out)
-    )
+        slim.withColumn("_position", position).withColumn("_expired", expired)
+        .where(F.col("_row").isNotNull())
+        .select("_row.*", F.when(
+            F.col(_MS).isNotNull(), F.col("_position") - F.col("_expired")).alias(out)))
 
 
-def _prefix_counts(rows: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
-    """Per cell: rows of the key in the window that come before the cell."""
-    chunk_ms = window_ms * CHUNK_WINDOWS
-    own = F.col(_MS) - F.pmod(F.col(_MS), F.lit(chunk_ms))
-    in_tail = F.col(_MS) >= own + F.lit(chunk_ms - window_ms)
-    by_chunk = Window.partitionBy(*keys, "_chunk")
+def _count_cells(
+    rows: DataFrame, in_chunks: DataFrame, keys: list[str], order: str, window_ms: int,
+    out: str, span: int,
+) -> DataFrame:
+    """Counts within hot chunks, over cells."""
+    cell = [*keys, _MS, _BLOCK]
+    by_chunk = Window.partitionBy(*keys, _CHUNK)
     before = by_chunk.orderBy(_MS, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     expired = by_chunk.orderBy(_MS).rangeBetween(Window.unboundedPreceding, -(window_ms + 1))
-    return (
-        rows.groupBy(*keys, _MS, _BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_chunk", F.explode(
-            F.when(in_tail, F.array(own, own + chunk_ms)).otherwise(F.array(own))))
+    prefixes = (
+        in_chunks.withColumn(_BLOCK, block_of(order, span))
+        .groupBy(*cell, _OWN, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.sum("_n").over(before))
         .withColumn("_expired", F.sum("_n").over(expired))
-        .where(F.col("_chunk") == own)
-        .select(*keys, _MS, _BLOCK, (
+        .where(F.col(_CHUNK) == F.col(_OWN))
+        .select(*cell, (
             F.coalesce("_before", F.lit(0)) - F.coalesce("_expired", F.lit(0))
-        ).alias("_earlier"))
-    )
+        ).alias("_earlier")))
+    position = F.row_number().over(Window.partitionBy(*cell).orderBy(order))
+    return (
+        rows.withColumn(_BLOCK, block_of(order, span)).withColumn("_position", position)
+        .join(prefixes, cell).withColumn(out, F.col("_earlier") + F.col("_position")))
 
 
 def trackable(id_col: str, ts: str, keys: Sequence[str]) -> Column:

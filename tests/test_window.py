@@ -33,21 +33,24 @@ def in_order(events):
         sorted(events, key=lambda e: (e[3], e[0])))]
 
 
-@pytest.mark.parametrize("span", [7, 1_000_000])
-def test_sliding_count_equals_fold_with_ties(spark, span):
+# All chunks plain, all hot, or a mix of both; with small and large arrival blocks.
+@pytest.mark.parametrize("hot_rows,span", [(10 ** 6, 10 ** 6), (0, 7), (0, 10 ** 6), (550, 64)])
+def test_sliding_count_equals_fold_with_ties(spark, hot_rows, span):
     # 40 distinct seconds of one hour: many equal milliseconds.
     events = [(s, ip, i, 1_700_000_000_000 + (ms % 40) * 90_000)
               for s, ip, i, ms in random_events(1500, 3, 10_000, 1)]
     events = in_order(events)
     got = dict(rows_of(sliding_count(
-        events_frame(spark, events), W, span=span), "arrival_seq", "window_count"))
+        events_frame(spark, events), W, hot_rows=hot_rows, span=span),
+        "arrival_seq", "window_count"))
     assert got == fold(events, W)
 
 
-def test_sliding_count_across_chunks_and_before_1970(spark):
+@pytest.mark.parametrize("hot_rows", [0, 200, 300, 10 ** 6])
+def test_sliding_count_across_chunks_and_before_1970(spark, hot_rows):
     events = in_order([(s, ip, i, ms - 1_700_000_000_000 - 4_000_000)
                        for s, ip, i, ms in random_events(1200, 2, 9_000_000, 2)])
-    got = dict(rows_of(sliding_count(events_frame(spark, events), W),
+    got = dict(rows_of(sliding_count(events_frame(spark, events), W, hot_rows=hot_rows),
                        "arrival_seq", "window_count"))
     assert got == fold(events, W)
 
@@ -118,7 +121,8 @@ def test_one_hot_client_is_spread_over_tasks(spark):
         F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id") * 180).alias("timestamp"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for result in (sliding_count(df, W), replay_counts(df, W)):
+        for result in (sliding_count(df, W), sliding_count(df, W, hot_rows=1000),
+                       replay_counts(df, W)):
             sizes = [r["n"] for r in result.groupBy(F.spark_partition_id()).agg(
                 F.count(F.lit(1)).alias("n")).collect()]
             assert sum(sizes) == 40_000 and max(sizes) < 20_000
