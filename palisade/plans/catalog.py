@@ -57,8 +57,9 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_events(_events(spark, sf_dir), POLICY, unique_ids=True)
 
 
-def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valid_events(_events(spark, sf_dir), POLICY)
+def _categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events an ingest would accept: the projection's only fault is a null category."""
+    return _events(spark, sf_dir).where("rule.category IS NOT NULL")
 
 
 # --- filters and samples ---------------------------------------------------------------
@@ -292,44 +293,46 @@ def path_bonus(spark, sf_dir):
 
 @query
 def threat_score(spark, sf_dir):
-    return enrich(_valid(spark, sf_dir), POLICY, unique_ids=True).select(
+    return enrich(_categorised(spark, sf_dir), POLICY, unique_ids=True).select(
         "eventId", "threatScore")
 
 
 @query
 def sliding_count(spark, sf_dir):
-    return window.sliding_count(_valid(spark, sf_dir), POLICY.window_ms).select(
+    return window.sliding_count(_categorised(spark, sf_dir), POLICY.window_ms).select(
         "eventId", "clientIp", "window_count")
 
 
 @query
 def repeat_offender(spark, sf_dir):
-    return window.repeat_offender(_valid(spark, sf_dir), POLICY).select(
+    return window.repeat_offender(_categorised(spark, sf_dir), POLICY).select(
         "eventId", "clientIp", "repeatOffender")
 
 
 @query
 def replay_flags(spark, sf_dir):
-    return replay.replay_flags(_valid(spark, sf_dir), POLICY).select("eventId", "repeatOffender")
+    return replay.replay_flags(_categorised(spark, sf_dir), POLICY).select("eventId", "repeatOffender")
 
 
 @query
 def replay_disordered(spark, sf_dir):
     """Arrivals reversed within runs of 500: events come minutes to hours late."""
     n = F.col("arrival_seq")
-    late = _valid(spark, sf_dir).withColumn("arrival_seq", n - n % 500 + 499 - n % 500)
+    late = _categorised(spark, sf_dir).withColumn("arrival_seq", n - n % 500 + 499 - n % 500)
     return replay.replay_flags(late, POLICY).select("eventId", "repeatOffender")
 
 
 @query
 def enrich_events(spark, sf_dir):
-    return table.flatten(enrich(_valid(spark, sf_dir), POLICY, unique_ids=True))
+    """The batch pipeline: validate each event, enrich, flatten."""
+    valid = valid_events(_events(spark, sf_dir), POLICY)
+    return table.flatten(enrich(valid, POLICY, unique_ids=True))
 
 
 @query
 def enrich_retries(spark, sf_dir):
     """Every event arrives a second time; retries neither double a window nor a row."""
-    events = _valid(spark, sf_dir)
+    events = _categorised(spark, sf_dir)
     again = events.withColumn("arrival_seq", F.col("arrival_seq") + 10 ** 12)
     return enrich(events.unionByName(again), POLICY).select(
         "eventId", "threatScore", "repeatOffender", "arrival_seq")
@@ -417,12 +420,12 @@ def timeseries_1h_zerofill(spark, sf_dir):
 
 @query
 def flagged_count(spark, sf_dir):
-    return audit.flagged_count(window.repeat_offender(_valid(spark, sf_dir), POLICY))
+    return audit.flagged_count(window.repeat_offender(_categorised(spark, sf_dir), POLICY))
 
 
 @query
 def flag_sequence(spark, sf_dir):
-    return audit.flag_sequence(window.repeat_offender(_valid(spark, sf_dir), POLICY))
+    return audit.flag_sequence(window.repeat_offender(_categorised(spark, sf_dir), POLICY))
 
 
 @query
