@@ -59,7 +59,7 @@ def threat_score(
         + path_bonus(path, policy)
         + F.when(repeat_offender, policy.repeat_offender_bonus).otherwise(0)
     )
-    return F.when(raw < 0, 0).otherwise(F.least(raw, F.lit(policy.max_score))).cast("int")
+    return F.greatest(F.lit(0), F.least(raw, F.lit(policy.max_score))).cast("int")
 
 
 def is_allowed_category(category: Column, policy: Policy) -> Column:

@@ -85,19 +85,19 @@ def _count_rows(
     columns: Sequence[str],
 ) -> DataFrame:
     """Counts within chunks, over the rows themselves."""
-    is_own = F.col(_CHUNK) == F.col(_OWN)
-    slim = rows.select(
-        *keys, _CHUNK, _MS, F.col(order).alias("_order"),
-        F.when(is_own, F.struct(*columns)).alias("_row"))
+    # Copies carry no payload. Each column is blanked on its own, not packed in a struct, so
+    # that columns nobody reads later are still pruned before the shuffle.
+    payload = (
+        f"CASE WHEN {_CHUNK} = {_OWN} THEN `{c}` END AS `{c}`" for c in columns if c not in keys)
+    slim = rows.selectExpr(
+        *keys, *payload, _CHUNK, _MS, f"{order} AS _order", f"{_CHUNK} = {_OWN} AS _is_own")
     by_chunk = Window.partitionBy(*keys, _CHUNK)
     position = F.row_number().over(by_chunk.orderBy(_MS, "_order"))
     expired = F.count(F.lit(1)).over(by_chunk.orderBy(_MS).rangeBetween(
         Window.unboundedPreceding, -(window_ms + 1)))
     return (
-        slim.withColumn("_position", position).withColumn("_expired", expired)
-        .where(F.col("_row").isNotNull())
-        .select("_row.*", F.when(
-            F.col(_MS).isNotNull(), F.col("_position") - F.col("_expired")).alias(out)))
+        slim.withColumns({"_position": position, "_expired": expired}).where("_is_own")
+        .withColumn(out, F.expr(f"CASE WHEN {_MS} IS NOT NULL THEN _position - _expired END")))
 
 
 def _count_cells(
