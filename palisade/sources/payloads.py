@@ -5,6 +5,9 @@ stream, needs no shuffle, and accepts or refuses a body as a whole.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,23 +51,25 @@ def _unreadable(field: T.StructField, raw: Column, typed: Column) -> Column:
             for name, members in (("severity", SEVERITIES), ("action", ACTIONS)):
                 bad = bad | F.coalesce(~typed[name].isin(members), F.lit(False))
         return F.coalesce(bad, F.lit(False))
-    if isinstance(field.dataType, T.StringType):
-        return F.lit(False)
     return has_text(raw) & typed.isNull()
 
 
-def _event(element: Column) -> Column:
-    fields = {f.name: _typed(f, element[f.name]) for f in _CLIENT_FIELDS}
-    return F.when(element.isNotNull(), F.struct(*(
-        fields.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in EVENT_SCHEMA.fields)))
+def _read(element: Column) -> Column:
+    """``(event, unreadable)`` of one array element, each value converted once."""
+    typed = F.struct(*(_typed(f, element[f.name]).alias(f.name) for f in _CLIENT_FIELDS))
+    known = {f.name for f in _CLIENT_FIELDS}
 
+    def judge(t: Column) -> Column:
+        event = F.struct(*(
+            (t[f.name] if f.name in known else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in EVENT_SCHEMA.fields))
+        bad = reduce(or_, (_unreadable(f, element[f.name], t[f.name]) for f in _CLIENT_FIELDS
+                           if f.name in _NESTED or not isinstance(f.dataType, T.StringType)))
+        return F.struct(
+            F.when(element.isNotNull(), event).alias("event"),
+            (element.isNotNull() & bad).alias("unreadable"))
 
-def _event_unreadable(element: Column) -> Column:
-    bad = F.lit(False)
-    for f in _CLIENT_FIELDS:
-        bad = bad | _unreadable(f, element[f.name], _typed(f, element[f.name]))
-    return element.isNotNull() & bad
+    return F.get(F.transform(F.array(typed), judge), F.lit(0))
 
 
 def parse_payloads(
@@ -89,12 +94,12 @@ def parse_payloads(
         _raw=F.from_json(text, _TEXT_SCHEMA),
         _json=F.expr(f"try_parse_json(`{body}`)").isNotNull(),
     )
-    bound = _once(
-        parsed,
-        events=F.transform("_raw", _event),
-        _unreadable=F.exists("_raw", _event_unreadable),
-    )
-    judged = _once(bound, _failures=F.filter(
+    bound = _once(parsed, _read=F.transform("_raw", _read))
+    events = _once(
+        bound,
+        events=F.transform("_read", lambda r: r["event"]),
+        _unreadable=F.exists("_read", lambda r: r["unreadable"]))
+    judged = _once(events, _failures=F.filter(
         F.transform("events", lambda e, i: F.struct(
             i.cast("bigint").alias("index"), messages(e).alias("messages"))),
         lambda f: F.size(f["messages"]) > 0))
@@ -108,7 +113,7 @@ def parse_payloads(
         _once(judged, rejection=rejection)
         .withColumn("failures", F.when(
             F.col("rejection") == INVALID_EVENTS, F.col("_failures")).otherwise(no_failures))
-        .drop("_raw", "_json", "_unreadable", "_failures"))
+        .drop("_raw", "_json", "_read", "_unreadable", "_failures"))
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
