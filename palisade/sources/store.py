@@ -23,12 +23,18 @@ TABLE_SCHEMA = T.StructType([
 ])
 
 
-def upsert(events: DataFrame, path: str, epoch: int) -> None:
-    """Stores enriched events, nested or already flat, that carry ``arrival_seq``."""
+def upsert(events: DataFrame, path: str, epoch: int, cluster: bool = True) -> None:
+    """Stores enriched events, nested or already flat, that carry ``arrival_seq``.
+
+    ``cluster`` brings each date's rows together, big dates split and small ones merged by
+    adaptive execution, so that a wide date range does not leave a file per task and date. A
+    micro-batch spans few dates and goes without that shuffle.
+    """
     flat = flatten(events, ["arrival_seq"]) if "rule" in events.columns else events.select(
         *ENRICHED_SCHEMA.fieldNames(), "arrival_seq")
+    dated = flat.withColumn("event_date", F.to_date("timestamp"))
     (
-        flat.withColumn("event_date", F.to_date("timestamp"))
+        (dated.hint("rebalance", "event_date") if cluster else dated)
         .write.mode("overwrite").option("partitionOverwriteMode", "static")
         .partitionBy("event_date").parquet(f"{path}/epoch={epoch}"))
 

@@ -68,7 +68,7 @@ def run(
         enriched.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or LIVE_TRIGGER))
-        .foreachBatch(lambda batch, epoch: store.upsert(batch, table, epoch))
+        .foreachBatch(lambda batch, epoch: store.upsert(batch, table, epoch, cluster=False))
         .start())
 
 
