@@ -8,10 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``. Only where that is unset, as on a single
-    test machine, a temporary folder is made and set for the session."""
+    """A new folder name under ``spark.checkpoint.dir``. On a single machine that has none set,
+    it lies in a temporary folder; on a cluster, where executors would each write to a disk of
+    their own, a missing setting is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
