@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import quality, simhash
+from palisade.llm import decontaminate, line_dedup, mix, quality, simhash
 from palisade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,22 @@ def op8_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "gone_lines", "owners", F.length("text").cast("bigint").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_source_mix(spark, sf_dir):
+    return mix.mixed(table(spark, sf_dir, "documents"))
