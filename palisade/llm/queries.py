@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, line_dedup, mix, quality, simhash
+from palisade.llm import ann, decontaminate, html_text, line_dedup, mix, quality, simhash
 from palisade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,13 @@ def op2_decontamination(spark, sf_dir):
 @query
 def op7_source_mix(spark, sf_dir):
     return mix.mixed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
