@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import ann, decontaminate, html_text, line_dedup, mix, quality, simhash
+from palisade.llm import ann, decontaminate, html_text, line_dedup, mix, quality, simhash, suffix_dedup
 from palisade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op3_html_text(spark, sf_dir):
 @query
 def op6_nearest_neighbours(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
