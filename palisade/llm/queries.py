@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import ann, decontaminate, html_text, line_dedup, mix, quality, simhash, suffix_dedup
+from palisade.llm import ann, decontaminate, html_text, line_dedup, mix, quality, simhash, suffix_dedup, token_count
 from palisade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op6_nearest_neighbours(spark, sf_dir):
 @query
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
