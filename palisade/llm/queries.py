@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import ann, decontaminate, html_text, line_dedup, mix, quality, simhash, suffix_dedup, token_count
+from palisade.llm import ann, decontaminate, html_text, line_dedup, lm_score, mix, quality, simhash, suffix_dedup, token_count
 from palisade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,10 @@ def op10_suffix_dedup(spark, sf_dir):
 @query
 def op5_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_lm_score(spark, sf_dir):
+    """Target: the documents labelled as good."""
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
