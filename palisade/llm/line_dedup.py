@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import map_batches
+from palisade.llm.common import columns_of, map_batches, unused
 
 # Code points of a line that may start an alignment.
 MIN_LINE = 20
@@ -189,30 +189,52 @@ def find_blocks(
         shared, run, "doc_id bigint, v bigint, gone array<int>, owners array<bigint>")
 
 
+def _cleaned(
+    docs: DataFrame, id_col: str, text_col: str, min_line: int, min_block: int,
+) -> tuple[DataFrame, str, str]:
+    """All columns, the text cleaned, and two more: deleted line numbers and owners."""
+    key, version, text_key, gone, owners = (
+        unused(docs, n) for n in ("_id", "_v", "_h", "_gone", "_owners"))
+    found = find_blocks(docs, id_col, text_col, min_line, min_block).select(
+        F.col("doc_id").alias(key), F.col("v").alias(version), F.col("gone").alias(gone),
+        F.col("owners").alias(owners))
+    text = F.col(text_col)
+    joined = docs.withColumn(text_key, F.xxhash64(text)).join(
+        found, (F.col(id_col) == F.col(key)) & (F.col(text_key) == F.col(version)), "left")
+    left = F.array_join(F.filter(
+        F.transform(F.split(text, "\n"), lambda line, no: F.when(
+            ~F.array_contains(gone, no), line)),
+        lambda line: line.isNotNull()), "\n")
+    cleaned = F.when(F.col(gone).isNull(), text).otherwise(left).alias(text_col)
+    kept = [cleaned if name == text_col else column
+            for name, column in zip(docs.columns, columns_of(docs))]
+    return joined.select(*kept, gone, owners), gone, owners
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     min_line: int = MIN_LINE, min_block: int = MIN_BLOCK,
 ) -> DataFrame:
-    """The documents, all columns kept, with ``text`` cleared of blocks that an earlier
-    document holds, plus ``gone_lines`` (count) and ``owners`` (ids of those documents).
+    """The documents, all columns kept, with ``text`` cleared of blocks that an earlier document
+    holds.
 
     "Earlier" is the smaller id. Line numbers and blocks are judged on the input. Rows with a
     null id or text stay as they are; rows that repeat id and text count as one document and
     are all cleaned alike; rows that share only the id are told apart by their text. Blank
-    lines are never matched. A column of the input named ``gone_lines`` or ``owners`` is
-    replaced."""
-    found = find_blocks(docs, id_col, text_col, min_line, min_block).select(
-        F.col("doc_id").alias("__id"), F.col("v").alias("__v"), F.col("gone").alias("__gone"),
-        F.col("owners").alias("__owners"))
-    joined = docs.withColumn("__h", F.xxhash64(text_col)).join(
-        found, (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__v")), "left")
-    left = F.array_join(F.filter(
-        F.transform(F.split(F.col(text_col), "\n"), lambda line, no: F.when(
-            ~F.array_contains("__gone", no), line)),
-        lambda line: line.isNotNull()), "\n")
-    names = [c for c in docs.columns if c not in ("gone_lines", "owners")]
-    return joined.select(
-        *((F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left).alias(c)
-           if c == text_col else F.col(f"`{c}`")) for c in names),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("gone_lines"),
-        F.coalesce("__owners", F.array().cast("array<bigint>")).alias("owners"))
+    lines are never matched."""
+    cleaned, gone, owners = _cleaned(docs, id_col, text_col, min_line, min_block)
+    return cleaned.drop(gone, owners)
+
+
+def report(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    min_line: int = MIN_LINE, min_block: int = MIN_BLOCK,
+) -> DataFrame:
+    """``doc_id, text, gone_lines, owners`` of each row: the cleaned text, how many lines it
+    lost, and the ids of the earlier documents that hold them."""
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    cleaned, gone, owners = _cleaned(narrow, "doc_id", "text", min_line, min_block)
+    return cleaned.select(
+        "doc_id", "text",
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias("gone_lines"),
+        F.coalesce(owners, F.array().cast("array<bigint>")).alias("owners"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.common import SLICE_ROWS, map_batches, saved
+from palisade.llm.common import columns_of, map_batches, saved, slices, unused
 
 TOPICS = 8
 # Letters of a word that may name a topic: shorter ones are mostly function words.
@@ -200,24 +200,22 @@ def sample(
     reads the texts, so no text is shuffled for them."""
     described = with_topics(docs, id_col, text_col, source_col, lang_col)
     rates = cell_rates(described, targets, budget, power, local_cells)
-    columns = [c for c in docs.columns if c not in ("__topic", "__draw")]
-    at = columns.index(text_col)
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(
-        "__topic", T.IntegerType())])
+    at = docs.columns.index(text_col)
+    source, lang, topic, own, rate = (
+        unused(docs, n) for n in ("_source", "_lang", "_topic", "_own_topic", "_rate"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.IntegerType())])
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                topics = [topic_and_tokens(t)[0] for t in part.column(at).to_pylist()]
-                yield part.append_column("__topic", pa.array(topics, pa.int32()))
+        for batch in slices(batches):
+            topics = [topic_and_tokens(t)[0] for t in batch.column(at).to_pylist()]
+            yield batch.append_column(own, pa.array(topics, pa.int32()))
 
     named = rates.select(
-        F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"),
-        "rate")
-    tagged = docs.select(*columns).mapInArrow(run, schema)
+        F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic),
+        F.col("rate").alias(rate))
     return (
-        tagged.join(named, F.col(source_col).cast("string").eqNullSafe(F.col("__s"))
-                    & F.col(lang_col).cast("string").eqNullSafe(F.col("__l"))
-                    & F.col("__topic").eqNullSafe(F.col("__t")), "left")
-        .where(draw(id_col) < F.col("rate")).select(*(F.col(f"`{c}`") for c in columns)))
+        docs.mapInArrow(run, schema).join(
+            named, F.col(source_col).cast("string").eqNullSafe(F.col(source))
+            & F.col(lang_col).cast("string").eqNullSafe(F.col(lang))
+            & F.col(own).eqNullSafe(F.col(topic)), "left")
+        .where(draw(id_col) < F.col(rate)).select(*columns_of(docs)))

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from palisade.llm.common import map_batches, saved, slices
+from palisade.llm.common import columns_of, map_batches, saved, slices, unused
 from palisade.llm.components import components
 
 BITS = 64
@@ -236,14 +237,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one stays, chosen by content. Rows with a null id are kept: nothing could name them."""
     found = saved(near_duplicates(docs, id_col, text_col))
     others = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(others, id_col, "left_anti")
+    left = docs.join(others, id_col, "left_anti").select(*columns_of(docs))
     again = saved(
         found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
         .select(F.col("doc_id").alias(id_col)))
     if again.isEmpty():
         return left
-    mark = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    once = left.join(again, id_col, "left_semi").withColumn("__mark", mark).withColumn(
-        "__n", F.expr(f"row_number() OVER (PARTITION BY `{id_col}` ORDER BY __mark)"))
-    return left.join(again, id_col, "left_anti").unionByName(
-        once.where("__n = 1").select(*docs.columns))
+    mark, number = unused(docs, "_mark"), unused(docs, "_number")
+    once = left.join(again, id_col, "left_semi").withColumn(
+        mark, F.xxhash64(*columns_of(docs))).withColumn(
+        number, F.row_number().over(Window.partitionBy(id_col).orderBy(mark)))
+    return left.join(again, id_col, "left_anti").select(*columns_of(docs)).unionByName(
+        once.where(F.col(number) == 1).select(*columns_of(docs)))

@@ -121,15 +121,26 @@ class _Settler:
         self.rows, self.count = [], 0
         order = np.lexsort((place, o, sub, key))
         key, sub, o, place = key[order], sub[order], o[order], place[order]
-        again = np.zeros(len(key), dtype=bool)
-        again[1:] = (key[1:] == key[:-1]) & (sub[1:] == sub[:-1])
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
+        again = _after_first(first, o, place)
         o2, v2, start, stop = _stretches(o[again], place[again], self.length)
         spread = _mix(o2.view(np.uint64) ^ start.view(np.uint64)).view(np.int64)
         return _rows(
-            np.concatenate([key[~again].view(np.int64), spread]),
-            np.concatenate([sub[~again].view(np.int64), stop]),
-            np.concatenate([o[~again], o2]),
-            np.concatenate([place[~again], _place(v2, start, _KNOWN)]))
+            np.concatenate([key[first].view(np.int64), spread]),
+            np.concatenate([sub[first].view(np.int64), stop]),
+            np.concatenate([o[first], o2]),
+            np.concatenate([place[first], _place(v2, start, _KNOWN)]))
+
+
+def _after_first(first: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """Rows that stand later than the first of their group; a repeated row of the same document
+    stands where the first does."""
+    at = np.flatnonzero(first)[np.cumsum(first) - 1]
+    later = np.zeros(len(first), dtype=bool)
+    for place in places:
+        later |= place != place[at]
+    return later
 
 
 def _stretches(o: np.ndarray, place: np.ndarray, length: int):
@@ -228,7 +239,11 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         before = last[:4] if last else (~key[0], 0, 0, 0)
         same_key = np.concatenate(([key[0] == before[0]], key[1:] == key[:-1]))
         same = same_key & np.concatenate(([sub[0] == before[1]], sub[1:] == sub[:-1]))
-        yield _found(*_stretches(o[same], place[same], length))
+        # The row before stands in front, in case it is the first of its group.
+        again = _after_first(
+            np.concatenate(([True], ~same)), np.concatenate(([before[2]], o)),
+            np.concatenate(([before[3]], place)))[1:]
+        yield _found(*_stretches(o[again], place[again], length))
         # A run is open if its owner has another one, before it or after it.
         distinct = ~same
         joins = same_key & distinct
@@ -390,7 +405,10 @@ def _sort_suffixes(rows, length: int, grams: Hashes) -> pa.RecordBatch:
     o_w, v_w, start_w = o[run[shared]], v[run[shared]], start[run[shared]] + step[shared]
     order = np.lexsort((start_w, v_w, o_w, found[shared]))
     klass = found[shared][order]
-    again = order[1:][klass[1:] == klass[:-1]] if len(order) else order
+    if not len(order):
+        return _found(*[order] * 4)
+    again = order[_after_first(
+        np.concatenate(([True], klass[1:] != klass[:-1])), o_w[order], v_w[order], start_w[order])]
     return _found(*_merged(o_w[again], v_w[again], start_w[again], start_w[again] + length))
 
 

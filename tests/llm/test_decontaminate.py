@@ -1,0 +1,110 @@
+import random
+
+import numpy as np
+
+from cases import CLASHING, DOCS, ODD_IDS, ODD_TEXTS, documents
+from palisade.llm import decontaminate
+
+ITEMS = "item_id bigint, text string"
+
+
+def slow_tiles(item, doc, least):
+    free_i, free_d, found = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while (i + n < len(item) and j + n < len(doc) and free_i[i + n] and free_d[j + n]
+                       and item[i + n] == doc[j + n] >= 0):
+                    n += 1
+                best.append((n, i, j))
+        longest = max(best, default=(0,))[0]
+        if longest < least:
+            return found
+        for n, i, j in sorted(best):
+            if n == longest and all(free_i[i:i + n]) and all(free_d[j:j + n]):
+                found.append((i, j, n))
+                free_i[i:i + n] = free_d[j:j + n] = [False] * n
+
+
+def test_tiles_equal_brute_force():
+    r = random.Random(2)
+    for _ in range(300):
+        item = [r.randrange(4) for _ in range(r.randint(0, 25))]
+        doc = [r.randrange(-1, 4) for _ in range(r.randint(0, 40))]
+        if len(item) > 8:
+            cut = r.randrange(len(item))
+            doc[r.randint(0, len(doc)):0] = item[cut:] + item[:cut]
+        least = r.randint(1, 5)
+        assert sorted(decontaminate.tiles(item, doc, least)) == sorted(slow_tiles(item, doc, least))
+
+
+def corpus(seed, n=60):
+    r = random.Random(seed)
+    words = [f"W{i}" for i in range(30)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(3, 25)))) for i in range(15)]
+    items += [(100, items[3][1].lower()), (101, None), (102, "")]
+    docs = []
+    for _ in range(n):
+        parts = [r.choice(words) for _ in range(r.randint(0, 30))]
+        if r.random() < 0.6:
+            passage = r.choice(items[:15])[1].split()
+            a = r.randrange(len(passage))
+            passage = passage[a:] + passage[:a] if r.random() < 0.5 else passage[:a + 4]
+            parts[r.randint(0, len(parts)):0] = passage
+        docs.append(r.choice([" ", "\n", ", "]).join(parts))
+    return docs, items
+
+
+def slow(docs, items, seed=5, coverage=0.6):
+    out = set()
+    for d, text in enumerate(docs):
+        for item, passage in items:
+            words = decontaminate.tokens(passage)
+            if len(words) < seed:
+                continue
+            number = {w: n for n, w in enumerate(dict.fromkeys(words))}
+            marked = slow_tiles([number[w] for w in words],
+                                [number.get(w, -1) for w in decontaminate.tokens(text)], seed)
+            covered = sum(n for _, _, n in marked)
+            if covered >= coverage * len(words):
+                out.add((d, item, len(words), covered))
+    return out
+
+
+def test_operator_equals_brute_force_in_any_number_of_blocks(spark):
+    docs, items = corpus(4)
+    table, benchmark = documents(spark, docs), spark.createDataFrame(items, ITEMS)
+    expected = slow(docs, items)
+    assert len(expected) > 10
+    for chars in (4_000_000, 200):
+        rows = decontaminate.contaminated(table, benchmark, block_chars=chars).collect()
+        assert len(rows) == len(expected)
+        assert {(r["doc_id"], r["item_id"], r["item_tokens"], r["covered_tokens"])
+                for r in rows} == expected
+        clean = decontaminate.keep_clean(table, benchmark, block_chars=chars)
+        assert {r["doc_id"] for r in clean.collect()} == set(range(len(docs))) - {
+            e[0] for e in expected}
+
+
+def test_seed_positions():
+    index = decontaminate.Index([(1, "a b c d e f"), (2, "c d e f g")], 5)
+    coded = np.array([index.vocabulary.get(w, -1) for w in "x a b c d e f g".split()])
+    assert index.hits(coded).tolist() == [1, 2, 3]
+
+
+def test_odd_rows(spark):
+    docs = documents(spark, ODD_TEXTS, ODD_IDS, CLASHING)
+    benchmark = spark.createDataFrame(
+        [(1, "A line of SOME words that is long!"), (1, "A line of SOME words that is long!"),
+         (2, None), (None, "x x x x x x"), (3, "x x x x x")], ITEMS)
+    found = sorted((r["doc_id"] or 0, r["item_id"], r["coverage"])
+                   for r in decontaminate.contaminated(docs, benchmark).collect())
+    assert found == [(0, 3, 1.0), (7, 1, 1.0), (7, 1, 1.0)]
+    clean = decontaminate.keep_clean(docs, benchmark)
+    assert clean.schema == docs.schema and clean.count() == 4
+    nothing = spark.createDataFrame([], ITEMS)
+    assert decontaminate.contaminated(docs, nothing).count() == 0
+    assert decontaminate.keep_clean(docs, nothing).count() == len(ODD_IDS)
+    assert decontaminate.keep_clean(spark.createDataFrame([], DOCS), benchmark).count() == 0
