@@ -1,7 +1,4 @@
 """Registered queries: every operator over the events of a data folder.
-
-Event ids of the projection are unique by construction, so enrichment skips the retry step
-except where a query is about retries.
 """
 from __future__ import annotations
 
@@ -54,12 +51,11 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched table of all rows; those without a category are its UNKNOWN bucket."""
-    return stored_events(_events(spark, sf_dir), POLICY, unique_ids=True)
+    return stored_events(_events(spark, sf_dir), POLICY)
 
 
-def _categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events an ingest would accept: the projection's only fault is a null category."""
-    return _events(spark, sf_dir).where("rule.category IS NOT NULL")
+def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_events(_events(spark, sf_dir), POLICY)
 
 
 # --- filters and samples ---------------------------------------------------------------
@@ -69,7 +65,7 @@ WEEK = {"from": "2024-01-05T00:00:00Z", "to": "2024-01-12T00:00:00Z"}
 
 @query
 def filter_config(spark, sf_dir):
-    where = StatsQuery.from_params(configId=14227).predicate()
+    where = StatsQuery.from_params(configId=71).predicate()
     return _flat(spark, sf_dir).where(where).select("eventId", "configId", "clientIp", "path")
 
 
@@ -81,13 +77,13 @@ def filter_time_range(spark, sf_dir):
 
 @query
 def filter_ip_exact(spark, sf_dir):
-    where = SampleQuery.from_params(clientIp=" 198.51.0.7 ").predicate()
+    where = SampleQuery.from_params(clientIp=" 100.64.0.7 ").predicate()
     return _flat(spark, sf_dir).where(where).select("eventId", "clientIp", "path")
 
 
 @query
 def filter_ip_cidr(spark, sf_dir):
-    where = SampleQuery.from_params(clientIp="198.51.0.64/26").predicate()
+    where = SampleQuery.from_params(clientIp="100.64.0.64/26").predicate()
     return _flat(spark, sf_dir).where(where).select("eventId", "clientIp")
 
 
@@ -106,7 +102,7 @@ def filter_repeat_offender(spark, sf_dir):
 @query
 def samples_combined(spark, sf_dir):
     return samples.matching(_stored(spark, sf_dir), SampleQuery.from_params(
-        configId=14227, clientIp="10.0.0.0/16", category="xss", action="ALERT",
+        configId=71, clientIp="10.0.0.0/16", category="xss", action="ALERT",
         repeatOffender=True, **{"from": "2024-01-02T00:00:00Z", "to": "2024-01-25T00:00:00Z"}))
 
 
@@ -124,7 +120,7 @@ def samples_total(spark, sf_dir):
 
 @query
 def lookup_by_id(spark, sf_dir):
-    return lookup(_stored(spark, sf_dir), "evt-42").drop("arrival_seq")
+    return lookup(_stored(spark, sf_dir), "req-42").drop("arrival_seq")
 
 
 # --- stored shape, payloads, files -----------------------------------------------------
@@ -293,32 +289,32 @@ def path_bonus(spark, sf_dir):
 
 @query
 def threat_score(spark, sf_dir):
-    return enrich(_categorised(spark, sf_dir), POLICY, unique_ids=True).select(
+    return enrich(_valid(spark, sf_dir), POLICY).select(
         "eventId", "threatScore")
 
 
 @query
 def sliding_count(spark, sf_dir):
-    return window.sliding_count(_categorised(spark, sf_dir), POLICY.window_ms).select(
+    return window.sliding_count(_valid(spark, sf_dir), POLICY.window_ms).select(
         "eventId", "clientIp", "window_count")
 
 
 @query
 def repeat_offender(spark, sf_dir):
-    return window.repeat_offender(_categorised(spark, sf_dir), POLICY).select(
+    return window.repeat_offender(_valid(spark, sf_dir), POLICY).select(
         "eventId", "clientIp", "repeatOffender")
 
 
 @query
 def replay_flags(spark, sf_dir):
-    return replay.replay_flags(_categorised(spark, sf_dir), POLICY).select("eventId", "repeatOffender")
+    return replay.replay_flags(_valid(spark, sf_dir), POLICY).select("eventId", "repeatOffender")
 
 
 @query
 def replay_disordered(spark, sf_dir):
     """Arrivals reversed within runs of 500: events come minutes to hours late."""
     n = F.col("arrival_seq")
-    late = _categorised(spark, sf_dir).withColumn("arrival_seq", n - n % 500 + 499 - n % 500)
+    late = _valid(spark, sf_dir).withColumn("arrival_seq", n - n % 500 + 499 - n % 500)
     return replay.replay_flags(late, POLICY).select("eventId", "repeatOffender")
 
 
@@ -326,13 +322,13 @@ def replay_disordered(spark, sf_dir):
 def enrich_events(spark, sf_dir):
     """The batch pipeline: validate each event, enrich, flatten."""
     valid = valid_events(_events(spark, sf_dir), POLICY)
-    return table.flatten(enrich(valid, POLICY, unique_ids=True))
+    return table.flatten(enrich(valid, POLICY))
 
 
 @query
 def enrich_retries(spark, sf_dir):
     """Every event arrives a second time; retries neither double a window nor a row."""
-    events = _categorised(spark, sf_dir)
+    events = _valid(spark, sf_dir)
     again = events.withColumn("arrival_seq", F.col("arrival_seq") + 10 ** 12)
     return enrich(events.unionByName(again), POLICY).select(
         "eventId", "threatScore", "repeatOffender", "arrival_seq")
@@ -354,7 +350,7 @@ def stream_enrich(spark, sf_dir):
 
 # --- statistics ------------------------------------------------------------------------
 
-CONFIG = StatsQuery.from_params(configId=22841)
+CONFIG = StatsQuery.from_params(configId=82)
 
 
 @query
@@ -411,7 +407,7 @@ def timeseries_5m(spark, sf_dir):
 @query
 def timeseries_1h_zerofill(spark, sf_dir):
     where, step = series_params(
-        configId=30199, interval="1h",
+        configId=93, interval="1h",
         **{"from": "2023-12-31T20:30:00Z", "to": "2024-02-01T00:00:00Z"})
     return stats.timeseries(_flat(spark, sf_dir), where, step)
 
@@ -420,12 +416,12 @@ def timeseries_1h_zerofill(spark, sf_dir):
 
 @query
 def flagged_count(spark, sf_dir):
-    return audit.flagged_count(window.repeat_offender(_categorised(spark, sf_dir), POLICY))
+    return audit.flagged_count(window.repeat_offender(_valid(spark, sf_dir), POLICY))
 
 
 @query
 def flag_sequence(spark, sf_dir):
-    return audit.flag_sequence(window.repeat_offender(_categorised(spark, sf_dir), POLICY))
+    return audit.flag_sequence(window.repeat_offender(_valid(spark, sf_dir), POLICY))
 
 
 @query

@@ -5,49 +5,48 @@ rather than repeat it.
 """
 from __future__ import annotations
 
-_EV = """
+from palisade.plans import projection as p
+
+def _at(values: list, number: str) -> str:
+    return f"{values}[({number}) % {len(values)} + 1]"
+
+
+_EV = f"""
 WITH base AS (
-  SELECT event_id AS n, event_id // 25 AS b, event_id % 25 AS p,
-         (event_id // 25) % 10 < 3 AS wave, ts, user_id AS u, event_type, value, props
+  SELECT event_id AS n, event_id // {p.BLOCK_ROWS} AS b, event_id % {p.BLOCK_ROWS} AS p,
+         (event_id // {p.BLOCK_ROWS}) % {p.WAVE_OF} < {p.WAVES} AS wave, ts, user_id AS u,
+         event_type, value, props
   FROM events
 ), ev AS (
   SELECT n AS arrival_seq, n // 50 AS batch_id,
-    'evt-' || n AS eventId,
-    CASE WHEN wave THEN TIMESTAMP '2024-01-01' + to_seconds((b % 400) * 6475 + p * 4)
+    'req-' || n AS eventId,
+    CASE WHEN wave
+         THEN TIMESTAMP '2024-01-01' + to_seconds((b % 360) * 7200 + p * {p.STEP_SECONDS})
          ELSE ts END AS "timestamp",
-    CAST([14227, 22841, 30199][u % 3 + 1] AS BIGINT) AS configId,
-    'policy-' || (100 + u % 900) AS policyId,
+    CAST({_at(p.CONFIG_IDS, 'u')} AS BIGINT) AS configId,
+    'pol-' || u % 40 AS policyId,
     CASE WHEN wave THEN '10.' || (b // 65536) % 256 || '.' || (b // 256) % 256 || '.' || b % 256
-         ELSE '198.' || 51 + (u // 65536) % 205 || '.' || (u // 256) % 256 || '.' || u % 256
+         ELSE '100.' || 64 + (u // 65536) % 64 || '.' || (u // 256) % 256 || '.' || u % 256
     END AS clientIp,
-    ['app', 'api', 'shop', 'portal', 'admin'][u % 5 + 1] || '.example.com' AS hostname,
-    CASE WHEN wave THEN
-           ['/admin', '/admin/users', '/login', '/api/v1/login', '/wp-login.php'][b % 5 + 1]
-         WHEN n % 100 < 35 THEN
-           ['/admin', '/admin/users', '/login', '/api/v1/login', '/wp-login.php'][n % 5 + 1]
-         ELSE ['/', '/home', '/products', '/search', '/cart', '/static/app.js',
-               '/api/v1/orders'][n % 7 + 1] END AS path,
-    ['GET', 'POST', 'PUT', 'DELETE'][n % 4 + 1] AS method,
+    {_at(p.HOSTS, 'u')} AS hostname,
+    CASE WHEN wave THEN {_at(p.GUARDED, 'b')}
+         WHEN n % 8 < 3 THEN {_at(p.GUARDED, 'n')}
+         ELSE {_at(p.OPEN, 'n')} END AS path,
+    {_at(p.METHODS, 'n')} AS method,
     CAST(CASE WHEN event_type = 'error' THEN 403
               WHEN event_type IN ('purchase', 'signup') THEN 401 ELSE 200 END AS INTEGER)
       AS statusCode,
-    CASE WHEN n % 11 <> 0 THEN
-      ['curl/8.4.0', 'python-requests/2.31.0', 'sqlmap/1.8'][n % 3 + 1] END AS userAgent,
-    200 + 40 * CAST(json_extract_string(props, '$.k') AS BIGINT) AS requestSize,
-    CAST(floor(value * 100) AS BIGINT) AS responseSize,
-    'rule-' || (1000 + n % 9000) AS ruleId,
-    CASE WHEN wave THEN
-           ['INJECTION', 'XSS', 'PROTOCOL_VIOLATION', 'DATA_LEAKAGE', 'BOT', 'DOS',
-            'RATE_LIMIT'][b % 7 + 1]
-         WHEN n % 97 <> 0 THEN
-           ['INJECTION', 'XSS', 'PROTOCOL_VIOLATION', 'DATA_LEAKAGE', 'BOT', 'DOS',
-            'RATE_LIMIT'][u % 7 + 1] END AS ruleCategory,
-    ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][(n + u) % 4 + 1] AS ruleSeverity,
+    CASE WHEN n % 13 <> 0 THEN {_at(p.AGENTS, 'n')} END AS userAgent,
+    64 + 8 * CAST(json_extract_string(props, '$.k') AS BIGINT) AS requestSize,
+    CAST(floor(value * 10) AS BIGINT) AS responseSize,
+    'sig-' || n % 700 AS ruleId,
+    CASE WHEN wave THEN {_at(p.CATEGORIES, 'b')}
+         WHEN n % 61 <> 0 THEN {_at(p.CATEGORIES, 'u')} END AS ruleCategory,
+    {_at(p.SEVERITIES, 'n + u')} AS ruleSeverity,
     CASE WHEN event_type = 'error' THEN 'DENY'
          WHEN event_type IN ('purchase', 'signup') THEN 'ALERT' ELSE 'MONITOR' END AS ruleAction,
-    ['US', 'US', 'GB', 'DE', 'CN', 'RU', 'BR', 'IN'][u % 8 + 1] AS geoCountry,
-    ['New York', 'San Francisco', 'London', 'Berlin', 'Shanghai', 'Moscow', 'Sao Paulo',
-     'Mumbai'][u % 8 + 1] AS geoCity
+    {_at(p.COUNTRIES, 'u')} AS geoCountry,
+    {_at(p.CITIES, 'u')} AS geoCity
   FROM base
 ), flat AS (
   SELECT *, "timestamp" + INTERVAL 1 SECOND AS receivedAt,
@@ -186,20 +185,20 @@ SELECT arrival_seq, CAST(len(errs) AS BIGINT) AS error_count,
 
 ORACLES: dict[str, str] = {
     "filter_config": _EV + """SELECT eventId, configId, clientIp, path FROM flat
-        WHERE configId = 14227""",
+        WHERE configId = 71""",
     "filter_time_range": _EV + """SELECT eventId, "timestamp" FROM flat
         WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'""",
     "filter_ip_exact": _EV + """SELECT eventId, clientIp, path FROM flat
-        WHERE clientIp = '198.51.0.7'""",
+        WHERE clientIp = '100.64.0.7'""",
     "filter_ip_cidr": _EV + f"""SELECT eventId, clientIp FROM flat
-        WHERE {_OCTET.format(i=1)} = 198 AND {_OCTET.format(i=2)} = 51
+        WHERE {_OCTET.format(i=1)} = 100 AND {_OCTET.format(i=2)} = 64
           AND {_OCTET.format(i=3)} = 0 AND {_OCTET.format(i=4)} BETWEEN 64 AND 127""",
     "filter_category_action": _EV + """SELECT eventId, ruleCategory, ruleAction FROM flat
         WHERE ruleCategory = 'INJECTION' AND ruleAction = 'DENY'""",
     "filter_repeat_offender": _ALL + """SELECT eventId, clientIp, repeatOffender FROM en
         WHERE repeatOffender""",
     "samples_combined": _ALL + f"""SELECT {_SAMPLE} FROM en
-        WHERE configId = 14227 AND {_OCTET.format(i=1)} = 10 AND {_OCTET.format(i=2)} = 0
+        WHERE configId = 71 AND {_OCTET.format(i=1)} = 10 AND {_OCTET.format(i=2)} = 0
           AND ruleCategory = 'XSS' AND ruleAction = 'ALERT' AND repeatOffender
           AND "timestamp" BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-25'""",
     "samples_page": _ALL + f"""SELECT {_SAMPLE}, CAST(row_number() OVER (
@@ -207,7 +206,7 @@ ORACLES: dict[str, str] = {
         FROM en QUALIFY rank BETWEEN 41 AND 60""",
     "samples_total": _ALL + """SELECT count(*) AS total FROM en
         WHERE NOT repeatOffender AND ruleAction = 'DENY'""",
-    "lookup_by_id": _ALL + f"SELECT {_STORED} FROM en WHERE eventId = 'evt-42'",
+    "lookup_by_id": _ALL + f"SELECT {_STORED} FROM en WHERE eventId = 'req-42'",
     "flatten_events": _EV + f"""SELECT {_RAW}, CAST(NULL AS VARCHAR) AS attackType,
         CAST(NULL AS INTEGER) AS threatScore, false AS repeatOffender FROM flat""",
     "parse_payload": _BODIES + """SELECT body_id, CAST("index" AS BIGINT) AS "index", eventId,
@@ -279,14 +278,14 @@ ORACLES: dict[str, str] = {
     "stats_by_category": _ALL + f"""SELECT coalesce(ruleCategory, 'UNKNOWN') AS category,
         count(*) AS events, {_round('avg(threatScore)')} AS avg_threat_score FROM en GROUP BY 1""",
     "stats_by_action": _EV + """SELECT ruleAction AS action, count(*) AS events FROM flat
-        WHERE configId = 22841 GROUP BY 1""",
+        WHERE configId = 82 GROUP BY 1""",
     "top_attackers": _ALL + f"""SELECT clientIp, count(*) AS events,
         {_round('avg(threatScore)')} AS avg_threat_score FROM en GROUP BY 1
         ORDER BY events DESC, clientIp LIMIT 10""",
     "top_paths": _EV + """SELECT path, count(*) AS events FROM flat
         WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'
         GROUP BY 1 ORDER BY events DESC, path LIMIT 10""",
-    "summary_grouping_sets": _summary(22841),
+    "summary_grouping_sets": _summary(82),
     "summary_no_match": _summary(1),
     "timeseries_1m": _series(
         "2024-01-03 06:00:30", "2024-01-03 18:00:00", "1 minute", "true",
@@ -294,7 +293,7 @@ ORACLES: dict[str, str] = {
     "timeseries_5m": _EV + """SELECT time_bucket(INTERVAL '5 minutes', "timestamp") AS bucket,
         count(*) AS events FROM flat GROUP BY 1""",
     "timeseries_1h_zerofill": _series(
-        "2023-12-31 20:30:00", "2024-02-01 00:00:00", "1 hour", "configId = 30199", "bucket"),
+        "2023-12-31 20:30:00", "2024-02-01 00:00:00", "1 hour", "configId = 93", "bucket"),
     "flagged_count": _VALID + "SELECT count(*) FILTER (repeatOffender) AS flagged FROM en",
     "flag_sequence": _VALID + """, placed AS (
           SELECT clientIp, repeatOffender,

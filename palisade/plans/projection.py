@@ -1,6 +1,6 @@
 """Web-firewall events derived row by row from the ``events`` table of a data folder.
 
-Three of every ten blocks of 25 rows become an attack wave: one client, four seconds apart.
+Some blocks of rows become an attack wave: one client, a few seconds apart.
 """
 from __future__ import annotations
 
@@ -16,58 +16,66 @@ SOURCE_SCHEMA = T.StructType([
     T.StructField("props", T.StringType()),
 ])
 
-# Vocabularies of the projection (fixed values).
-HOSTS = "array('app', 'api', 'shop', 'portal', 'admin')"
-CONFIG_IDS = "array(14227L, 22841L, 30199L)"
-SENSITIVE = "array('/admin', '/admin/users', '/login', '/api/v1/login', '/wp-login.php')"
-ORDINARY = """array('/', '/home', '/products', '/search', '/cart', '/static/app.js',
-  '/api/v1/orders')"""
-METHODS = "array('GET', 'POST', 'PUT', 'DELETE')"
-SEVERITIES = "array('CRITICAL', 'HIGH', 'MEDIUM', 'LOW')"
-CATEGORIES = """array('INJECTION', 'XSS', 'PROTOCOL_VIOLATION', 'DATA_LEAKAGE', 'BOT', 'DOS',
-  'RATE_LIMIT')"""
-AGENTS = "array('curl/8.4.0', 'python-requests/2.31.0', 'sqlmap/1.8')"
-COUNTRIES = "array('US', 'US', 'GB', 'DE', 'CN', 'RU', 'BR', 'IN')"
-CITIES = """array('New York', 'San Francisco', 'London', 'Berlin', 'Shanghai', 'Moscow',
-  'Sao Paulo', 'Mumbai')"""
+# Values the event contract fixes.
+METHODS = ["GET", "POST", "PUT", "DELETE"]
+SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
+CATEGORIES = ["INJECTION", "XSS", "PROTOCOL_VIOLATION", "DATA_LEAKAGE", "BOT", "DOS", "RATE_LIMIT"]
+
+# Test data of our own. A guarded path holds one of the policy's sensitive parts.
+CONFIG_IDS = [71, 82, 93]
+HOSTS = ["edge.harbour.test", "orders.harbour.test", "docs.harbour.test"]
+GUARDED = ["/ops/admin/jobs", "/account/login", "/intranet/login/step2", "/admin-panel"]
+OPEN = ["/catalogue", "/basket", "/help/contact", "/assets/site.css", "/v2/items", "/feed.xml"]
+AGENTS = ["Mozilla/5.0 (X11; Linux)", "probe/0.9"]
+COUNTRIES = ["NO", "PT", "KE", "CA", "JP", "CL", "NZ"]
+CITIES = ["Bergen", "Porto", "Mombasa", "Halifax", "Sapporo", "Valdivia", "Nelson"]
+# An attack wave is a block of rows of one client, some seconds apart.
+BLOCK_ROWS = 20
+WAVE_OF, WAVES = 7, 2
+STEP_SECONDS = 5
+
+
+def _at(values: list, number: str) -> str:
+    listed = ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}L" for v in values)
+    return f"get(array({listed}), CAST(({number}) % {len(values)} AS INT))"
+
 
 _BLOCK = [
     "event_id AS arrival_seq",
     "event_id div 50 AS batch_id",
-    "event_id div 25 AS b",
-    "(event_id div 25) % 10 < 3 AS wave",
+    f"event_id div {BLOCK_ROWS} AS b",
+    f"(event_id div {BLOCK_ROWS}) % {WAVE_OF} < {WAVES} AS wave",
     "ts", "user_id AS u", "event_type", "value", "props",
 ]
 
 _DERIVED = [
     "arrival_seq", "batch_id",
-    "concat('evt-', arrival_seq) AS eventId",
-    """CASE WHEN wave
-      THEN timestamp_seconds(1704067200 + (b % 400) * 6475 + (arrival_seq % 25) * 4)
+    "concat('req-', arrival_seq) AS eventId",
+    f"""CASE WHEN wave THEN timestamp_seconds(
+        1704067200 + (b % 360) * 7200 + (arrival_seq % {BLOCK_ROWS}) * {STEP_SECONDS})
       ELSE CAST(ts AS TIMESTAMP) END AS timestamp""",
-    f"get({CONFIG_IDS}, CAST(u % 3 AS INT)) AS configId",
-    "concat('policy-', 100 + u % 900) AS policyId",
+    f"{_at(CONFIG_IDS, 'u')} AS configId",
+    "concat('pol-', u % 40) AS policyId",
     """CASE WHEN wave
       THEN concat('10.', (b div 65536) % 256, '.', (b div 256) % 256, '.', b % 256)
-      ELSE concat('198.', 51 + (u div 65536) % 205, '.', (u div 256) % 256, '.', u % 256)
+      ELSE concat('100.', 64 + (u div 65536) % 64, '.', (u div 256) % 256, '.', u % 256)
       END AS clientIp""",
-    f"concat(get({HOSTS}, CAST(u % 5 AS INT)), '.example.com') AS hostname",
-    f"""CASE WHEN wave THEN get({SENSITIVE}, CAST(b % 5 AS INT))
-      WHEN arrival_seq % 100 < 35 THEN get({SENSITIVE}, CAST(arrival_seq % 5 AS INT))
-      ELSE get({ORDINARY}, CAST(arrival_seq % 7 AS INT)) END AS path""",
-    f"get({METHODS}, CAST(arrival_seq % 4 AS INT)) AS method",
-    f"""CASE WHEN arrival_seq % 11 <> 0 THEN get({AGENTS}, CAST(arrival_seq % 3 AS INT))
-      END AS userAgent""",
-    "200 + 40 * CAST(get_json_object(props, '$.k') AS BIGINT) AS requestSize",
-    "CAST(floor(value * 100) AS BIGINT) AS responseSize",
-    "concat('rule-', 1000 + arrival_seq % 9000) AS rule_id",
-    f"""CASE WHEN wave THEN get({CATEGORIES}, CAST(b % 7 AS INT))
-      WHEN arrival_seq % 97 <> 0 THEN get({CATEGORIES}, CAST(u % 7 AS INT)) END AS category""",
+    f"{_at(HOSTS, 'u')} AS hostname",
+    f"""CASE WHEN wave THEN {_at(GUARDED, 'b')}
+      WHEN arrival_seq % 8 < 3 THEN {_at(GUARDED, 'arrival_seq')}
+      ELSE {_at(OPEN, 'arrival_seq')} END AS path""",
+    f"{_at(METHODS, 'arrival_seq')} AS method",
+    f"CASE WHEN arrival_seq % 13 <> 0 THEN {_at(AGENTS, 'arrival_seq')} END AS userAgent",
+    "64 + 8 * CAST(get_json_object(props, '$.k') AS BIGINT) AS requestSize",
+    "CAST(floor(value * 10) AS BIGINT) AS responseSize",
+    "concat('sig-', arrival_seq % 700) AS rule_id",
+    f"""CASE WHEN wave THEN {_at(CATEGORIES, 'b')}
+      WHEN arrival_seq % 61 <> 0 THEN {_at(CATEGORIES, 'u')} END AS category""",
     """CASE WHEN event_type = 'error' THEN 'DENY'
       WHEN event_type IN ('purchase', 'signup') THEN 'ALERT' ELSE 'MONITOR' END AS action""",
-    f"get({SEVERITIES}, CAST((arrival_seq + u) % 4 AS INT)) AS severity",
-    f"get({COUNTRIES}, CAST(u % 8 AS INT)) AS country",
-    f"get({CITIES}, CAST(u % 8 AS INT)) AS city",
+    f"{_at(SEVERITIES, 'arrival_seq + u')} AS severity",
+    f"{_at(COUNTRIES, 'u')} AS country",
+    f"{_at(CITIES, 'u')} AS city",
 ]
 
 _NESTED = [
