@@ -1,6 +1,7 @@
 """Query arguments and the predicates they stand for."""
 from __future__ import annotations
 
+import ipaddress
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -117,10 +118,17 @@ def in_range(start: datetime | None, end: datetime | None) -> list[Column | None
 
 
 def client_ip(value: str | None) -> Column | None:
+    """An address in any of its spellings, or a block. Text that is no address equals itself."""
     if value is None:
         return None
     column = F.col("clientIp")
-    return in_cidr(column, value) if "/" in value else column == F.lit(value)
+    if "/" in value:
+        return in_cidr(column, value)
+    try:
+        address = ipaddress.ip_address(value)
+    except ValueError:
+        return column == F.lit(value)
+    return in_cidr(column, f"{address}/{address.max_prefixlen}")
 
 
 def conjunction(predicates: list[Column | None]) -> Column:

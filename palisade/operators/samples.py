@@ -9,8 +9,6 @@ from palisade.functions.instants import epoch_ms, floor_to_step
 from palisade.operators.filters import SampleQuery
 from palisade.schema import SAMPLE_COLUMNS
 
-# Rows a top-k may hold per task and on the driver before the page is sought instead.
-TOP_K_ROWS = 100_000
 # Day, hour, minute, second, millisecond.
 _SEEK_STEPS_MS = (86_400_000, 3_600_000, 60_000, 1_000, 1)
 
@@ -28,12 +26,16 @@ def total(df: DataFrame, query: SampleQuery) -> DataFrame:
     return df.where(query.predicate()).agg(F.count(F.lit(1)).alias("total"))
 
 
-def page(df: DataFrame, query: SampleQuery, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
-    """The 17 sample columns of one page: a top-k of ``offset + limit`` rows, or, for a page
-    too deep for that, the same page after seeking the time range it lies in."""
-    rows, offset = matching(df, query), query.offset
-    if offset + query.limit > top_k_rows:
-        rows, offset = _seek(rows, offset, query.limit, top_k_rows)
+def page(df: DataFrame, query: SampleQuery) -> DataFrame:
+    """The 17 sample columns of one page, lazily: a top-k of ``offset + limit`` rows."""
+    rows = matching(df, query).orderBy(*newest_first())
+    return rows.offset(query.offset).limit(query.limit)
+
+
+def deep_page(df: DataFrame, query: SampleQuery, top_k_rows: int = 100_000) -> DataFrame:
+    """The same page by seeking: counts per day, hour, minute, second and millisecond find the
+    time range it lies in, at once, so that no task holds all rows before it."""
+    rows, offset = _seek(matching(df, query), query.offset, query.limit, top_k_rows)
     return rows.orderBy(*newest_first()).offset(offset).limit(query.limit)
 
 

@@ -34,7 +34,7 @@ def to_csv_row(df: DataFrame) -> DataFrame:
 
 def from_csv_row(df: DataFrame) -> DataFrame:
     """Text cells to nested events: an empty cell is null, numbers and enums are trimmed, and
-    the geo struct is null when both parts are."""
+    the geo struct is null when both parts are. An ``arrival_seq`` is kept."""
     def text(name: str) -> Column:
         cell = F.col(f"`{name}`")
         return F.when(cell != "", cell)
@@ -68,7 +68,7 @@ def from_csv_row(df: DataFrame) -> DataFrame:
         else:
             col = cell_of(field.name, field.dataType)
         columns.append(col.alias(field.name))
-    return df.select(*columns)
+    return df.select(*columns, *(c for c in df.columns if c == "arrival_seq"))
 
 
 def _one_per(df: DataFrame, keys: Sequence[Column], order: Column) -> DataFrame:
@@ -79,8 +79,9 @@ def _one_per(df: DataFrame, keys: Sequence[Column], order: Column) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str = "eventId", order: str = "arrival_seq") -> DataFrame:
-    """Last write wins: the newest arrival of each id."""
-    return _one_per(df, [F.col(key)], F.col(order).desc())
+    """Last write wins: the newest arrival of each id. Rows without an id are all kept."""
+    unique = F.when(F.col(key).isNull(), F.col(order))
+    return _one_per(df, [F.col(key), unique], F.col(order).desc())
 
 
 def first_arrival(

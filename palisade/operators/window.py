@@ -5,16 +5,8 @@ older than the window, so two running counts give it, without re-scanning each f
 
 One key may hold a third of the table, so its history is cut into time chunks, and the last
 window of each chunk is copied, without its payload, into the next. Every frame is complete
-inside its chunk and chunks are independent. Chunks are counted first, map-side; the rare one
-with more than ``HOT_ROWS`` rows, copies included, is split further:
-
-* its rows are pre-aggregated to cells ``(key, millisecond, arrival block)``, and only cells
-  are windowed per chunk, which holds a fixed number of milliseconds;
-* the rows themselves are shuffled by cell, where their position is counted, and the cell's
-  prefix is joined on the same partitioning.
-
-The list of hot chunks is broadcast: it has at most one entry per ``HOT_ROWS`` rows. Where it
-is empty, adaptive execution drops that branch before reading its input.
+inside its chunk and chunks are independent: one scan, one shuffle, and a task that holds a
+key's events of three windows at most, in whatever order they arrived.
 """
 from __future__ import annotations
 
@@ -26,13 +18,11 @@ from pyspark.sql import Window
 
 from palisade.functions.instants import epoch_ms, floor_to_step
 from palisade.functions.text import has_text
-from palisade.operators.blocks import BLOCK_SPAN, block_of
 from palisade.policy import Policy
 
-CHUNK_WINDOWS = 6
-HOT_ROWS = 2_000_000
+CHUNK_WINDOWS = 2
 
-_MS, _OWN, _CHUNK, _BLOCK = "_ms", "_own", "_chunk", "_block"
+_MS, _OWN, _CHUNK = "_ms", "_own", "_chunk"
 
 
 def sliding_count(
@@ -43,8 +33,6 @@ def sliding_count(
     order: str = "arrival_seq",
     out: str = "window_count",
     where: Column | None = None,
-    hot_rows: int = HOT_ROWS,
-    span: int = BLOCK_SPAN,
 ) -> DataFrame:
     """Adds ``out``: the key's events in ``[t - W, t]`` counted in ``(t, order)`` order, the
     row itself included. Rows failing ``where`` are neither counted nor given a count."""
@@ -63,21 +51,9 @@ def sliding_count(
     copies = F.explode(F.when(
         next_too, F.array(F.col(_OWN), F.col(_OWN) + chunk_ms)).otherwise(F.array(_OWN)))
 
-    in_chunks = rows.where(F.col(_MS).isNotNull()).select(
-        *keys, _MS, _OWN, order, copies.alias(_CHUNK))
-    hot = F.broadcast(
-        in_chunks.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows).select(*keys, _CHUNK))
-
-    columns = [*df.columns, out]
-    plain = _count_rows(
-        rows.withColumn(_CHUNK, copies).join(hot, [*keys, _CHUNK], "left_anti"),
-        keys, order, window_ms, out, df.columns)
-    cells = _count_cells(
-        rows.withColumn(_CHUNK, F.col(_OWN)).join(hot, [*keys, _CHUNK], "left_semi"),
-        in_chunks.join(hot, [*keys, _CHUNK], "left_semi"),
-        keys, order, window_ms, out, span)
-    return plain.select(*columns).union(cells.select(*columns))
+    counted_rows = _count_rows(
+        rows.withColumn(_CHUNK, copies), keys, order, window_ms, out, df.columns)
+    return counted_rows.select(*df.columns, out)
 
 
 def _count_rows(
@@ -100,30 +76,6 @@ def _count_rows(
         .withColumn(out, F.expr(f"CASE WHEN {_MS} IS NOT NULL THEN _position - _expired END")))
 
 
-def _count_cells(
-    rows: DataFrame, in_chunks: DataFrame, keys: list[str], order: str, window_ms: int,
-    out: str, span: int,
-) -> DataFrame:
-    """Counts within hot chunks, over cells."""
-    cell = [*keys, _MS, _BLOCK]
-    by_chunk = Window.partitionBy(*keys, _CHUNK)
-    before = by_chunk.orderBy(_MS, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    expired = by_chunk.orderBy(_MS).rangeBetween(Window.unboundedPreceding, -(window_ms + 1))
-    prefixes = (
-        in_chunks.withColumn(_BLOCK, block_of(order, span))
-        .groupBy(*cell, _OWN, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(before))
-        .withColumn("_expired", F.sum("_n").over(expired))
-        .where(F.col(_CHUNK) == F.col(_OWN))
-        .select(*cell, (
-            F.coalesce("_before", F.lit(0)) - F.coalesce("_expired", F.lit(0))
-        ).alias("_earlier")))
-    position = F.row_number().over(Window.partitionBy(*cell).orderBy(order))
-    return (
-        rows.withColumn(_BLOCK, block_of(order, span)).withColumn("_position", position)
-        .join(prefixes, cell).withColumn(out, F.col("_earlier") + F.col("_position")))
-
-
 def trackable(id_col: str, ts: str, keys: Sequence[str]) -> Column:
     """Events that enter the window: key and id not blank, timestamp present."""
     ok = has_text(F.col(id_col)) & F.col(ts).isNotNull()

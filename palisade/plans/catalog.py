@@ -49,9 +49,23 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.flatten(_events(spark, sf_dir), ["arrival_seq"])
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enriched table of all rows; those without a category are its UNKNOWN bucket."""
-    return stored_events(_events(spark, sf_dir), POLICY)
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the enriched table of all rows, written once per session and data folder; rows
+    without a category are its UNKNOWN bucket."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        raw, table_dir = scratch_dir(spark, "stored"), scratch_dir(spark, "compacted")
+        store.upsert(stored_events(_events(spark, sf_dir), POLICY), raw)
+        store.compact(spark, raw, table_dir)
+        _TABLES[key] = table_dir
+    return _TABLES[key]
+
+
+def _stored(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    return store.read_compacted(spark, _table(spark, sf_dir), start, end)
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,14 +189,17 @@ def reject_malformed(spark, sf_dir):
 
 def _round_trip(spark: SparkSession, sf_dir: str, extension: str) -> DataFrame:
     path = scratch_dir(spark, "events") + extension
-    files.write_events(_events(spark, sf_dir), path)
-    back = files.read_events(spark, path, multi_line=False)
+    # One client field gets white space, quotes and line breaks, as agents and paths may hold.
+    odd = _events(spark, sf_dir).withColumn("userAgent", F.concat(
+        F.lit("  \""), "userAgent", F.lit("\",\n ")))
+    files.write_events(odd, path)
+    back = files.read_events(spark, path)
     return table.flatten(back).drop("attackType", "threatScore", "repeatOffender")
 
 
 @query
 def scan_json_roundtrip(spark, sf_dir):
-    return _round_trip(spark, sf_dir, ".jsonl")
+    return _round_trip(spark, sf_dir, ".json")
 
 
 @query
@@ -190,6 +207,30 @@ def scan_csv_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, ".csv").drop("receivedAt")
 
 
+@query
+def ingest_file_order(spark, sf_dir):
+    """Events in several files: their order in the files is their arrival order."""
+    path = scratch_dir(spark, "ordered") + ".jsonl"
+    in_order = _events(spark, sf_dir).repartitionByRange(7, "arrival_seq")
+    files.write_events(in_order.sortWithinPartitions("arrival_seq"), path)
+    return files.read_events(spark, path).select("arrival_seq", "eventId")
+
+
+@query
+def export_chronological(spark, sf_dir):
+    """Feed order of an export, by what a reader of its files sees."""
+    path = scratch_dir(spark, "export") + ".csv"
+    files.write_events(files.chronological(_events(spark, sf_dir)), path)
+    return files.read_events(spark, path).select("arrival_seq", "eventId")
+
+
+@query
+def receive_stamp(spark, sf_dir):
+    """The server's time of receipt replaces what a client sent."""
+    instant = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("batch_id"))
+    return validate.stamp_received(_events(spark, sf_dir), instant).select("eventId", "receivedAt")
+
+
 @query
 def upsert_latest(spark, sf_dir):
     """A second feed re-sends one event in ten with another status; the newest one shows."""
@@ -197,11 +238,42 @@ def upsert_latest(spark, sf_dir):
     first = _flat(spark, sf_dir)
     again = first.where(F.col("arrival_seq") % 10 == 0).withColumns({
         "statusCode": F.lit(500), "arrival_seq": F.col("arrival_seq") + 10 ** 12})
-    store.upsert(first, path, 0)
-    store.upsert(again, path, 1)
+    store.upsert(first, path)
+    store.upsert(again, path)
     return store.read_table(spark, path).select("eventId", "statusCode", "arrival_seq")
 
 
+@query
+def store_two_writers(spark, sf_dir):
+    """Two writers use the same epochs, one of them retries; nothing is lost or doubled."""
+    path, flat = scratch_dir(spark, "table"), _flat(spark, sf_dir)
+    half = F.col("arrival_seq") % 2 == 0
+    store.upsert(flat.where(half), path, "even", 0)
+    store.upsert(flat.where(~half), path, "odd", 0)
+    store.upsert(flat.where(half), path, "even", 0)
+    return store.read_table(spark, path).select("eventId", "arrival_seq")
+
+
+@query
+def store_range(spark, sf_dir):
+    """Stored events of a range that begins and ends within a day."""
+    query = StatsQuery.from_params(
+        **{"from": "2024-01-05T06:30:00Z", "to": "2024-01-09T17:45:30Z"})
+    return _stored(spark, sf_dir, query.start, query.end).select(
+        "eventId", "timestamp", "threatScore")
+
+
+@query
+def clear_counts(spark, sf_dir):
+    """What clearing a stream's table and windows removes, and what is left."""
+    path = _streamed(spark, sf_dir)
+    cleared = store.clear(spark, f"{path}/table", f"{path}/checkpoint")
+    left = store.read_table(spark, f"{path}/table").agg(F.count(F.lit(1)).alias("left_over"))
+    return left.select(
+        F.lit(cleared.events).cast("bigint").alias("events"),
+        F.lit(cleared.clients).cast("bigint").alias("clients"), "left_over")
+
+
 # --- validation ------------------------------------------------------------------------
 
 def _damaged(events: DataFrame) -> DataFrame:
@@ -334,6 +406,35 @@ def enrich_retries(spark, sf_dir):
         "eventId", "threatScore", "repeatOffender", "arrival_seq")
 
 
+def _feed(spark: SparkSession, events: DataFrame, parts: int = 4) -> str:
+    """A folder of JSON Lines files, written one after the other in arrival order, so that a
+    file stream takes them in that order."""
+    path = scratch_dir(spark, "feed")
+    edges = [r[0] for r in events.agg(F.expr(
+        f"percentile_approx(arrival_seq, array({', '.join(str((i + 1) / parts) for i in range(parts))}))"
+    )).collect()][0] or []
+    low = F.lit(True)
+    for edge in dict.fromkeys(edges):
+        part = events.where(low & (F.col("arrival_seq") <= edge))
+        part.drop("batch_id").write.mode("append").options(
+            ignoreNullFields=False, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+        low = F.col("arrival_seq") > edge
+    return path
+
+
+def _stream(spark: SparkSession, feed: str, path: str, max_files: int | None = 1) -> None:
+    # A back-fill: no idle expiry, so the query drains.
+    pipeline.drain(pipeline.run(
+        pipeline.event_stream(spark, feed, max_files), f"{path}/table", f"{path}/checkpoint",
+        POLICY, pipeline.DRAIN, time_mode="None", stamp=False))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_dir(spark, "stream")
+    _stream(spark, _feed(spark, _events(spark, sf_dir).coalesce(1)), path)
+    return path
+
+
 @query
 def stream_enrich(spark, sf_dir):
     """The streaming pipeline over the table as a file stream, read back from its store."""
@@ -341,13 +442,54 @@ def stream_enrich(spark, sf_dir):
     source = spark.readStream.schema(projection.SOURCE_SCHEMA).parquet(
         f"{sf_dir}/events.parque[t]")
     path = scratch_dir(spark, "stream")
-    # A back-fill: no idle expiry, so the query drains.
     pipeline.drain(pipeline.run(
         projection.project(source).drop("batch_id"), f"{path}/table", f"{path}/checkpoint",
         POLICY, pipeline.DRAIN, time_mode="None", stamp=False))
     return store.read_table(spark, f"{path}/table").select(*ENRICHED_SCHEMA.fieldNames())
 
 
+@query
+def stream_multi_batch(spark, sf_dir):
+    """A micro-batch per file: windows are carried over, invalid events stop nothing."""
+    return store.read_table(spark, f"{_streamed(spark, sf_dir)}/table").select(
+        "eventId", "repeatOffender", "threatScore")
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Late events over micro-batches: arrivals reversed within runs of 500."""
+    n = F.col("arrival_seq")
+    late = _events(spark, sf_dir).withColumn("arrival_seq", n - n % 500 + 499 - n % 500)
+    path = scratch_dir(spark, "stream")
+    _stream(spark, _feed(spark, late.coalesce(1)), path)
+    return store.read_table(spark, f"{path}/table").select("eventId", "repeatOffender")
+
+
+@query
+def stream_restart(spark, sf_dir):
+    """A second stream with a checkpoint of its own writes the other half into one table, and
+    both restart once with nothing new to read."""
+    path, n = scratch_dir(spark, "stream"), F.col("arrival_seq")
+    for part in (0, 1):
+        feed = _feed(spark, _events(spark, sf_dir).where(n % 2 == part).coalesce(1), 2)
+        for _ in range(2):
+            pipeline.drain(pipeline.run(
+                pipeline.event_stream(spark, feed, 1), f"{path}/table",
+                f"{path}/checkpoint-{part}", POLICY, pipeline.DRAIN, "None", False))
+    return store.read_table(spark, f"{path}/table").select("eventId", "arrival_seq")
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    """Invalid events of a stream go aside with their messages."""
+    feed, path = _feed(spark, _events(spark, sf_dir).coalesce(1)), scratch_dir(spark, "aside")
+    pipeline.drain(pipeline.run_quarantine(
+        pipeline.invalid_events(pipeline.event_stream(spark, feed), POLICY), f"{path}/rows",
+        f"{path}/checkpoint", pipeline.DRAIN))
+    return spark.read.parquet(f"{path}/rows").select(
+        "arrival_seq", F.array_join("errors", "; ").alias("errors"))
+
+
 # --- statistics ------------------------------------------------------------------------
 
 CONFIG = StatsQuery.from_params(configId=82)

@@ -92,6 +92,7 @@ _STORED = _RAW + ", attackType, threatScore, repeatOffender"
 _SAMPLE = """eventId, "timestamp", configId, policyId, clientIp, hostname, path, method, statusCode,
   ruleCategory, ruleSeverity, ruleAction, attackType, threatScore, repeatOffender, geoCountry,
   receivedAt"""
+_ODD = _RAW.replace("userAgent", """'  "' || userAgent || '",' || chr(10) || ' ' AS userAgent""")
 _OCTET = "CAST(split_part(clientIp, '.', {i}) AS INTEGER)"
 
 
@@ -118,6 +119,21 @@ _BODIES = _EV + f""", sent AS (
 
 _ALLOWED = "INJECTION, XSS, PROTOCOL_VIOLATION, DATA_LEAKAGE, BOT, DOS, RATE_LIMIT"
 
+# A member lives until a later arrival is more than the window ahead of it.
+_LATE = _EV + """, late AS (
+  SELECT eventId, clientIp, ms, arrival_seq - arrival_seq % 500 + 499 - arrival_seq % 500 AS s
+  FROM valid
+), gone AS (
+  SELECT a.eventId, a.clientIp, a.s, min(k.s) AS evicted
+  FROM late a LEFT JOIN late k
+    ON k.clientIp = a.clientIp AND k.s > a.s AND k.ms > a.ms + 600000
+  GROUP BY ALL
+)
+SELECT i.eventId, count(*) > 5 AS repeatOffender
+FROM gone i JOIN gone j
+  ON j.clientIp = i.clientIp AND j.s <= i.s AND (j.evicted IS NULL OR j.evicted > i.s)
+GROUP BY i.eventId"""
+
 
 def _summary(config_id: int) -> str:
     return _ALL + f""", hit AS (SELECT * FROM en WHERE configId = {config_id}),
@@ -224,8 +240,20 @@ ORACLES: dict[str, str] = {
         SELECT body_id, rejection,
           CASE WHEN rejection LIKE 'One or more%' THEN bad ELSE 0 END AS failures
         FROM judged WHERE rejection IS NOT NULL""",
-    "scan_json_roundtrip": _EV + f"SELECT {_RAW} FROM flat",
-    "scan_csv_roundtrip": _EV + f"SELECT {_RAW.replace('receivedAt, ', '')} FROM flat",
+    "scan_json_roundtrip": _EV + f"SELECT {_ODD} FROM flat",
+    "scan_csv_roundtrip": _EV + f"SELECT {_ODD.replace('receivedAt, ', '')} FROM flat",
+    "ingest_file_order": _EV + """SELECT row_number() OVER (ORDER BY arrival_seq) - 1 AS arrival_seq,
+          eventId FROM flat""",
+    "export_chronological": _EV + """SELECT
+          row_number() OVER (ORDER BY "timestamp", flat.arrival_seq) - 1 AS arrival_seq, eventId
+        FROM flat""",
+    "receive_stamp": _EV + """SELECT eventId,
+          TIMESTAMP '2024-01-01' + to_seconds(batch_id) AS receivedAt FROM flat""",
+    "store_two_writers": _EV + "SELECT eventId, arrival_seq FROM flat",
+    "store_range": _ALL + """SELECT eventId, "timestamp", threatScore FROM en
+        WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-09 17:45:30'""",
+    "clear_counts": _EV + """SELECT count(*) AS events, count(DISTINCT clientIp) AS clients,
+          CAST(0 AS BIGINT) AS left_over FROM valid""",
     "upsert_latest": _EV + """SELECT eventId,
           CAST(CASE WHEN arrival_seq % 10 = 0 THEN 500 ELSE statusCode END AS INTEGER) AS statusCode,
           CASE WHEN arrival_seq % 10 = 0 THEN arrival_seq + 1000000000000 ELSE arrival_seq END
@@ -255,24 +283,16 @@ ORACLES: dict[str, str] = {
     "sliding_count": _VALID + "SELECT eventId, clientIp, window_count FROM en",
     "repeat_offender": _VALID + "SELECT eventId, clientIp, repeatOffender FROM en",
     "replay_flags": _VALID + "SELECT eventId, repeatOffender FROM en",
-    # A member lives until a later arrival is more than the window ahead of it.
-    "replay_disordered": _EV + """, late AS (
-          SELECT eventId, clientIp, ms, arrival_seq - arrival_seq % 500 + 499 - arrival_seq % 500 AS s
-          FROM valid
-        ), gone AS (
-          SELECT a.eventId, a.clientIp, a.s, min(k.s) AS evicted
-          FROM late a LEFT JOIN late k
-            ON k.clientIp = a.clientIp AND k.s > a.s AND k.ms > a.ms + 600000
-          GROUP BY ALL
-        )
-        SELECT i.eventId, count(*) > 5 AS repeatOffender
-        FROM gone i JOIN gone j
-          ON j.clientIp = i.clientIp AND j.s <= i.s AND (j.evicted IS NULL OR j.evicted > i.s)
-        GROUP BY i.eventId""",
+    "replay_disordered": _LATE,
+    "stream_late": _LATE,
     "enrich_events": _VALID + f"SELECT {_STORED} FROM en",
     "enrich_retries": _VALID + """SELECT eventId, threatScore, repeatOffender, arrival_seq
         FROM en""",
     "stream_enrich": _VALID + f"SELECT {_STORED} FROM en",
+    "stream_multi_batch": _VALID + "SELECT eventId, repeatOffender, threatScore FROM en",
+    "stream_restart": _EV + "SELECT eventId, arrival_seq FROM valid",
+    "stream_quarantine": _EV + """SELECT arrival_seq, 'rule.category is required' AS errors
+        FROM flat WHERE ruleCategory IS NULL""",
     "summary_totals": _ALL + f"""SELECT count(*) AS events,
         {_round('avg(threatScore)')} AS avg_threat_score FROM en""",
     "stats_by_category": _ALL + f"""SELECT coalesce(ruleCategory, 'UNKNOWN') AS category,

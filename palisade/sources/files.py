@@ -4,13 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from palisade.functions.instants import iso_label
+from palisade.functions.text import jtrim
 from palisade.operators.table import from_csv_row, to_csv_row
 from palisade.schema import CSV_COLUMNS, EVENT_SCHEMA
 
 _CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS])
-_CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": False}
+# Cells keep their white space and line breaks, both ways.
+_CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "multiLine": True, "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
@@ -23,21 +28,69 @@ def format_of(path: str) -> str:
     raise ValueError(f"unsupported event file {path!r}; use .json, .jsonl or .csv")
 
 
-def read_events(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Nested events from a file or folder whose name ends in .json, .jsonl or .csv.
+def read_events(
+    spark: SparkSession, path: str, array: bool | None = None, line_breaks: bool = True,
+) -> DataFrame:
+    """Nested events, with their place in the files as ``arrival_seq`` (0, 1, ... over the files
+    in path order), from a file or folder whose name ends in .json, .jsonl or .csv.
 
-    ``.json`` may hold one array over many lines, which Spark cannot split; pass
-    ``multi_line=False`` for JSON Lines, or name it ``.jsonl``. CSV cells that contain line
-    breaks need ``multi_line=True``.
+    JSON is one event per line, or, as ``array=True``, one array (or object) per file; without
+    the argument a ``.json`` input that begins with a bracket is taken as arrays. A file that
+    holds more than its array fails; nothing is left out in silence. CSV cells may contain line
+    breaks; ``line_breaks=False`` lets Spark split large files of which none does.
     """
     if format_of(path) == "csv":
-        reader = spark.read.schema(_CSV_SCHEMA).options(**_CSV_OPTIONS)
-        if multi_line:
-            reader = reader.option("multiLine", True)
-        return from_csv_row(reader.csv(path))
-    if multi_line is None:
-        multi_line = path.rstrip("/").lower().endswith(".json")
-    return spark.read.schema(EVENT_SCHEMA).option("multiLine", multi_line).json(path)
+        options = {**_CSV_OPTIONS, "multiLine": line_breaks}
+        rows = spark.read.schema(_CSV_SCHEMA).options(**options).csv(path)
+        return _sequenced(rows, _CSV_SCHEMA.fieldNames(), from_csv_row)
+    if array is None:
+        array = not path.rstrip("/").lower().endswith(".jsonl") and _begins_array(spark, path)
+    if array:
+        return _arrays(spark, path)
+    return _sequenced(
+        spark.read.schema(EVENT_SCHEMA).json(path), EVENT_SCHEMA.fieldNames(), lambda df: df)
+
+
+def _begins_array(spark: SparkSession, path: str) -> bool:
+    """One small task: the first line that is not blank."""
+    first = spark.read.text(path).where(F.length(jtrim(F.col("value"))) > 0).limit(1).collect()
+    return bool(first) and first[0]["value"].strip().startswith("[")
+
+
+def _arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files, which cannot be split, each one array or object."""
+    whole = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
+    # Inside one more pair of brackets, a second document would make the text invalid.
+    documents = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(T.StringType()))
+    parsed = whole.select("file_path", F.posexplode(F.when(
+        F.size(documents) == 1,
+        F.from_json("value", T.ArrayType(EVENT_SCHEMA))).otherwise(
+        F.raise_error(F.concat(F.lit("not one JSON array or object: "), "file_path")))
+    ).alias("_at", "_event"))
+    counts = parsed.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n"))
+    return parsed.join(_starts(counts, ["file_path"]), "file_path").select(
+        "_event.*", (F.col("_start") + F.col("_at")).alias("arrival_seq"))
+
+
+def _starts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """First number of each part: a running sum over one row per file split."""
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def _sequenced(rows: DataFrame, columns: list[str], shape) -> DataFrame:
+    """Numbers rows in file order. Spark reads a split in one piece, so its rows have
+    consecutive ids; splits are counted once and put behind each other."""
+    split = ["_file", "_block"]
+    placed = rows.select(
+        *(F.col(f"`{c}`") for c in columns), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"))
+    counts = placed.groupBy(*split).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    numbered = placed.join(_starts(counts, split), split).withColumn(
+        "arrival_seq", F.col("_start") + F.col("_id") - F.col("_first"))
+    return shape(numbered.select(*(F.col(f"`{c}`") for c in columns), "arrival_seq"))
 
 
 def write_events(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -48,8 +101,8 @@ def write_events(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         cells = flat.select(*(
             (iso_label(F.col(f"`{c}`")) if flat.schema[c].dataType == T.TimestampType()
              else F.col(f"`{c}`").cast("string")).alias(c) for c in flat.columns))
-        cells.write.mode(mode).options(
-            header=True, quote='"', escape='"', emptyValue="", nullValue="").csv(path)
+        options = {k: v for k, v in _CSV_OPTIONS.items() if k != "multiLine"}
+        cells.write.mode(mode).options(**options, emptyValue="", nullValue="").csv(path)
     else:
         df.select(*(f.name for f in EVENT_SCHEMA.fields if f.name in df.columns)).write.mode(
             mode).options(ignoreNullFields=False, timestampFormat=_ISO_MICROS).json(path)

@@ -28,6 +28,7 @@ _CLIENT_FIELDS = [f for f in EVENT_SCHEMA.fields if f.name not in _SERVER_SIDE]
 _TEXT_SCHEMA = T.ArrayType(T.StructType(
     [T.StructField(f.name, T.StringType()) for f in _CLIENT_FIELDS]))
 
+# Messages of the service (fixed values).
 EMPTY_BODY = "Request body must be a security event object or a non-empty array of them"
 MALFORMED_BODY = "Malformed request body"
 INVALID_EVENTS = "One or more events failed validation; no events were accepted"
@@ -37,10 +38,17 @@ def _typed(field: T.StructField, raw: Column) -> Column:
     if field.name in _NESTED:
         return F.from_json(raw, _NESTED[field.name])
     if isinstance(field.dataType, T.TimestampType):
-        return parse_iso_offset(raw)
+        # A number is seconds since the epoch.
+        seconds = F.when(raw.rlike(r"^-?\d{1,12}(\.\d{1,9})?$"), raw.try_cast("decimal(21,9)"))
+        return F.coalesce(parse_iso_offset(raw), F.timestamp_micros(
+            F.floor(seconds * 1_000_000).cast("bigint")))
     if isinstance(field.dataType, T.StringType):
         return raw
-    return F.when(has_text(raw), jtrim(raw)).try_cast(field.dataType)
+    text = F.when(has_text(raw), jtrim(raw))
+    # A whole number may be written with a fraction of zero or an exponent.
+    number = text.try_cast("decimal(38,6)")
+    whole = F.when(number == F.floor(number), number.try_cast(field.dataType))
+    return F.coalesce(text.try_cast(field.dataType), whole)
 
 
 def _unreadable(field: T.StructField, raw: Column, typed: Column) -> Column:

@@ -50,13 +50,21 @@ class WindowProcessor(StatefulProcessor):
         pass
 
 
-def configure(spark: SparkSession) -> None:
-    """Settings the state operator needs. Without the second, a processing-time query keeps
-    issuing empty micro-batches and never drains."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+# What the state operator needs: a store that holds its kind of state, and no empty
+# micro-batches, with which a processing-time query would never drain.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def check_settings(spark: SparkSession) -> None:
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if not store.endswith("RocksDBStateStoreProvider"):
+        raise ValueError(
+            "the state operator needs the RocksDB state store; run under"
+            " palisade.session.settings(spark, processor.STATE_SETTINGS)")
     # A batch run needs the state coordinator, which the stream manager brings up.
     _ = spark.streams
 
@@ -69,7 +77,7 @@ def flag_stream(
 
     ``time_mode`` ``"None"`` leaves the idle-client expiry out, for back-fills.
     """
-    configure(df.sparkSession)
+    check_settings(df.sparkSession)
     columns = [c for c in df.columns if c != "repeatOffender"]
     counted = trackable("eventId", "timestamp", ["clientIp"])
     staged = df.select(

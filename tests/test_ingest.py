@@ -10,6 +10,7 @@ from palisade.operators.validate import batch_errors, ledger, split_batches, wit
 from palisade.plans.ingest import accepted_events, stored_events, valid_events
 from palisade.policy import Policy
 from palisade.schema import CSV_COLUMNS, ENRICHED_SCHEMA, EVENT_SCHEMA
+from palisade.session import settings
 from palisade.sources import files, payloads, store
 
 
@@ -162,19 +163,46 @@ def sparse(seq):
                rule=dict(message=None), geoLocation=None)
 
 
-@pytest.mark.parametrize("name,multi_line", [
-    ("events.JSON", False), ("events.jsonl", None), ("events.csv", None)])
-def test_round_trip(spark, tmp_path, name, multi_line):
-    full = raw(0, policyId="p", userAgent='curl "x", y', requestSize=7, responseSize=8,
+@pytest.mark.parametrize("name", ["events.JSON", "events.jsonl", "events.csv"])
+def test_round_trip(spark, tmp_path, name):
+    """What is written is read back by default, in order, whatever the cells hold."""
+    odd = [raw(n, hostname=text, path=text, userAgent=text, rule=dict(message=text))
+           for n, text in enumerate([
+               "  a  ", "two\nlines", "quote \" and, comma", "\ttab\t", "back\\slash", "a\r\nb", "é"])]
+    full = raw(7, policyId="p", requestSize=7, responseSize=8,
                timestamp=at("2026-07-10T10:00:00.123456"))
-    df = raw_frame(spark, [full, sparse(1)]).drop("arrival_seq")
+    df = raw_frame(spark, [*odd, full, sparse(8)])
     path = str(tmp_path / name)
-    files.write_events(df, path)
-    back = files.read_events(spark, path, multi_line)
-    assert back.schema.fieldNames() == EVENT_SCHEMA.fieldNames()
-    key = lambda r: r["eventId"]
+    files.write_events(df.drop("arrival_seq").coalesce(1), path)
+    back = files.read_events(spark, path)
+    assert back.schema.fieldNames() == [*EVENT_SCHEMA.fieldNames(), "arrival_seq"]
     want = df.drop("repeatOffender").collect()
-    assert sorted(back.drop("repeatOffender").collect(), key=key) == sorted(want, key=key)
+    assert sorted(back.drop("repeatOffender").collect(), key=lambda r: r["arrival_seq"]) == want
+
+
+@pytest.mark.parametrize("name", ["many.jsonl", "many.csv", "many.json"])
+def test_arrival_follows_the_order_of_the_files(spark, tmp_path, name):
+    """Several files, each read in several splits."""
+    path = str(tmp_path / name)
+    df = raw_frame(spark, [raw(n) for n in range(2000)])
+    df.repartitionByRange(5, "arrival_seq").sortWithinPartitions("arrival_seq").transform(
+        lambda d: files.write_events(d, path) or d)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "20000"}):
+        got = rows_of(files.read_events(spark, path, line_breaks=False), "arrival_seq", "eventId")
+    assert sorted(got) == [(n, f"e{n}") for n in range(2000)]
+
+
+def test_nothing_after_an_array_is_lost(spark, tmp_path):
+    path = tmp_path / "events.json"
+    path.write_text(body_of(raw(0)) + body_of(raw(1)))
+    with pytest.raises(Exception, match="not one JSON array"):
+        files.read_events(spark, str(path)).collect()
+    folder = tmp_path / "arrays.json"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"{n}.json").write_text(body_of(raw(2 * n), raw(2 * n + 1)))
+    assert sorted(rows_of(files.read_events(spark, str(folder)), "arrival_seq", "eventId")) == [
+        (n, f"e{n}") for n in range(6)]
 
 
 def test_json_array_over_many_lines(spark, tmp_path):
@@ -221,8 +249,8 @@ def test_store_shows_the_latest_and_retries_are_idempotent(spark, tmp_path):
     newer = first.where("arrival_seq < 2").withColumns(
         {"statusCode": F.lit(500), "arrival_seq": F.col("arrival_seq") + 100})
     for _ in range(2):  # the second round is a retried micro-batch
-        store.upsert(first, path, 0)
-        store.upsert(newer, path, 1)
+        store.upsert(first, path, "feed", 0)
+        store.upsert(newer, path, "feed", 1)
     got = store.read_table(spark, path)
     assert sorted(rows_of(got, "eventId", "statusCode")) == [
         ("e0", 500), ("e1", 500), ("e2", 200), ("e3", 200), ("e4", 200)]
@@ -239,15 +267,69 @@ def test_store_shows_the_latest_and_retries_are_idempotent(spark, tmp_path):
 
     since = str(tmp_path / "since")
     store.upsert(first.where("arrival_seq = 4").withColumns(
-        {"statusCode": F.lit(404), "arrival_seq": F.lit(200).cast("bigint")}), since, 2)
+        {"statusCode": F.lit(404), "arrival_seq": F.lit(200).cast("bigint")}), since)
     merged = store.read_table(spark, since, base=compacted)
     assert sorted(rows_of(merged, "eventId", "statusCode")) == [
         ("e0", 500), ("e1", 500), ("e2", 200), ("e3", 200), ("e4", 404)]
 
-    assert store.clear(spark, path) == 5
+    assert store.clear(spark, path) == (5, 0)
     assert store.read_table(spark, path).count() == 0
 
 
+def test_writers_never_replace_each_other(spark, tmp_path):
+    path = str(tmp_path / "table")
+    stored = stored_events(raw_frame(spark, [raw(i, clientIp=f"10.0.0.{i}") for i in range(8)]))
+    store.upsert(stored.where("arrival_seq < 5"), path)
+    store.upsert(stored.where("arrival_seq >= 5"), path)
+    store.upsert(stored.where("arrival_seq = 0"), path, "w", 0)
+    assert store.read_table(spark, path).count() == 8
+
+
+def test_ranges_are_exact(spark, tmp_path):
+    path, compacted = str(tmp_path / "table"), str(tmp_path / "compacted")
+    hours = [raw(i, timestamp=at(f"2026-07-10T{i:02d}:00:00")) for i in range(20)]
+    store.upsert(stored_events(raw_frame(spark, hours)), path)
+    store.compact(spark, path, compacted)
+    bounds = at("2026-07-10T03:00:00"), at("2026-07-10T05:00:00")
+    for rows in (store.read_table(spark, path, *bounds),
+                 store.read_compacted(spark, compacted, *bounds),
+                 store.read_table(spark, str(tmp_path / "table"), *bounds, base=compacted)):
+        assert sorted(rows_of(rows, "eventId")) == [("e3",), ("e4",), ("e5",)]
+
+
+def test_rows_without_an_id_are_all_stored(spark):
+    df = raw_frame(spark, [raw(0, eventId=None), raw(1, eventId=None), raw(2), raw(3, eventId="e2")])
+    assert sorted(rows_of(table.latest(df), "arrival_seq")) == [(0,), (1,), (3,)]
+
+
+@pytest.mark.parametrize("text,status", [
+    ("200", 200), ("200.0", 200), ("2e2", 200), ('"200"', 200), ('" 200 "', 200)])
+def test_spellings_of_a_number(spark, text, status):
+    body = body_of(raw(0)).replace('"statusCode": 200', f'"statusCode": {text}')
+    assert text in body
+    assert payloads.accepted_events(parse(spark, [body])).first()["statusCode"] == status
+
+
+def test_a_fraction_is_no_status_code_and_seconds_are_a_timestamp(spark):
+    body = body_of(raw(0))
+    half = body.replace('"statusCode": 200', '"statusCode": 200.5')
+    assert rows_of(payloads.rejected_bodies(parse(spark, [half])), "rejection") == [
+        (payloads.MALFORMED_BODY,)]
+    late = json.loads(body)
+    late[0]["timestamp"] = 86400.5
+    event = payloads.accepted_events(parse(spark, [json.dumps(late)])).select(
+        F.unix_millis("timestamp")).first()
+    assert event[0] == 86_400_500
+
+
+def test_the_snippet_of_the_readme(spark, tmp_path):
+    files.write_events(raw_frame(spark, [raw(i) for i in range(9)]).drop("arrival_seq"),
+                       str(tmp_path / "events.jsonl"))
+    events = files.read_events(spark, str(tmp_path / "events.jsonl"))
+    stored = stored_events(valid_events(events), Policy())
+    assert stored.where("repeatOffender").count() == 4
+
+
 def test_valid_events(spark):
     df = raw_frame(spark, [raw(0), raw(1, path=" ")])
     assert rows_of(valid_events(df, Policy()), "eventId") == [("e0",)]

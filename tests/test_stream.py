@@ -1,13 +1,15 @@
 import json
 import random
 
+import pytest
 
 from helpers import fold, millis, raw, raw_frame, rows_of
 from palisade.operators.enrich import enrich
 from palisade.policy import Policy
 from palisade.sources import store
 from palisade.streaming import pipeline
-from palisade.streaming.processor import flag_stream
+from palisade.session import settings
+from palisade.streaming.processor import STATE_SETTINGS, flag_stream
 
 W = 600_000
 
@@ -42,8 +44,11 @@ def expected_flags(events):
 
 def test_stateful_form_in_batch_equals_fold(spark):
     events = shuffled_events(200, 1, ids=120)
-    flagged = flag_stream(raw_frame(spark, events), Policy(), "None")
-    assert dict(rows_of(flagged, "arrival_seq", "repeatOffender")) == expected_flags(events)
+    with pytest.raises(ValueError, match="RocksDB"):
+        flag_stream(raw_frame(spark, events), Policy(), "None")
+    with settings(spark, STATE_SETTINGS):
+        flagged = flag_stream(raw_frame(spark, events), Policy(), "None").collect()
+    assert {r["arrival_seq"]: r["repeatOffender"] for r in flagged} == expected_flags(events)
 
 
 def test_pipeline_over_micro_batches(spark, tmp_path):
@@ -130,3 +135,28 @@ def test_payload_stream(spark, tmp_path):
         (f"e{i}", i >= 5) for i in range(8)]
     assert sorted(rows_of(spark.read.parquet(str(tmp_path / "dead")), "arrival_seq")) == [
         (1,), (2,)]
+
+
+def test_a_new_checkpoint_adds_and_clear_counts(spark, tmp_path):
+    """A second stream starts at epoch 0 again; neither its rows nor the first one's go."""
+    table = str(tmp_path / "table")
+    for part in ("a", "b"):
+        events = [raw(n, eventId=f"{part}{n}", clientIp=f"10.0.0.{n % 3}") for n in range(5)]
+        write_files(spark, events, tmp_path / part, 1)
+        pipeline.drain(pipeline.run(
+            pipeline.event_stream(spark, str(tmp_path / part)), table, str(tmp_path / f"c{part}"),
+            trigger=pipeline.DRAIN, time_mode="None", stamp=False))
+    assert store.read_table(spark, table).count() == 10
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert store.clear(spark, table, str(tmp_path / "cb")) == (10, 3)
+    assert not (tmp_path / "cb").exists() and store.read_table(spark, table).count() == 0
+
+
+def test_log_order_is_unique_and_keeps_partitions_in_order(spark):
+    df = spark.range(60).selectExpr("id div 3 AS offset", "id % 3 AS part")
+    got = rows_of(df.select("offset", "part", pipeline.log_order("offset", "part", 3).alias("n")),
+                  "part", "offset", "n")
+    assert len({n for _, _, n in got}) == 60
+    for part in range(3):
+        mine = sorted((o, n) for p, o, n in got if p == part)
+        assert [n for _, n in mine] == sorted(n for _, n in mine)
