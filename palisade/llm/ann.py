@@ -27,14 +27,18 @@ from palisade.llm.common import map_batches, saved, slices, spark_partitions
 
 FIT_ROWS = 20_000
 TREES = 12
-LEAF_ROWS = 100
+LEAF_ROWS = 200
+MIN_DEPTH = 6
 MAX_DEPTH = 12
 # Share of the forest's entries that a query visits. Random vectors without structure need
 # this much for a recall above 0.9; it may be lowered for clustered ones.
-SEARCH_SHARE = 0.14
+SEARCH_SHARE = 0.1
 PAGE_ROWS = 8192
 PAGE_QUERIES = 50_000
-_SLACK = 8
+# Queries whose best a task holds until it sends them on.
+HELD_QUERIES = 50_000
+# Relative error of a fast product, generously.
+_SLACK = 1e-9
 
 
 @dataclass
@@ -96,10 +100,11 @@ class Forest:
 
 
 def plant(sample: np.ndarray, rows: int, reach: float, trees: int, leaf_rows: int) -> Forest:
-    """Trees deep enough for leaves of about ``leaf_rows`` of ``rows``, as far as the sample
-    has a few vectors for each leaf."""
+    """Trees deep enough for leaves of about ``leaf_rows`` of ``rows`` and for a choice of
+    leaves, as far as the sample has a few vectors for each leaf."""
     most = int(math.log2(max(1, len(sample) / 4))) if len(sample) >= 4 else 0
-    depth = max(0, min(MAX_DEPTH, most, math.ceil(math.log2(max(1.0, rows / leaf_rows)))))
+    depth = max(0, min(
+        MAX_DEPTH, most, max(MIN_DEPTH, math.ceil(math.log2(max(1.0, rows / leaf_rows))))))
     forest = Forest(depth, reach, [], [])
     random = np.random.default_rng(5)
     lifted = forest.lifted(sample)
@@ -187,9 +192,10 @@ def nearest(
     facts = entries.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("reach")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(fit_rows).select("vec").toArrow()
-    forest = plant(_matrix(sample.column(0).combine_chunks()), facts["n"],
-                   facts["reach"] * (1 + 1e-12), trees, leaf_rows)
+    chosen = entries.orderBy(F.xxhash64("entry"), "entry").limit(fit_rows).select("vec").toArrow()
+    matrix = _matrix(chosen.column(0).combine_chunks())
+    forest = plant(matrix, facts["n"], facts["reach"] * (1 + 1e-12), trees, leaf_rows)
+    slack = _SLACK * facts["reach"] ** 2
     width = 1 << forest.depth
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,19 +210,16 @@ def nearest(
     first, pages = _pages(sizes, width, page_rows)
     copies = -(-queries.count() // page_queries) or 1
     budget = search_share * float(sizes.sum())
+    kind = "<f8" if dict(rows.dtypes)["vec"] == "array<double>" else "<f4"
 
-    schema = ("page bigint, copy bigint, kind int, id bigint, vec array<double>,"
-              " leaves array<bigint>")
+    schema = "page bigint, copy bigint, kind int, id bigint, vec binary, leaves binary"
     names = ["page", "copy", "kind", "id", "vec", "leaves"]
 
-    def emit(page, copy, kind, ids, matrix, leaves) -> pa.RecordBatch:
-        vec = pa.ListArray.from_arrays(
-            pa.array(np.arange(len(ids) + 1) * matrix.shape[1], pa.int32()),
-            pa.array(matrix.reshape(-1)))
+    def emit(page, copy, kind, ids, vec, leaves) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
             pa.array(page, pa.int64()), pa.array(copy, pa.int64()),
-            pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), vec,
-            pa.array(leaves, pa.list_(pa.int64()))], names=names)
+            pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()),
+            pa.array(vec, pa.binary()), pa.array(leaves, pa.binary())], names=names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -224,44 +227,59 @@ def nearest(
             matrix = _matrix(batch.column(1))
             leaves = forest.leaves(matrix) + np.arange(trees) * width
             page = first[leaves] + (ids[:, None] * 2654435761 >> 7) % pages[leaves]
+            rows = [v.tobytes() for v in matrix.astype(kind)]
+            rows = [v for v in rows for _ in range(trees)]
+            at = [x.tobytes() for x in leaves.astype("<i4").reshape(-1)]
             for copy in range(copies):
-                yield emit(
-                    page.reshape(-1), np.full(page.size, copy), 0, np.repeat(ids, trees),
-                    np.repeat(matrix, trees, axis=0), leaves.reshape(-1, 1).tolist())
+                yield emit(page.reshape(-1), np.full(page.size, copy), 0, np.repeat(ids, trees),
+                           rows, at)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             ids, matrix = batch.column(0).to_numpy(), _matrix(batch.column(1))
             page, row, wanted = [], [], []
             for q, taken in enumerate(forest.search(matrix, sizes, budget)):
-                at: dict[int, list[int]] = {}
-                for leaf in taken:
-                    for p in range(first[leaf], first[leaf] + pages[leaf]):
-                        at.setdefault(p, []).append(leaf)
-                page.extend(at)
-                row.extend([q] * len(at))
-                wanted.extend(at.values())
+                taken = np.array(taken, dtype=np.int64)
+                leaf = np.repeat(taken, pages[taken])
+                step = np.arange(len(leaf)) - np.repeat(
+                    np.cumsum(pages[taken]) - pages[taken], pages[taken])
+                where = first[leaf] + step
+                order = np.lexsort((leaf, where))
+                leaf, where = leaf[order].astype("<i4"), where[order]
+                cuts = np.flatnonzero(np.diff(where)) + 1
+                parts = np.split(leaf, cuts)
+                page.extend(where[np.concatenate(([0], cuts))].tolist())
+                row.extend([q] * len(parts))
+                wanted.extend(p.tobytes() for p in parts)
             row = np.array(row, dtype=np.int64)
-            yield emit(page, ids[row] % copies, 1, ids[row], matrix[row], wanted)
+            packed = [v.tobytes() for v in matrix.astype(kind)]
+            yield emit(page, ids[row] % copies, 1, ids[row],
+                       [packed[r] for r in row.tolist()], wanted)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        current, held, best = None, [], Best(k + 1, slack)
         for batch in slices(batches, 512):
             where = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
             cuts = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1
             edges = [0, *cuts.tolist(), batch.num_rows]
             for start, stop in zip(edges, edges[1:]):
                 part = batch.slice(start, stop - start)
-                spot, kind = tuple(where[:2, start].tolist()), where[2, start]
-                ids, matrix = part.column(3).to_numpy(), _matrix(part.column(4))
-                if kind == 0:
+                spot, what = tuple(where[:2, start].tolist()), where[2, start]
+                ids = part.column(3).to_numpy()
+                matrix = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=kind).reshape(
+                    len(ids), -1).astype(np.float64)
+                leaves = [np.frombuffer(x, dtype="<i4") for x in part.column(5).to_pylist()]
+                if what == 0:
                     if spot != current:
                         current, held = spot, []
-                    held.append((ids, matrix, part.column(5).flatten().to_numpy()))
+                    held.append((ids, matrix, np.concatenate(leaves)))
                 elif spot == current:
                     if len(held) > 1:
                         held = [tuple(np.concatenate(c) for c in zip(*held))]
-                    yield _best(ids, matrix, part.column(5).to_pylist(), *held[0], k + 1)
+                    best.add(ids, matrix, leaves, *held[0])
+                    if best.queries >= HELD_QUERIES:
+                        yield best.taken()
+        yield best.taken()
 
     placed = entries.select("entry", "vec").mapInArrow(place, schema)
     asked = queries.mapInArrow(ask, schema)
@@ -280,30 +298,67 @@ def nearest(
         .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
-def _best(ids, queries, wanted, entries, matrix, leaves, most: int) -> pa.RecordBatch:
-    """The ``most`` nearest of the wanted leaves for each query; a fast product chooses, a
-    plain sum in double precision scores what it chose."""
-    scores = queries @ matrix.T
-    known, codes = np.unique(leaves, return_inverse=True)
-    visit = np.zeros((len(ids), len(known)), dtype=bool)
-    for q, some in enumerate(wanted):
-        at = np.searchsorted(known, some)
-        at = at[(at < len(known))]
-        visit[q, at[np.isin(known[at], some)]] = True
-    scores[~visit[:, codes]] = -np.inf
-    out_q, out_e, out_s = [], [], []
-    for q in range(len(ids)):
-        row = scores[q]
-        few = np.flatnonzero(row > -np.inf)
-        if len(few) > most + _SLACK:
-            kth = np.partition(row, len(row) - most - _SLACK)[len(row) - most - _SLACK]
-            # Ties with the last are all kept for exact scoring.
-            few = np.flatnonzero(row >= kth)
-        exact = (matrix[few] * queries[q]).sum(axis=1)
-        chosen = np.lexsort((entries[few], -exact))[:most]
-        out_q.extend([ids[q]] * len(chosen))
-        out_e.extend(entries[few][chosen].tolist())
-        out_s.extend(exact[chosen].tolist())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(out_q, pa.int64()), pa.array(out_e, pa.int64()), pa.array(out_s, pa.float64())],
-        names=["query_id", "entry", "score"])
+class Best:
+    """The nearest entries that a task has found so far for each query."""
+
+    def __init__(self, most: int, slack: float):
+        self.most, self.slack = most, slack
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[int, int] = {}
+        self.entry = np.zeros((0, self.most), dtype=np.int64)
+        self.score = np.zeros((0, self.most))
+
+    @property
+    def queries(self) -> int:
+        return len(self.at)
+
+    def add(self, ids, queries, wanted, entries, matrix, leaves) -> None:
+        """Meets queries with a page, of which each looks at its ``wanted`` leaves. A fast
+        product rules out what cannot be among the best; a plain sum in double precision scores
+        the rest."""
+        row = np.array([self.at.setdefault(i, len(self.at)) for i in ids.tolist()])
+        new = len(self.at) - len(self.entry)
+        self.entry = np.vstack([self.entry, np.full((new, self.most), -1)])
+        self.score = np.vstack([self.score, np.full((new, self.most), -np.inf)])
+        known, codes = np.unique(leaves, return_inverse=True)
+        visit = np.zeros((len(ids), len(known)), dtype=bool)
+        for q, some in enumerate(wanted):
+            at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+            visit[q, at[known[at] == some]] = True
+        scores = queries @ matrix.T
+        scores[~visit[:, codes]] = -np.inf
+        floor = self.score[row, -1]
+        fresh = floor == -np.inf
+        if fresh.any() and scores.shape[1] > self.most:
+            edge = scores.shape[1] - self.most
+            floor[fresh] = np.partition(scores[fresh], edge, axis=1)[:, edge]
+        q, e = np.nonzero((scores >= floor[:, None] - self.slack) & (scores > -np.inf))
+        exact = np.concatenate([
+            (matrix[e[i:i + 65536]] * queries[q[i:i + 65536]]).sum(axis=1)
+            for i in range(0, len(q), 65536)] or [np.zeros(0)])
+        touched = np.unique(q)
+        old = self.entry[row[touched]] >= 0
+        where = np.concatenate([q, np.repeat(touched, old.sum(axis=1))])
+        entry = np.concatenate([entries[e], self.entry[row[touched]][old]])
+        score = np.concatenate([exact, self.score[row[touched]][old]])
+        order = np.lexsort((entry, -score, where))
+        where, entry, score = where[order], entry[order], score[order]
+        # An entry of another tree's page comes with the same score, so right behind itself.
+        keep = np.ones(len(where), dtype=bool)
+        keep[1:] = (where[1:] != where[:-1]) | (entry[1:] != entry[:-1])
+        where, entry, score = where[keep], entry[keep], score[keep]
+        rank = np.arange(len(where)) - np.searchsorted(where, where)
+        few = rank < self.most
+        at = (row[where[few]], rank[few])
+        self.entry[at], self.score[at] = entry[few], score[few]
+
+    def taken(self) -> pa.RecordBatch:
+        ids = np.array(list(self.at), dtype=np.int64)
+        there = self.entry >= 0
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(self.entry[there]),
+             pa.array(self.score[there])], names=["query_id", "entry", "score"])
+        self.clear()
+        return out
