@@ -12,12 +12,14 @@ Only line hashes, numbers and lengths are shuffled; texts move once, to meet the
 """
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import columns_of, map_batches, unused
@@ -29,12 +31,6 @@ MIN_BLOCK = 100
 _SPACE = " \t\r\x0b\x0c"
 
 
-def line_hash(line: Column) -> Column:
-    """Two hashes of the line without surrounding white space."""
-    bare = F.btrim(line, F.lit(_SPACE))
-    return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("line"), bare).alias("b"))
-
-
 def aligned(
     pairs: Sequence[tuple[int, int, bool]],
 ) -> list[tuple[int, int]]:
@@ -148,15 +144,33 @@ def _equal_lines(rows: Sequence[dict]) -> list[tuple[int, int, bool]]:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(hash, doc_id, v, lines, length, rare)``: each distinct line of each document."""
-    keyed = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    """``(a, b, doc_id, v, lines, length)``: each distinct line of each document, by two halves
+    of its hash without surrounding white space, with its places. Lines of a document are
+    gathered where it is read, so a line that everybody holds is shuffled once per document
+    and adaptive execution may split its join."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for i, v, text in zip(*(c.to_pylist() for c in batch.columns)):
+            places: dict[str, list[int]] = {}
+            for no, line in enumerate(text.split("\n")):
+                places.setdefault(line.strip(_SPACE), []).append(no)
+            for line, at in places.items():
+                if line:
+                    code = xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
+                    rows.append((*struct.unpack("<qq", code), i, v, at, len(line)))
+        columns = zip(*rows) if rows else [()] * 6
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, _LINE_TYPES)],
+            names=["a", "b", "doc_id", "v", "lines", "length"])
+
+    whole = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("v"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    numbered = keyed.select(
-        "doc_id", "v", "no", line_hash(F.col("line")).alias("hash"),
-        F.length(F.btrim("line", F.lit(_SPACE))).alias("length")).where("length > 0")
-    return numbered.groupBy("hash", "doc_id", "v").agg(
-        F.sort_array(F.collect_set("no")).alias("lines"), F.first("length").alias("length"))
+        F.col(text_col).alias("text"))
+    return map_batches(
+        whole, run, "a bigint, b bigint, doc_id bigint, v bigint, lines array<int>, length int")
+
+
+_LINE_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.int32()]
 
 
 def find_blocks(
@@ -167,12 +181,13 @@ def find_blocks(
     numbers, from 0, ``v`` the XXH64 of its text, ``owners`` the earlier documents."""
     lines = _lines(docs, id_col, text_col)
     # An owner is the smallest (id, text hash); ids may repeat, equal rows are one document.
-    first = lines.groupBy("hash").agg(F.min(F.struct(
+    first = lines.groupBy("a", "b").agg(F.min(F.struct(
         "doc_id", "v", F.col("lines").alias("early"))).alias("owner"), F.count(F.lit(1)).alias("n"))
     shared = (
-        lines.join(first.where("n > 1"), "hash")
+        lines.join(first.where("n > 1"), ["a", "b"])
         .where("(doc_id, v) <> (owner.doc_id, owner.v)")
-        .groupBy("doc_id", "v").agg(F.collect_list(F.struct(
+        # Rows that repeat id and text bring the same lines again.
+        .groupBy("doc_id", "v").agg(F.collect_set(F.struct(
             F.col("owner.doc_id").alias("owner_id"), F.col("owner.v").alias("owner_v"),
             F.col("owner.early").alias("early"), F.col("lines").alias("late"), "length",
             (F.col("length") >= min_line).alias("rare"))).alias("shared")))
