@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.instants import epoch_ms
 from palisade.functions.scoring import threat_score
-from palisade.operators.blocks import BLOCK_SPAN, ordinal
+from palisade.operators.blocks import ordinal
 from palisade.policy import Policy
 
 
@@ -45,7 +45,7 @@ def snapshot_diff(
 
 
 def flag_sequence(
-    df: DataFrame, key: str = "clientIp", order: str = "arrival_seq", span: int = BLOCK_SPAN,
+    df: DataFrame, key: str = "clientIp", order: str = "arrival_seq", span: int | None = None,
 ) -> DataFrame:
     """Per key in arrival order: events, flags, the ordinal of the first flag, and events
     left unflagged after it. A steady burst reads ``first = threshold + 1``, ``after = 0``."""

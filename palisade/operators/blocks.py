@@ -1,10 +1,11 @@
 """Running aggregates over one key's arrival order without one task per key.
 
 A key may hold a third of the table, so a plain ``partitionBy(key)`` window would sort that
-third in one task. Here the order column is cut into fixed-width blocks: each block is a
-window partition of its own (at most ``BLOCK_SPAN`` rows, as order values are unique), block
-totals are pre-aggregated map-side, and only the totals are windowed by key. The order
-column must be a unique integer, such as an arrival sequence or a stream offset.
+third in one task. Here the order column is cut into blocks of equal width: each block is a
+window partition of its own, block totals are pre-aggregated map-side, and only the totals are
+windowed by key. The order column must be a unique integer, such as an arrival sequence or a
+log order. The width follows the density of its values, so sparse numbers (a log with gaps,
+events numbered within bodies) make no more blocks than dense ones.
 """
 from __future__ import annotations
 
@@ -16,13 +17,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BLOCK_SPAN = 1_000_000
+BLOCK_ROWS = 1_000_000
 
 _BLOCK = "_block"
 _CARRY = "_carry"
 
 
-def block_of(order: str, span: int = BLOCK_SPAN) -> Column:
+def span_of(df: DataFrame, order: str, rows: int = BLOCK_ROWS) -> int:
+    """Width of the order values that about ``rows`` rows take up; reads that column at once."""
+    seen = df.agg(F.min(order).alias("low"), F.max(order).alias("high"),
+                  F.count(order).alias("n")).first()
+    if not seen["n"]:
+        return rows
+    width = seen["high"] - seen["low"] + 1
+    return max(1, -(-width * rows // seen["n"]))
+
+
+def block_of(order: str, span: int) -> Column:
     """First order value of the row's block."""
     return F.col(order) - F.pmod(F.col(order), F.lit(span))
 
@@ -35,12 +46,13 @@ def running(
     out: str,
     total: Callable[[Column], Column],
     combine: Callable[[Column, Column], Column],
-    span: int = BLOCK_SPAN,
+    span: int | None = None,
 ) -> DataFrame:
     """Adds ``out``: ``total(value)`` over the key's rows up to and including this one.
 
     ``combine`` merges the total of the earlier blocks with that of the current block.
     """
+    span = span or span_of(df, order)
     blocked = df.withColumn(out, value).withColumn(_BLOCK, block_of(order, span))
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -66,17 +78,23 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], order: str, out: str, span: int = BLOCK_SPAN,
+    df: DataFrame, keys: Sequence[str], order: str, out: str, span: int | None = None,
 ) -> DataFrame:
     """1-based position of each row among its key's rows."""
-    return running(
-        df, keys, order, F.lit(1).cast("bigint"), out, F.sum,
-        lambda carry, here: F.coalesce(carry, F.lit(0)) + here, span)
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, span)
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
+    span: int | None = None,
+) -> DataFrame:
+    return running(df, keys, order, value, out, F.sum,
+                   lambda carry, here: F.coalesce(carry, F.lit(0)) + here, span)
 
 
 def running_max(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
-    span: int = BLOCK_SPAN,
+    span: int | None = None,
 ) -> DataFrame:
     return running(df, keys, order, value, out, F.max, lambda carry, here: F.greatest(
         carry, here), span)

@@ -1,31 +1,91 @@
-"""Arrival-order replay of the sliding window, split within a client.
-
-In arrival order a client's window depends on everything seen before, but not on everything
-equally. Let ``top`` be the running maximum of the client's event times, and cut its arrivals
-where ``top`` crosses a multiple of the window ``W``. The first event of a chunk is a new
-maximum, so it evicts all members older than the chunk's start minus ``W``; whatever survives
-arrived in the chunk before. A chunk replayed after its predecessor's rows therefore gives
-the exact counts, late events and retries included, and chunks are independent tasks.
-
-The running maximum comes from block totals (see ``blocks``), so no step needs a client's
-whole history in one task. Only four narrow columns reach Python, sorted by Spark, and one
-batch at a time is held there besides the live window itself.
+"""Arrival-order replay of the sliding window, without one task per client.
+
+In arrival order a member enters the window with its arrival ``a`` and leaves with the first
+later arrival that is more than the window ahead of it, or with the next arrival of its own
+id, which replaces it. The count after arrival ``i`` is thus the number of arrivals up to
+``i`` less the number of departures up to ``i``: two running sums, taken block by block (see
+``blocks``).
+
+What is left is to find, for each arrival, the first later one with a time beyond its own plus
+the window. A client's arrivals are cut into blocks of ``BLOCK_ARRIVALS``. Within a block one
+backward pass finds it. The few arrivals still alive at the end of their block look up the
+next block whose maximum is beyond them, and are searched for there. No step depends on what
+the clocks say, so late events, retries and times in the future cost nothing extra.
 """
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from palisade.functions.instants import epoch_ms
-from palisade.operators.blocks import BLOCK_SPAN, running_max
-from palisade.operators.members import Members
+from palisade.operators.blocks import ordinal, running_sum, span_of
 from palisade.operators.window import trackable
 from palisade.policy import Policy
 
+BLOCK_ARRIVALS = 250_000
+
+
+class Ahead:
+    """Looks for the next of some numbers beyond a bound, while they are taken in backwards."""
+
+    def __init__(self) -> None:
+        # From the far end: each entry is nearer and smaller than the one before it.
+        self.negated: list[int] = []
+        self.places: list[int] = []
+
+    def find(self, bound: int) -> int | None:
+        at = bisect_left(self.negated, -bound) - 1
+        return self.places[at] if at >= 0 else None
+
+    def push(self, place: int, number: int) -> None:
+        while self.negated and -self.negated[-1] <= number:
+            self.negated.pop()
+            self.places.pop()
+        self.negated.append(-number)
+        self.places.append(place)
+
+
+def _search(batches: Iterator[pd.DataFrame], parts: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of blocks, last arrival first: ``_ms`` is taken in, ``_bound`` is looked for."""
+    current, ahead = None, Ahead()
+    for batch in batches:
+        found = []
+        for part, n, ms, bound in zip(
+                batch[parts].itertuples(index=False, name=None), batch["_n"], batch["_ms"],
+                batch["_bound"]):
+            if part != current:
+                current, ahead = part, Ahead()
+            found.append(None if pd.isna(bound) else ahead.find(int(bound)))
+            if not pd.isna(ms):
+                ahead.push(n, int(ms))
+        out = batch[[*parts, "_from", "_bound"]].assign(
+            _leaves=pd.array(found, dtype="Int64"))
+        yield out[batch["_bound"].notna()]
+
+
+def _later_block(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """For each open arrival of a block, the next block with a maximum beyond its bound."""
+    for batch in batches:
+        rows = []
+        for key, block, maxima, waiting in zip(
+                batch[keys].itertuples(index=False, name=None), batch["_block"],
+                batch["_maxima"], batch["_open"]):
+            ahead = Ahead()
+            for later in reversed(maxima):
+                if later["_block"] > block:
+                    ahead.push(later["_block"], later["_max"])
+            for wait in waiting:
+                found = ahead.find(wait["_bound"])
+                if found is not None:
+                    rows.append((*key, found, wait["_from"], wait["_bound"]))
+        yield pd.DataFrame(rows, columns=[*keys, "_block", "_from", "_bound"])
+
 
 def replay_counts(
     df: DataFrame,
@@ -34,41 +94,63 @@ def replay_counts(
     id_col: str = "eventId",
     ts: str = "timestamp",
     order: str = "arrival_seq",
-    span: int = BLOCK_SPAN,
+    span: int | None = None,
+    block: int = BLOCK_ARRIVALS,
 ) -> DataFrame:
     """``(keys, order, window_count)`` for every trackable row."""
     keys = list(keys)
+    span = span or span_of(df, order)
     narrow = df.where(trackable(id_col, ts, keys)).select(
         *keys, F.col(order).alias("_seq"), F.col(id_col).alias("_id"),
         epoch_ms(F.col(ts)).alias("_ms"))
-    topped = running_max(narrow, keys, "_seq", F.col("_ms"), "_top", span)
-    own = F.col("_top") - F.pmod(F.col("_top"), F.lit(window_ms))
-    chunked = topped.select(
-        *keys, "_seq", "_id", "_ms", own.alias("_own"),
-        F.explode(F.array(own, own + window_ms)).alias("_chunk"))
-
-    parts = [*keys, "_chunk"]
-    out = T.StructType(
-        [df.schema[k] for k in keys]
-        + [T.StructField(order, T.LongType()), T.StructField("window_count", T.LongType())])
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, members = None, None
-        for batch in batches:
-            counts = []
-            for part, event_id, ms in zip(
-                    batch[parts].itertuples(index=False, name=None), batch["_id"], batch["_ms"]):
-                if part != current:
-                    current, members = part, Members(window_ms)
-                counts.append(members.observe(event_id, ms))
-            result = batch[keys].assign(**{order: batch["_seq"], "window_count": counts})
-            yield result[batch["_own"] == batch["_chunk"]]
+    again = Window.partitionBy(*keys, "_id").orderBy("_n")
+    placed = ordinal(narrow, keys, "_seq", "_n", span).select(
+        *keys, "_seq", "_n", "_ms", F.lead("_n").over(again).alias("_next"),
+        F.expr(f"(_n - 1) div {block}").alias("_block"))
 
-    return (
-        chunked.repartition(*(F.col(p) for p in parts))
-        .sortWithinPartitions(*parts, "_seq")
-        .mapInPandas(replay, out)
-    )
+    parts = [*keys, "_block"]
+    types = {f.name: f for f in placed.schema.fields}
+    long = T.LongType()
+    searched = T.StructType(
+        [types[p] for p in parts]
+        + [T.StructField(c, long) for c in ("_from", "_bound", "_leaves")])
+
+    def search(rows: DataFrame) -> DataFrame:
+        return (
+            rows.repartition(*parts).sortWithinPartitions(*parts, F.desc("_n"))
+            .mapInPandas(lambda b: _search(b, parts), searched))
+
+    own = search(placed.select(
+        *parts, "_n", "_ms", F.col("_n").alias("_from"),
+        (F.col("_ms") + window_ms).alias("_bound")))
+    maxima = placed.groupBy(*parts).agg(F.max("_ms").alias("_max")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_block", "_max"))).alias("_maxima"))
+    # Only clients of several blocks have a later one.
+    waiting = own.where("_leaves IS NULL").groupBy(*parts).agg(
+        F.collect_list(F.struct("_from", "_bound")).alias("_open")).join(
+        maxima.where(F.size("_maxima") > 1), keys)
+    asked = waiting.mapInPandas(lambda b: _later_block(b, keys), T.StructType(
+        [types[p] for p in parts] + [T.StructField(c, long) for c in ("_from", "_bound")]))
+    nothing = F.lit(None).cast(long)
+    # Questions come after a block's arrivals, which are sorted last first.
+    answered = search(
+        placed.join(asked.select(*parts).distinct(), parts, "left_semi").select(
+            *parts, "_n", "_ms", nothing.alias("_from"), nothing.alias("_bound"))
+        .unionByName(asked.select(
+            *parts, F.lit(-1).cast(long).alias("_n"), nothing.alias("_ms"), "_from", "_bound")))
+    left = own.where("_leaves IS NOT NULL").unionByName(answered).select(
+        *keys, F.col("_from").alias("_n"), "_leaves")
+
+    departures = (
+        placed.select(*keys, "_n", "_next").join(left, [*keys, "_n"], "left")
+        .select(*keys, F.least("_leaves", "_next").alias("_n")).where("_n IS NOT NULL")
+        .groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_gone")))
+    with_gone = placed.select(*keys, "_seq", "_n").join(departures, [*keys, "_n"], "left")
+    summed = running_sum(
+        with_gone, keys, "_seq", F.coalesce("_gone", F.lit(0)).cast(long), "_gone_so_far", span)
+    return summed.select(
+        *keys, F.col("_seq").alias(order), (F.col("_n") - F.col("_gone_so_far")).alias(
+            "window_count"))
 
 
 def replay_flags(
@@ -78,10 +160,11 @@ def replay_flags(
     id_col: str = "eventId",
     ts: str = "timestamp",
     order: str = "arrival_seq",
-    span: int = BLOCK_SPAN,
+    span: int | None = None,
+    block: int = BLOCK_ARRIVALS,
 ) -> DataFrame:
     """Adds or replaces ``repeatOffender`` as computed in arrival order."""
-    counts = replay_counts(df, policy.window_ms, keys, id_col, ts, order, span)
+    counts = replay_counts(df, policy.window_ms, keys, id_col, ts, order, span, block)
     flag = F.coalesce(F.col("window_count") > policy.threshold, F.lit(False))
     return (
         df.drop("repeatOffender").join(counts, [*keys, order], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 
 from palisade.functions.scoring import is_allowed_category
 from palisade.functions.text import has_text
-from palisade.operators.blocks import BLOCK_SPAN, block_of, join_null_safe, ordinal
+from palisade.operators.blocks import block_of, join_null_safe, ordinal, span_of
 from palisade.policy import Policy
 from palisade.schema import ACTIONS, SEVERITIES
 
@@ -76,14 +76,14 @@ def with_errors(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 def split_batches(
     df: DataFrame, batch: str = "batch_id", order: str = "arrival_seq",
-    span: int = BLOCK_SPAN,
+    span: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)`` events: one event with ``errors`` rejects its whole batch.
 
     Verdicts are pre-aggregated per ``(batch, arrival block)`` and joined back on both, so a
     batch of any size is judged and split without meeting in one task.
     """
-    blocked = df.withColumn("_block", block_of(order, span))
+    blocked = df.withColumn("_block", block_of(order, span or span_of(df, order)))
     verdicts = (
         blocked.groupBy(batch, "_block").agg(F.max(F.size("errors") > 0).alias("_bad"))
         .withColumn("_bad", F.max("_bad").over(Window.partitionBy(batch))))
@@ -94,7 +94,7 @@ def split_batches(
 
 def batch_errors(
     df: DataFrame, batch: str = "batch_id", order: str = "arrival_seq",
-    span: int = BLOCK_SPAN,
+    span: int | None = None,
 ) -> DataFrame:
     """``(batch, index, messages)`` of every invalid event; the index counts from 0 within
     the batch, valid events included."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from palisade.functions import scoring
 from palisade.functions.instants import iso_label
@@ -390,6 +391,15 @@ def replay_disordered(spark, sf_dir):
     return replay.replay_flags(late, POLICY).select("eventId", "repeatOffender")
 
 
+@query
+def replay_future_clock(spark, sf_dir):
+    """Every client's first arrival is stamped years ahead."""
+    first = F.row_number().over(Window.partitionBy("clientIp").orderBy("arrival_seq")) == 1
+    ahead = _valid(spark, sf_dir).withColumn("timestamp", F.when(
+        first, F.col("timestamp") + F.expr("INTERVAL 5 YEARS")).otherwise(F.col("timestamp")))
+    return replay.replay_counts(ahead, POLICY.window_ms).select("arrival_seq", "window_count")
+
+
 @query
 def enrich_events(spark, sf_dir):
     """The batch pipeline: validate each event, enrich, flatten."""

@@ -285,6 +285,21 @@ ORACLES: dict[str, str] = {
     "replay_flags": _VALID + "SELECT eventId, repeatOffender FROM en",
     "replay_disordered": _LATE,
     "stream_late": _LATE,
+    "replay_future_clock": _EV + """, late AS (
+          SELECT clientIp, arrival_seq AS s, CASE
+            WHEN row_number() OVER (PARTITION BY clientIp ORDER BY arrival_seq) = 1
+            THEN epoch_us("timestamp" + INTERVAL 5 YEARS) // 1000 ELSE ms END AS ms
+          FROM valid
+        ), gone AS (
+          SELECT a.clientIp, a.s, min(k.s) AS evicted
+          FROM late a LEFT JOIN late k
+            ON k.clientIp = a.clientIp AND k.s > a.s AND k.ms > a.ms + 600000
+          GROUP BY ALL
+        )
+        SELECT i.s AS arrival_seq, count(*) AS window_count
+        FROM gone i JOIN gone j
+          ON j.clientIp = i.clientIp AND j.s <= i.s AND (j.evicted IS NULL OR j.evicted > i.s)
+        GROUP BY i.s""",
     "enrich_events": _VALID + f"SELECT {_STORED} FROM en",
     "enrich_retries": _VALID + """SELECT eventId, threatScore, repeatOffender, arrival_seq
         FROM en""",

@@ -89,9 +89,35 @@ def test_retries_do_not_inflate_the_window(spark):
                                              (5, 40, 60_000_000), (6, None, 500)])
 def test_replay_equals_fold_on_shuffled_input(spark, seed, ids, spread):
     events = random_events(1500, 4, spread, seed, ids)
-    got = dict(rows_of(replay_counts(events_frame(spark, events), W, span=64),
-                       "arrival_seq", "window_count"))
-    assert got == fold(events, W)
+    for block in (16, 250_000):
+        got = dict(rows_of(replay_counts(events_frame(spark, events), W, span=64, block=block),
+                           "arrival_seq", "window_count"))
+        assert got == fold(events, W)
+
+
+def test_a_clock_in_the_future_does_not_hold_a_client_together(spark):
+    """The first event lies far ahead; all others come in order, many windows long."""
+    events = [(0, "x", "e0", 4_000_000_000_000)] + [
+        (n, "x", f"e{n}", 1_700_000_000_000 + n * 60_000) for n in range(1, 3000)]
+    result = replay_counts(events_frame(spark, events), W, span=200, block=200)
+    assert dict(rows_of(result, "arrival_seq", "window_count")) == fold(events, W)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in replay_counts(
+            events_frame(spark, events), W, span=200, block=200).groupBy(
+            F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 3000 and max(sizes) < 1500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_blocks_follow_the_density_of_the_order(spark):
+    df = spark.range(5000).select((F.col("id") * 2 ** 24 + 5).alias("seq"), F.lit("k").alias("k"))
+    span = blocks.span_of(df, "seq", rows=1000)
+    assert 5 <= df.select(blocks.block_of("seq", span)).distinct().count() <= 6
+    assert sorted(rows_of(blocks.ordinal(df, ["k"], "seq", "n"), "n")) == [
+        (n,) for n in range(1, 5001)]
+    assert blocks.span_of(df.limit(0), "seq") == blocks.BLOCK_ROWS
 
 
 def test_replay_retry_with_another_time_moves_the_member(spark):
@@ -117,7 +143,7 @@ def test_one_hot_client_is_spread_over_tasks(spark):
         F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id") * 180).alias("timestamp"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for result in (sliding_count(df, W), replay_counts(df, W)):
+        for result in (sliding_count(df, W), replay_counts(df, W, span=1000, block=1000)):
             sizes = [r["n"] for r in result.groupBy(F.spark_partition_id()).agg(
                 F.count(F.lit(1)).alias("n")).collect()]
             assert sum(sizes) == 40_000 and max(sizes) < 20_000
