@@ -37,7 +37,7 @@ GRAM = 24
 # Different runs of one owner sorted in one task.
 BUCKET = 4096
 # Bytes of text hashed at once, and most windows of one piece of a long text.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 SHALLOW = 32
 _SORT_WINDOWS = 400_000
 # Packed place of a run: 23 bits of the text's hash, 33 of its start, 7 of its further windows.
@@ -415,7 +415,7 @@ def _sort_suffixes(rows, length: int, grams: Hashes) -> pa.RecordBatch:
 def _deal(batches, length: int) -> Iterator[pa.RecordBatch]:
     """Texts with their open runs to ``key, sub, o, place, bytes``: whole runs by owner, or,
     for owners of very many, single windows by hash."""
-    one, two = Hashes(0, 2 * CHUNK + length), Hashes(1, 2 * CHUNK + length)
+    one = two = None
     settler = _Settler(length)
     for batch in slices(batches, 256):
         cold = []
@@ -435,6 +435,8 @@ def _deal(batches, length: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*cold), [pa.int64()] * 4 + [pa.binary()])],
                 names=[*_NAMES, "bytes"])
+        if hot and one is None:
+            one, two = (Hashes(i, 4096 * 2 * length) for i in (0, 1))
         for at in range(0, len(hot), 4096):
             out = settler.add(*_windows_of(hot[at:at + 4096], length, one, two))
             if out is not None:
