@@ -34,6 +34,7 @@ _MARKUP = re.compile(
     r"(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(
     r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 
@@ -80,8 +81,9 @@ def _attributes(text: str) -> dict[str, str]:
             for m in _ATTRIBUTE.findall(text)} if text.strip() else {}
 
 
-def _role(name: str, text: str, in_article: bool) -> str:
-    """``drop``, ``article`` or nothing, for an element that opens."""
+def _role(name: str, text: str, in_article: bool, by_words: bool) -> str:
+    """``drop``, ``article`` or nothing, for an element that opens. ``by_words``: words in its
+    class and id may drop it."""
     if name in DROPPED or (name == "header" and not in_article):
         return "drop"
     found = _attributes(text)
@@ -95,7 +97,7 @@ def _role(name: str, text: str, in_article: bool) -> str:
             return "drop"
         if found.get("role", "").lower() in ROLES:
             return "drop"
-        if name not in ("body", "html", "article", "main") and words & NOISE:
+        if by_words and name not in ("body", "html", "article", "main") and words & NOISE:
             return "drop"
         if found.get("role", "").lower() in ("main", "article") or found.get(
                 "itemprop", "").lower() in ARTICLE_TOKENS:
@@ -103,7 +105,7 @@ def _role(name: str, text: str, in_article: bool) -> str:
     return "article" if name in ("article", "main") else ""
 
 
-def lines_of(page: str) -> list[Line]:
+def lines_of(page: str, by_words: bool = True) -> list[Line]:
     """One line per block. Unclosed elements end with the parent that closes; a close tag that
     nothing opened is ignored."""
     lines = [Line()]
@@ -168,7 +170,7 @@ def lines_of(page: str) -> list[Line]:
                 _end_paragraph(stack, leave)
         if name in VOID or found["attrs"].endswith("/") and name in ("svg", "path", "use"):
             continue
-        role = _role(name, found["attrs"], articles > 0)
+        role = _role(name, found["attrs"], articles > 0, by_words)
         if name == "body":
             while stack and any(n == "head" for n, _ in stack):
                 leave()
@@ -218,6 +220,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         return ""
     lines = lines_of(page)
     texts = [line.text() for line in lines]
+    if not any(line.inside for line in lines) and (not any(texts) or _ARTICLE.search(page)):
+        # A wrapper that is only named after a part of it ("with-sidebar") took the article along.
+        lines = lines_of(page, by_words=False)
+        texts = [line.text() for line in lines]
     if any(line.inside and text for line, text in zip(lines, texts)):
         # What the page marks as article: the surge is its first text, the dive its last.
         lengths = [len(t) if line.inside else 0 for line, t in zip(lines, texts)]

@@ -57,7 +57,7 @@ def corpus(seed, n=60):
     return docs, items
 
 
-def slow(docs, items, seed=5, coverage=0.6):
+def slow(docs, items, seed=decontaminate.SEED, coverage=decontaminate.COVERAGE):
     out = set()
     for d, text in enumerate(docs):
         for item, passage in items:

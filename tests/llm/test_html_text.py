@@ -22,6 +22,13 @@ def test_surge_and_dive_without_a_marked_article():
     assert main_text(page) == f"Title {LONG} Short. {LONG} with a link."
 
 
+def test_a_wrapper_named_after_its_sidebar_is_kept():
+    page = f"""<body><div class="page with-sidebar"><article><p>{LONG}</p></article>
+      <aside>{LONG}</aside></div></body>"""
+    assert main_text(page) == LONG
+    assert main_text(f'<div class="no-ads"><p>{LONG}</p></div>') == LONG
+
+
 def test_window_sums():
     lengths = [0, 5, 0, 90, 3, 200, 0, 0, 0, 4, 0]
     assert html_text.surges(lengths, 3, 80) == [(1, 6)] or html_text.surges(
