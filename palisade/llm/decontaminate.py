@@ -249,7 +249,9 @@ def keep_clean(
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """The documents that no benchmark item contaminates, all columns as they were. One pass
-    for each block of the benchmark, none of them a shuffle."""
+    for each block of the benchmark, none of them a shuffle. Null and empty texts stay, rows
+    with a null id are judged like any other, repeated rows stay or go together, and without
+    benchmark items all rows stay."""
     at = docs.columns.index(text_col)
 
     def without(kept: DataFrame, block) -> DataFrame:

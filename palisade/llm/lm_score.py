@@ -27,6 +27,7 @@ from palisade.llm.common import slices, spark_partitions
 VOCABULARY = 50_000
 # Documents of a block: what one task holds.
 BLOCK_DOCS = 4096
+MOST_PARTITIONS = 4096
 # Pseudo-counts of the unigram and the bigram estimates.
 UNIGRAM_PRIOR = 1000.0
 BIGRAM_PRIOR = 20.0
@@ -180,8 +181,10 @@ def score(
         F.coalesce(F.sum(F.expr("IF(target = 1, n, 0L)")), F.lit(0)).alias("n_target")).first()
     n_total, n_target = float(sums["n_total"]), float(sums["n_target"])
 
+    # More partitions than blocks, so that few hold several of them.
+    parts = max(spark_partitions(spark), min(4 * blocks, MOST_PARTITIONS))
     placed = texts.withColumn("block", _block("doc_id", blocks, F.col("text"))).repartition(
-        spark_partitions(spark), "block")
+        parts, "block")
     wanted = ids.withColumn("block", _block("doc_id", blocks))
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -197,7 +197,8 @@ def sample(
     source_col: str = "source", lang_col: str = "lang", local_cells: int = LOCAL_CELLS,
 ) -> DataFrame:
     """The documents drawn, all columns as they were. Topics are found again in the pass that
-    reads the texts, so no text is shuffled for them."""
+    reads the texts, so no text is shuffled for them. Nulls and repeats are treated as by
+    ``mixed``; a cell without tokens is drawn at the rate of the budget."""
     described = with_topics(docs, id_col, text_col, source_col, lang_col)
     rates = cell_rates(described, targets, budget, power, local_cells)
     at = docs.columns.index(text_col)

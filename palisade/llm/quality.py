@@ -227,7 +227,8 @@ def score(
     docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
     text_col: str = "text", metadata: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id``, ``score`` of each row; empty and null texts have a score as well."""
+    """``doc_id``, ``score`` of each row, repeated rows and null ids included; empty and null
+    texts have a score as well. Other columns than those named are ignored."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = _scores(model, batch, 1, list(range(2, 2 + len(metadata))))
         return pa.RecordBatch.from_arrays(
@@ -243,7 +244,8 @@ def keep_good(
     docs: DataFrame, model: FactorisationMachine, text_col: str = "text",
     metadata: Sequence[str] = (), threshold: float = 0.5,
 ) -> DataFrame:
-    """The rows scored at least ``threshold``, all columns as they were."""
+    """The rows scored at least ``threshold``, all columns as they were. Null texts are scored as
+    empty ones; repeated rows and null ids stay or go by their own score."""
     columns = docs.columns
     text, extra = columns.index(text_col), [columns.index(c) for c in metadata]
 
