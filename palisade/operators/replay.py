@@ -15,7 +15,7 @@ the clocks say, so late events, retries and times in the future cost nothing ext
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +27,7 @@ from palisade.functions.instants import epoch_ms
 from palisade.operators.blocks import ordinal, running_sum, span_of
 from palisade.operators.window import trackable
 from palisade.policy import Policy
+from palisade.sources.scratch import kept
 
 BLOCK_ARRIVALS = 250_000
 
@@ -64,7 +65,7 @@ def _search(batches: Iterator[pd.DataFrame], parts: list[str]) -> Iterator[pd.Da
             found.append(None if pd.isna(bound) else ahead.find(int(bound)))
             if not pd.isna(ms):
                 ahead.push(n, int(ms))
-        out = batch[[*parts, "_from", "_bound"]].assign(
+        out = batch[[*parts, "_from", "_bound", "_next"]].assign(
             _leaves=pd.array(found, dtype="Int64"))
         yield out[batch["_bound"].notna()]
 
@@ -104,53 +105,65 @@ def replay_counts(
         *keys, F.col(order).alias("_seq"), F.col(id_col).alias("_id"),
         epoch_ms(F.col(ts)).alias("_ms"))
     again = Window.partitionBy(*keys, "_id").orderBy("_n")
-    placed = ordinal(narrow, keys, "_seq", "_n", span).select(
+    # A narrow table that all steps share.
+    placed = kept(ordinal(narrow, keys, "_seq", "_n", span).select(
         *keys, "_seq", "_n", "_ms", F.lead("_n").over(again).alias("_next"),
-        F.expr(f"(_n - 1) div {block}").alias("_block"))
+        F.expr(f"(_n - 1) div {block}").alias("_block")), "arrivals")
 
     parts = [*keys, "_block"]
     types = {f.name: f for f in placed.schema.fields}
     long = T.LongType()
     searched = T.StructType(
         [types[p] for p in parts]
-        + [T.StructField(c, long) for c in ("_from", "_bound", "_leaves")])
+        + [T.StructField(c, long) for c in ("_from", "_bound", "_next", "_leaves")])
 
     def search(rows: DataFrame) -> DataFrame:
         return (
             rows.repartition(*parts).sortWithinPartitions(*parts, F.desc("_n"))
             .mapInPandas(lambda b: _search(b, parts), searched))
 
-    own = search(placed.select(
+    own = kept(search(placed.select(
         *parts, "_n", "_ms", F.col("_n").alias("_from"),
-        (F.col("_ms") + window_ms).alias("_bound")))
+        (F.col("_ms") + window_ms).alias("_bound"), "_next")), "departures")
+    if not placed.where("_block > 0").isEmpty():
+        own = _across_blocks(placed, own, keys, search)
+    departures = own.select(*keys, F.least("_leaves", "_next").alias("_n")).where(
+        "_n IS NOT NULL").groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_gone"))
+    with_gone = placed.select(*keys, "_seq", "_n").join(departures, [*keys, "_n"], "left")
+    summed = running_sum(
+        with_gone, keys, "_seq", F.coalesce("_gone", F.lit(0)).cast(long), "_gone_so_far", span)
+    return summed.select(
+        *keys, F.col("_seq").alias(order), (F.col("_n") - F.col("_gone_so_far")).alias(
+            "window_count"))
+
+
+def _across_blocks(
+    placed: DataFrame, own: DataFrame, keys: list[str],
+    search: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """``own`` with the departures that lie in a later block than the arrival."""
+    parts = [*keys, "_block"]
+    types = {f.name: f for f in placed.schema.fields}
+    long = T.LongType()
+    nothing = F.lit(None).cast(long)
     maxima = placed.groupBy(*parts).agg(F.max("_ms").alias("_max")).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_block", "_max"))).alias("_maxima"))
-    # Only clients of several blocks have a later one.
     waiting = own.where("_leaves IS NULL").groupBy(*parts).agg(
         F.collect_list(F.struct("_from", "_bound")).alias("_open")).join(
         maxima.where(F.size("_maxima") > 1), keys)
-    asked = waiting.mapInPandas(lambda b: _later_block(b, keys), T.StructType(
-        [types[p] for p in parts] + [T.StructField(c, long) for c in ("_from", "_bound")]))
-    nothing = F.lit(None).cast(long)
+    asked = kept(waiting.mapInPandas(lambda b: _later_block(b, keys), T.StructType(
+        [types[p] for p in parts] + [T.StructField(c, long) for c in ("_from", "_bound")])),
+        "questions")
     # Questions come after a block's arrivals, which are sorted last first.
     answered = search(
         placed.join(asked.select(*parts).distinct(), parts, "left_semi").select(
-            *parts, "_n", "_ms", nothing.alias("_from"), nothing.alias("_bound"))
+            *parts, "_n", "_ms", nothing.alias("_from"), nothing.alias("_bound"),
+            nothing.alias("_next"))
         .unionByName(asked.select(
-            *parts, F.lit(-1).cast(long).alias("_n"), nothing.alias("_ms"), "_from", "_bound")))
-    left = own.where("_leaves IS NOT NULL").unionByName(answered).select(
-        *keys, F.col("_from").alias("_n"), "_leaves")
-
-    departures = (
-        placed.select(*keys, "_n", "_next").join(left, [*keys, "_n"], "left")
-        .select(*keys, F.least("_leaves", "_next").alias("_n")).where("_n IS NOT NULL")
-        .groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_gone")))
-    with_gone = placed.select(*keys, "_seq", "_n").join(departures, [*keys, "_n"], "left")
-    summed = running_sum(
-        with_gone, keys, "_seq", F.coalesce("_gone", F.lit(0)).cast(long), "_gone_so_far", span)
-    return summed.select(
-        *keys, F.col("_seq").alias(order), (F.col("_n") - F.col("_gone_so_far")).alias(
-            "window_count"))
+            *parts, F.lit(-1).cast(long).alias("_n"), nothing.alias("_ms"), "_from", "_bound",
+            nothing.alias("_next")))).select(*keys, "_from", F.col("_leaves").alias("_later"))
+    return own.join(answered, [*keys, "_from"], "left").withColumn(
+        "_leaves", F.coalesce("_leaves", "_later"))
 
 
 def replay_flags(
