@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import columns_of, map_batches, unused
+from palisade.llm.common import columns_of, map_batches, saved, unused
 
 # Code points of a line that may start an alignment.
 MIN_LINE = 20
@@ -181,10 +181,12 @@ def find_blocks(
     numbers, from 0, ``v`` the XXH64 of its text, ``owners`` the earlier documents."""
     lines = _lines(docs, id_col, text_col)
     # An owner is the smallest (id, text hash); ids may repeat, equal rows are one document.
-    first = lines.groupBy("a", "b").agg(F.min(F.struct(
-        "doc_id", "v", F.col("lines").alias("early"))).alias("owner"), F.count(F.lit(1)).alias("n"))
+    # Kept, so that the join has shuffles of its own, which adaptive execution may split.
+    first = saved(lines.groupBy("a", "b").agg(F.min(F.struct(
+        "doc_id", "v", F.col("lines").alias("early"))).alias("owner"),
+        F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     shared = (
-        lines.join(first.where("n > 1"), ["a", "b"])
+        lines.join(first, ["a", "b"])
         .where("(doc_id, v) <> (owner.doc_id, owner.v)")
         # Rows that repeat id and text bring the same lines again.
         .groupBy("doc_id", "v").agg(F.collect_set(F.struct(
