@@ -535,8 +535,10 @@ def find_repeats(
         runs.repartition(parts, "key").sortWithinPartitions(*_NAMES)
         .mapInArrow(lambda b: _settle(b, length), _FOUND_SCHEMA))
     opened = settled.where("owner IS NOT NULL")
+    # Kept, so that the join has shuffles of its own, which adaptive execution may split.
+    large = saved(_bucket_sizes(opened, bucket))
     wanted = (
-        opened.join(_bucket_sizes(opened, bucket), "owner", "left")
+        opened.join(large, "owner", "left")
         .groupBy("o", "v").agg(F.collect_list(F.struct(
             "owner", "start", "stop", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs")))
     dealt = (
