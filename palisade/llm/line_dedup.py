@@ -8,6 +8,13 @@ diff: rare lines unique to both sides are chained by their longest increasing ru
 chain is grown line by line over neighbours that match. Aligned blocks of enough text are
 deleted from the later document.
 
+One first holder a line misses blocks that only some other document holds in one piece. With
+``whole`` a document is therefore matched by windows instead: from each line on, and up to
+each line, the fewest lines that hold ``min_block`` code points. Every run of lines of that
+size that an earlier document holds in one piece is covered exactly by the windows inside it,
+and a window is the same in all its holders; so each window is compared with its first holder
+alone, in any number of documents, and still nothing that any pair shares is missed.
+
 Only line hashes, numbers and lengths are shuffled; texts move once, to meet their deletions.
 """
 from __future__ import annotations
@@ -15,14 +22,14 @@ from __future__ import annotations
 import struct
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import columns_of, map_batches, saved, unused
+from palisade.llm.common import columns_of, map_batches, saved, slices, unused
 
 # Code points of a line that may start an alignment.
 MIN_LINE = 20
@@ -173,12 +180,114 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _LINE_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.int32()]
 
 
+def windows_of(text: str, min_block: int) -> dict[bytes, list[tuple[int, int]]]:
+    """Places ``(first line, last line)`` of the windows of a text, by 128-bit hashes of their
+    lines. A blank line ends a run."""
+    found: dict[bytes, list[tuple[int, int]]] = {}
+    run: list[tuple[int, bytes, int]] = []
+    for no, line in enumerate([*text.split("\n"), ""]):
+        line = line.strip(_SPACE)
+        if line:
+            run.append((no, xxhash.xxh3_128_digest(line.encode("utf-8", "replace")), len(line)))
+        elif run:
+            _add_windows(found, run, min_block)
+            run = []
+    return found
+
+
+def _add_windows(found: dict, run: list[tuple[int, bytes, int]], min_block: int) -> None:
+    codes = [code for _, code, _ in run]
+    spans, start, held = set(), 0, 0
+    for end, (_, _, length) in enumerate(run):
+        held += length
+        # Each start is left at the first end that suffices; the last start left at an end
+        # begins the shortest window up to that end.
+        while start <= end and held >= min_block:
+            spans.add((start, end))
+            held -= run[start][2]
+            start += 1
+        low, size = end, run[end][2]
+        while size < min_block and low > 0:
+            low -= 1
+            size += run[low][2]
+        if size >= min_block:
+            spans.add((low, end))
+    for a, b in spans:
+        key = codes[a] if a == b else xxhash.xxh3_128_digest(b"".join(codes[a:b + 1]))
+        found.setdefault(key, []).append((run[a][0], run[b][0]))
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -> DataFrame:
+    """``(a, b, doc_id, v, first, last)``: each distinct window of each document, by two halves
+    of its hash, with its places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, _WINDOW_TYPES)],
+                names=["a", "b", "doc_id", "v", "first", "last"])
+
+        for batch in slices(batches, 64):
+            for i, v, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for code, places in windows_of(text, min_block).items():
+                    rows.append((*struct.unpack("<qq", code), i, v, *map(list, zip(*places))))
+                if len(rows) > _HELD_WINDOWS:
+                    yield out()
+                    rows.clear()
+        yield out()
+
+    whole = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("v"),
+        F.col(text_col).alias("text"))
+    return whole.mapInArrow(
+        run, "a bigint, b bigint, doc_id bigint, v bigint, first array<int>, last array<int>")
+
+
+_WINDOW_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2
+_HELD_WINDOWS = 50_000
+
+
+def _held_windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -> DataFrame:
+    """What ``find_blocks`` returns, by windows."""
+    windows = _windows(docs, id_col, text_col, min_block)
+    first = saved(windows.groupBy("a", "b").agg(
+        F.min(F.struct("doc_id", "v")).alias("owner"), F.count(F.lit(1)).alias("n")).where(
+        "n > 1").drop("n"))
+    held = (
+        windows.join(first, ["a", "b"])
+        .where("(doc_id, v) <> (owner.doc_id, owner.v)")
+        .groupBy("doc_id", "v").agg(F.collect_set(F.struct(
+            F.col("owner.doc_id").alias("owner_id"), "first", "last")).alias("held")))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gone, owners = [], []
+        for rows in batch.column(2).to_pylist():
+            lines: set[int] = set()
+            for row in rows:
+                for a, b in zip(row["first"], row["last"]):
+                    lines.update(range(a, b + 1))
+            gone.append(sorted(lines))
+            owners.append(sorted({row["owner_id"] for row in rows}))
+        return pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())),
+            pa.array(owners, pa.list_(pa.int64()))], names=["doc_id", "v", "gone", "owners"])
+
+    return map_batches(
+        held, run, "doc_id bigint, v bigint, gone array<int>, owners array<bigint>")
+
+
 def find_blocks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    min_line: int = MIN_LINE, min_block: int = MIN_BLOCK,
+    min_line: int = MIN_LINE, min_block: int = MIN_BLOCK, whole: bool = False,
 ) -> DataFrame:
     """``(doc_id, v, gone, owners)`` of each document that loses lines: ``gone`` are their
-    numbers, from 0, ``v`` the XXH64 of its text, ``owners`` the earlier documents."""
+    numbers, from 0, ``v`` the XXH64 of its text, ``owners`` the earlier documents. With
+    ``whole``, all that any earlier document holds in one piece goes, whatever the length of
+    its lines, and ``owners`` are the first holders of its windows."""
+    if whole:
+        return _held_windows(docs, id_col, text_col, min_block)
     lines = _lines(docs, id_col, text_col)
     # An owner is the smallest (id, text hash); ids may repeat, equal rows are one document.
     # Kept, so that the join has shuffles of its own, which adaptive execution may split.
@@ -207,12 +316,12 @@ def find_blocks(
 
 
 def _cleaned(
-    docs: DataFrame, id_col: str, text_col: str, min_line: int, min_block: int,
+    docs: DataFrame, id_col: str, text_col: str, min_line: int, min_block: int, whole: bool,
 ) -> tuple[DataFrame, str, str]:
     """All columns, the text cleaned, and two more: deleted line numbers and owners."""
     key, version, text_key, gone, owners = (
         unused(docs, n) for n in ("_id", "_v", "_h", "_gone", "_owners"))
-    found = find_blocks(docs, id_col, text_col, min_line, min_block).select(
+    found = find_blocks(docs, id_col, text_col, min_line, min_block, whole).select(
         F.col("doc_id").alias(key), F.col("v").alias(version), F.col("gone").alias(gone),
         F.col("owners").alias(owners))
     text = F.col(text_col)
@@ -230,7 +339,7 @@ def _cleaned(
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    min_line: int = MIN_LINE, min_block: int = MIN_BLOCK,
+    min_line: int = MIN_LINE, min_block: int = MIN_BLOCK, whole: bool = False,
 ) -> DataFrame:
     """The documents, all columns kept, with ``text`` cleared of blocks that an earlier document
     holds.
@@ -239,18 +348,18 @@ def dedup_lines(
     null id or text stay as they are; rows that repeat id and text count as one document and
     are all cleaned alike; rows that share only the id are told apart by their text. Blank
     lines are never matched."""
-    cleaned, gone, owners = _cleaned(docs, id_col, text_col, min_line, min_block)
+    cleaned, gone, owners = _cleaned(docs, id_col, text_col, min_line, min_block, whole)
     return cleaned.drop(gone, owners)
 
 
 def report(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    min_line: int = MIN_LINE, min_block: int = MIN_BLOCK,
+    min_line: int = MIN_LINE, min_block: int = MIN_BLOCK, whole: bool = False,
 ) -> DataFrame:
     """``doc_id, text, gone_lines, owners`` of each row: the cleaned text, how many lines it
     lost, and the ids of the earlier documents that hold them."""
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    cleaned, gone, owners = _cleaned(narrow, "doc_id", "text", min_line, min_block)
+    cleaned, gone, owners = _cleaned(narrow, "doc_id", "text", min_line, min_block, whole)
     return cleaned.select(
         "doc_id", "text",
         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias("gone_lines"),

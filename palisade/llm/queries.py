@@ -41,7 +41,7 @@ def op8_simhash(spark, sf_dir):
 
 @query
 def op1_line_dedup(spark, sf_dir):
-    cleaned = line_dedup.report(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.report(table(spark, sf_dir, "documents"), whole=True)
     return cleaned.select(
         "doc_id", "gone_lines", "owners", F.length("text").cast("bigint").alias("kept_chars"),
         F.sha2("text", 256).alias("kept_sha256"))

@@ -112,3 +112,76 @@ def test_odd_rows(spark):
     two = documents(spark, [passage, passage, passage, "other\n" + passage], [5, 5, 6, None])
     left = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(two).collect())
     assert left == [(0, "other\n" + passage), (5, passage), (5, passage), (6, "")]
+
+
+def held_anywhere(texts, min_block):
+    """Lines of each text in a run of enough characters that any earlier text holds in one
+    piece, by all pairs and all diagonals."""
+    lines = [[x.strip(SPACE) for x in t.split("\n")] for t in texts]
+    out = []
+    for d, late in enumerate(lines):
+        gone = set()
+        for early in lines[:d]:
+            for shift in range(-len(early), len(late)):
+                run = []
+                for l in range(len(late) + 1):
+                    e = l - shift
+                    if l < len(late) and 0 <= e < len(early) and late[l] and late[l] == early[e]:
+                        run.append(l)
+                        continue
+                    if sum(len(late[i]) for i in run) >= min_block:
+                        gone.update(run)
+                    run = []
+        out.append(gone)
+    return out
+
+
+def patience_anywhere(texts, min_line, min_block):
+    """Lines of each text in aligned blocks, by patience diff with every earlier text."""
+    lines = [[x.strip(SPACE) for x in t.split("\n")] for t in texts]
+    out = []
+    for d, late in enumerate(lines):
+        gone = set()
+        for o, early in enumerate(lines[:d]):
+            rows = [{"owner_id": o, "owner_v": 0, "length": len(x), "rare": len(x) >= min_line,
+                     "early": [i for i, y in enumerate(early) if y == x],
+                     "late": [i for i, y in enumerate(late) if y == x]}
+                    for x in {*late} & {*early} if x]
+            gone.update(line_dedup.deletions(rows, min_block)[0])
+        out.append(gone)
+    return out
+
+
+def lines_left(text, gone):
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+
+def test_whole_blocks_of_any_earlier_document(spark):
+    for seed in (1, 2, 3):
+        some = [t for t in texts(seed) if "\n\n" not in f"\n{t}\n"]
+        rows = {r["doc_id"]: r for r in line_dedup.report(
+            documents(spark, some), min_block=20, whole=True).collect()}
+        held = held_anywhere(some, 20)
+        assert [rows[d]["text"] for d in range(len(some))] == [
+            lines_left(t, g) for t, g in zip(some, held)]
+        assert all(a <= b for a, b in zip(patience_anywhere(some, 8, 20), held))
+
+
+def test_a_block_whose_lines_others_held_before(spark):
+    block = [f"line {i} of a passage that two documents hold" for i in range(5)]
+    twice = "\n".join([*block, "between", *block])
+    some = [f"{block[2]}\nsomething else", "\n".join(block), "\n".join(["own", *block, "end"])]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.report(
+        documents(spark, some), whole=True).collect()}
+    assert rows == {0: some[0], 1: some[1], 2: "own\nend"}
+    some = [twice, "own\n" + "\n".join(block)]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.report(
+        documents(spark, some), whole=True).collect()}
+    assert rows == {0: twice, 1: "own"}
+
+
+def test_a_passage_of_short_lines(spark):
+    verse = "\n".join(f"verse {i} short" for i in range(12))
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.report(
+        documents(spark, [verse, f"a\n{verse}\nb"]), whole=True).collect()}
+    assert rows == {0: verse, 1: "a\nb"}
