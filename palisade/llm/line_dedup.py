@@ -180,23 +180,22 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _LINE_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.int32()]
 
 
-def windows_of(text: str, min_block: int) -> dict[bytes, list[tuple[int, int]]]:
-    """Places ``(first line, last line)`` of the windows of a text, by 128-bit hashes of their
-    lines. A blank line ends a run."""
-    found: dict[bytes, list[tuple[int, int]]] = {}
+def windows_of(text: str, min_block: int) -> dict[bytes, list[tuple[int, int, int]]]:
+    """Places ``(first line, last line, next line)`` of the windows of a text, by 128-bit hashes
+    of their lines. Blank lines do not count: lines around them are neighbours."""
+    found: dict[bytes, list[tuple[int, int, int]]] = {}
     run: list[tuple[int, bytes, int]] = []
-    for no, line in enumerate([*text.split("\n"), ""]):
+    for no, line in enumerate(text.split("\n")):
         line = line.strip(_SPACE)
         if line:
             run.append((no, xxhash.xxh3_128_digest(line.encode("utf-8", "replace")), len(line)))
-        elif run:
-            _add_windows(found, run, min_block)
-            run = []
+    _add_windows(found, run, min_block)
     return found
 
 
 def _add_windows(found: dict, run: list[tuple[int, bytes, int]], min_block: int) -> None:
     codes = [code for _, code, _ in run]
+    places = [no for no, _, _ in run] + [-1]
     spans, start, held = set(), 0, 0
     for end, (_, _, length) in enumerate(run):
         held += length
@@ -214,20 +213,20 @@ def _add_windows(found: dict, run: list[tuple[int, bytes, int]], min_block: int)
             spans.add((low, end))
     for a, b in spans:
         key = codes[a] if a == b else xxhash.xxh3_128_digest(b"".join(codes[a:b + 1]))
-        found.setdefault(key, []).append((run[a][0], run[b][0]))
+        found.setdefault(key, []).append((places[a], places[b], places[b + 1]))
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -> DataFrame:
-    """``(a, b, doc_id, v, first, last)``: each distinct window of each document, by two halves
-    of its hash, with its places."""
+    """``(a, b, doc_id, v, first, last, next)``: each distinct window of each document, by two
+    halves of its hash, with its places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            columns = zip(*rows) if rows else [()] * 6
+            columns = zip(*rows) if rows else [()] * 7
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, _WINDOW_TYPES)],
-                names=["a", "b", "doc_id", "v", "first", "last"])
+                names=["a", "b", "doc_id", "v", "first", "last", "next"])
 
         for batch in slices(batches, 64):
             for i, v, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -242,10 +241,11 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -> Dat
         F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("v"),
         F.col(text_col).alias("text"))
     return whole.mapInArrow(
-        run, "a bigint, b bigint, doc_id bigint, v bigint, first array<int>, last array<int>")
+        run, "a bigint, b bigint, doc_id bigint, v bigint, first array<int>, last array<int>,"
+             " next array<int>")
 
 
-_WINDOW_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2
+_WINDOW_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 3
 _HELD_WINDOWS = 50_000
 
 
@@ -259,7 +259,7 @@ def _held_windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -
         windows.join(first, ["a", "b"])
         .where("(doc_id, v) <> (owner.doc_id, owner.v)")
         .groupBy("doc_id", "v").agg(F.collect_set(F.struct(
-            F.col("owner.doc_id").alias("owner_id"), "first", "last")).alias("held")))
+            F.col("owner.doc_id").alias("owner_id"), "first", "last", "next")).alias("held")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         gone, owners = [], []
@@ -268,6 +268,11 @@ def _held_windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -
             for row in rows:
                 for a, b in zip(row["first"], row["last"]):
                     lines.update(range(a, b + 1))
+            # Blank lines between two that go have nothing left to part.
+            for row in rows:
+                for b, after in zip(row["last"], row["next"]):
+                    if after in lines:
+                        lines.update(range(b + 1, after))
             gone.append(sorted(lines))
             owners.append(sorted({row["owner_id"] for row in rows}))
         return pa.RecordBatch.from_arrays([
@@ -347,7 +352,7 @@ def dedup_lines(
     "Earlier" is the smaller id. Line numbers and blocks are judged on the input. Rows with a
     null id or text stay as they are; rows that repeat id and text count as one document and
     are all cleaned alike; rows that share only the id are told apart by their text. Blank
-    lines are never matched."""
+    lines are never matched; with ``whole`` they do not part a block and go with it."""
     cleaned, gone, owners = _cleaned(docs, id_col, text_col, min_line, min_block, whole)
     return cleaned.drop(gone, owners)
 

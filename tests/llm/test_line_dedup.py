@@ -158,7 +158,7 @@ def lines_left(text, gone):
 
 def test_whole_blocks_of_any_earlier_document(spark):
     for seed in (1, 2, 3):
-        some = [t for t in texts(seed) if "\n\n" not in f"\n{t}\n"]
+        some = [t for t in texts(seed) if all(x.strip(SPACE) for x in t.split("\n"))]
         rows = {r["doc_id"]: r for r in line_dedup.report(
             documents(spark, some), min_block=20, whole=True).collect()}
         held = held_anywhere(some, 20)
@@ -185,3 +185,23 @@ def test_a_passage_of_short_lines(spark):
     rows = {r["doc_id"]: r["text"] for r in line_dedup.report(
         documents(spark, [verse, f"a\n{verse}\nb"]), whole=True).collect()}
     assert rows == {0: verse, 1: "a\nb"}
+
+
+def test_blank_lines_do_not_part_a_block(spark):
+    verse = "\n\n".join(f"verse {i}, in a paragraph of its own" for i in range(6))
+    long = "\n \n".join(f"paragraph {i} " + "of many words " * 9 for i in range(3))
+    some = [verse, verse.replace("\n\n", "\n"), f"a\n\n{verse}\n\nb", long, f"c\n{long}\n\nd"]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.report(
+        documents(spark, some), whole=True).collect()}
+    assert rows == {0: verse, 1: "", 2: "a\n\n\nb", 3: long, 4: "c\n\nd"}
+
+
+def test_runs_around_blank_lines(spark):
+    for seed in (4, 5):
+        some = [t.replace("\n", "\n\n" if n % 3 else "\n") for n, t in enumerate(texts(seed))]
+        rows = {r["doc_id"]: r["text"] for r in line_dedup.report(
+            documents(spark, some), min_block=20, whole=True).collect()}
+        dense = ["\n".join(x for x in t.split("\n") if x.strip(SPACE)) for t in some]
+        left = [lines_left(t, g) for t, g in zip(dense, held_anywhere(dense, 20))]
+        assert ["\n".join(x for x in rows[d].split("\n") if x.strip(SPACE))
+                for d in range(len(some))] == left
