@@ -1,16 +1,16 @@
 """Document scores by cross-entropy difference of two n-gram models.
 
-Word bigram models of a target set and of the whole corpus share one vocabulary (the
-``VOCABULARY`` most frequent words; others are one unknown word), one form and one smoothing;
-background counts are scaled to the target's size, so both are smoothed alike. A document's
-score is its mean loss per token under the target model less that under the background model:
-low where it reads like the target.
-
-Bigram counts grow with the corpus, so no task and no driver holds them. Documents are dealt
-into blocks. Each block sends its distinct bigrams with their counts to shards of the count
-table, packed in one message per shard; a shard sums the counts of all blocks and answers each
-block with the totals of what it asked for. Blocks then score their documents. Texts are
-shuffled once, and each distinct bigram of a block crosses the network twice.
+Word bigram models of a target set and of the whole corpus share one vocabulary, all words of
+the corpus, one form and one smoothing; background counts are scaled to the target's size, so
+both are smoothed alike. A document's score is its mean loss per token under the target model
+less that under the background model: low where it reads like the target.
+
+Word and bigram counts grow with the corpus, so no task and no driver holds them. Documents are
+dealt into blocks. Each block sends its distinct words and bigrams, as 64-bit hashes, with their
+counts to shards of the count table, packed in one message per shard; a shard sums the counts
+of all blocks and answers each block with the totals of what it asked for. Blocks then score
+their documents. Texts are shuffled once, and each distinct bigram of a block crosses the
+network twice.
 """
 from __future__ import annotations
 
@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import slices, spark_partitions
 
-VOCABULARY = 50_000
 # Documents of a block: what one task holds.
 BLOCK_DOCS = 4096
 MOST_PARTITIONS = 4096
@@ -64,85 +64,94 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.sum("n").alias("n"))
 
 
-class Vocabulary:
-    """Word numbers; then the unknown word, the start and the end of a text."""
+class _Numbers(dict):
+    """Numbers of a block's words, given as they are met; after the start and the end of a
+    text, and the unknown word, which stands for all but ``known``, if that is given."""
 
-    def __init__(self, words: list[bytes]):
-        self.of = {w: i for i, w in enumerate(words)}
-        self.unknown, self.start, self.end = len(words), len(words) + 1, len(words) + 2
-        self.size = len(words) + 3
+    def __init__(self, known: frozenset[bytes] | None):
+        super().__init__()
+        self.known, self.words = known, list(_MARKS)
 
-    def keys(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Bigram keys of all texts, each between its start and end, and where texts begin."""
-        get, unknown = self.of.get, self.unknown
+    def __missing__(self, word: bytes) -> int:
+        if self.known is not None and word not in self.known:
+            self[word] = _UNKNOWN
+        else:
+            self[word] = len(self.words)
+            self.words.append(word)
+        return self[word]
+
+
+# No word holds white space.
+_MARKS = (b" start", b" end", b" unknown")
+_START, _END, _UNKNOWN = range(3)
+
+
+class Block:
+    """Words and bigrams of texts, each between its start and end, by local numbers."""
+
+    def __init__(self, texts: list, known: frozenset[bytes] | None = None):
+        of = _Numbers(known)
         flat: list[int] = []
         bounds = [0]
         for text in texts:
-            flat.append(self.start)
-            flat.extend([get(w, unknown) for w in words_of(text)])
-            flat.append(self.end)
+            flat.append(_START)
+            flat.extend([of[w] for w in words_of(text)])
+            flat.append(_END)
             bounds.append(len(flat))
         ids = np.array(flat, dtype=np.int64)
-        pairs = ids[:-1] * self.size + ids[1:] if len(ids) else ids
+        self.size = len(of.words)
+        pairs = ids[:-1] * self.size + ids[1:]
         # The step from one text's end to the next one's start is no bigram.
         real = np.ones(len(pairs), dtype=bool)
         real[np.array(bounds[1:-1], dtype=np.int64) - 1] = False
-        starts = np.array(bounds[:-1], dtype=np.int64) - np.arange(len(texts))
-        return pairs[real], starts
-
-    def asked(self, pairs: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys, by shard, and the shard bounds: bigrams, then each word and
-        context in them as a key of its own above all bigrams."""
-        bigrams = np.unique(pairs)
-        singles = np.unique(np.concatenate([bigrams // self.size, bigrams % self.size]))
-        keys = np.concatenate([bigrams, self.size * self.size + singles])
-        shard = _shard(keys, shards)
-        order = np.lexsort((keys, shard))
-        return keys[order], np.searchsorted(shard[order], np.arange(shards + 1))
-
-    def counted(self, keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Occurrences of ``keys`` in ``pairs``. A word counts where it is predicted, and the
-        start, which never is, where it is a context."""
-        uniq, n = np.unique(pairs, return_counts=True)
-        second = np.bincount(uniq % self.size, n, self.size) if len(uniq) else np.zeros(self.size)
-        first = np.bincount(uniq // self.size, n, self.size) if len(uniq) else second
-        second[self.start] = first[self.start]
-        out = np.zeros(len(keys), dtype=np.int64)
-        single = keys >= self.size * self.size
-        out[single] = second[keys[single] - self.size * self.size].astype(np.int64)
-        if len(uniq):
-            at = np.minimum(np.searchsorted(uniq, keys), len(uniq) - 1)
-            hit = (uniq[at] == keys) & ~single
-            out[hit] = n[at[hit]]
-        return out
-
-
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-
-
-def losses(
-    vocabulary: Vocabulary, keys: np.ndarray, total: np.ndarray, target: np.ndarray,
-    n_total: float, n_target: float,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(bigrams, target loss, background loss)`` of the bigrams among ``keys``."""
-    size = vocabulary.size
-    single = keys >= size * size
-    all_of, target_of = np.zeros(size), np.zeros(size)
-    all_of[keys[single] - size * size] = total[single]
-    target_of[keys[single] - size * size] = target[single]
-    scale = n_target / n_total if n_total else 0.0
-    bigrams = keys[~single]
-    context, word = bigrams // size, bigrams % size
-    background = all_of / max(n_total, 1.0)
-    own = (target_of + UNIGRAM_PRIOR * background) / (n_target + UNIGRAM_PRIOR)
-
-    def loss(pair, unigram, before):
-        return -np.log((pair + BIGRAM_PRIOR * unigram[word]) / (before[context] + BIGRAM_PRIOR))
-
-    return (bigrams, loss(target[~single], own, target_of),
-            loss(scale * total[~single], background, scale * all_of))
+        self.lengths = np.diff(bounds) - 1
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        uniq, self.at = np.unique(pairs[real], return_inverse=True)
+        self.context, self.word = uniq // self.size, uniq % self.size
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, of.words), np.uint64, self.size)
+        keys = np.concatenate([_mixed(hashes[self.context], hashes[self.word]), hashes])
+        self.order = np.argsort(keys, kind="stable")
+        # Hashes of all bigrams and words, in order; each shard has a range of them.
+        self.keys = keys[self.order]
+
+    def bounds(self, shards: int) -> np.ndarray:
+        """Where the keys of each shard begin."""
+        shard = (self.keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+
+    def counted(self, chosen: np.ndarray | None = None) -> np.ndarray:
+        """Occurrences of ``keys`` in the ``chosen`` texts. A word counts where it is predicted,
+        and the start, which never is, where it is a context."""
+        weights = None if chosen is None else np.repeat(chosen, self.lengths).astype(float)
+        n = np.bincount(self.at, weights, len(self.word))
+        single = np.bincount(self.word, n, self.size)
+        single[_START] = n[self.context == _START].sum()
+        return np.concatenate([n, single])[self.order].astype(np.int64)
+
+    def losses(
+        self, total: np.ndarray, target: np.ndarray, n_total: float, n_target: float,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Target and background losses of all bigrams of the texts, by the counts of ``keys``."""
+        all_of, target_of = np.zeros(len(self.keys)), np.zeros(len(self.keys))
+        all_of[self.order], target_of[self.order] = total, target
+        cut = len(self.word)
+        scale = n_target / n_total if n_total else 0.0
+        background = all_of[cut:] / max(n_total, 1.0)
+        own = (target_of[cut:] + UNIGRAM_PRIOR * background) / (n_target + UNIGRAM_PRIOR)
+
+        def loss(pair, unigram, before):
+            return -np.log((pair + BIGRAM_PRIOR * unigram[self.word]) / (
+                before[self.context] + BIGRAM_PRIOR))[self.at]
+
+        return (loss(target_of[:cut], own, target_of[cut:]),
+                loss(scale * all_of[:cut], background, scale * all_of[cut:]))
+
+
+def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams by those of their words."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
 
 
 def _block(id_col: str, blocks: int, other: Column | None = None) -> Column:
@@ -155,10 +164,11 @@ def _block(id_col: str, blocks: int, other: Column | None = None) -> Column:
 
 def score(
     docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    vocabulary: int = VOCABULARY, block_docs: int = BLOCK_DOCS,
+    vocabulary: int | None = None, block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of each row; losses are means
-    in nats over the words and the end of the text.
+    in nats over the words and the end of the text. With ``vocabulary`` only so many most
+    frequent words are told apart, the others are one unknown word.
 
     ``targets`` holds the ids of the target set in ``id_col``. A null or empty text has no
     words and is scored by its end alone. Repeated rows count as often as they occur, in the
@@ -166,9 +176,10 @@ def score(
     target both models are the same and scores are 0. An empty table gives no rows."""
     spark = docs.sparkSession
     blocks = max(spark_partitions(spark), -(-docs.count() // block_docs))
-    counts = word_counts(docs, text_col)
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
-    shared = spark.sparkContext.broadcast([bytes(w) for w in top.column("word").to_pylist()])
+    shared = None
+    if vocabulary is not None:
+        top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
+        shared = spark.sparkContext.broadcast([bytes(w) for w in top.column("word").to_pylist()])
 
     texts = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -187,21 +198,21 @@ def score(
         parts, "block")
     wanted = ids.withColumn("block", _block("doc_id", blocks))
 
+    def block_of(table: pa.Table) -> Block:
+        return Block(table.column("text").to_pylist(),
+                     None if shared is None else frozenset(shared.value))
+
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Vocabulary(shared.value)
         if not left.num_rows:
             return _messages([])
         block = left.column("block")[0].as_py()
         chosen = set(right.column("doc_id").to_pylist())
-        in_target = [i in chosen for i in left.column("doc_id").to_pylist()]
-        all_texts = left.column("text").to_pylist()
-        pairs, _ = own.keys(all_texts)
-        keys, bounds = own.asked(pairs, blocks)
-        total = own.counted(keys, pairs)
-        few, _ = own.keys([t for t, mine in zip(all_texts, in_target) if mine])
-        target = own.counted(keys, few)
+        own = block_of(left)
+        total = own.counted()
+        target = own.counted(np.array([i in chosen for i in left.column("doc_id").to_pylist()]))
+        bounds = own.bounds(blocks).tolist()
         return _messages([
-            (s, block, _packed(keys[a:b], total[a:b], target[a:b]))
+            (s, block, _packed(own.keys[a:b], total[a:b], target[a:b]))
             for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -218,20 +229,16 @@ def score(
                                   table.column("block").to_pylist(), cuts, cuts[1:])])
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Vocabulary(shared.value)
         if not left.num_rows:
             return _scored([], [], [], [])
-        pairs, starts = own.keys(left.column("text").to_pylist())
-        keys, bounds = own.asked(pairs, blocks)
-        total, target = (np.zeros(len(keys), dtype=np.int64) for _ in range(2))
+        own = block_of(left)
+        bounds = own.bounds(blocks)
+        total, target = (np.zeros(len(own.keys), dtype=np.int64) for _ in range(2))
         for s, payload in zip(right.column("shard").to_pylist(), right.column("payload").to_pylist()):
             total[bounds[s]:bounds[s + 1]], target[bounds[s]:bounds[s + 1]] = _answered(payload)
-        bigrams, in_target, in_background = losses(own, keys, total, target, n_total, n_target)
-        order = np.argsort(bigrams)
-        at = order[np.searchsorted(bigrams, pairs, sorter=order)]
-        n = np.diff(np.append(starts, len(pairs)))
-        means = [np.add.reduceat(x[at], starts) / n for x in (in_target, in_background)]
-        return _scored(left.column("doc_id"), n - 1, *means)
+        means = [np.add.reduceat(x, own.starts) / own.lengths
+                 for x in own.losses(total, target, n_total, n_target)]
+        return _scored(left.column("doc_id"), own.lengths - 1, *means)
 
     messages = placed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
         ask, _MESSAGE)
@@ -259,29 +266,35 @@ def _messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def _packed(keys: np.ndarray | None, total: np.ndarray, target: np.ndarray) -> bytes:
-    """Columns one after the other, counts by rank of their bytes, which the shuffle's
-    compression then shortens."""
-    parts = [] if keys is None else [keys.astype("<u8").view(np.uint8).reshape(-1, 8).T[:5]]
-    parts += [c.astype("<u8").view(np.uint8).reshape(-1, 8).T[:5] for c in (total, target)]
-    return b"".join(p.tobytes() for p in parts)
+    """Columns one after the other, steps between sorted keys in 8 bytes and counts in 5, by
+    rank of their bytes, which the shuffle's compression then shortens."""
+    parts = [] if keys is None else [
+        _planes(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)), 8)]
+    return b"".join([*parts, _planes(total, 5), _planes(target, 5)])
+
+
+def _planes(column: np.ndarray, width: int) -> bytes:
+    return column.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
 
 
-def _columns(payload: bytes, count: int) -> list[np.ndarray]:
-    planes = np.frombuffer(payload, dtype=np.uint8).reshape(count * 5, -1)
-    out = []
-    for i in range(count):
+def _columns(payload: bytes, widths: list[int]) -> list[np.ndarray]:
+    planes = np.frombuffer(payload, dtype=np.uint8).reshape(sum(widths), -1)
+    out, at = [], 0
+    for width in widths:
         wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-        wide[:, :5] = planes[5 * i:5 * i + 5].T
-        out.append(wide.view("<i8").reshape(-1))
+        wide[:, :width] = planes[at:at + width].T
+        out.append(wide.view("<u8").reshape(-1))
+        at += width
     return out
 
 
 def _unpacked(payload: bytes) -> list[np.ndarray]:
-    return _columns(payload, 3)
+    steps, total, target = _columns(payload, [8, 5, 5])
+    return [np.cumsum(steps, dtype=np.uint64), total, target]
 
 
 def _answered(payload: bytes) -> list[np.ndarray]:
-    return _columns(payload, 2)
+    return _columns(payload, [5, 5])
 
 
 def _scored(ids, n, target, background) -> pa.Table:

@@ -85,3 +85,23 @@ def test_odd_rows(spark):
     rows = lm_score.score(docs, ids.limit(0)).collect()
     assert all(abs(r["score"]) < 1e-12 for r in rows)
     assert lm_score.score(spark.createDataFrame([], DOCS), ids).count() == 0
+
+
+def test_every_word_counts(spark):
+    """Far more words than any fixed vocabulary: all are told apart, in both models."""
+    r = random.Random(8)
+    some = [" ".join(f"w{r.randrange(90_000)}" for _ in range(1500)) for _ in range(80)]
+    assert len({w for t in some for w in t.split()}) > 60_000
+    target = set(range(0, 80, 2))
+    rows = {r["doc_id"]: r for r in lm_score.score(
+        documents(spark, some), spark.createDataFrame([(i,) for i in target], IDS),
+        block_docs=16).collect()}
+    for i, (own, background) in enumerate(slow(some, target, None)):
+        assert abs(rows[i]["target_loss"] - own) < 1e-9
+        assert abs(rows[i]["background_loss"] - background) < 1e-9
+
+
+def test_whole_64_bit_keys_survive_packing():
+    keys = np.sort(np.array([1, 1 << 40, (1 << 63) + 5, (1 << 64) - 1], dtype=np.uint64))
+    n = np.array([1, 2, 3, 4])
+    assert (lm_score._unpacked(lm_score._packed(keys, n, n))[0] == keys).all()
