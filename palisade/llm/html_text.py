@@ -25,8 +25,8 @@ WINDOW = 3
 SURGE = 80
 # Window sum under which text has ended, at a blank line.
 DIVE = 20
-# A stretch of text is kept if it has this share of the longest one.
-KEEP_SHARE = 0.3
+# A container named like noise is kept if it has more than this share of the unlinked text.
+MOST = 0.5
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -61,6 +61,11 @@ NOISE = frozenset("""ad ads adv advert adverts advertisement advertising adsense
   alert popup modal overlay newsletter subscribe subscription signup login comment comments
   disqus reply replies respond responses share sharing social related recommended recommendations
   pagination pager paging widget widgets disclaimer copyright skip""".split())
+# Words that name no content: a class or id of these and noise alone is noise.
+NEUTRAL = frozenset("""area bar block body bottom box button buttons container content footer group
+  header holder inner item items left links list main outer page panel right section site top
+  wrap wrapper""".split())
+NAMED = CONTAINERS - {"body", "html", "article", "main", "header", "hgroup"}
 ARTICLE_TOKENS = frozenset("articlebody".split())
 
 
@@ -71,6 +76,8 @@ class Line:
     linked: int = 0
     inside: bool = False
     heading: bool = False
+    # Open containers that are named like noise.
+    noise: tuple[int, ...] = ()
 
     def text(self) -> str:
         return _BLANK.sub(" ", "".join(self.pieces)).strip()
@@ -82,23 +89,24 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _role(name: str, text: str, in_article: bool, by_words: bool) -> str:
-    """``drop``, ``article`` or nothing, for an element that opens. ``by_words``: words in its
-    class and id may drop it."""
+    """``drop``, ``noise``, ``article`` or nothing, for an element that opens. ``by_words``: a
+    container whose class or id has a token all of noise and neutral words is noise."""
     if name in DROPPED or (name == "header" and not in_article):
         return "drop"
     found = _attributes(text)
     if found:
-        words = set()
+        noise = False
         for key in ("class", "id"):
             for token in found.get(key, "").split():
-                words.update(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+                words = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+                noise |= bool(words & NOISE) and words <= NOISE | NEUTRAL
         if "hidden" in found or found.get("aria-hidden") == "true" or re.search(
                 r"display\s*:\s*none", found.get("style", "")):
             return "drop"
         if found.get("role", "").lower() in ROLES:
             return "drop"
-        if by_words and name not in ("body", "html", "article", "main") and words & NOISE:
-            return "drop"
+        if by_words and name in NAMED and noise:
+            return "noise"
         if found.get("role", "").lower() in ("main", "article") or found.get(
                 "itemprop", "").lower() in ARTICLE_TOKENS:
             return "article"
@@ -110,7 +118,8 @@ def lines_of(page: str, by_words: bool = True) -> list[Line]:
     nothing opened is ignored."""
     lines = [Line()]
     stack: list[tuple[str, str]] = []
-    dropping = articles = links = 0
+    dropping = articles = links = noises = 0
+    noisy: list[int] = []
     at, size = 0, len(page)
 
     def end_line(blank: bool) -> None:
@@ -123,6 +132,8 @@ def lines_of(page: str, by_words: bool = True) -> list[Line]:
         nonlocal dropping, articles, links
         name, role = stack.pop()
         dropping -= role == "drop"
+        if role == "noise":
+            noisy.pop()
         articles -= role == "article"
         links -= name == "a"
 
@@ -135,6 +146,7 @@ def lines_of(page: str, by_words: bool = True) -> list[Line]:
             if text.isspace():
                 return
             line.inside = articles > 0
+            line.noise = tuple(noisy)
             line.heading = any(n[0] == "h" and n[1:].isdigit() for n, _ in stack)
         line.pieces.append(text)
         if links:
@@ -176,13 +188,31 @@ def lines_of(page: str, by_words: bool = True) -> list[Line]:
                 leave()
         stack.append((name, role))
         dropping += role == "drop"
+        if role == "noise":
+            noises += 1
+            noisy.append(noises)
         articles += role == "article"
         links += name == "a"
         if name in RAW:
             close = re.compile(rf"</{name}\s*[^>]*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else size
             leave()
-    return lines
+    return _without_noise(lines)
+
+
+def _without_noise(lines: list[Line]) -> list[Line]:
+    """Empties lines in containers named like noise, unless one holds most of the text."""
+    if not any(line.noise for line in lines):
+        return lines
+    held: dict[int, int] = {}
+    total = 0
+    for line in lines:
+        size = max(0, len(line.text()) - line.linked)
+        total += size
+        for n in line.noise:
+            held[n] = held.get(n, 0) + size
+    gone = {n for n, size in held.items() if size <= MOST * total}
+    return [Line() if gone.intersection(line.noise) else line for line in lines]
 
 
 def _end_paragraph(stack: list[tuple[str, str]], leave) -> None:
@@ -234,15 +264,13 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     found = surges(lengths, window, surge) or surges(lengths, window, 1)
     if not found:
         return ""
-    weight = [sum(lengths[a:b]) for a, b in found]
     kept = []
-    for (a, b), size in zip(found, weight):
-        if size >= KEEP_SHARE * max(weight):
-            # A heading right before its text belongs to it.
-            while a > 0 and (lines[a - 1].heading or not texts[a - 1]) and any(
-                    line.heading and t for line, t in zip(lines[max(0, a - 2):a], texts[max(0, a - 2):a])):
-                a -= 1
-            kept.append((a, b))
+    for a, b in found:
+        # A heading right before its text belongs to it.
+        while a > 0 and (lines[a - 1].heading or not texts[a - 1]) and any(
+                line.heading and t for line, t in zip(lines[max(0, a - 2):a], texts[max(0, a - 2):a])):
+            a -= 1
+        kept.append((a, b))
     return " ".join(t for a, b in kept for t in texts[a:b] if t)
 
 

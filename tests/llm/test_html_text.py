@@ -57,3 +57,19 @@ def test_whole_texts(spark):
         (1, "", 0), (None, "", 0), (1, "a b", 3), (2, "word word", 299_999)] or [
         (r["page_id"], r["n_chars"]) for r in rows] == [(None, 0), (1, 0), (1, 3), (2, 299_999)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_parts_of_an_article_named_like_noise_are_kept():
+    page = f"""<article><h1>Title</h1><div class="entry-content has-sidebar"><h2 id="related-work">
+      Related work</h2><p class="notice">{LONG}</p><section id="social-impact"><p>{LONG}</p>
+      </section></div><div class="share-buttons">Share it</div></article>"""
+    assert main_text(page) == f"Title Related work {LONG} {LONG}"
+    page = f"""<div class="sidebar">{LONG}</div><div id="content" class="widget"><p>{LONG}</p>
+      <p>{LONG}</p><p>{LONG}</p></div>"""
+    assert main_text(page) == f"{LONG} {LONG} {LONG}"
+
+
+def test_a_short_second_part_is_kept():
+    links = "".join(f"<li><a href=x>link {i} to another page</a>" for i in range(9))
+    page = f"<div>{f'<p>{LONG}</p>' * 9}</div><ul>{links}</ul><div><p>{LONG}</p></div>"
+    assert main_text(page) == " ".join([LONG] * 10)
