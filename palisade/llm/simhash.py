@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from palisade.llm.common import columns_of, map_batches, saved, slices, unused
@@ -222,30 +223,51 @@ def near_duplicates(
     Rows with a null id get a fingerprint and the smallest id of their component, null where
     no member has an id. Repeated rows and ids give a row each. Other columns are ignored.
     """
+    return _grouped(docs, id_col, text_col, radius).drop("root")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS) -> DataFrame:
+    """``near_duplicates`` with ``root``, which tells components of the same smallest id apart."""
     printed = saved(fingerprints(docs, id_col, text_col))
     distinct = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(near_links(distinct.select("fp"), radius))
     labelled = distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select(
         "fp", "first_id", F.coalesce("root", F.xxhash64("fp")).alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = labelled.join(smallest, "root").select("fp", "component_id")
-    return printed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = labelled.join(smallest, "root").select("fp", "component_id", "root")
+    return printed.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each group: that with the smallest id. Of rows that repeat an id
-    one stays, chosen by content. Rows with a null id are kept: nothing could name them."""
-    found = saved(near_duplicates(docs, id_col, text_col))
+    """The documents, one of each group: that with the smallest id, of rows that repeat it in
+    the group one, chosen by content. An id with texts in several groups is judged in each of
+    them. Rows with a null id are kept: nothing could name them."""
+    found = saved(_grouped(docs, id_col, text_col))
+    own = found.where("doc_id = component_id")
     others = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(others, id_col, "left_anti").select(*columns_of(docs))
     again = saved(
-        found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-        .select(F.col("doc_id").alias(id_col)))
+        found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.expr("doc_id = component_id")).alias("own"))
+        .where("n > 1 AND own").select(F.col("doc_id").alias(id_col)))
+    left = docs.join(others, id_col, "left_anti").select(*columns_of(docs))
     if again.isEmpty():
         return left
-    mark, number = unused(docs, "_mark"), unused(docs, "_number")
-    once = left.join(again, id_col, "left_semi").withColumn(
+    key, print_, fp, root, mark, number = (
+        unused(docs, n) for n in ("_key", "_print", "_fp", "_root", "_mark", "_number"))
+    repeated = docs.join(again, id_col, "left_semi").select(*columns_of(docs))
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64)
+        return batch.append_column(print_, pa.array(fps.view(np.int64)))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(print_, T.LongType())])
+    first = own.select(
+        F.col("doc_id").alias(key), F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
+    once = map_batches(repeated, run, schema).join(
+        first, (F.col(id_col).cast("bigint") == F.col(key))
+        & (F.col(print_) == F.col(fp))).withColumn(
         mark, F.xxhash64(*columns_of(docs))).withColumn(
-        number, F.row_number().over(Window.partitionBy(id_col).orderBy(mark)))
+        number, F.row_number().over(Window.partitionBy(key, root).orderBy(mark)))
     return left.join(again, id_col, "left_anti").select(*columns_of(docs)).unionByName(
         once.where(F.col(number) == 1).select(*columns_of(docs)))

@@ -112,3 +112,12 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 3, 7, 9]
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_every_group_keeps_one_where_ids_repeat(spark):
+    """Id 5 has one text alone and another in the group of id 1, id 8 two texts alone."""
+    r = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{r.randrange(500)}" for _ in range(60)) for x in "abcd")
+    docs = documents(spark, [a, a, b, b, c, d], [1, 5, 5, 5, 8, 8])
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([(1, a), (5, b), (8, c), (8, d)])
