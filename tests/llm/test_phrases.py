@@ -1,0 +1,113 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from cases import CLASHING, DOCS, ODD_IDS, ODD_TEXTS
+from palisade.llm import phrases
+
+
+def brute(rows, least, most, longest=3, inside=50):
+    """Counts, cuts and containment literally as the contract has them."""
+    counts, totals = {}, Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", text):
+            words = re.findall("[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for n in range(1, longest + 1):
+                for i in range(len(words) - n + 1):
+                    counts.setdefault(lang, Counter())[tuple(words[i:i + n])] += 1
+    out = []
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        kept = []
+        for p, a in candidates.items():
+            if any(100 * b >= inside * a and len(q) > len(p) and any(
+                    q[i:i + len(p)] == p for i in range(len(q))) for q, b in candidates.items()):
+                continue
+            score, _, left, right = min(
+                (1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]])
+                for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(kept)[:most], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def random_rows(seed, n=120):
+    r = random.Random(seed)
+    words = ["a", "b", "É", "é", "the", "The", "x" * 9, "né", "ab", "b" * 3]
+    return [(r.choice(["en", "de", None, "en"]), "".join(
+        r.choice(words) + r.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\r", " \x0b", " ! "])
+        for _ in range(r.randrange(60)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("bits,size,longest", [(64, 1 << 20, 3), (64, 60, 3), (5, 400, 3), (12, 1 << 20, 4)])
+def test_equals_brute_force(spark, bits, size, longest):
+    """Whole blocks, texts cut between words, and forced collisions of fingerprints."""
+    rows = random_rows(bits + longest)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    for least, most in ((10, 2000), (3, 7)):
+        got = phrases.collocations(docs, least, most, longest, bits=bits, size=size)
+        assert found(got) == brute(rows, least, most, longest)
+
+
+def test_cuts_lose_and_repeat_nothing():
+    r = random.Random(4)
+    for _ in range(200):
+        text = "".join(r.choice("ab  .\t") for _ in range(r.randrange(80))).encode()
+        for size in (1, 5, 17):
+            parts = list(phrases.cut_long(text, size))
+            assert b"".join(p[:own] for p, own in parts) == text
+            whole, cut = Counter(), Counter()
+            for data, own, seen in [(text, len(text), whole), *((p, o, cut) for p, o in parts)]:
+                prints, _, counts = phrases.block_entries(data, own, 1, 3)
+                for f, c in zip(prints.tolist(), counts.tolist()):
+                    seen[f] += c
+            assert whole == cut
+
+
+def test_planes_round_trip():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 7, 1000):
+        columns = (r.integers(0, 1 << 64, n, dtype=np.uint64), r.integers(0, 1 << 20, n).astype(np.uint32))
+        back = phrases._columns(phrases._planes(*columns), n, np.uint64, np.uint32)
+        assert all((a == b).all() for a, b in zip(columns, back))
+
+
+def test_large_counts_are_exact(spark):
+    """Products of counts far beyond 64 bits."""
+    a, l, r = 3_000_000_007, 4_000_000_009, 7_000_000_001
+    row = spark.sql(
+        f"select cast({a}L as decimal(38,0)) * cast({a}L as decimal(38,0)) * 1000000 div "
+        f"(cast({l}L as decimal(38,0)) * cast({r}L as decimal(38,0))) as score").first()
+    assert row["score"] == 1_000_000 * a * a // (l * r)
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing names, an empty table."""
+    rows = [(i, t, None if n % 2 else "en", None, None, *[None] * len(CLASHING))
+            for n, (i, t) in enumerate(zip(ODD_IDS, ODD_TEXTS))]
+    from pyspark.sql import types as T
+    docs = spark.createDataFrame(rows, T.StructType([
+        *DOCS.fields, *(T.StructField(c, T.StringType()) for c in CLASHING)]))
+    plain = [(r[2], r[1]) for r in rows]
+    for least in (1, 2, 10):
+        assert found(phrases.collocations(docs, least, size=10_000)) == brute(plain, least, 2000)
+    empty = spark.createDataFrame([], DOCS)
+    assert phrases.collocations(empty).collect() == []
+    assert phrases.collocations(docs.where("text = ''")).collect() == []
+
+
+def test_one_language_and_one_phrase_hold_most_rows(spark):
+    rows = [("en", "hot phrase here, hot phrase here")] * 900 + random_rows(9, 60)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(16)
+    assert found(phrases.collocations(docs, size=500)) == brute(rows, 10, 2000)
