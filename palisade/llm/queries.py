@@ -98,7 +98,7 @@ WITH texts AS (
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
     FROM documents),
 pieces AS (
-    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), x -> x <> '') AS words
+    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words
     FROM texts),
 counted AS (
     SELECT lang, size, phrase, count(*) AS f FROM (
