@@ -24,9 +24,13 @@ from pyspark.sql.window import Window
 from palisade.llm.common import saved, slices, spark_partitions
 
 # Bytes of text in a block; a longer word makes a longer block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+# Bytes of a block that are hashed at once.
+_STRIDE = 1 << 20
 # Blocks whose entries meet in one group of the shuffle.
 _BLOCKS_A_GROUP = 4
+# Lots in which a language's candidates are ranked first.
+_LOTS = 8
 # An entry's pointer is the number of its first word times this, plus its number of words.
 _STEP = 8
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -77,17 +81,38 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return a, starts, ends, np.cumsum(kind == 2)[starts] if len(a) else starts
 
 
+def _runs(starts: np.ndarray, ends: np.ndarray) -> Iterator[slice]:
+    """The words in runs of about ``_STRIDE`` bytes."""
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + _STRIDE, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _word_prints(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprint of each word."""
+    prints = np.zeros(len(starts), np.uint64)
+    for run in _runs(starts, ends):
+        base = starts[run.start]
+        prints[run] = _windows(
+            _BYTES[a[base:ends[run.stop - 1]]], starts[run] - base, ends[run] - base)
+    return _mixed(prints)
+
+
 def _word_ids(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Equal numbers for equal words: by fingerprint, checked byte by byte."""
     _, first, ids = np.unique(prints, return_index=True, return_inverse=True)
     lengths, like = ends - starts, first[ids]
-    same = (lengths == lengths[like]).all()
-    if same:
+
+    def same(run: slice) -> bool:
         # Every byte against the byte at its place in the first word of that fingerprint.
-        word = np.repeat(np.arange(len(starts)), lengths)
-        within = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        same = (a[starts[word] + within] == a[starts[like[word]] + within]).all()
-    if same:
+        n = lengths[run]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return bool((a[np.repeat(starts[run], n) + within]
+                     == a[np.repeat(starts[like[run]], n) + within]).all())
+
+    if (lengths == lengths[like]).all() and all(same(run) for run in _runs(starts, ends)):
         return ids
     data, seen = a.tobytes(), {}
     return np.array([seen.setdefault(data[s:e], len(seen))
@@ -113,7 +138,7 @@ def block_entries(
     in the first ``own`` bytes, ordered by fingerprint. ``bits`` fewer than 64 make collisions."""
     a, starts, ends, piece = _words(data)
     drop = np.uint64(64 - bits)
-    words = _mixed(_windows(_BYTES[a], starts, ends)) >> drop
+    words = _word_prints(a, starts, ends) >> drop
     ids = _word_ids(a, starts, ends, words)
     parts = []
     for n in range(1, longest + 1):
@@ -264,22 +289,21 @@ def frequent_phrases(
         rows = block.to_pylist()
         if not rows or not wanted.num_rows:
             return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()),
-                             "n_words": pa.array([], pa.int32()), "f": pa.array([], pa.int64())})
+                             "f": pa.array([], pa.int64())})
         data = pa.decompress(rows[0]["data"], rows[0]["length"], codec="zstd", asbytes=True)
         _, starts, ends, _ = _words(data)
-        starts, ends = starts.tolist(), ends.tolist()
-        phrases, sizes, counts = [], [], []
+        phrases, counts = [], []
         for size, packed_ in zip(wanted.column("size").to_pylist(), wanted.column("data").to_pylist()):
             pointers, own = _columns(packed_, size, np.uint32, np.uint32)
-            for p in pointers.tolist():
-                at, n = divmod(p, _STEP)
-                phrases.append(b" ".join(
-                    [data[starts[i]:ends[i]] for i in range(at, at + n)]).decode())
-                sizes.append(n)
-            counts.extend(own.tolist())
+            first = (pointers // _STEP).astype(np.int64)
+            last = first + pointers % _STEP - 1
+            phrases.extend(
+                b" ".join(data[s:e].split()).decode()
+                for s, e in zip(starts[first].tolist(), ends[last].tolist()))
+            counts.append(own)
         return pa.table({"lang": pa.array([rows[0]["lang"]] * len(phrases), pa.string()),
                          "phrase": pa.array(phrases, pa.string()),
-                         "n_words": pa.array(sizes, pa.int32()), "f": pa.array(counts, pa.int64())})
+                         "f": pa.array(np.concatenate(counts).astype(np.int64))})
 
     wanted = (
         packed.mapInArrow(dealt, "part int, block long, size int, data binary")
@@ -287,9 +311,9 @@ def frequent_phrases(
     texts = packed.select("block", "lang", "length", "data")
     return (
         wanted.groupBy("block").cogroup(texts.groupBy("block"))
-        .applyInArrow(read, "lang string, phrase string, n_words int, f long")
-        .groupBy("lang", "phrase").agg(F.first("n_words").alias("n_words"), F.sum("f").alias("f"))
-        .where(F.col("f") >= least))
+        .applyInArrow(read, "lang string, phrase string, f long")
+        .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        .select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f"))
 
 
 def collocations(
@@ -334,9 +358,14 @@ def collocations(
             F.expr(f"{wide['f']} * {wide['f']} * 1000000 div ({wide['l']} * {wide['r']})").alias("score"),
             "k", "l", "r").alias("cut"))
         .groupBy("lang", "phrase", "f").agg(F.min("cut").alias("cut")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    lot = F.pmod(F.hash("phrase"), F.lit(_LOTS))
     return (
         scored.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+        # Lots first, so that no task ranks more than a fixed number of rows of a language.
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang", lot).orderBy(*order)))
+        .where(F.col("rank") <= most)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+        .where(F.col("rank") <= most)
         .join(totals, "lang")
         .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
