@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,21 @@ def unused(df: DataFrame, name: str) -> str:
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Numbers of several columns byte plane by byte plane, compressed: high bytes are mostly zero."""
+    raw = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, *kinds: type) -> list[np.ndarray]:
+    """The ``size`` numbers of each column that ``packed`` took."""
+    widths = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.decompress(data, size * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    found, at = [], 0
+    for kind, width in zip(kinds, widths):
+        planes = raw[at:at + size * width].reshape(width, size)
+        found.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * width
+    return found

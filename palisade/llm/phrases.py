@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.llm.common import saved, slices, spark_partitions
+from palisade.llm.common import packed, saved, slices, spark_partitions, unpacked
 
 # Bytes of text in a block; a longer word makes a longer block.
 BLOCK_BYTES = 8 << 20
@@ -152,23 +152,6 @@ def block_entries(
     return prints[order], pointers[order].astype(np.uint32), counts[order].astype(np.uint32)
 
 
-def _planes(*columns: np.ndarray) -> bytes:
-    """Columns byte plane by byte plane, compressed: high bytes are mostly zero."""
-    raw = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
-    return pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _columns(data: bytes, size: int, *kinds: type) -> list[np.ndarray]:
-    widths = [np.dtype(k).itemsize for k in kinds]
-    raw = np.frombuffer(pa.decompress(data, size * sum(widths), codec="zstd", asbytes=True), np.uint8)
-    found, at = [], 0
-    for kind, width in zip(kinds, widths):
-        planes = raw[at:at + size * width].reshape(width, size)
-        found.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += size * width
-    return found
-
-
 def cut_long(data: bytes, most: int) -> Iterator[tuple[bytes, int]]:
     """``(part, own)``: the text in parts of about ``most`` bytes. A part ends at the end of a
     piece; inside a longer piece it ends between words, and what starts in its first ``own``
@@ -242,14 +225,14 @@ def blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
 
 def frequent_phrases(
-    packed: DataFrame, least: int, longest: int, bits: int = 64,
+    stored: DataFrame, least: int, longest: int, bits: int = 64,
 ) -> DataFrame:
     """``lang, phrase, n_words, f``: every sequence of up to ``longest`` words with ``f``
     occurrences, ``least`` or more, from stored blocks."""
     if not 1 <= longest < _STEP:
         raise ValueError(f"phrases of 1 to {_STEP - 1} words")
-    spark = packed.sparkSession
-    groups = max(spark_partitions(spark), packed.count() // _BLOCKS_A_GROUP)
+    spark = stored.sparkSession
+    groups = max(spark_partitions(spark), stored.count() // _BLOCKS_A_GROUP)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -260,7 +243,7 @@ def frequent_phrases(
             group = ((prints >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
             edges = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64)).tolist()
             chosen = [k for k in range(groups) if edges[k] < edges[k + 1]]
-            payload = [_planes(np.diff(prints[s:e], prepend=np.uint64(0)), pointers[s:e], counts[s:e])
+            payload = [packed(np.diff(prints[s:e], prepend=np.uint64(0)), pointers[s:e], counts[s:e])
                        for s, e in ((edges[k], edges[k + 1]) for k in chosen)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(chosen, pa.int32()), pa.array([row["block"]] * len(chosen), pa.int64()),
@@ -269,7 +252,7 @@ def frequent_phrases(
 
     def summed(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "size", "data"))))
-        entries = [_columns(d, n, np.uint64, np.uint32, np.uint32) for _, n, d in rows]
+        entries = [unpacked(d, n, np.uint64, np.uint32, np.uint32) for _, n, d in rows]
         prints = np.concatenate([np.cumsum(p) for p, _, _ in entries])
         counts = np.concatenate([c for _, _, c in entries])
         _, which = np.unique(prints, return_inverse=True)
@@ -279,7 +262,7 @@ def frequent_phrases(
             take = often[at:at + size]
             at += size
             if take.any():
-                out.append((block, int(take.sum()), _planes(pointers[take], own[take])))
+                out.append((block, int(take.sum()), packed(pointers[take], own[take])))
         blocks_, sizes, data = zip(*out) if out else ((), (), ())
         return pa.Table.from_arrays(
             [pa.array(blocks_, pa.int64()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())],
@@ -293,8 +276,8 @@ def frequent_phrases(
         data = pa.decompress(rows[0]["data"], rows[0]["length"], codec="zstd", asbytes=True)
         _, starts, ends, _ = _words(data)
         phrases, counts = [], []
-        for size, packed_ in zip(wanted.column("size").to_pylist(), wanted.column("data").to_pylist()):
-            pointers, own = _columns(packed_, size, np.uint32, np.uint32)
+        for size, data_ in zip(wanted.column("size").to_pylist(), wanted.column("data").to_pylist()):
+            pointers, own = unpacked(data_, size, np.uint32, np.uint32)
             first = (pointers // _STEP).astype(np.int64)
             last = first + pointers % _STEP - 1
             phrases.extend(
@@ -306,9 +289,9 @@ def frequent_phrases(
                          "f": pa.array(np.concatenate(counts).astype(np.int64))})
 
     wanted = (
-        packed.mapInArrow(dealt, "part int, block long, size int, data binary")
+        stored.mapInArrow(dealt, "part int, block long, size int, data binary")
         .groupBy("part").applyInArrow(summed, "block long, size int, data binary"))
-    texts = packed.select("block", "lang", "length", "data")
+    texts = stored.select("block", "lang", "length", "data")
     return (
         wanted.groupBy("block").cogroup(texts.groupBy("block"))
         .applyInArrow(read, "lang string, phrase string, f long")
@@ -331,9 +314,9 @@ def collocations(
     Null and empty texts hold no words; a null language is ``und``; repeated rows count each
     time; ids are not used, nor any other column; an empty table gives no rows. Texts of any
     length are cut between words."""
-    packed = saved(blocks(docs, lang_col, text_col, size))
-    phrases = saved(frequent_phrases(packed, least, longest, bits))
-    totals = packed.groupBy("lang").agg(F.sum("words").alias("n"))
+    stored = saved(blocks(docs, lang_col, text_col, size))
+    phrases = saved(frequent_phrases(stored, least, longest, bits))
+    totals = stored.groupBy("lang").agg(F.sum("words").alias("n"))
     words = F.split("phrase", " ")
     candidates = phrases.where("n_words > 1").withColumn("w", words)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import (
     ann, decontaminate, html_text, line_dedup, lm_score, mix, phrases, quality, simhash, suffix_dedup,
-    token_count)
+    token_align, token_count)
 from palisade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,11 @@ def op12_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_token_alignment(spark, sf_dir):
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op12_collocations"] = """
 WITH texts AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cases import CLASHING, DOCS, ODD_IDS, ODD_TEXTS
-from palisade.llm import phrases
+from palisade.llm import common, phrases
 
 
 def brute(rows, least, most, longest=3, inside=50):
@@ -79,7 +79,7 @@ def test_planes_round_trip():
     r = np.random.default_rng(2)
     for n in (0, 1, 7, 1000):
         columns = (r.integers(0, 1 << 64, n, dtype=np.uint64), r.integers(0, 1 << 20, n).astype(np.uint32))
-        back = phrases._columns(phrases._planes(*columns), n, np.uint64, np.uint32)
+        back = common.unpacked(common.packed(*columns), n, np.uint64, np.uint32)
         assert all((a == b).all() for a, b in zip(columns, back))
 
 
