@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import (
-    ann, decontaminate, html_text, line_dedup, lm_score, mix, phrases, quality, simhash, suffix_dedup,
-    token_align, token_count)
+    ann, decontaminate, html_text, line_dedup, lm_score, mix, phrases, quality, quality_rules,
+    simhash, suffix_dedup, token_align, token_count)
 from palisade.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,12 @@ def op9_lm_score(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"), good)
 
 
+@query
+def op11_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op12_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
