@@ -24,9 +24,11 @@ from pyspark.sql.window import Window
 from palisade.llm.common import packed, saved, slices, spark_partitions, unpacked
 
 # Bytes of text in a block; a longer word makes a longer block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 # Bytes of a block that are hashed at once.
 _STRIDE = 1 << 20
+# Bits of a fingerprint that travel. Collisions end in the text, so this is a matter of size only.
+PRINT_BITS = 52
 # Blocks whose entries meet in one group of the shuffle.
 _BLOCKS_A_GROUP = 4
 # Lots in which a language's candidates are ranked first.
@@ -74,11 +76,9 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     """The bytes, each word's start and end, and the piece it stands in."""
     a = np.frombuffer(data, np.uint8)
     kind = _KIND[a]
-    inside = np.zeros(len(a) + 2, np.int8)
-    inside[1:-1] = kind == 0
-    edges = np.diff(inside)
+    edges = np.diff((kind == 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    return a, starts, ends, np.cumsum(kind == 2)[starts] if len(a) else starts
+    return a, starts, ends, np.cumsum(kind == 2, dtype=np.int32)[starts]
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> Iterator[slice]:
@@ -125,14 +125,14 @@ def _counted(prints: np.ndarray, at: np.ndarray, columns: list[np.ndarray]):
     found, first, groups, counts = np.unique(
         prints, return_index=True, return_inverse=True, return_counts=True)
     if all((c == c[first][groups]).all() for c in columns):
-        return found, at[first], counts
+        return found, at[first].astype(np.uint32), counts.astype(np.uint32)
     rows = np.column_stack([prints, *(c.astype(np.uint64) for c in columns)])
     found, first, counts = np.unique(rows, axis=0, return_index=True, return_counts=True)
-    return found[:, 0], at[first], counts
+    return found[:, 0], at[first].astype(np.uint32), counts.astype(np.uint32)
 
 
 def block_entries(
-    data: bytes, own: int, seed: int, longest: int, bits: int = 64,
+    data: bytes, own: int, seed: int, longest: int, bits: int = PRINT_BITS,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints, pointers and counts of all sequences of up to ``longest`` words that start
     in the first ``own`` bytes, ordered by fingerprint. ``bits`` fewer than 64 make collisions."""
@@ -146,10 +146,11 @@ def block_entries(
         at = np.flatnonzero((piece[:size] == piece[n - 1:]) & (starts[:size] < own))
         prints = _mixed(_windows(words, at, at + n) + np.uint64((seed * _STEP + n) % (1 << 64)))
         found, first, counts = _counted(prints >> drop, at, [ids[at + i] for i in range(n)])
-        parts.append((found << drop, first * _STEP + n, counts))
+        parts.append((found << drop, first * np.uint32(_STEP) + np.uint32(n), counts))
     prints, pointers, counts = (np.concatenate(x) for x in zip(*parts))
+    del parts, words, ids, starts, ends, piece
     order = np.argsort(prints, kind="stable")
-    return prints[order], pointers[order].astype(np.uint32), counts[order].astype(np.uint32)
+    return prints[order], pointers[order], counts[order]
 
 
 def cut_long(data: bytes, most: int) -> Iterator[tuple[bytes, int]]:
@@ -225,7 +226,7 @@ def blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
 
 def frequent_phrases(
-    stored: DataFrame, least: int, longest: int, bits: int = 64,
+    stored: DataFrame, least: int, longest: int, bits: int = PRINT_BITS,
 ) -> DataFrame:
     """``lang, phrase, n_words, f``: every sequence of up to ``longest`` words with ``f``
     occurrences, ``least`` or more, from stored blocks."""
@@ -301,7 +302,7 @@ def frequent_phrases(
 
 def collocations(
     docs: DataFrame, least: int = 10, most: int = 2_000, longest: int = 3, inside: int = 50,
-    lang_col: str = "lang", text_col: str = "text", bits: int = 64, size: int = BLOCK_BYTES,
+    lang_col: str = "lang", text_col: str = "text", bits: int = PRINT_BITS, size: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per language the first ``most`` phrases of two to ``longest`` words by score.
 
@@ -333,11 +334,11 @@ def collocations(
         .where(F.expr(f"longer is null or cast(longer as decimal(38, 0)) * 100 < {wide['f']} * {inside}"))
         .select("lang", "phrase", "f", "w", "n_words",
                 F.explode(F.expr("sequence(1, n_words - 1)")).alias("k"))
-        .select("lang", "phrase", "f", "k",
+        .select("lang", "f", "k",
                 F.expr("array_join(slice(w, 1, k), ' ')").alias("left"),
                 F.expr("array_join(slice(w, k + 1, n_words - k), ' ')").alias("right"))
         .join(left, ["lang", "left"]).join(right, ["lang", "right"])
-        .select("lang", "phrase", "f", F.struct(
+        .select("lang", F.concat_ws(" ", "left", "right").alias("phrase"), "f", F.struct(
             F.expr(f"{wide['f']} * {wide['f']} * 1000000 div ({wide['l']} * {wide['r']})").alias("score"),
             "k", "l", "r").alias("cut"))
         .groupBy("lang", "phrase", "f").agg(F.min("cut").alias("cut")))

@@ -20,6 +20,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ CHUNK = 1 << 16
 FAN = 8
 # Pairs whose counts every task gets, the most frequent ones; the others meet theirs in a join.
 HOT_PAIRS = 1 << 18
-# Units a worker remembers, and characters of the longest remembered.
-REMEMBERED, LONG_UNIT = 150_000, 200
+# Units a worker remembers; they may hold as many characters as so many units of 50.
+REMEMBERED = 250_000
 # Links of a group from which its ids are counted before they are paired.
 _WIDE = 256
 # Spaces of one tokenizer's pattern or the other's beyond those that Python strips.
@@ -94,12 +95,24 @@ class Tokenizers:
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
 
+        self.a_lengths, self.b_lengths = (
+            np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
+        # Ids in decimal, padded with zero bytes and with room for a separator.
+        written = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.n_digits = np.fromiter(map(len, written), np.int64, len(written))
+        room = int(self.n_digits.max()) + 1
+        self.digits = np.frombuffer(
+            b"".join(w.ljust(room, b"\0") for w in written), np.uint8).reshape(-1, room)
+
+    def ids(self, texts: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both for a space and each text."""
+        found = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [x.ids for x in found], self.b.encode(list(texts), num_threads=1)
+
     def encode(self, texts: Sequence[str]) -> Iterator[tuple[list[int], list[int], bool]]:
         """Ids of both for a space and each text, and whether their bytes are just that."""
-        left = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        right = self.b.encode(list(texts), num_threads=1)
-        for text, x, b in zip(texts, left, right):
-            a, data = x.ids, (" " + text).encode()
+        for text, a, b in zip(texts, *self.ids(texts)):
+            data = (" " + text).encode()
             yield a, b, (b"".join([self.a_bytes[i] for i in a]) == data
                          and b"".join([self.b_bytes[i] for i in b]) == data)
 
@@ -214,6 +227,100 @@ def combine(parts: Sequence[Fragment]) -> Fragment:
     return out
 
 
+@dataclass
+class Aligned:
+    """Fragments of many units, column by column; ``codes`` and ``weights`` lie one unit behind
+    the other, ``n_codes`` of each."""
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    text: list[bytes]
+    n_codes: np.ndarray
+    codes: np.ndarray
+    weights: np.ndarray
+
+
+def _flat(ids: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in one row, and the unit of each."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return (np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())),
+            np.repeat(np.arange(len(ids)), sizes))
+
+
+def _given_back(
+    data: Sequence[bytes], ids: np.ndarray, unit: np.ndarray, table: list[bytes], lengths: np.ndarray,
+) -> np.ndarray:
+    """Which units the tokens give back byte by byte."""
+    joined = b"".join(map(table.__getitem__, ids.tolist()))
+    got = np.bincount(unit, lengths[ids], len(data)).astype(np.int64)
+    same = got == np.fromiter(map(len, data), np.int64, len(data))
+    if same.all() and joined == b"".join(data):
+        return same
+    ends = np.cumsum(got)
+    return np.array([joined[e - n:e] == d for d, e, n in zip(data, ends.tolist(), got.tolist())], bool)
+
+
+def aligned(
+    tokenizers: Tokenizers, data: Sequence[bytes], left: Sequence[Sequence[int]],
+    right: Sequence[Sequence[int]],
+) -> Aligned:
+    """All units at once: ends in one row of bytes, common ends by one search."""
+    n = len(data)
+    (a, unit_a), (b, unit_b) = _flat(left), _flat(right)
+    ok = (_given_back(data, a, unit_a, tokenizers.a_bytes, tokenizers.a_lengths)
+          & _given_back(data, b, unit_b, tokenizers.b_bytes, tokenizers.b_lengths))
+    a, unit_a, b, unit_b = a[ok[unit_a]], unit_a[ok[unit_a]], b[ok[unit_b]], unit_b[ok[unit_b]]
+    # Units that hold stand side by side, so running lengths are ends in one common row.
+    a_ends, b_ends = np.cumsum(tokenizers.a_lengths[a]), np.cumsum(tokenizers.b_lengths[b])
+    at = np.searchsorted(b_ends, a_ends)
+    closes_a = b_ends[at] == a_ends if len(b) else np.zeros(0, bool)
+    closes_b = np.zeros(len(b), bool)
+    closes_b[at[closes_a]] = True
+    group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+    groups = int(closes_a.sum())
+    size_a, size_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+    start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    unit = unit_a[start_a]
+
+    # Links: each token of A meets all of B in its group; wide groups count their ids first.
+    narrow = size_a * size_b < _WIDE
+    token = np.flatnonzero(narrow[group_a])
+    times = size_b[group_a[token]]
+    partner = np.arange(times.sum()) + np.repeat(start_b[group_a[token]] - np.cumsum(times) + times, times)
+    keys = [np.repeat(unit_a[token] << 32 | a[token] << 16, times) | b[partner]]
+    weights = [np.ones(len(partner), np.uint64)]
+    for g in np.flatnonzero(~narrow).tolist():
+        codes, counts = group_pairs(a[start_a[g]:start_a[g] + size_a[g]].tolist(),
+                                    b[start_b[g]:start_b[g] + size_b[g]].tolist())
+        keys.append(np.array(codes, np.int64) | int(unit[g]) << 32)
+        weights.append(np.array(counts, np.uint64))
+    keys, weights = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+    weights = np.add.reduceat(weights, first) if len(keys) else weights
+    keys = keys[first]
+
+    # Groups as text: ids and separators in the order in which they are written.
+    ids, seps, owner = (np.zeros(len(a) + len(b), kind) for kind in (np.int64, np.uint8, np.int64))
+    for tokens, place, closes, end, whose in (
+            (a, np.arange(len(a)) + start_b[group_a], closes_a, b"|", unit_a),
+            (b, np.arange(len(b)) + (start_a + size_a)[group_b], closes_b, b";", unit_b)):
+        ids[place], owner[place] = tokens, whose
+        seps[place] = np.where(closes, end[0], b","[0])
+    cells, width = tokenizers.digits[ids], tokenizers.n_digits[ids]
+    cells[np.arange(len(ids)), width] = seps
+    written = cells[cells != 0].tobytes()
+    stops = np.cumsum(np.bincount(owner, width + 1, n).astype(np.int64)).tolist()
+    per_unit = lambda which, of=None: np.bincount(which, of, n).astype(np.int64)
+    return Aligned(
+        ok, per_unit(unit_a), per_unit(unit_b), per_unit(unit), per_unit(unit, size_a * size_b),
+        [written[s:e - 1] if e > s else b"" for s, e in zip([0, *stops], stops)],
+        per_unit(keys >> 32), (keys & 0xFFFFFFFF).astype(np.uint32), weights)
+
+
 class Units:
     """Fragments of units, remembered: token counts, groups as text, links in one flat table."""
 
@@ -231,28 +338,23 @@ class Units:
 
     def add(self, texts: Sequence[str]) -> None:
         """Encodes those not known yet; forgets all first where too much is held."""
-        if len(self.index) > REMEMBERED or self.held > REMEMBERED * LONG_UNIT // 4:
+        if len(self.index) > REMEMBERED or self.held > REMEMBERED * 50:
             self.reset()
         new = [t for t in dict.fromkeys(texts) if t not in self.index]
-        a_bytes, b_bytes = self.tokenizers.a_bytes, self.tokenizers.b_bytes
-        for text, (a, b, ok) in zip(new, self.tokenizers.encode(new)):
-            self.index[text] = len(self.index)
-            self.held += len(text)
-            part = Fragment()
-            if ok:
-                groups, _ = cut_groups(a, b, _ends(a, a_bytes), _ends(b, b_bytes))
-                part = closed_groups(groups)
-                if len(text) > LONG_UNIT:
-                    part.codes, part.weights = merged(part.codes, part.weights)
-            self.ok.append(ok)
-            self.n_a.append(part.n_a)
-            self.n_b.append(part.n_b)
-            self.n_groups.append(part.n_groups)
-            self.n_links.append(part.n_links)
-            self.text.append(part.text)
-            self.codes.frombytes(part.codes.tobytes())
-            self.weights.frombytes(part.weights.tobytes())
-            self.starts.append(len(self.codes))
+        if not new:
+            return
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.held += sum(map(len, new))
+        left, right = self.tokenizers.ids(new)
+        found = aligned(self.tokenizers, [(" " + t).encode() for t in new], left, right)
+        self.ok.frombytes(found.ok.astype(np.int8).tobytes())
+        for column, values in ((self.n_a, found.n_a), (self.n_b, found.n_b),
+                               (self.n_groups, found.n_groups), (self.n_links, found.n_links)):
+            column.frombytes(values.astype(np.int64).tobytes())
+        self.text += found.text
+        self.starts.frombytes((len(self.codes) + np.cumsum(found.n_codes)).astype(np.int64).tobytes())
+        self.codes.frombytes(found.codes.tobytes())
+        self.weights.frombytes(found.weights.tobytes())
 
     def run(self, texts: Sequence[str]) -> Fragment:
         """Closed fragment of units that stand side by side; all must have been added."""
