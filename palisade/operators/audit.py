@@ -3,13 +3,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from palisade.functions.instants import epoch_ms
+from palisade.functions.instants import epoch_ms, floor_to_step
 from palisade.functions.scoring import threat_score
 from palisade.operators.blocks import ordinal
+from palisade.operators.window import sliding_count
 from palisade.policy import Policy
 
 
@@ -76,3 +80,59 @@ def bursts(
             F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
         .withColumn("span_ms", epoch_ms(F.col("last_seen")) - epoch_ms(F.col("first_seen")))
         .where((F.col("events") > policy.threshold) & (F.col("span_ms") <= limit_ms)))
+
+
+# Windows of time in which islands are found before they are joined over its edges.
+ISLAND_WINDOWS = 6
+
+
+def burst_islands(
+    df: DataFrame, policy: Policy = Policy(), keys: Sequence[str] = ("clientIp", "path"),
+    gap: timedelta | None = None, ts: str = "timestamp", order: str = "arrival_seq",
+) -> DataFrame:
+    """Every wave of a key: ``events``, ``first_seen``, ``last_seen``, ``span_ms`` and ``densest``,
+    the most events in one window of the policy.
+
+    A wave ends where the next event is more than ``gap`` away (the window, unless told otherwise,
+    and never less: a window would else reach over two waves); waves whose densest window holds no
+    more events than the threshold are left out, so stray events neither hide a wave nor make one.
+    Events without a timestamp or with a null key belong to none.
+
+    Islands are found in chunks of time, so a key's history is dealt out by time. Only the first and
+    the last island of a chunk can reach over its edge; these summaries, two a chunk at most, are
+    joined by key, the others are done."""
+    window_ms = policy.window_ms
+    gap_ms = window_ms if gap is None else gap // timedelta(milliseconds=1)
+    if gap_ms < window_ms:
+        raise ValueError("gap must be at least the window")
+    keys = list(keys)
+    there = reduce(and_, (F.col(k).isNotNull() for k in keys), F.col(ts).isNotNull())
+    counted = sliding_count(
+        df.where(there).select(*keys, ts, order), window_ms, keys, ts, order, out="_density")
+    rows = counted.withColumn("_ms", epoch_ms(F.col(ts))).withColumn(
+        "_chunk", floor_to_step(F.col("_ms"), ISLAND_WINDOWS * gap_ms))
+
+    def numbered(rows: DataFrame, part: list[str], start: str, end: str) -> DataFrame:
+        by = Window.partitionBy(*part).orderBy(start, end)
+        far = F.coalesce((F.col(start) - F.lag(end).over(by) > gap_ms).cast("long"), F.lit(1))
+        return rows.withColumn("_far", far).withColumn("_island", F.sum("_far").over(
+            by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    inside = (
+        numbered(rows, [*keys, "_chunk"], "_ms", "_ms")
+        .groupBy(*keys, "_chunk", "_island").agg(
+            F.count(F.lit(1)).alias("events"), F.min("_ms").alias("_from"), F.max("_ms").alias("_to"),
+            F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.max("_density").alias("densest"))
+        .withColumn("_islands", F.max("_island").over(Window.partitionBy(*keys, "_chunk"))))
+    edge = (F.col("_island") == 1) | (F.col("_island") == F.col("_islands"))
+    found = ["events", "first_seen", "last_seen", "densest", "_from", "_to"]
+    joined = (
+        numbered(inside.where(edge).drop("_island"), keys, "_from", "_to").groupBy(*keys, "_island").agg(
+            F.sum("events").alias("events"), F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"), F.max("densest").alias("densest"),
+            F.min("_from").alias("_from"), F.max("_to").alias("_to")))
+    return (
+        joined.select(*keys, *found).unionByName(inside.where(~edge).select(*keys, *found))
+        .where(F.col("densest") > policy.threshold)
+        .select(*keys, "events", "first_seen", "last_seen",
+                (F.col("_to") - F.col("_from")).alias("span_ms"), "densest"))

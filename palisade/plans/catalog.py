@@ -2,8 +2,9 @@
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from palisade.operators.filters import SampleQuery, StatsQuery, lookup, series_p
 from palisade.plans import projection
 from palisade.plans.ingest import accepted_events, stored_events, valid_events
 from palisade.policy import Policy
-from palisade.schema import ENRICHED_SCHEMA
+from palisade.schema import ENRICHED_SCHEMA, EVENT_SCHEMA
 from palisade.session import tune
 from palisade.sources import files, payloads, store
 from palisade.sources.scratch import scratch_dir
@@ -194,7 +195,7 @@ def _round_trip(spark: SparkSession, sf_dir: str, extension: str) -> DataFrame:
     odd = _events(spark, sf_dir).withColumn("userAgent", F.concat(
         F.lit("  \""), "userAgent", F.lit("\",\n ")))
     files.write_events(odd, path)
-    back = files.read_events(spark, path)
+    back = files.read_events(spark, path, split=False)
     return table.flatten(back).drop("attackType", "threatScore", "repeatOffender")
 
 
@@ -208,6 +209,43 @@ def scan_csv_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, ".csv").drop("receivedAt")
 
 
+@query
+def scan_json_array(spark, sf_dir):
+    """A few files of one JSON array each, read by ranges."""
+    path = scratch_dir(spark, "arrays") + ".json"
+    events = _events(spark, sf_dir)
+    lines = events.repartitionByRange(3, "arrival_seq").sortWithinPartitions(
+        "arrival_seq").select(F.to_json(
+            F.struct(*(c for c in EVENT_SCHEMA.fieldNames() if c in events.columns)), {
+                "ignoreNullFields": "false",
+                "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
+    lines.mapInArrow(_as_array, "value string").write.text(path)
+    return table.flatten(files.read_events(spark, path, array=True), ["arrival_seq"]).drop(
+        "attackType", "threatScore", "repeatOffender")
+
+
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a partition as one array: a bracket or comma before each, one more at the end."""
+    before = "["
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_pylist([{"value": before + line}])
+            before = ","
+    if before == ",":
+        yield pa.RecordBatch.from_pylist([{"value": "]"}])
+
+
+@query
+def scan_csv_ranges(spark, sf_dir):
+    """Quoted CSV with line breaks in cells, read by ranges."""
+    path = scratch_dir(spark, "cells") + ".csv"
+    odd = _events(spark, sf_dir).withColumn("userAgent", F.concat(
+        F.lit("  \""), "userAgent", F.lit("\",\n\n ")))
+    files.write_events(odd.repartitionByRange(3, "arrival_seq").sortWithinPartitions("arrival_seq"), path)
+    return table.flatten(files.read_events(spark, path), ["arrival_seq"]).drop(
+        "receivedAt", "attackType", "threatScore", "repeatOffender")
+
+
 @query
 def ingest_file_order(spark, sf_dir):
     """Events in several files: their order in the files is their arrival order."""
@@ -416,9 +454,13 @@ def enrich_retries(spark, sf_dir):
         "eventId", "threatScore", "repeatOffender", "arrival_seq")
 
 
+# Files of a part of a feed.
+FEED_FILES = 4
+
+
 def _feed(spark: SparkSession, events: DataFrame, parts: int = 4) -> str:
     """A folder of JSON Lines files, written one after the other in arrival order, so that a
-    file stream takes them in that order."""
+    file stream takes them in that order. Each part is written by several tasks, a file each."""
     path = scratch_dir(spark, "feed")
     edges = [r[0] for r in events.agg(F.expr(
         f"percentile_approx(arrival_seq, array({', '.join(str((i + 1) / parts) for i in range(parts))}))"
@@ -426,13 +468,13 @@ def _feed(spark: SparkSession, events: DataFrame, parts: int = 4) -> str:
     low = F.lit(True)
     for edge in dict.fromkeys(edges):
         part = events.where(low & (F.col("arrival_seq") <= edge))
-        part.drop("batch_id").write.mode("append").options(
+        part.drop("batch_id").repartition(FEED_FILES).write.mode("append").options(
             ignoreNullFields=False, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
         low = F.col("arrival_seq") > edge
     return path
 
 
-def _stream(spark: SparkSession, feed: str, path: str, max_files: int | None = 1) -> None:
+def _stream(spark: SparkSession, feed: str, path: str, max_files: int | None = FEED_FILES) -> None:
     # A back-fill: no idle expiry, so the query drains.
     pipeline.drain(pipeline.run(
         pipeline.event_stream(spark, feed, max_files), f"{path}/table", f"{path}/checkpoint",
@@ -441,7 +483,7 @@ def _stream(spark: SparkSession, feed: str, path: str, max_files: int | None = 1
 
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_dir(spark, "stream")
-    _stream(spark, _feed(spark, _events(spark, sf_dir).coalesce(1)), path)
+    _stream(spark, _feed(spark, _events(spark, sf_dir)), path)
     return path
 
 
@@ -471,7 +513,7 @@ def stream_late(spark, sf_dir):
     n = F.col("arrival_seq")
     late = _events(spark, sf_dir).withColumn("arrival_seq", n - n % 500 + 499 - n % 500)
     path = scratch_dir(spark, "stream")
-    _stream(spark, _feed(spark, late.coalesce(1)), path)
+    _stream(spark, _feed(spark, late), path)
     return store.read_table(spark, f"{path}/table").select("eventId", "repeatOffender")
 
 
@@ -481,10 +523,10 @@ def stream_restart(spark, sf_dir):
     both restart once with nothing new to read."""
     path, n = scratch_dir(spark, "stream"), F.col("arrival_seq")
     for part in (0, 1):
-        feed = _feed(spark, _events(spark, sf_dir).where(n % 2 == part).coalesce(1), 2)
+        feed = _feed(spark, _events(spark, sf_dir).where(n % 2 == part), 2)
         for _ in range(2):
             pipeline.drain(pipeline.run(
-                pipeline.event_stream(spark, feed, 1), f"{path}/table",
+                pipeline.event_stream(spark, feed, FEED_FILES), f"{path}/table",
                 f"{path}/checkpoint-{part}", POLICY, pipeline.DRAIN, "None", False))
     return store.read_table(spark, f"{path}/table").select("eventId", "arrival_seq")
 
@@ -492,7 +534,7 @@ def stream_restart(spark, sf_dir):
 @query
 def stream_quarantine(spark, sf_dir):
     """Invalid events of a stream go aside with their messages."""
-    feed, path = _feed(spark, _events(spark, sf_dir).coalesce(1)), scratch_dir(spark, "aside")
+    feed, path = _feed(spark, _events(spark, sf_dir)), scratch_dir(spark, "aside")
     pipeline.drain(pipeline.run_quarantine(
         pipeline.invalid_events(pipeline.event_stream(spark, feed), POLICY), f"{path}/rows",
         f"{path}/checkpoint", pipeline.DRAIN))
@@ -581,6 +623,12 @@ def burst_profile(spark, sf_dir):
     return audit.bursts(_events(spark, sf_dir), POLICY)
 
 
+@query
+def burst_islands(spark, sf_dir):
+    """Waves of clients over all paths: a client may attack again and again."""
+    return audit.burst_islands(_events(spark, sf_dir), POLICY, ["clientIp"])
+
+
 def _tampered(stored: DataFrame) -> DataFrame:
     return stored.withColumn("threatScore", F.when(
         F.col("arrival_seq") % 500 == 0, F.col("threatScore") + 7

@@ -242,6 +242,9 @@ ORACLES: dict[str, str] = {
         FROM judged WHERE rejection IS NOT NULL""",
     "scan_json_roundtrip": _EV + f"SELECT {_ODD} FROM flat",
     "scan_csv_roundtrip": _EV + f"SELECT {_ODD.replace('receivedAt, ', '')} FROM flat",
+    "scan_json_array": _EV + "SELECT arrival_seq, " + _RAW + " FROM flat",
+    "scan_csv_ranges": _EV + "SELECT arrival_seq, " + _ODD.replace("receivedAt, ", "").replace(
+        "chr(10)", "chr(10) || chr(10)") + " FROM flat",
     "ingest_file_order": _EV + """SELECT row_number() OVER (ORDER BY arrival_seq) - 1 AS arrival_seq,
           eventId FROM flat""",
     "export_chronological": _EV + """SELECT
@@ -346,6 +349,18 @@ ORACLES: dict[str, str] = {
           min("timestamp") AS first_seen, max("timestamp") AS last_seen,
           max(ms) - min(ms) AS span_ms
         FROM flat GROUP BY 1, 2 HAVING count(*) > 5 AND max(ms) - min(ms) <= 600000""",
+    "burst_islands": _EV + """, steps AS (
+          SELECT clientIp, "timestamp", ms, arrival_seq,
+            CASE WHEN ms - lag(ms) OVER (PARTITION BY clientIp ORDER BY ms, arrival_seq) <= 600000
+              THEN 0 ELSE 1 END AS far,
+            count(*) OVER (PARTITION BY clientIp ORDER BY ms
+              RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW) AS density
+          FROM flat WHERE clientIp IS NOT NULL AND ms IS NOT NULL),
+        islands AS (SELECT *, sum(far) OVER (PARTITION BY clientIp ORDER BY ms, arrival_seq) AS island
+          FROM steps)
+        SELECT clientIp, count(*) AS events, min("timestamp") AS first_seen,
+          max("timestamp") AS last_seen, max(ms) - min(ms) AS span_ms, max(density) AS densest
+        FROM islands GROUP BY clientIp, island HAVING max(density) > 5""",
     "score_integrity": _ALL + f"""SELECT eventId, clientIp, path, ruleSeverity, ruleAction,
           {_TAMPERED} AS threatScore, repeatOffender, threatScore AS recomputed
         FROM en WHERE {_TAMPERED} IS DISTINCT FROM en.threatScore""",

@@ -10,6 +10,7 @@ from palisade.functions.instants import iso_label
 from palisade.functions.text import jtrim
 from palisade.operators.table import from_csv_row, to_csv_row
 from palisade.schema import CSV_COLUMNS, EVENT_SCHEMA
+from palisade.sources import ranges
 
 _CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in CSV_COLUMNS])
 # Cells keep their white space and line breaks, both ways.
@@ -30,6 +31,7 @@ def format_of(path: str) -> str:
 
 def read_events(
     spark: SparkSession, path: str, array: bool | None = None, line_breaks: bool = True,
+    split: bool = True,
 ) -> DataFrame:
     """Nested events, with their place in the files as ``arrival_seq`` (0, 1, ... over the files
     in path order), from a file or folder whose name ends in .json, .jsonl or .csv.
@@ -37,16 +39,21 @@ def read_events(
     JSON is one event per line, or, as ``array=True``, one array (or object) per file; without
     the argument a ``.json`` input that begins with a bracket is taken as arrays. A file that
     holds more than its array fails; nothing is left out in silence. CSV cells may contain line
-    breaks; ``line_breaks=False`` lets Spark split large files of which none does.
+    breaks; ``line_breaks=False`` is the shorter way where none does.
+
+    Arrays and CSV with line breaks are read by ranges of a file, in as many tasks as it has splits;
+    ``split=False`` reads each file in one task.
     """
     if format_of(path) == "csv":
+        if split and line_breaks:
+            return _csv_ranges(spark, path)
         options = {**_CSV_OPTIONS, "multiLine": line_breaks}
         rows = spark.read.schema(_CSV_SCHEMA).options(**options).csv(path)
         return _sequenced(rows, _CSV_SCHEMA.fieldNames(), from_csv_row)
     if array is None:
         array = not path.rstrip("/").lower().endswith(".jsonl") and _begins_array(spark, path)
     if array:
-        return _arrays(spark, path)
+        return _array_ranges(spark, path) if split else _arrays(spark, path)
     return _sequenced(
         spark.read.schema(EVENT_SCHEMA).json(path), EVENT_SCHEMA.fieldNames(), lambda df: df)
 
@@ -72,6 +79,49 @@ def _arrays(spark: SparkSession, path: str) -> DataFrame:
         "_event.*", (F.col("_start") + F.col("_at")).alias("arrival_seq"))
 
 
+def _array_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Events of arrays (or single objects), each cut out of its file and parsed on its own."""
+    found = ranges.records(spark, path, ranges.JSON)
+    blank = "[ \\t\\r\\n]"
+    text, array = F.col("text"), F.col("level") == 1
+    trimmed = F.regexp_replace(text, f"^\\uFEFF?{blank}*|{blank}+$", "")
+    opened = F.when(array & (F.col("no") == 0), F.expr("substring(text, 2)")).otherwise(text)
+    # What follows an array's bracket is no event; a lone bracket fails below.
+    closed = (
+        F.when(array & F.col("last"), F.when(
+            text.endswith("]"), F.expr("left(text, length(text) - 1)")).otherwise("]"))
+        .when(F.col("open") == 1, F.concat(text, F.lit("}"))).otherwise(text))
+    # The one record of an empty array is no record.
+    hollow = array & (F.col("ends") == 0) & F.rlike(text, F.lit(f"^{blank}*$"))
+    records = (
+        found.withColumn("text", trimmed).withColumn("text", opened).withColumn("text", closed)
+        .withColumn("hollow", hollow))
+    # Inside a pair of brackets, anything but one value would make another array, or none.
+    one = F.size(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), T.ArrayType(T.StringType()))) == 1
+    parsed = records.where(~F.col("hollow")).select(
+        "file", "no", F.when(one, F.from_json("text", EVENT_SCHEMA)).otherwise(
+            F.raise_error(F.concat(F.lit("not one JSON array or object: "), "file"))).alias("_event"))
+    counts = records.where("last").select(
+        "file", F.when(F.col("hollow"), 0).otherwise(F.col("ends") + 1).alias("_n"))
+    return parsed.join(_starts(counts, ["file"]), "file").select(
+        "_event.*", (F.col("_start") + F.col("no")).alias("arrival_seq"))
+
+
+def _csv_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files with a header each, cut out of their files and parsed each on its own."""
+    found = ranges.records(spark, path, ranges.CSV)
+    schema = ", ".join(f"`{c}` string" for c in CSV_COLUMNS)
+    options = {k: str(v).lower() if isinstance(v, bool) else v
+               for k, v in _CSV_OPTIONS.items() if k not in ("header", "lineSep")}
+    parsed = found.where((F.col("no") > 0) & (F.col("text") != "")).select(
+        "file", (F.col("no") - F.col("blanks") - 1).alias("_at"),
+        F.from_csv("text", schema, options).alias("_row"))
+    counts = found.where("last").select(
+        "file", (F.col("ends") - F.col("all_blanks")).alias("_n"))
+    return from_csv_row(parsed.join(_starts(counts, ["file"]), "file").select(
+        "_row.*", (F.col("_start") + F.col("_at")).alias("arrival_seq")))
+
+
 def _starts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """First number of each part: a running sum over one row per file split."""
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)

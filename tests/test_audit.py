@@ -1,5 +1,7 @@
+import random
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, millis, raw, raw_frame, rows_of, stored_frame
@@ -48,3 +50,37 @@ def test_bursts(spark):
     df = raw_frame(spark, events)
     assert rows_of(audit.bursts(df), "path", "events", "span_ms") == [("/a", 25, 96_000)]
     assert audit.bursts(df, within=timedelta(seconds=10)).count() == 0
+
+
+def test_burst_islands(spark):
+    """Against one pass over sorted events: a client with half of all rows and many waves, waves
+    over chunk edges, stray events between waves, equal times, nulls."""
+    r = random.Random(8)
+    events, seq = [], 0
+    for ip in ("10.0.0.1", "10.0.0.2", None):
+        at = -3_000_000
+        for _ in range(260 if ip == "10.0.0.1" else 60):
+            at += r.choice([0, 4_000, 200_000, 599_999, 600_000, 600_001, 5_000_000])
+            events.append(raw(seq, clientIp=ip, timestamp=millis(at)))
+            seq += 1
+    events.append(raw(seq, timestamp=None))
+    want = []
+    for ip in ("10.0.0.1", "10.0.0.2"):
+        times = sorted(int(e["timestamp"].timestamp() * 1000 + 0.5) if e["timestamp"].timestamp() >= 0 else
+                       -int(-e["timestamp"].timestamp() * 1000 + 0.5)
+                       for e in events if e["clientIp"] == ip and e["timestamp"])
+        waves = [[times[0]]]
+        for t in times[1:]:
+            if t - waves[-1][-1] > 600_000:
+                waves.append([])
+            waves[-1].append(t)
+        for w in waves:
+            densest = max(sum(t - 600_000 <= u <= t for u in w) for t in w)
+            if densest > 5:
+                want.append((ip, len(w), w[-1] - w[0], densest))
+    found = audit.burst_islands(raw_frame(spark, events), keys=["clientIp"])
+    assert sorted(rows_of(found, "clientIp", "events", "span_ms", "densest")) == sorted(want)
+    assert len(want) > 4
+    assert audit.burst_islands(raw_frame(spark, events[:0])).count() == 0
+    with pytest.raises(ValueError):
+        audit.burst_islands(raw_frame(spark, events), gap=timedelta(seconds=1))

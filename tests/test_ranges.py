@@ -1,0 +1,100 @@
+"""Ranges of JSON arrays and quoted CSV against whole files, at any range size."""
+import json
+import random
+
+import pytest
+
+from helpers import raw, raw_frame, rows_of
+from palisade.sources import files
+
+ODD = ["plain", 'quo"te', "back\\slash", 'both\\"', "br{ace}", "br[ack],et", "li\nne", ", ", '}{"', "é🙂", "",
+       "\\", '\\\\"', "tail\\\\"]
+
+
+@pytest.fixture
+def ranged(spark):
+    """Runs a reader with splits of so many bytes."""
+    def run(size, read):
+        keys = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        try:
+            return read()
+        finally:
+            for k in keys:
+                spark.conf.unset(k)
+    return run
+
+
+def some_events(seed, n):
+    r = random.Random(seed)
+    return [json.loads(json.dumps({
+        "eventId": f"e{i}", "path": r.choice(ODD) + r.choice(ODD), "configId": i,
+        "rule": {"id": r.choice(ODD), "message": r.choice(ODD)} if i % 3 else None,
+        "geoLocation": {"city": r.choice(ODD)}})) for i in range(n)]
+
+
+def seen(df):
+    return sorted(((r["arrival_seq"], r["eventId"], r["path"], r["rule"], r["geoLocation"]) for r in df.collect()),
+                  key=lambda x: x[0])
+
+
+@pytest.mark.parametrize("size", [7, 111])
+def test_arrays_equal_whole_files(spark, tmp_path, ranged, size):
+    folder = tmp_path / "in.json"
+    folder.mkdir()
+    r = random.Random(size)
+    n = 40 if size > 20 else 4
+    dumped = [json.dumps(some_events(1, n)), json.dumps(some_events(2, n), indent=2), " [ ]\n",
+              json.dumps(some_events(3, 1)[0]), "\n" + json.dumps(some_events(4, n), ensure_ascii=False) + "\n\n",
+              "[" + " ,\n ".join(json.dumps(e) for e in some_events(5, r.randrange(3, 9))) + "]"]
+    for i, text in enumerate(dumped):
+        (folder / f"{i}.json").write_text(text, encoding="utf-8")
+    want = seen(files.read_events(spark, str(folder), array=True, split=False))
+    got = ranged(size, lambda: seen(files.read_events(spark, str(folder), array=True)))
+    assert got == want and [x[0] for x in got] == list(range(len(got)))
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, ranged):
+    path = tmp_path / "big.json"
+    path.write_text(json.dumps(some_events(6, 300)))
+
+    def read():
+        from palisade.sources import ranges
+        rows = ranges._rows(spark, str(path), ranges.JSON)
+        return rows.rdd.getNumPartitions(), ranges.records(spark, str(path), ranges.JSON).count()
+    tasks, found = ranged(2_000, read)
+    assert tasks > 10 and found == 300
+
+
+@pytest.mark.parametrize("text", [
+    "[{}] [{}]", "[{}], [{}]", "[{}] x", "[{}", "[{}]]", '[{"a": "b]', "[{},]", "[,{}]", "{} {}", "[{}], 5", "[1 2]"])
+def test_more_or_less_than_one_array_fails(spark, tmp_path, ranged, text):
+    path = tmp_path / "bad.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="not one JSON array"):
+        ranged(7, lambda: files.read_events(spark, str(path), array=True).collect())
+
+
+@pytest.mark.parametrize("size", [7, 64])
+def test_csv_equals_whole_files(spark, tmp_path, ranged, size):
+    """Cells with quotes, separators and line breaks; empty lines; files of a header alone."""
+    r = random.Random(size)
+    n = 60 if size > 20 else 3
+    events = [raw(i, path=r.choice(ODD[:-1]) + "x", hostname=r.choice(["a\n\nb", '"', ",", "c\n"]),
+                  userAgent=r.choice([None, "ua\n", 'x""y'])) for i in range(n)]
+    folder = str(tmp_path / "in.csv")
+    files.write_events(raw_frame(spark, events).repartitionByRange(3, "arrival_seq"), folder)
+    header = next(iter(sorted((tmp_path / "in.csv").glob("part-*")))).read_text().split("\n")[0]
+    (tmp_path / "in.csv" / "part-zz-blank.csv").write_text(header + "\n\n" + "\n")
+    names = ("arrival_seq", "eventId", "path", "hostname", "userAgent", "timestamp")
+    want = sorted(rows_of(files.read_events(spark, folder, split=False), *names))
+    got = ranged(size, lambda: sorted(rows_of(files.read_events(spark, folder), *names)))
+    assert got == want and len(got) == n
+
+
+def test_open_quote_fails(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text('a,b\n"1,2\n')
+    with pytest.raises(ValueError, match="a quote never ends"):
+        files.read_events(spark, str(path)).collect()
