@@ -3,13 +3,14 @@
 Every tree splits by random directions at the median of a bounded sample (``FIT_ROWS``); every
 row is then routed to a leaf of each tree. A query searches all trees at once through one
 priority queue, ordered by how far it would have to cross to the wrong side, until the leaves
-it has taken hold ``search_share`` of all entries; it is compared with every row of those
+it has taken hold ``search_share`` of all entries, and enough different ones; it is compared with every row of those
 leaves, and the best are scored again in double precision.
 
 Equal vectors are one entry until the end, which keeps as many ids of each as a result can
 hold. Leaves are packed into pages of bounded size (a leaf beyond that is cut up), and pages
 are copied where very many queries would meet in one, so no task grows with a hot leaf.
-A vector's length is made part of it, so that inner products, not angles, decide.
+A vector's length is made part of it, so that inner products, not angles, decide; each range of
+lengths has trees of its own.
 """
 from __future__ import annotations
 
@@ -33,6 +34,10 @@ MAX_DEPTH = 12
 # Share of the forest's entries that a query visits. Random vectors without structure need
 # this much for a recall above 0.9; it may be lowered for clustered ones.
 SEARCH_SHARE = 0.1
+# Entries that a query visits in each tree at least, where there are so many.
+LEAST_ROWS = 600
+# Ratio of the lengths that share a forest.
+BAND = 1.25
 PAGE_ROWS = 8192
 PAGE_QUERIES = 50_000
 # Queries whose best a task holds until it sends them on.
@@ -72,33 +77,81 @@ class Forest:
             out[:, t] = node
         return out
 
-    def search(self, vectors: np.ndarray, sizes: np.ndarray, budget: float) -> list[list[int]]:
-        """For each query the entries ``tree * leaves + leaf`` to visit, nearest first, until
-        they hold ``budget`` rows."""
+    def margins(self, vectors: np.ndarray) -> list[list[np.ndarray]]:
+        """Of queries, at all nodes, by tree and level; in shares of ``reach``."""
         lifted = np.hstack([vectors, np.zeros((len(vectors), 1))])
-        margins = [[lifted @ self.directions[t][level].T - self.thresholds[t][level]
-                    for level in range(self.depth)] for t in range(self.trees)]
-        width = 1 << self.depth
+        return [[(lifted @ self.directions[t][level].T - self.thresholds[t][level]) / self.reach
+                 for level in range(self.depth)] for t in range(self.trees)]
+
+
+@dataclass
+class Bands:
+    """A forest for each range of lengths: lifted to one length, a few long vectors would leave
+    all others alike. ``top`` is the greatest length; the entries of a forest, ``tree * width +
+    leaf``, follow those of the forest before."""
+    top: float
+    forests: dict[int, Forest]
+
+    def __post_init__(self) -> None:
+        self.base, self.tree_starts = {}, []
+        size = 0
+        for band, forest in self.forests.items():
+            self.base[band] = size
+            for _ in range(forest.trees):
+                self.tree_starts.append(size)
+                size += 1 << forest.depth
+        self.size = size
+
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        """``(rows, trees)`` entries."""
+        trees = next(iter(self.forests.values())).trees
+        out = np.zeros((len(vectors), trees), dtype=np.int64)
+        bands = band_of(vectors, self.top)
+        for band in np.unique(bands).tolist():
+            forest, inside = self.forests[band], bands == band
+            out[inside] = (self.base[band] + forest.leaves(vectors[inside])
+                           + np.arange(trees) * (1 << forest.depth))
+        return out
+
+    def search(
+        self, vectors: np.ndarray, sizes: np.ndarray, budget: float, least: int,
+    ) -> list[list[int]]:
+        """For each query the entries to visit, nearest first, from one queue over the trees of
+        all forests, until they hold ``budget`` rows and one tree of each forest, ``least`` rows
+        of which are all different, or all it has."""
+        found = [(self.base[band], f, f.margins(vectors)) for band, f in self.forests.items()]
+        whole = [int(sizes[base:base + (1 << f.depth)].sum()) for base, f, _ in found]
         result = []
         for q in range(len(vectors)):
-            queue = [(-math.inf, t, 0, 0) for t in range(self.trees)]
-            rows = [[m[q] for m in tree] for tree in margins]
+            queue = [(-math.inf, b, t, 0, 0) for b, (_, f, _) in enumerate(found) for t in range(f.trees)]
+            held_by = [[0] * f.trees for _, f, _ in found]
+            short = {b for b, n in enumerate(whole) if n}
             taken, held = [], 0
-            while queue and held < budget:
-                crossed, t, level, node = heapq.heappop(queue)
-                while level < self.depth:
-                    margin = float(rows[t][level][node])
+            while queue and (held < budget or short):
+                crossed, b, t, level, node = heapq.heappop(queue)
+                base, forest, margins = found[b]
+                while level < forest.depth:
+                    margin = float(margins[t][level][q, node])
                     near, far = (node * 2 + 1, node * 2) if margin > 0 else (node * 2, node * 2 + 1)
-                    heapq.heappush(queue, (max(crossed, abs(margin)), t, level + 1, far))
+                    heapq.heappush(queue, (max(crossed, abs(margin)), b, t, level + 1, far))
                     level, node = level + 1, near
-                entry = t * width + node
+                entry = base + t * (1 << forest.depth) + node
                 if sizes[entry]:
                     taken.append(entry)
                     held += int(sizes[entry])
+                    held_by[b][t] += int(sizes[entry])
+                    if held_by[b][t] >= min(least, whole[b]):
+                        short.discard(b)
             result.append(taken)
         return result
 
 
+def band_of(vectors: np.ndarray, top: float) -> np.ndarray:
+    """Which range of lengths each vector falls in, 0 the longest."""
+    lengths = np.sqrt((vectors * vectors).sum(axis=1))
+    return np.floor(np.log(top / lengths) / math.log(BAND)).astype(np.int64)
+
+
 def plant(sample: np.ndarray, rows: int, reach: float, trees: int, leaf_rows: int) -> Forest:
     """Trees deep enough for leaves of about ``leaf_rows`` of ``rows`` and for a choice of
     leaves, as far as the sample has a few vectors for each leaf."""
@@ -150,18 +203,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _pages(sizes: np.ndarray, width: int, page_rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _pages(sizes: np.ndarray, tree_starts: list[int], page_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """First page and number of pages of each leaf: small leaves of one tree share pages, so
     that no page holds a row twice; large leaves have several of their own."""
     first, count = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64)
     page = held = 0
+    starts = set(tree_starts)
     for entry, size in enumerate(sizes.tolist()):
         if size > page_rows:
             page += held > 0
             first[entry], count[entry] = page, -(-size // page_rows)
             page, held = page + int(count[entry]), 0
             continue
-        if held + size > page_rows or (entry % width == 0 and held):
+        if held + size > page_rows or (entry in starts and held):
             page, held = page + 1, 0
         first[entry] = page
         held += size
@@ -173,10 +227,12 @@ def nearest(
     vector_col: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS,
     search_share: float = SEARCH_SHARE, fit_rows: int = FIT_ROWS,
     page_rows: int = PAGE_ROWS, page_queries: int = PAGE_QUERIES,
+    least_rows: int = LEAST_ROWS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is
     divisible by ``every``, by inner product, ties to the smaller id, itself left out; all
-    there are, if fewer. Vectors that ``usable`` leaves out take no part; an empty table or a
+    there are, if fewer: a query goes on until it has seen ``least_rows`` different entries of
+    each range of lengths (``k + 1`` at least), or all. Vectors that ``usable`` leaves out take no part; an empty table or a
     single vector gives no rows."""
     spark = vectors.sparkSession
     rows = saved(usable(vectors, id_col, vector_col))
@@ -192,22 +248,33 @@ def nearest(
     facts = entries.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("reach")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    top = facts["reach"] * (1 + 1e-12)
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        matrix = _matrix(batch.column(0))
+        lengths = np.sqrt((matrix * matrix).sum(axis=1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(band_of(matrix, top)), pa.array(lengths)], names=["band", "length"])
+
+    ranges = map_batches(entries.select("vec"), measure, "band bigint, length double").groupBy(
+        "band").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("reach")).orderBy("band").collect()
     chosen = entries.orderBy(F.xxhash64("entry"), "entry").limit(fit_rows).select("vec").toArrow()
     matrix = _matrix(chosen.column(0).combine_chunks())
-    forest = plant(matrix, facts["n"], facts["reach"] * (1 + 1e-12), trees, leaf_rows)
+    bands = band_of(matrix, top)
+    forests = Bands(top, {
+        r["band"]: plant(matrix[bands == r["band"]], r["n"], r["reach"] * (1 + 1e-12), trees, leaf_rows)
+        for r in ranges})
     slack = _SLACK * facts["reach"] ** 2
-    width = 1 << forest.depth
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        leaves = forest.leaves(_matrix(batch.column(0))) + np.arange(trees) * width
-        found, n = np.unique(leaves, return_counts=True)
+        found, n = np.unique(forests.leaves(_matrix(batch.column(0))), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["leaf", "n"])
 
-    sizes = np.zeros(trees * width, dtype=np.int64)
+    sizes = np.zeros(forests.size, dtype=np.int64)
     for row in map_batches(entries.select("vec"), count, "leaf bigint, n bigint").groupBy(
             "leaf").agg(F.sum("n").alias("n")).collect():
         sizes[row["leaf"]] = row["n"]
-    first, pages = _pages(sizes, width, page_rows)
+    first, pages = _pages(sizes, forests.tree_starts, page_rows)
     copies = -(-queries.count() // page_queries) or 1
     budget = search_share * float(sizes.sum())
     kind = "<f8" if dict(rows.dtypes)["vec"] == "array<double>" else "<f4"
@@ -225,7 +292,7 @@ def nearest(
         for batch in slices(batches, 512):
             ids = batch.column(0).to_numpy()
             matrix = _matrix(batch.column(1))
-            leaves = forest.leaves(matrix) + np.arange(trees) * width
+            leaves = forests.leaves(matrix)
             page = first[leaves] + (ids[:, None] * 2654435761 >> 7) % pages[leaves]
             rows = [v.tobytes() for v in matrix.astype(kind)]
             rows = [v for v in rows for _ in range(trees)]
@@ -238,7 +305,8 @@ def nearest(
         for batch in slices(batches, 64):
             ids, matrix = batch.column(0).to_numpy(), _matrix(batch.column(1))
             page, row, wanted = [], [], []
-            for q, taken in enumerate(forest.search(matrix, sizes, budget)):
+            for q, taken in enumerate(
+                    forests.search(matrix, sizes, budget, max(k + 1, least_rows))):
                 taken = np.array(taken, dtype=np.int64)
                 leaf = np.repeat(taken, pages[taken])
                 step = np.arange(len(leaf)) - np.repeat(

@@ -59,6 +59,33 @@ def test_recall(spark, clusters):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [2, 21, 25, 100, 500])
+def test_small_tables_are_complete_and_exact(spark, rows):
+    r = np.random.default_rng(rows)
+    matrix = r.normal(size=(rows, 64))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    found, expected = fetched(ann.nearest(table(spark, matrix))), slow(matrix, 20, 20)
+    assert {q: [i for i, _ in v] for q, v in found.items()} == {
+        q: [i for i, _ in v] for q, v in expected.items()}
+
+
+@pytest.mark.parametrize("norms", ["one of 100", "one of 5", 0.3, 0.6])
+def test_recall_of_unequal_lengths(spark, norms):
+    r = np.random.default_rng(6)
+    matrix = r.normal(size=(4000, 64))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    if isinstance(norms, str):
+        matrix[7] *= float(norms.split()[-1])
+    else:
+        matrix *= np.exp(norms * r.normal(size=4000))[:, None]
+    found, expected = fetched(ann.nearest(table(spark, matrix))), slow(matrix, 20, 20)
+    assert all(len(v) == 20 for v in found.values()) and set(found) == set(expected)
+    hits = [len({i for i, _ in found[q]} & {i for i, _ in rows}) / 20
+            for q, rows in expected.items()]
+    print(norms, np.mean(hits))
+    assert np.mean(hits) >= 0.9
+
+
 def test_leaves_of_every_tree_hold_every_row():
     r = np.random.default_rng(5)
     matrix = r.normal(size=(500, 8))
@@ -69,7 +96,7 @@ def test_leaves_of_every_tree_hold_every_row():
                         minlength=3 << forest.depth)
     assert sizes.sum() == 1500
     # The queue takes a query's own leaves first, then nearer ones before farther ones.
-    taken = forest.search(matrix[:20], sizes, 1500.0)
+    taken = ann.Bands(1.1, {0: forest}).search(matrix[:20], sizes, 1500.0, 10)
     for q, entries in enumerate(taken):
         # A row on a threshold may be a rounding error away from its own leaf.
         assert set((leaves[q] + np.arange(3) * (1 << forest.depth)).tolist()) <= set(entries[:6])
