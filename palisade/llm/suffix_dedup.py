@@ -558,6 +558,20 @@ def text_version(text_col: str) -> Column:
     return F.xxhash64(F.lit("suffix"), F.col(text_col)).bitwiseAND(F.lit((1 << 23) - 1))
 
 
+def owner(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A number per document, in the order of ids. The bits that ids leave free are a hash of the
+    text, so that rows which share an id, or have none, are told apart by it and by the text's
+    version together; rows without an id come last."""
+    key = F.col(id_col).cast("bigint")
+    ends = docs.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    used = max(abs(ends["low"] or 0), abs(ends["high"] or 0)).bit_length()
+    free = max(0, 61 - used)
+    text = F.xxhash64(F.lit("owner"), F.col(text_col))
+    return F.coalesce(
+        F.shiftleft(key, free) + text.bitwiseAND(F.lit((1 << free) - 1)),
+        F.lit(1 << 62) + text.bitwiseAND(F.lit((1 << 61) - 1)))
+
+
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
     bucket: int = BUCKET, keep_text: bool = False,
@@ -565,14 +579,15 @@ def dedup_substrings(
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row, and ``kept`` (bytes, as
     a cut may fall inside a character) with ``keep_text``.
 
-    A null text is empty. Rows with a null id come after all others. Rows that repeat id and
+    A null text is empty. Rows with a null id come after all others (below 2^61),
+    ordered by a hash. Rows that repeat id and
     text are one document, so they are cut alike; texts that share only the id are ordered by
     a hash. Other columns are ignored."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     texts = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("o"),
+        owner(docs, id_col, text_col).alias("o"),
         F.coalesce(text_version(text_col), F.lit(0).cast("bigint")).alias("v"),
         F.col(text_col).cast("string").alias("text"))
     placed = texts.repartition(spark_partitions(docs.sparkSession), "o", "v")

@@ -115,3 +115,16 @@ def test_odd_rows(spark):
     assert suffix_dedup.dedup_substrings(spark.createDataFrame([], DOCS)).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.dedup_substrings(docs, length=20)
+
+
+def test_many_texts_without_an_id_or_with_one(spark):
+    """Thousands of texts share an id, or have none: each is judged as a document of its own."""
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(150))
+    texts = ["".join(r.choice("abcdefghijklmnop ") for _ in range(130)) for _ in range(6_000)]
+    rows = [(1, passage), *((None if n % 2 else 5, t) for n, t in enumerate(texts)),
+            (None, "x" + passage), (5, passage + "y")]
+    found = suffix_dedup.dedup_substrings(
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+    cut = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"]) for r in found.where("n_removed > 0").collect())
+    assert cut == [(-1, 151, 150), (5, 151, 150)] and found.count() == len(rows)
