@@ -60,7 +60,7 @@ def test_burst_islands(spark):
     for ip in ("10.0.0.1", "10.0.0.2", None):
         at = -3_000_000
         for _ in range(260 if ip == "10.0.0.1" else 60):
-            at += r.choice([0, 4_000, 200_000, 599_999, 600_000, 600_001, 5_000_000])
+            at += r.choice([0, 4_000, 4_000, 60_000, 200_000, 599_999, 600_000, 600_001, 5_000_000])
             events.append(raw(seq, clientIp=ip, timestamp=millis(at)))
             seq += 1
     events.append(raw(seq, timestamp=None))
