@@ -9,11 +9,15 @@ chain is grown line by line over neighbours that match. Aligned blocks of enough
 deleted from the later document.
 
 One first holder a line misses blocks that only some other document holds in one piece. With
-``whole`` a document is therefore matched by windows instead: from each line on, and up to
-each line, the fewest lines that hold ``min_block`` code points. Every run of lines of that
-size that an earlier document holds in one piece is covered exactly by the windows inside it,
-and a window is the same in all its holders; so each window is compared with its first holder
-alone, in any number of documents, and still nothing that any pair shares is missed.
+``whole`` pairs are therefore found by windows: from each line on, and up to each line, the
+fewest lines that hold ``min_block`` code points. Every run of lines of that size that an
+earlier document holds in one piece is covered exactly by the windows inside it, and a window
+is the same in all its holders; so pairing each window with its first holder alone leaves out
+nothing that an alignment with any other document would find. The windows of a pair are the
+anchors of its patience diff: those that stand once on both sides are chained by their longest
+increasing run, links that touch on one diagonal grow together to blocks, and what a chain
+leaves (moved or repeated passages) is dealt to further increasing chains, until every shared
+window lies in a block of some chain. The blocks go from the later document.
 
 Only line hashes, numbers and lengths are shuffled; texts move once, to meet their deletions.
 """
@@ -180,58 +184,54 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _LINE_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.int32()]
 
 
-def windows_of(text: str, min_block: int) -> dict[bytes, list[tuple[int, int, int]]]:
-    """Places ``(first line, last line, next line)`` of the windows of a text, by 128-bit hashes
-    of their lines. Blank lines do not count: lines around them are neighbours."""
-    found: dict[bytes, list[tuple[int, int, int]]] = {}
-    run: list[tuple[int, bytes, int]] = []
-    for no, line in enumerate(text.split("\n")):
+def windows_of(text: str, min_block: int) -> dict[bytes, tuple[int, list[int]]]:
+    """``(lines, starts)`` of the windows of a text, by 128-bit hashes of their lines. Blank
+    lines do not count: the others are numbered without them, from 0."""
+    codes, sizes = [], []
+    for line in text.split("\n"):
         line = line.strip(_SPACE)
         if line:
-            run.append((no, xxhash.xxh3_128_digest(line.encode("utf-8", "replace")), len(line)))
-    _add_windows(found, run, min_block)
-    return found
-
-
-def _add_windows(found: dict, run: list[tuple[int, bytes, int]], min_block: int) -> None:
-    codes = [code for _, code, _ in run]
-    places = [no for no, _, _ in run] + [-1]
+            codes.append(xxhash.xxh3_128_digest(line.encode("utf-8", "replace")))
+            sizes.append(len(line))
     spans, start, held = set(), 0, 0
-    for end, (_, _, length) in enumerate(run):
+    low, back = 0, 0
+    for end, length in enumerate(sizes):
         held += length
-        # Each start is left at the first end that suffices; the last start left at an end
-        # begins the shortest window up to that end.
+        back += length
+        # Each start is left at the first end that suffices; the last start that suffices at
+        # an end begins the shortest window up to that end.
         while start <= end and held >= min_block:
             spans.add((start, end))
-            held -= run[start][2]
+            held -= sizes[start]
             start += 1
-        low, size = end, run[end][2]
-        while size < min_block and low > 0:
-            low -= 1
-            size += run[low][2]
-        if size >= min_block:
+        while low < end and back - sizes[low] >= min_block:
+            back -= sizes[low]
+            low += 1
+        if back >= min_block:
             spans.add((low, end))
-    for a, b in spans:
+    found: dict[bytes, tuple[int, list[int]]] = {}
+    for a, b in sorted(spans):
         key = codes[a] if a == b else xxhash.xxh3_128_digest(b"".join(codes[a:b + 1]))
-        found.setdefault(key, []).append((places[a], places[b], places[b + 1]))
+        found.setdefault(key, (b - a + 1, []))[1].append(a)
+    return found
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -> DataFrame:
-    """``(a, b, doc_id, v, first, last, next)``: each distinct window of each document, by two
+    """``(a, b, doc_id, v, lines, starts)``: each distinct window of each document, by two
     halves of its hash, with its places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            columns = zip(*rows) if rows else [()] * 7
+            columns = zip(*rows) if rows else [()] * 6
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, _WINDOW_TYPES)],
-                names=["a", "b", "doc_id", "v", "first", "last", "next"])
+                names=["a", "b", "doc_id", "v", "lines", "starts"])
 
         for batch in slices(batches, 64):
             for i, v, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for code, places in windows_of(text, min_block).items():
-                    rows.append((*struct.unpack("<qq", code), i, v, *map(list, zip(*places))))
+                for code, (lines, starts) in windows_of(text, min_block).items():
+                    rows.append((*struct.unpack("<qq", code), i, v, lines, starts))
                 if len(rows) > _HELD_WINDOWS:
                     yield out()
                     rows.clear()
@@ -241,58 +241,142 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -> Dat
         F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("v"),
         F.col(text_col).alias("text"))
     return whole.mapInArrow(
-        run, "a bigint, b bigint, doc_id bigint, v bigint, first array<int>, last array<int>,"
-             " next array<int>")
+        run, "a bigint, b bigint, doc_id bigint, v bigint, lines int, starts array<int>")
 
 
-_WINDOW_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 3
+_WINDOW_TYPES = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32())]
 _HELD_WINDOWS = 50_000
 
 
-def _held_windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -> DataFrame:
-    """What ``find_blocks`` returns, by windows."""
+def chains(anchors: Sequence[tuple[int, int, int, bool]]) -> list[list[tuple[int, int, int]]]:
+    """Increasing chains of the anchors of a pair, ``(late start, early start, lines, rare)``,
+    so that each lies in one.
+
+    The first is the patience diff proper: the longest increasing run of rare anchors. The rest
+    are dealt in late order, each to the chain whose early end is the nearest below it, or to a
+    new one: as few chains as the longest falling run has anchors, in one sorted pass."""
+    longest: dict[tuple[int, int], int] = {}
+    rare = set()
+    for late, early, lines, once in anchors:
+        longest[late, early] = max(lines, longest.get((late, early), 0))
+        if once:
+            rare.add((late, early))
+    # Of anchors at one place of either side, the chain may hold one; seeds that fall within
+    # a line are ordered so that no run takes two.
+    seeds = sorted(rare, key=lambda x: (x[0], -x[1]))
+    result = [_increasing(seeds)] if seeds else []
+    taken = set(result[0]) if result else set()
+    tails: list[int] = []
+    rows: list[list[tuple[int, int]]] = []
+    for late, early in sorted(longest.keys() - taken, key=lambda x: (x[0], -x[1])):
+        # Tails fall, so that the nearest below is the first that is.
+        k = bisect_left(tails, -early + 1)
+        if k == len(tails):
+            tails.append(-early)
+            rows.append([(late, early)])
+        else:
+            tails[k] = -early
+            rows[k].append((late, early))
+    return [[(late, early, longest[late, early]) for late, early in row]
+            for row in [*result, *rows]]
+
+
+def blocks_of(chain: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``(late start, early start, lines)`` of the blocks of a chain: links on one diagonal
+    that overlap or touch are one."""
+    blocks: list[tuple[int, int, int]] = []
+    for late, early, lines in chain:
+        if blocks:
+            at, of, size = blocks[-1]
+            if late - early == at - of and late <= at + size:
+                blocks[-1] = (at, of, max(size, late - at + lines))
+                continue
+        blocks.append((late, early, lines))
+    return blocks
+
+
+def aligned_runs(shared: Sequence[dict]) -> tuple[list[int], list[int]]:
+    """``(runs, owners)`` of one later document, from its windows ``owner_id, owner_v, early,
+    once, lines, starts``: runs of lines that go, first and last in turn, and the documents
+    they are aligned with."""
+    anchors = defaultdict(list)
+    for row in shared:
+        once = row["once"] and len(row["starts"]) == 1
+        anchors[row["owner_id"], row["owner_v"]].extend(
+            (late, row["early"], row["lines"], once) for late in row["starts"])
+    spans = sorted(
+        (late, late + lines - 1) for pair in anchors.values() for chain in chains(pair)
+        for late, _, lines in blocks_of(chain))
+    runs: list[int] = []
+    for a, b in spans:
+        if runs and a <= runs[-1] + 1:
+            runs[-1] = max(runs[-1], b)
+        else:
+            runs += [a, b]
+    return runs, sorted({owner for owner, _ in anchors})
+
+
+def _aligned_windows(docs: DataFrame, id_col: str, text_col: str, min_block: int) -> DataFrame:
+    """What ``find_blocks`` returns with ``whole``."""
     windows = _windows(docs, id_col, text_col, min_block)
+    # Of the owner's places the first is enough: a later copy aligns with one of them.
     first = saved(windows.groupBy("a", "b").agg(
-        F.min(F.struct("doc_id", "v")).alias("owner"), F.count(F.lit(1)).alias("n")).where(
-        "n > 1").drop("n"))
-    held = (
+        F.min(F.struct("doc_id", "v", F.col("starts")[0].alias("early"),
+                       (F.size("starts") == 1).alias("once"))).alias("owner"),
+        F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    shared = (
         windows.join(first, ["a", "b"])
         .where("(doc_id, v) <> (owner.doc_id, owner.v)")
+        # Rows that repeat id and text bring the same windows again.
         .groupBy("doc_id", "v").agg(F.collect_set(F.struct(
-            F.col("owner.doc_id").alias("owner_id"), "first", "last", "next")).alias("held")))
+            F.col("owner.doc_id").alias("owner_id"), F.col("owner.v").alias("owner_v"),
+            F.col("owner.early").alias("early"), F.col("owner.once").alias("once"),
+            "lines", "starts")).alias("shared")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gone, owners = [], []
-        for rows in batch.column(2).to_pylist():
-            lines: set[int] = set()
-            for row in rows:
-                for a, b in zip(row["first"], row["last"]):
-                    lines.update(range(a, b + 1))
-            # Blank lines between two that go have nothing left to part.
-            for row in rows:
-                for b, after in zip(row["last"], row["next"]):
-                    if after in lines:
-                        lines.update(range(b + 1, after))
-            gone.append(sorted(lines))
-            owners.append(sorted({row["owner_id"] for row in rows}))
+        found = [aligned_runs(rows) for rows in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())),
-            pa.array(owners, pa.list_(pa.int64()))], names=["doc_id", "v", "gone", "owners"])
+            batch.column(0), batch.column(1), pa.array([r for r, _ in found], pa.list_(pa.int32())),
+            pa.array([o for _, o in found], pa.list_(pa.int64()))],
+            names=["doc_id", "v", "runs", "owners"])
 
     return map_batches(
-        held, run, "doc_id bigint, v bigint, gone array<int>, owners array<bigint>")
+        shared, run, "doc_id bigint, v bigint, runs array<int>, owners array<bigint>")
+
+
+def _runs(numbers: Sequence[int]) -> list[int]:
+    runs: list[int] = []
+    for n in numbers:
+        if runs and runs[-1] == n - 1:
+            runs[-1] = n
+        else:
+            runs += [n, n]
+    return runs
+
+
+def cut(text: str, runs: Sequence[int], dense: bool) -> tuple[str, int]:
+    """The text without runs of lines (first and last in turn), and how many lines went.
+    ``dense`` numbers leave blank lines out; blank lines inside a run go with it."""
+    lines = text.split("\n")
+    places = [no for no, line in enumerate(lines) if not dense or line.strip(_SPACE)]
+    kept, at = [], 0
+    for a, b in zip(runs[::2], runs[1::2]):
+        kept += lines[at:places[a]]
+        at = places[b] + 1
+    kept += lines[at:]
+    return "\n".join(kept), len(lines) - len(kept)
 
 
 def find_blocks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     min_line: int = MIN_LINE, min_block: int = MIN_BLOCK, whole: bool = False,
 ) -> DataFrame:
-    """``(doc_id, v, gone, owners)`` of each document that loses lines: ``gone`` are their
-    numbers, from 0, ``v`` the XXH64 of its text, ``owners`` the earlier documents. With
-    ``whole``, all that any earlier document holds in one piece goes, whatever the length of
-    its lines, and ``owners`` are the first holders of its windows."""
+    """``(doc_id, v, runs, owners)`` of each document that loses lines: ``runs`` are the first
+    and last numbers, from 0, of their runs in turn, ``v`` the XXH64 of its text, ``owners`` the
+    earlier documents it was aligned with. With ``whole``, pairs come from windows, lines of
+    any length count, and numbers leave blank lines out."""
     if whole:
-        return _held_windows(docs, id_col, text_col, min_block)
+        return _aligned_windows(docs, id_col, text_col, min_block)
     lines = _lines(docs, id_col, text_col)
     # An owner is the smallest (id, text hash); ids may repeat, equal rows are one document.
     # Kept, so that the join has shuffles of its own, which adaptive execution may split.
@@ -311,35 +395,43 @@ def find_blocks(
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [deletions(rows, min_block) for rows in batch.column(2).to_pylist()]
         out = pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([g for g, _ in found], pa.list_(pa.int32())),
+            batch.column(0), batch.column(1),
+            pa.array([_runs(g) for g, _ in found], pa.list_(pa.int32())),
             pa.array([o for _, o in found], pa.list_(pa.int64()))],
-            names=["doc_id", "v", "gone", "owners"])
+            names=["doc_id", "v", "runs", "owners"])
         return out.filter(pa.array([bool(g) for g, _ in found], pa.bool_()))
 
     return map_batches(
-        shared, run, "doc_id bigint, v bigint, gone array<int>, owners array<bigint>")
+        shared, run, "doc_id bigint, v bigint, runs array<int>, owners array<bigint>")
 
 
 def _cleaned(
     docs: DataFrame, id_col: str, text_col: str, min_line: int, min_block: int, whole: bool,
 ) -> tuple[DataFrame, str, str]:
-    """All columns, the text cleaned, and two more: deleted line numbers and owners."""
-    key, version, text_key, gone, owners = (
-        unused(docs, n) for n in ("_id", "_v", "_h", "_gone", "_owners"))
+    """All columns, the text cleaned, and two more: the number of deleted lines and owners."""
+    key, version, text_key, runs, left, gone, owners = (
+        unused(docs, n) for n in ("_id", "_v", "_h", "_runs", "_left", "_gone", "_owners"))
     found = find_blocks(docs, id_col, text_col, min_line, min_block, whole).select(
-        F.col("doc_id").alias(key), F.col("v").alias(version), F.col("gone").alias(gone),
+        F.col("doc_id").alias(key), F.col("v").alias(version), F.col("runs").alias(runs),
         F.col("owners").alias(owners))
+
+    @F.arrow_udf("struct<text string, lines int>")
+    def without(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        return pa.array(
+            [r and dict(zip(("text", "lines"), cut(t, r, whole)))
+             for t, r in zip(texts.to_pylist(), runs.to_pylist())],
+            pa.struct([("text", pa.string()), ("lines", pa.int32())]))
+
     text = F.col(text_col)
+    changed = F.col(runs).isNotNull()
     joined = docs.withColumn(text_key, F.xxhash64(text)).join(
-        found, (F.col(id_col) == F.col(key)) & (F.col(text_key) == F.col(version)), "left")
-    left = F.array_join(F.filter(
-        F.transform(F.split(text, "\n"), lambda line, no: F.when(
-            ~F.array_contains(gone, no), line)),
-        lambda line: line.isNotNull()), "\n")
-    cleaned = F.when(F.col(gone).isNull(), text).otherwise(left).alias(text_col)
+        found, (F.col(id_col) == F.col(key)) & (F.col(text_key) == F.col(version)), "left",
+    ).withColumn(left, without(F.when(changed, text), F.col(runs)))
+    cleaned = F.when(changed, F.col(left)["text"]).otherwise(text).alias(text_col)
     kept = [cleaned if name == text_col else column
             for name, column in zip(docs.columns, columns_of(docs))]
-    return joined.select(*kept, gone, owners), gone, owners
+    return joined.select(
+        *kept, F.coalesce(F.col(left)["lines"], F.lit(0)).alias(gone), owners), gone, owners
 
 
 def dedup_lines(
@@ -367,5 +459,5 @@ def report(
     cleaned, gone, owners = _cleaned(narrow, "doc_id", "text", min_line, min_block, whole)
     return cleaned.select(
         "doc_id", "text",
-        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias("gone_lines"),
+        F.col(gone).alias("gone_lines"),
         F.coalesce(owners, F.array().cast("array<bigint>")).alias("owners"))

@@ -205,3 +205,99 @@ def test_runs_around_blank_lines(spark):
         left = [lines_left(t, g) for t, g in zip(dense, held_anywhere(dense, 20))]
         assert ["\n".join(x for x in rows[d].split("\n") if x.strip(SPACE))
                 for d in range(len(some))] == left
+
+
+def rounds_anywhere(texts, min_block):
+    """Lines of each text in aligned blocks of rounds of patience diff with every earlier text:
+    common runs of enough characters are ordered, the longest increasing chain goes, and the
+    runs left are chained again until there is none."""
+    lines = [[x.strip(SPACE) for x in t.split("\n") if x.strip(SPACE)] for t in texts]
+    out = []
+    for d, late in enumerate(lines):
+        gone = set()
+        for early in lines[:d]:
+            left = set()
+            for l in range(len(late)):
+                for e in range(len(early)):
+                    n = 0
+                    while l + n < len(late) and e + n < len(early) and late[l + n] == early[e + n]:
+                        n += 1
+                    if sum(map(len, late[l:l + n])) >= min_block:
+                        left.add((l, e, n))
+            while left:
+                best = {}
+                for l, e, n in sorted(left):
+                    before = [best[x] for x in best if x[0] < l and x[1] < e]
+                    best[l, e, n] = max(before, key=len, default=[]) + [(l, e, n)]
+                chain = max(best.values(), key=len)
+                left.difference_update(chain)
+                for l, _, n in chain:
+                    gone.update(range(l, l + n))
+        out.append(gone)
+    return out
+
+
+def test_equals_patience_diff_over_all_pairs(spark):
+    for seed in (6, 7, 8):
+        some = [t for t in texts(seed, 60) if all(x.strip(SPACE) for x in t.split("\n"))]
+        # Blocks moved before one another, and a passage twice in a later text.
+        parts = [[f"part {p} line {i} of seed {seed}" for i in range(3)] for p in range(4)]
+        some += ["\n".join(sum((parts[p] for p in order), [f"own {order}"]))
+                 for order in ([0, 1, 2, 3], [3, 1, 0, 2], [2, 2, 1], [1, 0, 1, 0])]
+        rows = {r["doc_id"]: r for r in line_dedup.report(
+            documents(spark, some), min_block=20, whole=True).collect()}
+        gone = rounds_anywhere(some, 20)
+        assert [rows[d]["text"] for d in range(len(some))] == [
+            lines_left(t, g) for t, g in zip(some, gone)]
+        assert [rows[d]["gone_lines"] for d in range(len(some))] == [len(g) for g in gone]
+        assert all(bool(rows[d]["owners"]) == bool(g) for d, g in enumerate(gone))
+
+
+def test_first_chain_is_patience_diff():
+    """The longest run in order comes first, whatever is left is dealt to few further chains."""
+    anchors = [(3, 0, 1, True), (4, 1, 1, True), (5, 2, 1, True), (0, 3, 2, True), (1, 4, 1, True),
+               (9, 0, 1, False)]
+    found = line_dedup.chains(anchors)
+    assert found == [[(3, 0, 1), (4, 1, 1), (5, 2, 1)], [(0, 3, 2), (1, 4, 1)], [(9, 0, 1)]]
+    assert [line_dedup.blocks_of(c) for c in found] == [[(3, 0, 3)], [(0, 3, 2)], [(9, 0, 1)]]
+    r = random.Random(3)
+    for _ in range(200):
+        some = [(r.randrange(12), r.randrange(12), r.randint(1, 3), r.random() < 0.5)
+                for _ in range(r.randint(0, 15))]
+        dealt = line_dedup.chains(some)
+        assert sorted((l, e) for c in dealt for l, e, _ in c) == sorted({x[:2] for x in some})
+        assert all(a[0] < b[0] and a[1] < b[1] for c in dealt for a, b in zip(c, c[1:]))
+
+
+def test_odd_rows_of_whole_blocks(spark):
+    docs = documents(spark, ODD_TEXTS, ODD_IDS, CLASHING)
+    clean = line_dedup.dedup_lines(docs, whole=True)
+    assert clean.schema == docs.schema
+    assert sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+    empty = spark.createDataFrame([], DOCS)
+    assert line_dedup.report(empty, whole=True).count() == 0
+    passage = "\n".join(f"line {i} of a passage that is held by two" for i in range(5))
+    # Equal rows are one document; rows that share only the id are told apart; a row without
+    # an id or text stays and holds nothing against others.
+    some = [passage, passage, "x\n" + passage, passage, "other\n" + passage, None, ""]
+    rows = line_dedup.report(
+        documents(spark, some, [5, 5, 5, 6, None, 7, 8]), whole=True).collect()
+    left = sorted((r["doc_id"] or 0, str(r["text"]), r["gone_lines"]) for r in rows)
+    fives = [x for x in left if x[0] == 5]
+    assert [x for x in left if x[0] != 5] == [
+        (0, "other\n" + passage, 0), (6, "", 5), (7, "None", 0), (8, "", 0)]
+    # The smaller text hash of id 5 is the earlier.
+    assert fives in ([(5, "", 5), (5, "", 5), (5, "x\n" + passage, 0)],
+                     [(5, passage, 0), (5, passage, 0), (5, "x", 5)])
+
+
+def test_very_many_lines(spark):
+    long = "\n".join(f"line {i} of a document of very many lines" for i in range(80_000))
+    turned = "\n".join(reversed([f"{x} {x} {x}" for x in long.split("\n")[:20_000]]))
+    straight = "\n".join(reversed(turned.split("\n")))
+    some = [long, f"head\n{long}\ntail", straight, f"{turned}\nend"]
+    rows = {r["doc_id"]: r for r in line_dedup.report(
+        documents(spark, some), whole=True).collect()}
+    assert [rows[d]["gone_lines"] for d in range(4)] == [0, 80_000, 0, 20_000]
+    assert rows[1]["text"] == "head\ntail" and rows[3]["text"] == "end"
+    assert rows[1]["owners"] == [0] and rows[3]["owners"] == [2]
