@@ -1,3 +1,5 @@
+import time
+
 from palisade.llm import html_text
 from palisade.llm.html_text import main_text
 
@@ -73,3 +75,50 @@ def test_a_short_second_part_is_kept():
     links = "".join(f"<li><a href=x>link {i} to another page</a>" for i in range(9))
     page = f"<div>{f'<p>{LONG}</p>' * 9}</div><ul>{links}</ul><div><p>{LONG}</p></div>"
     assert main_text(page) == " ".join([LONG] * 10)
+
+
+def test_compound_names_of_noise_in_an_article():
+    for leak in ('<div class="post-comments">@</div>', '<div class="c-comments__list">@</div>',
+                 '<div id="fb-comments-box"><p>@</p></div>', '<div class="js-ad-slot">@</div>',
+                 '<p class="advert">@</p>', '<p>@</p>'.replace("<p>", '<p class="ad">'),
+                 '<section class="user-comments"><article><p>@</p></article></section>',
+                 '<ul class="siteNavMenu"><li>@</ul>', '<div class="newsletterSignup"><p>@</div>'):
+        page = f"<article><h1>Title</h1><p>{LONG}</p>{leak.replace('@', LONG)}<p>End.</p></article>"
+        assert main_text(page) == f"Title {LONG} End.", leak
+    page = f'<article><p>Before <span class="ad">buy this</span>after, {LONG}</p></article>'
+    assert main_text(page) == f"Before after, {LONG}"
+    for kept in ("has-sidebar", "no-ads", "social-impact", "related-work", "reply-to-critics",
+                 "entry-content", "page-header"):
+        page = f'<article><p>{LONG}</p><div class="{kept}"><p>Part.</p></div></article>'
+        assert main_text(page) == f"{LONG} Part."
+
+
+def test_comments_longer_than_their_article():
+    comments = f"<p>{LONG}</p>" * 30
+    page = f"""<main><article><p>{LONG}</p></article><div id="comments">{comments}</div>
+      <section class="reader-comments">{comments}</section></main>"""
+    assert main_text(page) == LONG
+
+
+def test_surge_and_dive_in_a_marked_article():
+    links = "".join(f"<li><a href=x>link {i} to another page</a>" for i in range(5))
+    page = f"""<article><ul>{links}</ul><h1><a href=y>Title</a></h1><p><a href=z>Author</a></p>
+      <p>{LONG}</p><div><ul>{links}</ul></div><p>Short.</p><p>See <a href=x>this</a>.</p>
+      <ol><li>one <li><a href=x>two</a></ol><ul>{links}</ul></article>"""
+    assert main_text(page) == f"Title Author {LONG} Short. See this. one two"
+    # An article of nothing but links is all there is.
+    assert main_text(f"<article><ul>{links}</ul></article>").startswith("link 0 to another page")
+
+
+def test_hostile_markup_takes_linear_time():
+    started = time.monotonic()
+    assert main_text('<a "' * 100_000) == '<a "' * 100_000
+    assert main_text("<a " * 100_000 + "x").endswith("<a x")
+    assert main_text("<!" * 100_000 + "x").endswith("<!x")
+    assert main_text("<a '\">" * 50_001) == ""
+    assert main_text("<div>" * 100_000 + "x") == "x"
+    assert len(main_text("<b>" * 40_000 + "<p>x</p>" * 40_000)) == 79_999
+    # The outer half of these hold most of the text each.
+    assert len(main_text('<div class="ad">x' * 30_000)) == 29_999
+    assert main_text("<p><li>" + "<b>" * 30_000 + "<h1>x</h1>" * 30_000)[:3] == "x x"
+    assert time.monotonic() - started < 30
