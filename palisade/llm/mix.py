@@ -6,7 +6,8 @@ target shares, never beyond what a cell holds. A cell's tokens divided by what i
 probability with which each of its documents is drawn, by a hash of its id.
 
 Cells are few where sources are; up to ``LOCAL_CELLS`` of them (checked) are raked on the
-driver, beyond that the same steps run as joins and sums on Spark.
+driver, beyond that the same steps, with the same stopping rule, run as joins and sums on Spark;
+targets then are tables as well, so a margin may have any number of values.
 """
 from __future__ import annotations
 
@@ -106,31 +107,50 @@ def _share(shares: Mapping, value) -> float:
 
 
 def rake_distributed(
-    cells: DataFrame, targets: Mapping[str, Mapping], budget: float, rounds: int = ROUNDS,
+    cells: DataFrame, targets: Mapping[str, Mapping] | Mapping[str, DataFrame], budget: float,
+    rounds: int = ROUNDS, tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """``rake`` as joins and sums, for any number of cells; adds ``wanted``. The tables of
-    targets are as long as the margins that the caller passes."""
-    spark = cells.sparkSession
+    """``rake`` as joins and sums, for any number of cells; adds ``wanted``. ``targets`` are
+    shares by value, or tables ``_value, _share`` of them."""
     total = budget * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    goals = {m: t if isinstance(t, DataFrame) else _share_table(cells, m, t)
+             for m, t in targets.items()}
     rows = saved(cells.withColumn("wanted", F.col("tokens") * F.lit(budget)))
     for _ in range(rounds):
-        for margin, shares in targets.items():
-            kind = cells.schema[margin].dataType
-            goals = spark.createDataFrame(
-                [(k, float(v) * total) for k, v in shares.items()],
-                T.StructType([T.StructField("_value", kind), T.StructField("_goal", T.DoubleType())]))
+        rows = rows.withColumn("_before", F.col("wanted"))
+        for margin, shares in goals.items():
             sums = rows.groupBy(margin).agg(F.sum("wanted").alias("_sum"))
-            factors = sums.join(goals, F.col(margin).eqNullSafe(F.col("_value")), "left").select(
+            factors = sums.join(shares, F.col(margin).eqNullSafe(F.col("_value")), "left").select(
                 F.col(margin).alias("_m"),
-                F.when(F.col("_sum") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_sum"))
+                F.when(F.col("_sum") > 0, F.coalesce("_share", F.lit(0.0)) * total / F.col("_sum"))
                 .otherwise(0.0).alias("_factor"))
             rows = rows.join(factors, F.col(margin).eqNullSafe(F.col("_m"))).withColumn(
                 "wanted", F.least(F.col("wanted") * F.col("_factor"), F.col("tokens").cast(
                     "double"))).drop("_m", "_factor")
         rows = saved(rows)
+        moved = rows.agg(F.max(F.abs(F.col("wanted") - F.col("_before")))).first()[0] or 0.0
+        rows = rows.drop("_before")
+        if moved <= tolerance * max(total, 1.0):
+            break
     return rows
 
 
+def _share_table(cells: DataFrame, margin: str, shares: Mapping) -> DataFrame:
+    return cells.sparkSession.createDataFrame(
+        [(k, float(v)) for k, v in shares.items()], T.StructType([
+            T.StructField("_value", cells.schema[margin].dataType),
+            T.StructField("_share", T.DoubleType())]))
+
+
+def _even_shares(cells: DataFrame, margin: str, power: float) -> DataFrame:
+    """``smoothed`` observed shares of a margin as a table."""
+    sums = cells.groupBy(F.col(margin).alias("_value")).agg(
+        F.sum("tokens").alias("_tokens")).where("_tokens > 0")
+    raised = F.pow(F.col("_tokens").cast("double"), F.lit(power))
+    total = sums.agg(F.sum(raised)).first()[0] or 1.0
+    return saved(sums.select("_value", (raised / total).alias("_share")))
+
+
 def cell_rates(
     described: DataFrame, targets: Mapping[str, Mapping] | None = None,
     budget: float = BUDGET, power: float = TEMPERATURE, local_cells: int = LOCAL_CELLS,
@@ -139,13 +159,10 @@ def cell_rates(
     are evened out by ``power``. Cells without tokens have rate ``budget``."""
     cells = saved(described.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     spark = cells.sparkSession
-    if targets is None:
-        sums = {m: cells.groupBy(m).agg(F.sum("tokens").alias("tokens")) for m in MARGINS}
-        targets = {m: smoothed(_shares(df, m), power) for m, df in sums.items()}
-    count = cells.count()
-    if count <= local_cells:
+    if cells.count() <= local_cells:
         table = cells.orderBy(*MARGINS).toPandas()
-        table["wanted"] = rake(table, targets, budget)
+        table["wanted"] = rake(table, targets or {
+            m: smoothed(_shares(table, m), power) for m in MARGINS}, budget)
         raked = spark.createDataFrame(
             pa.table({
                 "source": pa.array(table["source"], pa.string(), from_pandas=True),
@@ -154,18 +171,17 @@ def cell_rates(
                 "tokens": pa.array(table["tokens"], pa.int64()),
                 "wanted": pa.array(table["wanted"], pa.float64())}))
     else:
-        raked = rake_distributed(cells, targets, budget)
+        raked = rake_distributed(
+            cells, targets or {m: _even_shares(cells, m, power) for m in MARGINS}, budget)
     return raked.select(*MARGINS, F.when(
         F.col("tokens") > 0, F.col("wanted") / F.col("tokens")).otherwise(budget).alias("rate"))
 
 
-def _shares(sums: DataFrame, margin: str, most: int = 1_000_000) -> dict:
-    """Shares by value; a margin of more values needs explicit targets."""
-    if sums.count() > most:
-        raise ValueError(f"{margin} has over {most} values; pass targets")
-    rows = sums.collect()
-    total = float(sum(r["tokens"] for r in rows)) or 1.0
-    return {r[margin]: r["tokens"] / total for r in rows}
+def _shares(cells: pd.DataFrame, margin: str) -> dict:
+    """Observed shares by value; None stands for a missing one."""
+    sums = cells.groupby(margin, dropna=False)["tokens"].sum()
+    total = float(sums.sum()) or 1.0
+    return {None if pd.isna(k) else k: float(n) / total for k, n in sums.items()}
 
 
 def draw(id_col: str = "doc_id", seed: int = 17):

@@ -103,3 +103,20 @@ def test_odd_rows(spark):
     assert kept.schema == docs.schema and kept.count() == len(ODD_IDS)
     empty = spark.createDataFrame([], DOCS)
     assert mix.mixed(empty).count() == 0 and mix.sample(empty).count() == 0
+
+
+def test_targets_as_tables_and_one_stopping_rule(spark):
+    """Shares as a table equal those of the driver, missing values included; where they are the
+    observed ones the first round moves nothing, and both forms stop there."""
+    rows = [(f"s{i % 97}" if i % 5 else None, f"l{i % 3}", i % 4, i % 50) for i in range(400)]
+    schema = "source string, lang string, topic int, tokens bigint"
+    df = spark.createDataFrame(rows, schema)
+    table = pd.DataFrame(rows, columns=schema.replace(",", "").split()[::2])
+    for margin in ("source", "topic"):
+        found = {r["_value"]: r["_share"] for r in mix._even_shares(df, margin, 0.7).collect()}
+        expected = mix.smoothed(mix._shares(table, margin), 0.7)
+        assert found.keys() == expected.keys()
+        assert all(abs(found[k] - v) < 1e-12 for k, v in expected.items())
+    rates = mix.cell_rates(df, budget=0.4, power=1.0, local_cells=0).collect()
+    assert len(rates) == len({r[:3] for r in rows})
+    assert all(abs(r["rate"] - 0.4) < 1e-9 for r in rates)
