@@ -124,8 +124,8 @@ def clear(spark: SparkSession, path: str, checkpoint: str | None = None) -> Clea
         "writer", "epoch", "event_date").parquet(path)
     if checkpoint is not None:
         clients = (
-            spark.read.format("statestore").option("stateVarName", "window").load(checkpoint)
-            .where(F.size("value.ids") > 0).count())
+            spark.read.format("statestore").option("stateVarName", "buckets").load(checkpoint)
+            .select("key").distinct().count())
         folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return Cleared(shown, clients)

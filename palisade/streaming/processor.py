@@ -14,16 +14,22 @@ from palisade.operators.members import Members
 from palisade.operators.window import trackable
 from palisade.policy import Policy
 
-_STATE = T.StructType([
+_START = T.StructType([T.StructField("start", T.LongType())])
+_MEMBERS = T.StructType([
     T.StructField("ids", T.ArrayType(T.StringType())),
     T.StructField("times", T.ArrayType(T.LongType())),
 ])
+_SEEN = T.StructType([T.StructField("last", T.LongType())])
 
 
 class WindowProcessor(StatefulProcessor):
-    """Holds one client's live window. The whole client expires after ``ttl_ms`` of silence,
-    as its members sit in one value that every observation rewrites. Late events are never
-    dropped: there is no watermark, and each anchors on its own time."""
+    """Holds one client's live window as a map of time buckets. A micro-batch reads the map
+    once and writes only the buckets whose members came, went or moved. Late events are never
+    dropped: there is no watermark, and each anchors on its own time.
+
+    The whole client expires after ``ttl_ms`` of silence by the clock. A lifetime per bucket
+    would not do, as a bucket may live on unchanged, so the time of the last observation is kept
+    beside the map and one timer per client clears both."""
 
     def __init__(self, window_ms: int, threshold: int, order: str, ttl_ms: int | None):
         self.window_ms = window_ms
@@ -32,11 +38,17 @@ class WindowProcessor(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", _STATE, self.ttl_ms)
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", _START, _MEMBERS)
+        if self.ttl_ms is not None:
+            self.seen = handle.getValueState("seen", _SEEN)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = self.window.get()
-        members = Members(self.window_ms, *(state if state is not None else ()))
+        if self.ttl_ms is not None:
+            self._see(timerValues.getCurrentProcessingTimeInMs())
+        stored = {start: held for (start,), held in self.buckets.iterator()}
+        members = Members(self.window_ms, (
+            pair for ids, times in stored.values() for pair in zip(ids, times)))
         # A shuffle promises no order; the arrival sequence does.
         for row in sorted(rows, key=lambda r: r[self.order]):
             fields = row.asDict(recursive=False)
@@ -44,7 +56,29 @@ class WindowProcessor(StatefulProcessor):
             if fields["_ms"] is not None:
                 flag = members.observe(fields["eventId"], fields["_ms"]) > self.threshold
             yield Row(**{**fields, "repeatOffender": flag})
-        self.window.update((list(members.time_of), list(members.time_of.values())))
+        for start, held in members.changed().items():
+            if held:
+                self.buckets.updateValue((start,), (list(held), list(held.values())))
+            elif start in stored:
+                self.buckets.removeKey((start,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        (last,) = self.seen.get()
+        if last + self.ttl_ms <= timerValues.getCurrentProcessingTimeInMs():
+            self.buckets.clear()
+            self.seen.clear()
+        else:
+            self.handle.registerTimer(last + self.ttl_ms)
+        return iter(())
+
+    def _see(self, now: int) -> None:
+        """Notes an observation; what outlived its time but not yet its timer is forgotten."""
+        before = self.seen.get()
+        if before is None:
+            self.handle.registerTimer(now + self.ttl_ms)
+        elif before[0] + self.ttl_ms <= now:
+            self.buckets.clear()
+        self.seen.update((now,))
 
     def close(self) -> None:
         pass

@@ -1,7 +1,10 @@
 import json
+import os
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import fold, millis, raw, raw_frame, rows_of
 from palisade.operators.enrich import enrich
@@ -25,7 +28,10 @@ def write_files(spark, events, path, n):
             plain = {c: event[c] for c in names}
             plain["timestamp"] = event["timestamp"].isoformat() if event["timestamp"] else None
             lines.append(json.dumps(plain))
-        (path / f"part-{part}.json").write_text("\n".join(lines))
+        file = path / f"part-{part}.json"
+        file.write_text("\n".join(lines))
+        # A file stream goes by the time of change; files written at once would tie.
+        os.utime(file, (time.time() + part - n, time.time() + part - n))
 
 
 def shuffled_events(n, seed, ids=None):
@@ -95,7 +101,6 @@ def test_idle_client_expires_after_the_ttl(spark, tmp_path):
     """A silent hour of the test: the window is forgotten although event time stands still."""
     from dataclasses import replace
     from datetime import timedelta
-    import time
     policy = replace(Policy(), threshold=1, state_ttl=timedelta(seconds=1))
     source, table, check = (str(tmp_path / x) for x in ("in", "table", "c"))
     write_files(spark, [raw(0), raw(1)], tmp_path / "in", 1)
@@ -110,6 +115,58 @@ def test_idle_client_expires_after_the_ttl(spark, tmp_path):
     assert got == {"e0": False, "e1": True, "e2": False}
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    """A minute of a client's window is a bucket. One more event writes its own bucket, an event
+    that ends half the window removes what has left, and a client's state stays whole."""
+    start = 1_700_000_040_000                    # a full minute
+    many = [raw(n, timestamp=millis(start + n * 1000)) for n in range(600)]
+    one = [raw(600, timestamp=millis(start + 90_000))]
+    moved = [raw(601, eventId="e600", timestamp=millis(start + 300_000))]
+    later = [raw(602, timestamp=millis(start + 300_000 + W))]
+    source, check = tmp_path / "in", str(tmp_path / "c")
+    writes = []
+    for n, events in enumerate((many, one, moved, later)):
+        write_files(spark, events, tmp_path / f"part{n}", 1)
+        source.mkdir(exist_ok=True)
+        (tmp_path / f"part{n}" / "part-0.json").rename(source / f"{n}.json")
+        run = pipeline.run(
+            pipeline.event_stream(spark, str(source)), str(tmp_path / "table"), check,
+            trigger=pipeline.DRAIN, time_mode="None", stamp=False)
+        pipeline.drain(run)
+        writes.append([(o["numRowsUpdated"], o["numRowsRemoved"]) for p in run.recentProgress
+                       if p["numInputRows"] for o in p["stateOperators"]])
+    state = spark.read.format("statestore").option("stateVarName", "buckets").load(check)
+    held = {r["s"]: r["n"] for r in state.select("user_map_key.start", F.size("user_map_value.ids")).toDF("s", "n").collect()}
+    assert writes[0] == [(10, 0)] and writes[1] == [(1, 0)] and writes[2] == [(2, 0)]
+    assert writes[3] == [(1, 5)]
+    assert held == {**{start + m * 60_000: 60 + (m == 5) for m in range(5, 10)},
+                    start + 300_000 + W: 1}
+    flags = expected_flags([*many, *one, *moved, *later])
+    got = store.read_table(spark, str(tmp_path / "table"))
+    assert {r["arrival_seq"]: r["repeatOffender"] for r in got.collect()} == {
+        seq: flag for seq, flag in flags.items() if seq != 600}
+
+
+def test_a_busy_client_keeps_quiet_buckets(spark, tmp_path):
+    """Silence is the client's, not a bucket's: old members count as long as it is heard."""
+    from dataclasses import replace
+    from datetime import timedelta
+    policy = replace(Policy(), threshold=3, state_ttl=timedelta(seconds=12))
+    source, table, check = (str(tmp_path / x) for x in ("in", "table", "c"))
+    write_files(spark, [raw(0, timestamp=millis(1_700_000_000_000))], tmp_path / "in", 1)
+    for n in range(1, 4):
+        pipeline.drain(pipeline.run(
+            pipeline.event_stream(spark, source), table, check, policy, pipeline.DRAIN))
+        time.sleep(5)
+        event = raw(n, timestamp=millis(1_700_000_000_000 + n * 120_000))
+        (tmp_path / "in" / f"part-{n}.json").write_text(json.dumps(
+            {**event, "timestamp": event["timestamp"].isoformat()}))
+    pipeline.drain(pipeline.run(
+        pipeline.event_stream(spark, source), table, check, policy, pipeline.DRAIN))
+    got = dict(rows_of(store.read_table(spark, table), "eventId", "repeatOffender"))
+    assert got == {"e0": False, "e1": False, "e2": False, "e3": True}
+
+
 def test_payload_stream(spark, tmp_path):
     """Bodies are accepted or refused whole; both outcomes come from one source."""
     source = tmp_path / "bodies"
