@@ -20,7 +20,7 @@ from palisade.plans.ingest import accepted_events, stored_events, valid_events
 from palisade.policy import Policy
 from palisade.schema import ENRICHED_SCHEMA, EVENT_SCHEMA
 from palisade.session import tune
-from palisade.sources import files, payloads, store
+from palisade.sources import files, keyed, payloads, store
 from palisade.sources.scratch import scratch_dir
 from palisade.streaming import pipeline
 
@@ -293,6 +293,36 @@ def store_two_writers(spark, sf_dir):
     return store.read_table(spark, path).select("eventId", "arrival_seq")
 
 
+def _keyed(spark: SparkSession, sf_dir: str) -> str:
+    """A table by event id: all events, then one in ten with another status, both compacted, then
+    one in fifty that no compaction has seen."""
+    path, flat = scratch_dir(spark, "keyed"), _flat(spark, sf_dir)
+    keyed.create(spark, path, KEYED_BUCKETS)
+    for part, (every, status) in enumerate(((1, None), (10, 500), (50, 501))):
+        changed = flat.where(F.col("arrival_seq") % every == 0).withColumn(
+            "arrival_seq", F.col("arrival_seq") + part * 10 ** 12)
+        keyed.upsert(changed if status is None else changed.withColumn(
+            "statusCode", F.lit(status)), path, "feed", part)
+        if part < 2:
+            keyed.compact(spark, path)
+    return path
+
+
+# Buckets of the registered queries' tables, which are small.
+KEYED_BUCKETS = 16
+
+
+@query
+def keyed_upserts(spark, sf_dir):
+    return keyed.read(spark, _keyed(spark, sf_dir)).select("eventId", "statusCode", "arrival_seq")
+
+
+@query
+def keyed_lookup(spark, sf_dir):
+    return keyed.lookup(spark, _keyed(spark, sf_dir), "req-50").select(
+        "eventId", "clientIp", "path", "statusCode", "timestamp", "arrival_seq")
+
+
 @query
 def store_range(spark, sf_dir):
     """Stored events of a range that begins and ends within a day."""

@@ -199,6 +199,13 @@ SELECT arrival_seq, CAST(len(errs) AS BIGINT) AS error_count,
   coalesce(array_to_string(errs, '; '), '') AS errors FROM e
 """
 
+# Status and arrival after one event in ten, then one in fifty, has come again.
+_FED = """CAST(CASE WHEN arrival_seq % 50 = 0 THEN 501 WHEN arrival_seq % 10 = 0 THEN 500
+            ELSE statusCode END AS INTEGER) AS statusCode,
+          CASE WHEN arrival_seq % 50 = 0 THEN arrival_seq + 2000000000000
+            WHEN arrival_seq % 10 = 0 THEN arrival_seq + 1000000000000 ELSE arrival_seq END
+            AS arrival_seq"""
+
 ORACLES: dict[str, str] = {
     "filter_config": _EV + """SELECT eventId, configId, clientIp, path FROM flat
         WHERE configId = 71""",
@@ -261,6 +268,9 @@ ORACLES: dict[str, str] = {
           CAST(CASE WHEN arrival_seq % 10 = 0 THEN 500 ELSE statusCode END AS INTEGER) AS statusCode,
           CASE WHEN arrival_seq % 10 = 0 THEN arrival_seq + 1000000000000 ELSE arrival_seq END
             AS arrival_seq FROM flat""",
+    "keyed_upserts": _EV + f"SELECT eventId, {_FED} FROM flat",
+    "keyed_lookup": _EV + f"""SELECT eventId, clientIp, path, "timestamp", {_FED} FROM flat
+        WHERE eventId = 'req-50'""",
     "validate_errors": _DAMAGED,
     "batch_accept": _EV + """SELECT batch_id, eventId FROM flat
         WHERE batch_id NOT IN (SELECT batch_id FROM flat WHERE ruleCategory IS NULL)""",
