@@ -99,79 +99,100 @@ def _extent(item, free_item, i, doc, free_doc, j) -> int:
 
 
 class Index:
-    """Seeds of a block of benchmark items. Items under ``seed`` tokens are no evidence of a
-    copy and take no part; items with equal tokens share one entry."""
+    """Seeds of a block of benchmark items. An item under ``seed`` tokens is a seed of its own
+    length, so only a whole copy matches; items with equal tokens share one entry."""
 
     def __init__(self, items: Sequence[tuple[int, str]], seed: int):
-        self.seed = seed
         self.vocabulary: dict[str, int] = {}
         self.items: list[list[int]] = []
         self.ids: list[list[int]] = []
-        self.holders: dict[int, list[int]] = defaultdict(list)
+        # Seed length -> seed -> (item, places in it).
+        self.holders: dict[int, dict[int, list[tuple[int, int]]]] = {}
         entries: dict[tuple[int, ...], int] = {}
         for item_id, text in items:
             words = tokens(text)
-            if len(words) < seed:
+            if not words:
                 continue
             coded = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
             if coded not in entries:
                 entries[coded] = len(self.items)
                 self.items.append(list(coded))
                 self.ids.append([])
-                for gram in np.unique(self.grams(np.array(coded, dtype=np.int64))).tolist():
-                    self.holders[gram].append(entries[coded])
+                size = min(seed, len(coded))
+                holders = self.holders.setdefault(size, defaultdict(list))
+                for gram, n in zip(*(c.tolist() for c in np.unique(
+                        grams(np.array(coded, dtype=np.int64), size), return_counts=True))):
+                    holders[gram].append((entries[coded], n))
             self.ids[entries[coded]].append(item_id)
-        self.seeds = np.array(sorted(self.holders), dtype=np.uint64)
-
-    def grams(self, coded: np.ndarray) -> np.ndarray:
-        """A hash of the ``seed`` tokens from each position on."""
-        n = len(coded) - self.seed + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        values = coded.astype(np.uint64) + np.uint64(1)
-        out = np.zeros(n, dtype=np.uint64)
-        for i in range(self.seed):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + values[i:i + n]
-            out ^= out >> np.uint64(29)
-        return out
-
-    def hits(self, coded: np.ndarray) -> np.ndarray:
-        """Positions at which a seed starts."""
-        n = len(coded) - self.seed + 1
-        if n <= 0 or not len(self.seeds):
+        self.seeds = {size: np.array(sorted(h), dtype=np.uint64)
+                      for size, h in sorted(self.holders.items())}
+
+    def hits(self, coded: np.ndarray, size: int) -> np.ndarray:
+        """Positions at which a seed of ``size`` tokens starts."""
+        seeds = self.seeds[size]
+        if len(coded) < size:
             return np.zeros(0, dtype=np.int64)
         run = np.concatenate(([0], np.cumsum(coded >= 0)))
-        at = np.flatnonzero(run[self.seed:] - run[:-self.seed] == self.seed)
+        at = np.flatnonzero(run[size:] - run[:-size] == size)
         if not len(at):
             return at
-        grams = self.grams(coded)[at]
-        place = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
-        return at[self.seeds[place] == grams]
+        own = grams(coded, size)[at]
+        place = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
+        return at[seeds[place] == own]
 
-    def matches(self, coded: np.ndarray, at: np.ndarray, coverage: float):
+    def matches(self, coded: np.ndarray, at: np.ndarray, size: int, coverage: float):
         """``(item, covered tokens, tiles)`` of the items covered enough. A tile is at least a
-        seed long, so only tokens inside the item's seeds need tiling."""
-        grams = self.grams(coded)
-        near: dict[int, list[int]] = defaultdict(list)
-        for position in at.tolist():
-            for item in self.holders[int(grams[position])]:
-                near[item].append(position)
-        for item, positions in near.items():
+        seed long, so only tokens inside the item's seeds need tiling.
+
+        Items are weighed by the different seeds they share, however often those stand in the
+        text, and only those that may be covered enough are looked for in it."""
+        found = grams(coded, size)[at]
+        shared: dict[int, int] = defaultdict(int)
+        different = np.unique(found)
+        for gram in different.tolist():
+            for item, n in self.holders[size][gram]:
+                shared[item] += n
+        for item, places in shared.items():
             own = self.items[item]
-            inside = np.zeros(len(coded) + 1, dtype=np.int64)
-            np.add.at(inside, positions, 1)
-            np.add.at(inside, np.array(positions) + self.seed, -1)
-            used = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-            gaps = np.flatnonzero(np.diff(used) > 1) + 1
-            pieces = np.insert(coded[used], gaps, -1)
+            # Each place of a seed covers its tokens at most.
+            if places * size < coverage * len(own):
+                continue
+            seeds = grams(np.array(own, dtype=np.int64), size)
+            if _inside(np.flatnonzero(np.isin(seeds, different)), size, len(own)).sum() < (
+                    coverage * len(own)):
+                continue
+            used = np.flatnonzero(_inside(at[np.isin(found, seeds)], size, len(coded)))
             if len(used) < coverage * len(own):
                 continue
-            marked = tiles(own, pieces.tolist(), self.seed)
+            gaps = np.flatnonzero(np.diff(used) > 1) + 1
+            pieces = np.insert(coded[used], gaps, -1)
+            marked = tiles(own, pieces.tolist(), size)
             covered = sum(n for _, _, n in marked)
             if covered >= coverage * len(own):
                 yield item, covered, len(marked)
 
 
+def grams(coded: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` tokens from each position on."""
+    n = len(coded) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    values = coded.astype(np.uint64) + np.uint64(1)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + values[i:i + n]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _inside(starts: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Which of ``length`` tokens lie in a run of ``size`` from one of ``starts``."""
+    edges = np.zeros(length + 1, dtype=np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + size, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
 def _found(index: Index, texts: list[str | None], coverage: float):
     """``(row, item, covered, tiles)``; texts are hashed together, a gap between them."""
     get = index.vocabulary.get
@@ -181,13 +202,14 @@ def _found(index: Index, texts: list[str | None], coverage: float):
         coded.append(-1)
         bounds.append(len(coded))
     ids = np.array(coded, dtype=np.int64)
-    at = index.hits(ids)
-    cuts = np.searchsorted(at, bounds)
-    for row in np.flatnonzero(np.diff(cuts)).tolist():
-        start, stop = bounds[row], bounds[row + 1]
-        for hit in index.matches(
-                ids[start:stop], at[cuts[row]:cuts[row + 1]] - start, coverage):
-            yield row, *hit
+    for size in index.seeds:
+        at = index.hits(ids, size)
+        cuts = np.searchsorted(at, bounds)
+        for row in np.flatnonzero(np.diff(cuts)).tolist():
+            start, stop = bounds[row], bounds[row + 1]
+            for hit in index.matches(
+                    ids[start:stop], at[cuts[row]:cuts[row + 1]] - start, size, coverage):
+                yield row, *hit
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, seed: int, block_chars: int):
@@ -213,7 +235,8 @@ def contaminated(
     """One row per contaminated pair: ``doc_id``, ``item_id``, ``item_tokens``,
     ``covered_tokens``, ``tiles``, ``coverage``.
 
-    Null and empty texts match nothing, in documents and items alike; repeated rows give
+    Null and empty texts match nothing, in documents and items alike, nor do items without a
+    word; an item under ``seed`` tokens matches where all of it stands; repeated rows give
     repeated pairs; a document with a null id is reported with a null id. No benchmark, no rows.
     """
     schema = ("doc_id bigint, item_id bigint, item_tokens int, covered_tokens int, tiles int,"

@@ -43,7 +43,7 @@ def test_tiles_equal_brute_force():
 def corpus(seed, n=60):
     r = random.Random(seed)
     words = [f"W{i}" for i in range(30)]
-    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(3, 25)))) for i in range(15)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(2, 25)))) for i in range(15)]
     items += [(100, items[3][1].lower()), (101, None), (102, "")]
     docs = []
     for _ in range(n):
@@ -62,11 +62,12 @@ def slow(docs, items, seed=decontaminate.SEED, coverage=decontaminate.COVERAGE):
     for d, text in enumerate(docs):
         for item, passage in items:
             words = decontaminate.tokens(passage)
-            if len(words) < seed:
+            if not words:
                 continue
             number = {w: n for n, w in enumerate(dict.fromkeys(words))}
             marked = slow_tiles([number[w] for w in words],
-                                [number.get(w, -1) for w in decontaminate.tokens(text)], seed)
+                                [number.get(w, -1) for w in decontaminate.tokens(text)],
+                                min(seed, len(words)))
             covered = sum(n for _, _, n in marked)
             if covered >= coverage * len(words):
                 out.add((d, item, len(words), covered))
@@ -91,7 +92,30 @@ def test_operator_equals_brute_force_in_any_number_of_blocks(spark):
 def test_seed_positions():
     index = decontaminate.Index([(1, "a b c d e f"), (2, "c d e f g")], 5)
     coded = np.array([index.vocabulary.get(w, -1) for w in "x a b c d e f g".split()])
-    assert index.hits(coded).tolist() == [1, 2, 3]
+    assert index.hits(coded, 5).tolist() == [1, 2, 3]
+
+
+def test_short_items_match_whole_copies_only(spark):
+    docs = documents(spark, ["a Paris capital b", "Paris, CAPITAL of", "of the", "capital Paris"])
+    benchmark = spark.createDataFrame(
+        [(1, "Paris capital of"), (2, "paris capital"), (3, "the"), (4, "?!")], ITEMS)
+    got = sorted((r["doc_id"], r["item_id"], r["item_tokens"], r["tiles"], r["coverage"])
+                 for r in decontaminate.contaminated(docs, benchmark).collect())
+    assert got == [(0, 2, 2, 1, 1.0), (1, 1, 3, 1, 1.0), (1, 2, 2, 1, 1.0), (2, 3, 1, 1, 1.0)]
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, benchmark).collect()] == [3]
+
+
+def test_a_seed_of_many_items_in_a_text_full_of_it():
+    """One seed, held by every item, a hundred thousand times in one text: work follows the
+    different seeds, not places times items."""
+    import time
+    items = [(n, f"to be or not w{n} x{n} y{n} z{n} u{n}") for n in range(2000)]
+    index = decontaminate.Index([*items, (5000, "to be or not to be or")], 4)
+    start = time.time()
+    found = list(decontaminate._found(index, ["to be or not " * 25_000, items[7][1]], 0.5))
+    assert time.time() - start < 20
+    assert {(row, index.ids[item][0]) for row, item, *_ in found} == {
+        (0, 5000), (1, 7), (1, 5000)}
 
 
 def test_odd_rows(spark):
