@@ -62,6 +62,27 @@ def ipv6_key(ip: Column) -> Column:
     return F.when(ip.contains(":"), _bound(ip, _ipv6_digits))
 
 
+def address_bits(ip: Column) -> Column:
+    """128 binary digits of an address of either family, IPv4 in its mapped form, so that the
+    first ``n`` of them are its prefix of that length; null for other text."""
+    octets = [_hex_octet(F.regexp_extract(ip, f"^{_DOTTED}$", i)) for i in range(1, 5)]
+    key = F.when(ip.rlike(f"^{_DOTTED}$"), F.concat(F.lit("0" * 20 + "ffff"), *octets)).otherwise(
+        ipv6_key(ip))
+    return _bound(key, lambda k: F.concat(*(
+        F.lpad(F.conv(F.substring(k, at, 16), 16, 2), 64, "0") for at in (1, 17))))
+
+
+def block_bits(block: Column) -> Column:
+    """The fixed leading digits of a block in CIDR notation, host bits ignored; null for text
+    that is no block."""
+    address, length = F.split_part(F.trim(block), F.lit("/"), F.lit(1)), F.regexp_extract(
+        F.trim(block), r"^[^/]+/(\d{1,3})$", 1).try_cast("int")
+    short = address.rlike(f"^{_DOTTED}$")
+    fixed = F.when(short & (length <= 32), length + 96).when(~short & (length <= 128), length)
+    return F.when(fixed.isNotNull(), _bound(
+        address_bits(address), lambda bits: bits.substr(F.lit(1), fixed)))
+
+
 def _ipv4_pattern(block: ipaddress.IPv4Network) -> str:
     """Regex of a block's addresses: fixed octets, one listed octet, free octets."""
     parts = []

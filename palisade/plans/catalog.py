@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from palisade.functions import scoring
 from palisade.functions.instants import iso_label
-from palisade.operators import audit, replay, samples, stats, table, validate, window
+from palisade.operators import audit, networks, replay, samples, stats, table, validate, window
 from palisade.operators.enrich import enrich
 from palisade.operators.filters import SampleQuery, StatsQuery, lookup, series_params
 from palisade.plans import projection
@@ -103,6 +103,21 @@ def filter_ip_cidr(spark, sf_dir):
     return _flat(spark, sf_dir).where(where).select("eventId", "clientIp")
 
 
+@query
+def most_specific_network(spark, sf_dir):
+    """Longest of nested blocks around the table's own addresses: /16 for even second octets, /24
+    for odd third ones, and by the fourth a /26, /29 or /32."""
+    flat = _flat(spark, sf_dir)
+    octet = [F.split_part("clientIp", F.lit("."), F.lit(n)).try_cast("int") for n in range(1, 5)]
+    lengths = F.filter(F.array(
+        F.when(octet[1] % 2 == 0, 16), F.when(octet[2] % 2 == 1, 24),
+        F.element_at(F.array(F.lit(None), F.lit(26), F.lit(29), F.lit(32)), octet[3] % 4 + 1)),
+        lambda n: n.isNotNull())
+    blocks = flat.select("clientIp", F.explode(lengths).alias("n")).select(
+        F.concat_ws("/", "clientIp", "n").alias("cidr"))
+    return networks.most_specific(flat, blocks).select("eventId", "clientIp", "network")
+
+
 @query
 def filter_category_action(spark, sf_dir):
     where = SampleQuery.from_params(category=" injection ", action="deny").predicate()

@@ -268,6 +268,20 @@ ORACLES: dict[str, str] = {
           CAST(CASE WHEN arrival_seq % 10 = 0 THEN 500 ELSE statusCode END AS INTEGER) AS statusCode,
           CASE WHEN arrival_seq % 10 = 0 THEN arrival_seq + 1000000000000 ELSE arrival_seq END
             AS arrival_seq FROM flat""",
+    "most_specific_network": _EV + """, a AS (
+          SELECT DISTINCT clientIp, CAST(split_part(clientIp, '.', 1) AS BIGINT) * 16777216
+            + CAST(split_part(clientIp, '.', 2) AS BIGINT) * 65536
+            + CAST(split_part(clientIp, '.', 3) AS BIGINT) * 256
+            + CAST(split_part(clientIp, '.', 4) AS BIGINT) AS n FROM flat WHERE clientIp IS NOT NULL),
+        s AS (SELECT clientIp, n, len, n // (1 << (32 - len)) AS prefix
+          FROM a, (VALUES (16), (24), (26), (29), (32)) AS v(len)),
+        b AS (SELECT len, prefix, min(clientIp || '/' || len) AS network FROM s
+          WHERE (len = 16 AND (n // 65536) % 2 = 0) OR (len = 24 AND (n // 256) % 2 = 1)
+            OR (len = 26 AND n % 4 = 1) OR (len = 29 AND n % 4 = 2) OR (len = 32 AND n % 4 = 3)
+          GROUP BY 1, 2),
+        m AS (SELECT clientIp, arg_max(network, len) AS network FROM s JOIN b USING (len, prefix)
+          GROUP BY 1)
+        SELECT eventId, clientIp, network FROM flat LEFT JOIN m USING (clientIp)""",
     "keyed_upserts": _EV + f"SELECT eventId, {_FED} FROM flat",
     "keyed_lookup": _EV + f"""SELECT eventId, clientIp, path, "timestamp", {_FED} FROM flat
         WHERE eventId = 'req-50'""",
