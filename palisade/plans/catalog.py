@@ -562,6 +562,17 @@ def stream_late(spark, sf_dir):
     return store.read_table(spark, f"{path}/table").select("eventId", "repeatOffender")
 
 
+@query
+def stream_tenants(spark, sf_dir):
+    """A window for each client of each configuration, carried over micro-batches."""
+    path = scratch_dir(spark, "stream")
+    pipeline.drain(pipeline.run(
+        pipeline.event_stream(spark, _feed(spark, _events(spark, sf_dir)), FEED_FILES),
+        f"{path}/table", f"{path}/checkpoint", POLICY, pipeline.DRAIN, time_mode="None",
+        stamp=False, keys=["configId", "clientIp"]))
+    return store.read_table(spark, f"{path}/table").select("eventId", "repeatOffender")
+
+
 @query
 def stream_restart(spark, sf_dir):
     """A second stream with a checkpoint of its own writes the other half into one table, and

@@ -332,6 +332,11 @@ ORACLES: dict[str, str] = {
         FROM en""",
     "stream_enrich": _VALID + f"SELECT {_STORED} FROM en",
     "stream_multi_batch": _VALID + "SELECT eventId, repeatOffender, threatScore FROM en",
+    "stream_tenants": _EV + """SELECT a.eventId, count(*) > 5 AS repeatOffender
+        FROM valid a JOIN valid b ON a.clientIp = b.clientIp AND a.configId = b.configId
+          AND b.ms >= a.ms - 600000
+          AND (b.ms < a.ms OR (b.ms = a.ms AND b.arrival_seq <= a.arrival_seq))
+        GROUP BY a.eventId""",
     "stream_restart": _EV + "SELECT eventId, arrival_seq FROM valid",
     "stream_quarantine": _EV + """SELECT arrival_seq, 'rule.category is required' AS errors
         FROM flat WHERE ruleCategory IS NULL""",

@@ -1,6 +1,8 @@
 """Streaming pipeline: parse or read, validate, enrich, upsert; refused input goes aside."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,9 +62,11 @@ def payload_events(
 
 def enriched_stream(
     events: DataFrame, policy: Policy = Policy(), time_mode: str = "ProcessingTime",
+    keys: Sequence[str] = ("clientIp",),
 ) -> DataFrame:
-    """Valid events of a stream with flag, attack type and score."""
-    return score(flag_stream(events.where(is_valid(policy)), policy, time_mode), policy)
+    """Valid events of a stream with flag, attack type and score; a window for each ``keys``."""
+    return score(
+        flag_stream(events.where(is_valid(policy)), policy, time_mode, keys=keys), policy)
 
 
 def run(
@@ -73,6 +77,7 @@ def run(
     trigger: dict | None = None,
     time_mode: str = "ProcessingTime",
     stamp: bool = True,
+    keys: Sequence[str] = ("clientIp",),
 ) -> StreamingQuery:
     """Starts validate, enrich and upsert as one query. A retried micro-batch replaces its
     own rows, a repeated event id its own document. The writer is the query's id, which lives
@@ -83,7 +88,8 @@ def run(
 
     # A query takes its settings along when it starts.
     with settings(events.sparkSession, STATE_SETTINGS):
-        enriched = enriched_stream(stamp_received(events) if stamp else events, policy, time_mode)
+        enriched = enriched_stream(
+            stamp_received(events) if stamp else events, policy, time_mode, keys)
         return (
             enriched.writeStream.outputMode("append")
             .option("checkpointLocation", checkpoint)

@@ -1,7 +1,7 @@
 """The sliding window as a keyed state operator, for streams and batches."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,20 +105,21 @@ def check_settings(spark: SparkSession) -> None:
 
 def flag_stream(
     df: DataFrame, policy: Policy = Policy(), time_mode: str = "ProcessingTime",
-    order: str = "arrival_seq",
+    order: str = "arrival_seq", keys: Sequence[str] = ("clientIp",),
 ) -> DataFrame:
-    """Adds or replaces ``repeatOffender`` in arrival order per client, batch or stream.
+    """Adds or replaces ``repeatOffender`` in arrival order per ``keys``, batch or stream: a
+    client, or a client of one configuration with ``["configId", "clientIp"]``.
 
     ``time_mode`` ``"None"`` leaves the idle-client expiry out, for back-fills.
     """
     check_settings(df.sparkSession)
     columns = [c for c in df.columns if c != "repeatOffender"]
-    counted = trackable("eventId", "timestamp", ["clientIp"])
+    counted = trackable("eventId", "timestamp", keys)
     staged = df.select(
         *columns, F.when(counted, epoch_ms(F.col("timestamp"))).alias("_ms"),
         # Untracked events need no common state, so they are spread out.
-        F.when(counted, F.col("clientIp")).otherwise(
-            F.concat(F.lit(" "), F.pmod(F.xxhash64(order), F.lit(1024)))).alias("_key"))
+        F.when(counted, F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))).otherwise(
+            F.pmod(F.xxhash64(order), F.lit(1024)).cast("string")).alias("_key"))
     out = T.StructType([*staged.schema.fields, T.StructField("repeatOffender", T.BooleanType())])
     ttl_ms = policy.state_ttl_ms if time_mode == "ProcessingTime" else None
     flagged = staged.groupBy("_key").transformWithState(

@@ -57,6 +57,20 @@ def test_stateful_form_in_batch_equals_fold(spark):
     assert {r["arrival_seq"]: r["repeatOffender"] for r in flagged} == expected_flags(events)
 
 
+def test_windows_of_a_client_of_each_configuration(spark):
+    """Keys that only run together as text stay apart."""
+    rng = random.Random(4)
+    events = [raw(s, configId=rng.choice([1, 11]), clientIp=rng.choice(["1", "11", '1","1']),
+                  timestamp=millis(1_700_000_000_000 + s * 20_000)) for s in range(240)]
+    with settings(spark, STATE_SETTINGS):
+        flagged = flag_stream(raw_frame(spark, events), Policy(), "None", keys=[
+            "configId", "clientIp"]).collect()
+    counts = fold([(e["arrival_seq"], (e["configId"], e["clientIp"]), e["eventId"],
+                    int(e["timestamp"].timestamp() * 1000)) for e in events], W)
+    flags = {r["arrival_seq"]: r["repeatOffender"] for r in flagged}
+    assert flags == {seq: n > 5 for seq, n in counts.items()} and len(set(flags.values())) == 2
+
+
 def test_pipeline_over_micro_batches(spark, tmp_path):
     """Late events and poison events over three micro-batches, with idle expiry on."""
     events = shuffled_events(180, 2)
