@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,12 +225,23 @@ def scan_csv_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, ".csv").drop("receivedAt")
 
 
+# Events of one file of the written feeds, and the fewest files of arrays and of quoted CSV.
+FILE_ROWS = 200_000
+FEW_FILES = 3
+
+
+def _files_of(events: DataFrame) -> int:
+    """Files for so many events: a task that sorts and writes one of them does not grow with the
+    table."""
+    return max(FEW_FILES, -(-events.count() // FILE_ROWS))
+
+
 @query
 def scan_json_array(spark, sf_dir):
     """A few files of one JSON array each, read by ranges."""
     path = scratch_dir(spark, "arrays") + ".json"
     events = _events(spark, sf_dir)
-    lines = events.repartitionByRange(3, "arrival_seq").sortWithinPartitions(
+    lines = events.repartitionByRange(_files_of(events), "arrival_seq").sortWithinPartitions(
         "arrival_seq").select(F.to_json(
             F.struct(*(c for c in EVENT_SCHEMA.fieldNames() if c in events.columns)), {
                 "ignoreNullFields": "false",
@@ -243,8 +255,10 @@ def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines of a partition as one array: a bracket or comma before each, one more at the end."""
     before = "["
     for batch in batches:
-        for line in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_pylist([{"value": before + line}])
+        if batch.num_rows:
+            marks = pa.array([before] + [","] * (batch.num_rows - 1))
+            yield pa.RecordBatch.from_arrays(
+                [pc.binary_join_element_wise(marks, batch.column(0), "")], names=["value"])
             before = ","
     if before == ",":
         yield pa.RecordBatch.from_pylist([{"value": "]"}])
@@ -256,7 +270,8 @@ def scan_csv_ranges(spark, sf_dir):
     path = scratch_dir(spark, "cells") + ".csv"
     odd = _events(spark, sf_dir).withColumn("userAgent", F.concat(
         F.lit("  \""), "userAgent", F.lit("\",\n\n ")))
-    files.write_events(odd.repartitionByRange(3, "arrival_seq").sortWithinPartitions("arrival_seq"), path)
+    files.write_events(odd.repartitionByRange(_files_of(odd), "arrival_seq").sortWithinPartitions(
+        "arrival_seq"), path)
     return table.flatten(files.read_events(spark, path), ["arrival_seq"]).drop(
         "receivedAt", "attackType", "threatScore", "repeatOffender")
 

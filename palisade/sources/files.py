@@ -91,20 +91,15 @@ def _array_ranges(spark: SparkSession, path: str) -> DataFrame:
         F.when(array & F.col("last"), F.when(
             text.endswith("]"), F.expr("left(text, length(text) - 1)")).otherwise("]"))
         .when(F.col("open") == 1, F.concat(text, F.lit("}"))).otherwise(text))
-    # The one record of an empty array is no record.
-    hollow = array & (F.col("ends") == 0) & F.rlike(text, F.lit(f"^{blank}*$"))
     records = (
-        found.withColumn("text", trimmed).withColumn("text", opened).withColumn("text", closed)
-        .withColumn("hollow", hollow))
+        found.withColumn("text", trimmed).withColumn("text", opened).withColumn("text", closed))
     # Inside a pair of brackets, anything but one value would make another array, or none.
     one = F.size(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), T.ArrayType(T.StringType()))) == 1
-    parsed = records.where(~F.col("hollow")).select(
-        "file", "no", F.when(one, F.from_json("text", EVENT_SCHEMA)).otherwise(
-            F.raise_error(F.concat(F.lit("not one JSON array or object: "), "file"))).alias("_event"))
-    counts = records.where("last").select(
-        "file", F.when(F.col("hollow"), 0).otherwise(F.col("ends") + 1).alias("_n"))
-    return parsed.join(_starts(counts, ["file"]), "file").select(
-        "_event.*", (F.col("_start") + F.col("no")).alias("arrival_seq"))
+    # The one record of an empty array is no record.
+    return records.where(~F.col("hollow")).select(
+        F.when(one, F.from_json("text", EVENT_SCHEMA)).otherwise(
+            F.raise_error(F.concat(F.lit("not one JSON array or object: "), "file"))).alias("_event"),
+        (F.col("start") + F.col("no")).alias("arrival_seq")).select("_event.*", "arrival_seq")
 
 
 def _csv_ranges(spark: SparkSession, path: str) -> DataFrame:
@@ -114,12 +109,9 @@ def _csv_ranges(spark: SparkSession, path: str) -> DataFrame:
     options = {k: str(v).lower() if isinstance(v, bool) else v
                for k, v in _CSV_OPTIONS.items() if k not in ("header", "lineSep")}
     parsed = found.where((F.col("no") > 0) & (F.col("text") != "")).select(
-        "file", (F.col("no") - F.col("blanks") - 1).alias("_at"),
+        (F.col("start") + F.col("no") - F.col("blanks") - 1).alias("arrival_seq"),
         F.from_csv("text", schema, options).alias("_row"))
-    counts = found.where("last").select(
-        "file", (F.col("ends") - F.col("all_blanks")).alias("_n"))
-    return from_csv_row(parsed.join(_starts(counts, ["file"]), "file").select(
-        "_row.*", (F.col("_start") + F.col("_at")).alias("arrival_seq")))
+    return from_csv_row(parsed.select("_row.*", "arrival_seq"))
 
 
 def _starts(counts: DataFrame, keys: list[str]) -> DataFrame:

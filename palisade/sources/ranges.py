@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -40,29 +41,38 @@ JSON = Dialect(b"}", b",", b"{[", b"}]", True)
 CSV = Dialect(b"\n", b"\n", b"", b"", False)
 
 
+def _marks(data: bytes, dialect: Dialect) -> tuple[np.ndarray, np.ndarray]:
+    """Places of quotes, brackets and ends, and which byte stands there; what is escaped is none."""
+    kinds = np.zeros(256, bool)
+    kinds[list(b'"' + dialect.end + dialect.opens + dialect.closes)] = True
+    a = np.frombuffer(
+        _ESCAPED.sub(b"__", data) if dialect.escapes and b"\\" in data else data, np.uint8)
+    places = np.flatnonzero(kinds[a])
+    return places, a[places]
+
+
 class Reading:
     """One way to read a range, batch after batch: starting in a string or not."""
 
     def __init__(self, inside: bool):
         self.inside, self.depth = int(inside), 0
 
-    def feed(self, data: bytes, dialect: Dialect) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def feed(
+        self, places: np.ndarray, bytes_there: np.ndarray, dialect: Dialect,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of possible record ends, their relative depths, and the depths that closing
-        brackets lead to."""
-        a = np.frombuffer(_ESCAPED.sub(b"__", data) if dialect.escapes else data, np.uint8)
-        quotes = a == ord('"')
+        brackets lead to, from the ``_marks`` of a batch."""
+        quotes = bytes_there == ord('"')
         outside = ((np.cumsum(quotes, dtype=np.int64) + self.inside) & 1) == 0
         self.inside = (self.inside + int(quotes.sum())) & 1
-        step = np.zeros(len(a), np.int32)
-        if dialect.opens:
-            table = np.zeros(256, np.int32)
-            table[list(dialect.opens)], table[list(dialect.closes)] = 1, -1
-            step = np.where(outside, table[a], 0)
+        table = np.zeros(256, np.int32)
+        table[list(dialect.opens)], table[list(dialect.closes)] = 1, -1
+        step = np.where(outside, table[bytes_there], 0)
         depth = np.cumsum(step) + self.depth
-        if len(a):
+        if len(depth):
             self.depth = int(depth[-1])
-        ends = np.flatnonzero((a == dialect.end[0]) & outside)
-        return ends, depth[ends], depth[step < 0]
+        end = (bytes_there == dialect.end[0]) & outside
+        return places[end], depth[end], depth[step < 0]
 
 
 def _rows(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
@@ -75,19 +85,35 @@ def _pieces(batches: Iterator[pa.RecordBatch], dialect: Dialect) -> Iterator[tup
     """``(file, block, first, data)``: the text of a range, a batch at a time."""
     last = None
     for batch in batches:
-        values, files, blocks = (c.to_pylist() for c in batch.columns)
-        start = 0
-        while start < len(values):
-            key = (files[start], blocks[start])
-            stop = start + 1
-            while stop < len(values) and (files[stop], blocks[stop]) == key:
-                stop += 1
-            text = dialect.separator.join(v.encode() for v in values[start:stop])
+        values, files, blocks = batch.columns
+        n = len(values)
+        if not n:
+            continue
+        other = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1]))
+        edges = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+        for start, stop in zip(edges, edges[1:]):
+            key = (files[start].as_py(), blocks[start].as_py())
+            rows = values[start:stop].cast(pa.binary())
+            text = pc.binary_join(
+                pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), rows),
+                dialect.separator)[0].as_py()
             first = key != last
             if not (first and key[1] == 0):
                 text = dialect.separator + text
             yield (*key, first, text)
-            last, start = key, stop
+            last = key
+
+
+def _between(data: bytes, ends: np.ndarray) -> pa.Array:
+    """The texts between neighbouring ends, in one array."""
+    low, high = int(ends[0]) + 1, int(ends[-1])
+    inner = ends[1:-1] - low
+    body = np.delete(np.frombuffer(data, np.uint8)[low:high], inner)
+    offsets = np.append(np.concatenate([[0], inner - np.arange(len(inner))]), len(body))
+    texts = pa.StringArray.from_buffers(
+        len(ends) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body))
+    texts.validate(full=True)
+    return texts
 
 
 def _blank_ends(data: bytes, ends: np.ndarray) -> np.ndarray:
@@ -98,15 +124,15 @@ def _blank_ends(data: bytes, ends: np.ndarray) -> np.ndarray:
 
 def summaries(rows: DataFrame, dialect: Dialect) -> DataFrame:
     """One row per range: for both readings the change of depth and, by relative depth, how many
-    record ends, empty records and closing brackets."""
+    record ends, empty records and closing brackets; and how many bytes are no white space."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def row():
-            file, block, begins, readings, counts = held
+            file, block, begins, readings, counts, solid = held
             return pa.RecordBatch.from_pylist([{
                 "file": file, "block": block, "begins": begins, "parity": readings[0].inside,
-                "deltas": [r.depth for r in readings],
+                "solid": solid, "deltas": [r.depth for r in readings],
                 **{name: [list(c[name].items()) for c in counts]
                    for name in ("ends", "blanks", "closings")}}], schema=schema)
 
@@ -115,24 +141,28 @@ def summaries(rows: DataFrame, dialect: Dialect) -> DataFrame:
                 if held:
                     yield row()
                 held = (file, block, None, [Reading(False), Reading(True)],
-                        [{n: Counter() for n in ("ends", "blanks", "closings")} for _ in range(2)])
+                        [{n: Counter() for n in ("ends", "blanks", "closings")} for _ in range(2)], 0)
             if held[2] is None:
                 stripped = data.lstrip(b" \t\r\n\xef\xbb\xbf")[:1]
                 held = (*held[:2], stripped.decode("latin-1") or None, *held[3:])
+            inked = data.removeprefix(b"\xef\xbb\xbf") if first and block == 0 else data
+            held = (*held[:5], held[5] + len(inked) - sum(map(inked.count, b" \t\r\n")))
+            marks = _marks(data, dialect)
             for reading, counts in zip(held[3], held[4]):
-                ends, depths, closed = reading.feed(data, dialect)
-                counts["ends"].update(depths.tolist())
-                counts["blanks"].update(depths[_blank_ends(data, ends)].tolist())
-                counts["closings"].update(closed.tolist())
+                ends, depths, closed = reading.feed(*marks, dialect)
+                for name, found in (("ends", depths), ("blanks", depths[_blank_ends(data, ends)]),
+                                    ("closings", closed)):
+                    levels_there, times = np.unique(found, return_counts=True)
+                    counts[name].update(dict(zip(levels_there.tolist(), times.tolist())))
         if held:
             yield row()
 
     levels = pa.list_(pa.map_(pa.int32(), pa.int64()))
     schema = pa.schema([
         ("file", pa.string()), ("block", pa.int64()), ("begins", pa.string()), ("parity", pa.int32()),
-        ("deltas", pa.list_(pa.int32())), ("ends", levels), ("blanks", levels), ("closings", levels)])
+        ("solid", pa.int64()), ("deltas", pa.list_(pa.int32())), ("ends", levels), ("blanks", levels), ("closings", levels)])
     return rows.mapInArrow(run, (
-        "file string, block bigint, begins string, parity int, deltas array<int>, "
+        "file string, block bigint, begins string, parity int, solid bigint, deltas array<int>, "
         "ends array<map<int, bigint>>, blanks array<map<int, bigint>>, closings array<map<int, bigint>>"))
 
 
@@ -158,7 +188,8 @@ def states(found: DataFrame) -> DataFrame:
             sum_before("empty").alias("blanks"),
             F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))).alias("from_end"),
             F.sum("n").over(whole).alias("file_ends"), F.sum("empty").over(whole).alias("file_blanks"),
-            F.sum("zero").over(whole).alias("file_zero"), F.sum("delta").over(whole).alias("file_depth"),
+            F.sum("zero").over(whole).alias("file_zero"), F.sum("solid").over(whole).alias("file_solid"),
+            F.sum("delta").over(whole).alias("file_depth"),
             (F.sum("parity").over(whole) % 2).alias("file_inside")))
 
 
@@ -195,17 +226,26 @@ def cut(rows: DataFrame, known: dict, dialect: Dialect, whole: bool) -> DataFram
                 state = {"file": file, "block": block, "no": base, "blanks": blanks, "held": [],
                          "first": block == 0, "last": last, "at_edge": True, "level": level - depth,
                          "reading": Reading(inside)}
-            ends, depths, _ = state["reading"].feed(data, dialect)
+            ends, depths, _ = state["reading"].feed(*_marks(data, dialect), dialect)
             mine = depths == state["level"]
-            blank = _blank_ends(data, ends)
-            at = 0
-            for end, empty in zip(ends[mine].tolist(), blank[mine].tolist()):
-                state["held"].append(data[at:end])
+            blank = _blank_ends(data, ends)[mine]
+            ends = ends[mine]
+            if len(ends):
+                state["held"].append(data[:int(ends[0])])
                 put(False)
-                state["no"] += 1
-                state["blanks"] += empty
-                at = end + 1
-            state["held"].append(data[at:])
+                # Records that begin and end in this batch are at no edge.
+                n = len(ends) - 1
+                if whole and n:
+                    if out:
+                        yield flushed()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.repeat(file, n), pa.array(state["no"] + 1 + np.arange(n), pa.int64()),
+                        pa.array(state["blanks"] + np.cumsum(blank[:-1]), pa.int64()),
+                        pa.repeat(block, n), _between(data, ends)], schema=schema)
+                state["no"] += n + 1
+                state["blanks"] += int(blank.sum())
+                data = data[int(ends[-1]) + 1:]
+            state["held"].append(data)
             if out:
                 yield flushed()
         if state:
@@ -217,9 +257,10 @@ def cut(rows: DataFrame, known: dict, dialect: Dialect, whole: bool) -> DataFram
 
 
 def records(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
-    """``file, no, blanks, last, level, text``: every record with its number in its file, the empty
-    ones before it, and whether it is the last. Fails where a file's quotes or brackets do not
-    close, or close twice."""
+    """``file, no, blanks, text`` of every record, with its number in its file and the empty ones
+    before it, and of its file ``start``, the records of the files before it, ``last``, whether it is
+    the last, ``level``, ``open`` and ``hollow``, an array of nothing. Fails where a file's quotes or
+    brackets do not close, or close twice."""
     rows = _rows(spark, path, dialect)
     found = states(summaries(rows, dialect)).collect()
     for r in found:
@@ -232,10 +273,15 @@ def records(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
                              else f"a quote never ends: {r['file']}")
     known = {(r["file"], r["block"]): (bool(r["inside"]), r["depth"], r["level"], r["base"], r["blanks"],
                                        r["from_end"] == 1) for r in found}
-    files = {r["file"]: (r["file"], r["file_ends"], r["level"], r["file_depth"], r["file_blanks"])
-             for r in found}
+    # One small row per file, sent to every task: a join by file would put each in one task.
+    files, start = [], 0
+    for r in sorted({r["file"]: r for r in found}.values(), key=lambda r: r["file"].encode()):
+        hollow = r["level"] == 1 and r["file_ends"] == 0 and r["file_solid"] == 2
+        files.append((r["file"], r["file_ends"], r["level"], r["file_depth"], hollow, start))
+        # Empty lines are no records of CSV, nor is its header.
+        start += 0 if hollow else r["file_ends"] + 1 if dialect.opens else r["file_ends"] - r["file_blanks"]
     per_file = spark.createDataFrame(
-        list(files.values()), "file string, ends bigint, level int, open bigint, all_blanks bigint")
+        files, "file string, ends bigint, level int, open bigint, hollow boolean, start bigint")
     edges = (
         cut(rows, known, dialect, False).groupBy("file", "no").agg(
             F.max("blanks").alias("blanks"),
@@ -243,4 +289,4 @@ def records(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
             .alias("text")))
     return (
         cut(rows, known, dialect, True).select("file", "no", "blanks", "text").unionByName(edges)
-        .join(per_file, "file").withColumn("last", F.col("no") == F.col("ends")))
+        .join(F.broadcast(per_file), "file").withColumn("last", F.col("no") == F.col("ends")))
