@@ -31,14 +31,15 @@ class WindowProcessor(StatefulProcessor):
     would not do, as a bucket may live on unchanged, so the time of the last observation is kept
     beside the map and one timer per client clears both."""
 
-    def __init__(self, window_ms: int, threshold: int, order: str, ttl_ms: int | None):
+    def __init__(self, window_ms: int, threshold: int, carried: Sequence[str], ttl_ms: int | None):
         self.window_ms = window_ms
         self.threshold = threshold
-        self.order = order
+        self.carried = list(carried)
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.out = Row(*self.carried, "repeatOffender")
         self.buckets = handle.getMapState("buckets", _START, _MEMBERS)
         if self.ttl_ms is not None:
             self.seen = handle.getValueState("seen", _SEEN)
@@ -50,12 +51,11 @@ class WindowProcessor(StatefulProcessor):
         members = Members(self.window_ms, (
             pair for ids, times in stored.values() for pair in zip(ids, times)))
         # A shuffle promises no order; the arrival sequence does.
-        for row in sorted(rows, key=lambda r: r[self.order]):
-            fields = row.asDict(recursive=False)
+        for row in sorted(rows, key=lambda r: r["_order"]):
             flag = False
-            if fields["_ms"] is not None:
-                flag = members.observe(fields["eventId"], fields["_ms"]) > self.threshold
-            yield Row(**{**fields, "repeatOffender": flag})
+            if row["_ms"] is not None:
+                flag = members.observe(row["_id"], row["_ms"]) > self.threshold
+            yield self.out(*(row[c] for c in self.carried), flag)
         for start, held in members.changed().items():
             if held:
                 self.buckets.updateValue((start,), (list(held), list(held.values())))
@@ -115,14 +115,39 @@ def flag_stream(
     check_settings(df.sparkSession)
     columns = [c for c in df.columns if c != "repeatOffender"]
     counted = trackable("eventId", "timestamp", keys)
+    packed = [f for f in df.select(*columns).schema.fields if _exact_as_text(f.dataType)]
+    apart = [c for c in columns if c not in {f.name for f in packed}]
+    # Python reads and writes rows cell by cell, so what it does not look at is one cell of text.
+    payload = F.to_json(F.struct(*(
+        (F.unix_micros(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name)).alias(f.name)
+        for f in packed)), {"ignoreNullFields": "true"})
     staged = df.select(
-        *columns, F.when(counted, epoch_ms(F.col("timestamp"))).alias("_ms"),
+        *apart, payload.alias("_payload"), F.col("eventId").alias("_id"), F.col(order).alias("_order"),
+        F.when(counted, epoch_ms(F.col("timestamp"))).alias("_ms"),
         # Untracked events need no common state, so they are spread out.
         F.when(counted, F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))).otherwise(
             F.pmod(F.xxhash64(order), F.lit(1024)).cast("string")).alias("_key"))
-    out = T.StructType([*staged.schema.fields, T.StructField("repeatOffender", T.BooleanType())])
+    carried = [*apart, "_payload"]
+    out = T.StructType([*staged.select(*carried).schema.fields,
+                        T.StructField("repeatOffender", T.BooleanType())])
     ttl_ms = policy.state_ttl_ms if time_mode == "ProcessingTime" else None
     flagged = staged.groupBy("_key").transformWithState(
-        WindowProcessor(policy.window_ms, policy.threshold, order, ttl_ms),
+        WindowProcessor(policy.window_ms, policy.threshold, carried, ttl_ms),
         out, "Append", time_mode)
-    return flagged.select(*columns, "repeatOffender")
+    text = T.StructType([
+        T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.TimestampType) else f.dataType)
+        for f in packed])
+    # A generator's output is computed once, not for each column that is taken from it.
+    read = flagged.select(*apart, "repeatOffender", F.inline(F.array(F.from_json(
+        "_payload", text, {"mode": "FAILFAST", "maxStringLen": str(2 ** 31 - 1)}))))
+    stamps = {f.name for f in packed if isinstance(f.dataType, T.TimestampType)}
+    return read.select(
+        *(F.timestamp_micros(c).alias(c) if c in stamps else F.col(c) for c in columns), "repeatOffender")
+
+
+def _exact_as_text(kind: T.DataType, within: bool = False) -> bool:
+    """Whether JSON gives back exactly what it was given; an instant goes as its microseconds."""
+    if isinstance(kind, T.StructType):
+        return bool(kind.fields) and all(_exact_as_text(f.dataType, True) for f in kind.fields)
+    return type(kind) in (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType) or (
+        type(kind) is T.TimestampType and not within)
