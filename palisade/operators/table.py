@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import Window
 from palisade.functions.instants import parse_iso_offset
 from palisade.functions.text import has_text, jtrim
 from palisade.schema import CSV_COLUMNS, ENRICHED_SCHEMA, EVENT_SCHEMA, STORED_PATHS
+from palisade.sources.scratch import kept
 
 
 def flatten(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -78,18 +81,49 @@ def _one_per(df: DataFrame, keys: Sequence[Column], order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
+# Keys that come more than once, of which each task gets a list; more are found by ranking all rows.
+MOST_REPEATED = 100_000
+
+
+def _one_per_rare(df: DataFrame, keys: Sequence[Column], order: Column) -> DataFrame:
+    """As ``_one_per`` where few keys come again: whole rows are neither sorted nor shuffled, which
+    takes many times the table's size on disk. The keys alone are counted at once, and only rows of
+    a key that comes again are ranked."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    again = kept(df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")).where(
+        "_n > 1").drop("_n"), "repeated")
+    found = again.limit(MOST_REPEATED + 1).count()
+    if not found:
+        return df
+    if found > MOST_REPEATED:
+        return _one_per(df, keys, order)
+    same = reduce(and_, (k.eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    listed = F.broadcast(again)
+    return df.join(listed, same, "left_anti").unionByName(
+        _one_per(df.join(listed, same, "left_semi"), keys, order))
+
+
+def _latest_keys(key: str, order: str) -> list[Column]:
+    return [F.col(key), F.when(F.col(key).isNull(), F.col(order))]
+
+
 def latest(df: DataFrame, key: str = "eventId", order: str = "arrival_seq") -> DataFrame:
     """Last write wins: the newest arrival of each id. Rows without an id are all kept."""
-    unique = F.when(F.col(key).isNull(), F.col(order))
-    return _one_per(df, [F.col(key), unique], F.col(order).desc())
+    return _one_per(df, _latest_keys(key, order), F.col(order).desc())
+
+
+def compacted(df: DataFrame, key: str = "eventId", order: str = "arrival_seq") -> DataFrame:
+    """As ``latest``, for a table whose ids rarely come again; counts them at once."""
+    return _one_per_rare(df, _latest_keys(key, order), F.col(order).desc())
 
 
 def first_arrival(
     df: DataFrame, keys: Sequence[str] = ("clientIp", "eventId"), order: str = "arrival_seq",
 ) -> DataFrame:
-    """Drops retries, keeping the first arrival. Rows with a blank key part are all kept."""
+    """Drops retries, keeping the first arrival. Rows with a blank key part are all kept. Counts
+    the keys at once."""
     complete = F.lit(True)
     for key in keys:
         complete &= has_text(F.col(key).cast("string"))
     unique = F.when(~complete, F.col(order))
-    return _one_per(df, [*(F.col(k) for k in keys), unique], F.col(order))
+    return _one_per_rare(df, [*(F.col(k) for k in keys), unique], F.col(order))

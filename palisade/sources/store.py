@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.operators.filters import conjunction, in_range
-from palisade.operators.table import flatten, latest
+from palisade.operators.table import compacted, flatten, latest
 from palisade.schema import ENRICHED_SCHEMA
 
 TABLE_SCHEMA = T.StructType([
@@ -107,7 +107,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
 
 def compact(spark: SparkSession, source: str, target: str) -> None:
     """Rewrites the newest rows into a new table folder, clustered by date."""
-    rows = latest(_scan(spark, source)).withColumns(
+    rows = compacted(_scan(spark, source)).withColumns(
         {"writer": F.lit("compacted"), "epoch": F.lit(0).cast("bigint")})
     # Range partitions on (date, id) keep files per date few without one task per date.
     (
