@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -514,30 +515,44 @@ def enrich_retries(spark, sf_dir):
         "eventId", "threatScore", "repeatOffender", "arrival_seq")
 
 
-# Files of a part of a feed.
+# Files of a part of a feed, at least.
 FEED_FILES = 4
 
 
-def _feed(spark: SparkSession, events: DataFrame, parts: int = 4) -> str:
+class Feed(NamedTuple):
+    """A folder of files, and how many of them are a part."""
+    path: str
+    files: int
+
+
+def _feed(spark: SparkSession, events: DataFrame, parts: int = 4) -> Feed:
     """A folder of JSON Lines files, written one after the other in arrival order, so that a
-    file stream takes them in that order. Each part is written by several tasks, a file each."""
+    file stream takes them in that order. Each part is written by several tasks, a file each, and
+    by more of them for more events."""
     path = scratch_dir(spark, "feed")
-    edges = [r[0] for r in events.agg(F.expr(
+    found = events.agg(F.count(F.lit(1)), F.expr(
         f"percentile_approx(arrival_seq, array({', '.join(str((i + 1) / parts) for i in range(parts))}))"
-    )).collect()][0] or []
+    )).first()
+    files_of_part = max(FEED_FILES, -(-found[0] // (parts * FILE_ROWS)))
     low = F.lit(True)
-    for edge in dict.fromkeys(edges):
+    for edge in dict.fromkeys(found[1] or []):
         part = events.where(low & (F.col("arrival_seq") <= edge))
-        part.drop("batch_id").repartition(FEED_FILES).write.mode("append").options(
+        # Dealt out by a hash: taking turns would sort whole rows first.
+        part.drop("batch_id").repartition(files_of_part, "arrival_seq").write.mode("append").options(
             ignoreNullFields=False, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
         low = F.col("arrival_seq") > edge
-    return path
+    return Feed(path, files_of_part)
+
+
+def _part_stream(spark: SparkSession, feed: Feed) -> DataFrame:
+    """A part of the feed per micro-batch."""
+    return pipeline.event_stream(spark, feed.path, feed.files)
 
 
-def _stream(spark: SparkSession, feed: str, path: str, max_files: int | None = FEED_FILES) -> None:
+def _stream(spark: SparkSession, feed: Feed, path: str) -> None:
     # A back-fill: no idle expiry, so the query drains.
     pipeline.drain(pipeline.run(
-        pipeline.event_stream(spark, feed, max_files), f"{path}/table", f"{path}/checkpoint",
+        _part_stream(spark, feed), f"{path}/table", f"{path}/checkpoint",
         POLICY, pipeline.DRAIN, time_mode="None", stamp=False))
 
 
@@ -582,7 +597,7 @@ def stream_tenants(spark, sf_dir):
     """A window for each client of each configuration, carried over micro-batches."""
     path = scratch_dir(spark, "stream")
     pipeline.drain(pipeline.run(
-        pipeline.event_stream(spark, _feed(spark, _events(spark, sf_dir)), FEED_FILES),
+        _part_stream(spark, _feed(spark, _events(spark, sf_dir))),
         f"{path}/table", f"{path}/checkpoint", POLICY, pipeline.DRAIN, time_mode="None",
         stamp=False, keys=["configId", "clientIp"]))
     return store.read_table(spark, f"{path}/table").select("eventId", "repeatOffender")
@@ -597,7 +612,7 @@ def stream_restart(spark, sf_dir):
         feed = _feed(spark, _events(spark, sf_dir).where(n % 2 == part), 2)
         for _ in range(2):
             pipeline.drain(pipeline.run(
-                pipeline.event_stream(spark, feed, FEED_FILES), f"{path}/table",
+                _part_stream(spark, feed), f"{path}/table",
                 f"{path}/checkpoint-{part}", POLICY, pipeline.DRAIN, "None", False))
     return store.read_table(spark, f"{path}/table").select("eventId", "arrival_seq")
 
@@ -607,7 +622,7 @@ def stream_quarantine(spark, sf_dir):
     """Invalid events of a stream go aside with their messages."""
     feed, path = _feed(spark, _events(spark, sf_dir)), scratch_dir(spark, "aside")
     pipeline.drain(pipeline.run_quarantine(
-        pipeline.invalid_events(pipeline.event_stream(spark, feed), POLICY), f"{path}/rows",
+        pipeline.invalid_events(pipeline.event_stream(spark, feed.path), POLICY), f"{path}/rows",
         f"{path}/checkpoint", pipeline.DRAIN))
     return spark.read.parquet(f"{path}/rows").select(
         "arrival_seq", F.array_join("errors", "; ").alias("errors"))
