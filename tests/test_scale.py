@@ -77,3 +77,22 @@ def test_whole_rows_are_ranked_only_where_ids_come_again(spark, monkeypatch):
         assert sorted(rows_of(first, "arrival_seq")) == [(n,) for n in (0, 1, 2, 3, 4, 8, 9, 10, 11, 12, 13)]
         newest = table.compacted(twice)
         assert sorted(rows_of(newest, "arrival_seq")) == sorted(rows_of(table.latest(twice), "arrival_seq"))
+
+
+def test_files_of_a_feed_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 20, raising=False)
+    events = catalog._events(spark, SF)
+    feed = catalog._feed(spark, events, 2)
+    assert feed.files == -(-events.count() // 40) > catalog.FEED_FILES
+    back = spark.read.json(feed.path).selectExpr("arrival_seq", "_metadata.file_path file")
+    assert back.select("file").distinct().count() <= 2 * feed.files
+    assert back.count() == events.count()
+
+
+def test_files_of_csv_grow_in_number(spark, monkeypatch):
+    seen = written(monkeypatch)
+    monkeypatch.setattr(catalog, "FILE_ROWS", 100, raising=False)
+    found = catalog.QUERIES["scan_csv_ranges"](spark, SF)
+    rows = catalog._events(spark, SF).count()
+    assert tasks_of(spark, seen[0]) == -(-rows // 100) > 3
+    assert sorted(r[0] for r in found.select("arrival_seq").collect()) == list(range(rows))
