@@ -2,8 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,26 +79,23 @@ def _one_per(df: DataFrame, keys: Sequence[Column], order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
-# Keys that come more than once, of which each task gets a list; more are found by ranking all rows.
+# Keys that come more than once, of which each task gets a list; more are joined as Spark sees fit.
 MOST_REPEATED = 100_000
 
 
 def _one_per_rare(df: DataFrame, keys: Sequence[Column], order: Column) -> DataFrame:
-    """As ``_one_per`` where few keys come again: whole rows are neither sorted nor shuffled, which
-    takes many times the table's size on disk. The keys alone are counted at once, and only rows of
-    a key that comes again are ranked."""
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    again = kept(df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")).where(
+    """As ``_one_per``, but rows whose key comes once are not ranked: sorting whole rows before their
+    shuffle takes many times the table's size on disk. Hashes of the keys are counted at once; rows
+    that share one are ranked by the keys themselves, so two keys of one hash both stay."""
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    again = kept(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(
         "_n > 1").drop("_n"), "repeated")
     found = again.limit(MOST_REPEATED + 1).count()
     if not found:
         return df
-    if found > MOST_REPEATED:
-        return _one_per(df, keys, order)
-    same = reduce(and_, (k.eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
-    listed = F.broadcast(again)
-    return df.join(listed, same, "left_anti").unionByName(
-        _one_per(df.join(listed, same, "left_semi"), keys, order))
+    listed = F.broadcast(again) if found <= MOST_REPEATED else again
+    lone, shared = (hashed.join(listed, "_hash", how).drop("_hash") for how in ("left_anti", "left_semi"))
+    return lone.unionByName(_one_per(shared, keys, order))
 
 
 def _latest_keys(key: str, order: str) -> list[Column]:

@@ -96,3 +96,25 @@ def test_files_of_csv_grow_in_number(spark, monkeypatch):
     rows = catalog._events(spark, SF).count()
     assert tasks_of(spark, seen[0]) == -(-rows // 100) > 3
     assert sorted(r[0] for r in found.select("arrival_seq").collect()) == list(range(rows))
+
+
+def test_rows_of_lone_ids_are_not_ranked_where_many_come_again(spark, monkeypatch):
+    """Beyond the list that each task gets, too: the window stands above the rows that share a key."""
+    monkeypatch.setattr(table, "MOST_REPEATED", 1)
+    events = [raw(i, eventId=f"e{i % 6}") for i in range(9)]
+    for one_per in (table.first_arrival, table.compacted):
+        found = one_per(raw_frame(spark, events))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and "LeftSemi" in plan[plan.index("Window"):]
+        assert found.count() == 6
+
+
+def test_keys_of_one_hash_both_stay(spark, monkeypatch):
+    events = [raw(i, eventId=f"e{i % 6}") for i in range(9)] + [raw(9, eventId=None), raw(10, eventId=None)]
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    for most in (100, 0):
+        monkeypatch.setattr(table, "MOST_REPEATED", most)
+        assert sorted(rows_of(table.first_arrival(raw_frame(spark, events)), "arrival_seq")) == [
+            (n,) for n in (0, 1, 2, 3, 4, 5, 9, 10)]
+        assert sorted(rows_of(table.compacted(raw_frame(spark, events)), "arrival_seq")) == [
+            (n,) for n in (3, 4, 5, 6, 7, 8, 9, 10)]
