@@ -6,8 +6,9 @@ from datetime import timedelta
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from palisade.functions.instants import epoch_ms, floor_to_step
@@ -15,6 +16,7 @@ from palisade.functions.scoring import threat_score
 from palisade.operators.blocks import ordinal
 from palisade.operators.window import sliding_count
 from palisade.policy import Policy
+from palisade.sources.scratch import kept
 
 
 def score_integrity(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -28,24 +30,64 @@ def score_integrity(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
              "repeatOffender", "recomputed")
 
 
+# Hashes of differing ids, of which each task gets a list; whole snapshots are joined for more.
+MOST_DIFFERING = 1_000_000
+
+# Columns of these types go into a row's digest; others are compared as they are.
+_DIGESTED = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def _contents(df: DataFrame, columns: Sequence[str], digested: Sequence[bool]) -> Column:
+    """A SHA-256 of the digested columns and the others whole: equal contents are equal rows. Texts
+    stand behind their length, which is empty for a null; other values hold no comma."""
+    def parts(name: str) -> list[Column]:
+        kind = df.select(name).schema[0].dataType
+        if isinstance(kind, T.StringType):
+            return [F.coalesce(F.octet_length(name).cast("string"), F.lit("")), F.col(name)]
+        value = F.unix_micros(F.col(name)) if isinstance(kind, T.TimestampType) else F.col(name)
+        return [F.coalesce(value.cast("string"), F.lit(""))]
+
+    texts = [part for c, short in zip(columns, digested) if short for part in parts(c)]
+    whole = [F.col(c).alias(f"_{n}") for n, (c, short) in enumerate(zip(columns, digested)) if not short]
+    return F.struct(F.unhex(F.sha2(F.concat_ws(",", *texts), 256)).alias("_digest"), *whole)
+
+
 def snapshot_diff(
     actual: DataFrame, expected: DataFrame, key: str = "eventId",
     ignore: Sequence[str] = ("receivedAt",),
 ) -> DataFrame:
-    """``(key, status, changed)``: ids only in one snapshot, and ids whose columns differ."""
+    """``(key, status, changed)``: ids only in one snapshot, and ids whose columns differ.
+
+    Ids and digests of both snapshots are joined at once, which costs a part of what whole rows do.
+    Only rows of ids whose digests differ are then read again and compared column by column."""
     compared = [c for c in expected.columns if c != key and c not in ignore]
-    a = actual.select(key, F.struct(*compared).alias("_a"))
-    e = expected.select(key, F.struct(*compared).alias("_e"))
-    changed = F.array_compact(F.array(*(
-        F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_e.{c}")), F.lit(c)) for c in compared)))
+    digested = [
+        mine.dataType == theirs.dataType and isinstance(mine.dataType, _DIGESTED)
+        for mine, theirs in zip(actual.select(*compared).schema, expected.select(*compared).schema)]
+    a, e = (df.select(F.col(key).alias(f"_key{side}"), _contents(df, compared, digested).alias(side))
+            for df, side in ((actual, "_a"), (expected, "_e")))
     status = (
         F.when(F.col("_e").isNull(), "extra").when(F.col("_a").isNull(), "missing")
-        .when(F.size("_changed") > 0, "changed"))
+        .when(F.col("_a") != F.col("_e"), "changed"))
+    apart = kept(
+        a.join(e, F.col("_key_a") == F.col("_key_e"), "full_outer").withColumn("status", status)
+        .where(F.col("status").isNotNull())
+        .select(F.coalesce("_key_a", "_key_e").alias(key), "status",
+                F.array(F.xxhash64("_key_a"), F.xxhash64("_key_e")).alias("_hashes")), "apart")
+    alone = apart.where(F.col("status") != "changed").select(
+        key, "status", F.array().cast("array<string>").alias("changed"))
+
+    hashes = apart.where(F.col("status") == "changed").select(
+        F.explode("_hashes").alias("_hash")).distinct()
+    if hashes.limit(MOST_DIFFERING + 1).count() <= MOST_DIFFERING:
+        actual, expected = (df.select(key, *compared, F.xxhash64(key).alias("_hash")).join(
+            F.broadcast(hashes), "_hash", "left_semi") for df in (actual, expected))
+    a, e = (df.select(key, F.struct(*compared).alias(side)) for df, side in ((actual, "_a"), (expected, "_e")))
+    changed = F.array_compact(F.array(*(
+        F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_e.{c}")), F.lit(c)) for c in compared)))
     return (
-        a.join(e, key, "full_outer").withColumn("_changed", changed)
-        .withColumn("status", status).where(F.col("status").isNotNull())
-        .select(key, "status", F.when(F.col("status") == "changed", F.col("_changed"))
-                .otherwise(F.array().cast("array<string>")).alias("changed")))
+        a.join(e, key).withColumn("changed", changed).where(F.size("changed") > 0)
+        .select(key, F.lit("changed").alias("status"), "changed").unionByName(alone))
 
 
 def flag_sequence(

@@ -31,6 +31,64 @@ def test_snapshot_diff(spark):
                    ("d", "missing", [])]
 
 
+def joined_whole(actual, expected, key, columns):
+    """The comparison over whole rows: ``(key, status, changed)``, once for each pair of rows."""
+    got = []
+    a, e = (df.select(F.col(key).alias(f"key_{side}"), F.struct(*(c for c in df.columns if c != key)).alias(side))
+            for df, side in ((actual, "a"), (expected, "e")))
+    for r in a.join(e, F.col("key_a") == F.col("key_e"), "full_outer").select(
+            "key_a", "key_e", F.col("a").isNull().alias("gone"), F.col("e").isNull().alias("new"),
+            *(F.col(f"a.{c}").eqNullSafe(F.col(f"e.{c}")).alias(c) for c in columns)).collect():
+        changed = [c for c in columns if not r[c]]
+        if r["new"] or r["gone"]:
+            got.append((r["key_a"] if r["new"] else r["key_e"], "extra" if r["new"] else "missing", []))
+        elif changed:
+            got.append((r["key_a"], "changed", changed))
+    return sorted(got, key=str)
+
+
+def test_snapshot_diff_shuffles_whole_rows_only_where_digests_differ(spark, monkeypatch):
+    seen, kept = [], audit.kept
+    monkeypatch.setattr(audit, "kept", lambda df, purpose: (
+        seen.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, purpose))[1])
+    a = stored_frame(spark, [dict(eventId=f"e{i}", path="/") for i in range(9)]).drop("arrival_seq")
+    found = audit.snapshot_diff(a, a.withColumn("path", F.when(F.col("eventId") != "e3", "/")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(found, "eventId", "status", "changed") == [("e3", "changed", ["path"])]
+    assert "FullOuter" not in plan and "LeftSemi" in plan
+    assert "sha2" in seen[0] and "FullOuter" in seen[0] and "<=>" not in seen[0]
+
+
+def test_snapshot_diff_of_odd_rows(spark, monkeypatch):
+    """Nulls and bounds of texts, ids that repeat or are null, zeros, types that differ, long fractions."""
+    schema = "id string, s string, t string, n int, d double, x {}, at timestamp, l array<int>"
+    when = at("2024-10-27T00:30:00")
+    mine = [
+        ("a", "x", None, 1, 0.0, 1, when, [1]), ("b", "ab", "c", None, float("nan"), 2, None, None),
+        ("c", None, "x", 1, -0.0, 3, when, []), ("d", "", None, 1, 1.0, 4, when, [None]),
+        ("d", "1,", "2", 1, 1.0, 4, when, [1, 2]), ("e", "same", "same", 7, 0.1, 0, when, [1]),
+        (None, "x", "x", 1, 1.0, 1, when, [1]), ("only", None, None, None, None, None, None, None)]
+    theirs = [
+        ("a", None, "x", 1, -0.0, 1, when, [1]), ("b", "a", "bc", None, float("nan"), 2, None, None),
+        ("c", None, "x", 1, 0.0, 3, when, None), ("d", None, "", 1, 1.0, 4, when, [None]),
+        ("d", "1", ",2", 1, 1.0, 4, when, [1, 2]), ("d", "1,", "2", 1, 1.0, 4, when, [1, 2]),
+        ("e", "same", "same", 7, 0.1, 0, when + timedelta(hours=1), [1]),
+        (None, "x", "x", 1, 1.0, 1, when, [1]), ("new", None, None, None, None, None, None, None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for theirs_type, most, place in (("int", 100, "UTC"), ("bigint", 0, "UTC"), ("int", 100, "Europe/Berlin")):
+        monkeypatch.setattr(audit, "MOST_DIFFERING", most)
+        spark.conf.set("spark.sql.session.timeZone", place)
+        try:
+            a = spark.createDataFrame(mine, schema.format("int"))
+            e = spark.createDataFrame(theirs, schema.format(theirs_type))
+            got = rows_of(audit.snapshot_diff(a, e, "id", ()), "id", "status", "changed")
+            want = joined_whole(a, e, "id", a.columns[1:])
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        assert sorted(got, key=str) == want
+        assert ("a", "changed", ["s", "t"]) in want and ("e", "changed", ["at"]) in want and len(want) > 10
+
+
 def test_flag_sequence(spark):
     events = [raw(i, timestamp=millis(i * 4000)) for i in range(25)]
     events += [raw(100 + i, clientIp="10.0.0.2") for i in range(3)]
